@@ -27,8 +27,8 @@ import re
 import numpy as np
 import pyarrow as pa
 
-#: Entries that one worker's memo holds before it is emptied (about 200 MB).
-MEMO_ENTRIES = 1_500_000
+#: Entries that one worker's memo holds before it is emptied (about 100 MB).
+MEMO_ENTRIES = 500_000
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
