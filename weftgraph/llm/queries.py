@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontamination, jaccard_join, media, packing, quality, token_counts, token_files, url_rules
+from weftgraph.llm import decontamination, jaccard_join, media, packing, quality, suffix_dedup, token_counts, token_files, url_rules
 from weftgraph.llm.common import shared_folder
 
 #: The rules that ``op10_url_rules`` judges by.
@@ -34,6 +34,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.payload_features(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_media_columns": op4_media_columns,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
     "op9_packing": op9_packing,
