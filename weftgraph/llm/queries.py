@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontamination, jaccard_join, media, packing, quality, suffix_dedup, token_counts, token_files, url_rules
+from weftgraph.llm import decontamination, jaccard_join, lm_scoring, media, packing, quality, suffix_dedup, token_counts, token_files, url_rules
 from weftgraph.llm.common import shared_folder
 
 #: The rules that ``op10_url_rules`` judges by.
@@ -38,6 +38,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_media_columns": op4_media_columns,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
     "op9_packing": op9_packing,
