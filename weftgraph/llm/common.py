@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -66,3 +67,9 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYT
 
 def string_of(batch: pa.RecordBatch, column: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(column))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that nothing refers to."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -15,10 +15,14 @@ Guarantees" (2018), with a Jaccard threshold t in place of a fixed overlap:
   parts, over all sets, is least.
 
 Keys travel as packed arrays, one row a task and bucket.  A list is not
-expanded into pairs: its members are referred to the smallest of them, and all
-sets referred to one are compared there by exact overlap counts, until those
-not yet counted lie in one component.  No link between different sets is lost
-and none is made that isn't exact.  Equal sets are one class from the start.
+expanded into pairs: its members are referred to the smallest of them.  All
+sets referred to one are compared there twice.  First their bitmaps, a bit for
+each hash slot that a shingle falls into: slots of one set that the other hasn't
+are shingles that it hasn't, which bounds the overlap from above and leaves few
+sets whose texts have to travel.  Then the texts of these, by exact overlap
+counts, until those not yet counted lie in one component.  No link between
+different sets is lost and none is made that isn't exact.  Equal sets are one
+class from the start.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import slices, string_of, written
+from weftgraph.llm.common import release, slices, string_of, written
 from weftgraph.llm.components import connected_components
 from weftgraph.llm.shingles import mixed, words_of
 
@@ -39,7 +43,7 @@ from weftgraph.llm.shingles import mixed, words_of
 SKETCH_BITS = 20
 _SKETCH_ROWS = 256
 #: Keys in one bucket, on average, and bytes of sets that one comparison holds.
-BUCKET_KEYS = 1_000_000
+BUCKET_KEYS = 500_000
 GROUP_BYTES = 48 << 20
 #: Largest boundary that is considered.
 MOST_SMALL = 256
@@ -65,6 +69,14 @@ def _signature(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def _bitmap(shingles: np.ndarray) -> bytes:
+    """Four slots a shingle or more, a power of two; the slot is the upper bits."""
+    width = max(6, int(4 * len(shingles) - 1).bit_length())
+    out = np.zeros(1 << width, dtype=bool)
+    out[(shingles >> np.uint64(64 - width)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
 class Threshold:
     """Jaccard of ``num / den`` or more, in whole numbers."""
 
@@ -87,7 +99,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
     """A row a document (size, signature, a few shingles), and this task's part
     of the frequency sketch as rows with a ``block``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "a", "b", "block", "payload"]
+    names = ["doc_id", "n", "a", "b", "bits", "block", "payload"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
@@ -100,14 +112,14 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
                 sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
             sign = np.frombuffer(b"".join(map(_signature, sets)), dtype=np.int64).reshape(-1, 2)
             probes = pa.array([x[:_PROBES].tobytes() for x in sets], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([string_of(part, "doc_id"), pa.array(n), pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy()), pa.nulls(len(n), pa.int32()), probes], names)
+            yield pa.RecordBatch.from_arrays([string_of(part, "doc_id"), pa.array(n), pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy()), pa.array([_bitmap(x) if len(x) > 1 else None for x in sets], type=pa.binary()), pa.nulls(len(n), pa.int32()), probes], names)
         if sketch.any():
             rows = sketch.reshape(_SKETCH_ROWS, -1)
             used = np.flatnonzero(rows.any(axis=1))
-            none = [pa.nulls(len(used), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64())]
+            none = [pa.nulls(len(used), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(used.astype(np.int32)), pa.array([rows[i].tobytes() for i in used], type=pa.binary())], names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, a long, b long, block int, payload binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, a long, b long, bits binary, block int, payload binary")
 
 
 def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,12 +343,95 @@ def _refer(lists: DataFrame, t: Threshold, buckets: int) -> DataFrame:
     return dealt.mapInArrow(run, "hub long, doc_id long, n long").distinct()
 
 
+class _Forest:
+    """Components of a group that is too small to distribute."""
+
+    def __init__(self, k: int):
+        self.parent = np.arange(k)
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        for j in others.tolist():
+            a, b = self.root(i), self.root(j)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+
+    def roots(self, items: np.ndarray) -> np.ndarray:
+        return np.array([self.root(i) for i in items.tolist()], dtype=np.int64)
+
+    def complete(self, first: int, partners) -> np.ndarray:
+        """Joins all partners, and returns each item's root.
+
+        ``partners(i)`` gives all partners of ``i``, which costs a pass over the
+        group.  It is asked until those that it hasn't been asked for lie in one
+        component: any partners that are still apart would have been found from
+        the one that was asked.
+        """
+        k = len(self.parent)
+        asked = np.zeros(k, dtype=bool)
+        self.join(first, partners(first))
+        asked[first] = True
+        while len(left := np.flatnonzero(~asked)):
+            kinds, where, many = np.unique(self.roots(left), return_inverse=True, return_counts=True)
+            if len(kinds) == 1:
+                break
+            apart = left[where != np.argmax(many)]
+            for i in apart[: max(1, len(apart) // 8)].tolist():
+                self.join(i, partners(i))
+                asked[i] = True
+        return self.roots(np.arange(k))
+
+
+def _possible(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes], t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """(least id of its component, id) of those with a possible partner."""
+    k = len(ids)
+    levels: dict[int, np.ndarray] = {}  # bitmaps folded to each length
+    lengths = np.array([len(b) for b in bits])
+    most = int(lengths.max())
+    wide = np.zeros((k, most), dtype=np.uint8)
+    for i, b in enumerate(bits):
+        wide[i, : len(b)] = np.frombuffer(b, dtype=np.uint8)
+    # Longest first: a fold joins neighbouring slots.
+    now, length = wide, most
+    while length >= 8:
+        levels[length] = now.view(np.uint64)
+        if length == lengths.min():
+            break
+        flags = np.unpackbits(now, axis=1).reshape(k, -1, 2).any(axis=2)
+        shorter = np.packbits(flags, axis=1)
+        small = lengths <= length // 2
+        shorter[small] = now[small, : length // 2]
+        now, length = np.ascontiguousarray(shorter), length // 2
+
+    def partners(i: int) -> np.ndarray:
+        near = np.flatnonzero((t.overlap(np.maximum(sizes, sizes[i])) <= np.minimum(sizes, sizes[i])))
+        out = []
+        for length in np.unique(np.minimum(lengths[near], lengths[i])).tolist():
+            at = near[np.minimum(lengths[near], lengths[i]) == length]
+            table = levels[length]
+            mine = table[i]
+            both = np.minimum(sizes[i] - np.bitwise_count(mine & ~table[at]).sum(axis=1, dtype=np.int64), sizes[at] - np.bitwise_count(table[at] & ~mine).sum(axis=1, dtype=np.int64))
+            out.append(at[t.linked(both, sizes[i], sizes[at])])
+        return np.concatenate(out)
+
+    roots = _Forest(k).complete(int(np.argmin(ids)), partners)
+    many = np.bincount(roots, minlength=k)[roots] > 1
+    least = np.full(k, np.iinfo(np.int64).max)
+    np.minimum.at(least, roots, ids)
+    return least[roots][many], ids[many]
+
+
 def _links_in(ids: np.ndarray, sets: list[np.ndarray], t: Threshold) -> Iterator[tuple[int, int]]:
     """Links that join all linked sets of a group: (id, least id joined).
 
     A set is counted by the postings of its shingles: that gives its overlap
-    with every other one.  Sets are counted until those that haven't been lie
-    in one component, so pairs inside a large component aren't looked at.
+    with every other one.
     """
     k = len(ids)
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=k)
@@ -345,52 +440,24 @@ def _links_in(ids: np.ndarray, sets: list[np.ndarray], t: Threshold) -> Iterator
     order = np.argsort(flat, kind="stable")
     ranked = flat[order]
     new = np.append(True, ranked[1:] != ranked[:-1])
-    number = np.cumsum(new) - 1
     starts = np.append(np.flatnonzero(new), len(flat))
     term = np.empty(len(flat), dtype=np.int64)
-    term[order] = number
+    term[order] = np.cumsum(new) - 1
     posting = owner[order]
     lengths = np.diff(starts)
     at = np.concatenate([[0], np.cumsum(sizes)])
-    parent = np.arange(k)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    def count(i: int) -> None:
+    def partners(i: int) -> np.ndarray:
         terms = term[at[i] : at[i + 1]]
         terms = terms[lengths[terms] > 1]
         n = lengths[terms]
         ends = np.cumsum(n)
         if not len(ends):
-            return
+            return np.empty(0, dtype=np.int64)
         both = np.bincount(posting[np.arange(ends[-1]) + np.repeat(starts[terms] - (ends - n), n)], minlength=k)
-        for j in np.flatnonzero(t.linked(both, sizes[i], sizes)).tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-
-    counted = np.zeros(k, dtype=bool)
-    first = int(np.argmin(ids))
-    count(first)
-    counted[first] = True
-    while True:
-        left = np.flatnonzero(~counted)
-        if not len(left):
-            break
-        roots = np.array([root(i) for i in left.tolist()])
-        kinds, where, many = np.unique(roots, return_inverse=True, return_counts=True)
-        if len(kinds) == 1:
-            break
-        # One that is in none of the largest: a few at a time, as they may join it.
-        small = left[where != np.argmax(many)]
-        for i in small[: max(1, len(small) // 8)].tolist():
-            count(i)
-            counted[i] = True
-    roots = np.array([root(i) for i in range(k)])
+        return np.flatnonzero(t.linked(both, sizes[i], sizes))
+
+    roots = _Forest(k).complete(int(np.argmin(ids)), partners)
     least = np.full(k, np.iinfo(np.int64).max)
     np.minimum.at(least, roots, ids)
     for i in range(k):
@@ -398,17 +465,48 @@ def _links_in(ids: np.ndarray, sets: list[np.ndarray], t: Threshold) -> Iterator
             yield int(ids[i]), int(least[roots[i]])
 
 
-def _verify(docs: DataFrame, referred: DataFrame, width: int, t: Threshold) -> DataFrame:
-    """(a, b): exact links, from the texts of those that were referred.
-
-    A group with more sets than one task should hold is cut into blocks; each
-    pair of blocks meets in a cell of its own.
-    """
-    sums = referred.groupBy("hub").agg((F.floor(F.sum("n") * 8 / GROUP_BYTES) + 1).cast("int").alias("blocks"))
+def _cells(referred: DataFrame, bytes_each: float) -> DataFrame:
+    """(hub, cell, doc_id): a group with more sets than one task should hold is
+    cut into blocks; each pair of blocks meets in a cell of its own."""
+    sums = referred.groupBy("hub").agg((F.floor(F.sum("n") * bytes_each / GROUP_BYTES) + 1).cast("int").alias("blocks"))
     cells = referred.join(sums, "hub").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("own")) * F.col("blocks") + F.greatest(o, F.col("own")))
-    cells = cells.select("hub", F.explode(cell).alias("cell"), "doc_id")
-    texts = docs.select("doc_id", "text").join(cells, "doc_id")
+    return cells.select("hub", F.explode(cell).alias("cell"), "doc_id")
+
+
+def _grouped(batches: Iterable[pa.RecordBatch], extra: int) -> Iterator[list[tuple]]:
+    """Rows with equal hub and cell, as they come sorted."""
+    now, held = None, []
+    for part in batches:
+        for hub, cell, *row in zip(*(part.column(i).to_pylist() for i in range(2 + extra)), strict=True):
+            if (hub, cell) != now and held:
+                yield held
+                held = []
+            now = (hub, cell)
+            held.append(tuple(row))
+    if held:
+        yield held
+
+
+def _thinned(rows: DataFrame, referred: DataFrame, t: Threshold) -> DataFrame:
+    """(hub, doc_id, n) of those sets that bitmaps leave a possible partner."""
+    bits = rows.where("bits is not null").select("doc_id", "n", "bits").join(_cells(referred, 1.0), "doc_id")
+    dealt = bits.repartition("hub", "cell").sortWithinPartitions("hub", "cell", "doc_id").select("hub", "cell", "doc_id", "n", "bits")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _grouped(batches, 3):
+            if len(held) > 1:
+                ids, n, bitmaps = zip(*held, strict=True)
+                hub, doc = _possible(np.array(ids), np.array(n), list(bitmaps), t)
+                sizes = dict(zip(ids, n, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(doc), pa.array([sizes[i] for i in doc.tolist()], type=pa.int64())], ["hub", "doc_id", "n"])
+
+    return dealt.mapInArrow(run, "hub long, doc_id long, n long").distinct()
+
+
+def _verify(docs: DataFrame, referred: DataFrame, width: int, t: Threshold) -> DataFrame:
+    """(a, b): exact links, from the texts of those that were referred."""
+    texts = docs.select("doc_id", "text").join(_cells(referred, 8.0), "doc_id")
     dealt = texts.repartition("hub", "cell").sortWithinPartitions("hub", "cell", "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,14 +544,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     t = Threshold(num, den)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profiles = written(_profiles(picked, width), "profiles")
-    rows = profiles.where("block is null").select("doc_id", "n", "a", "b")
+    rows = profiles.where("block is null").select("doc_id", "n", "a", "b", "bits")
     known = picked.where("doc_id is not null and text is not null")
     sketch = _sketch(profiles)
     small = _boundary(profiles, sketch, t)
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = int(max(8, total * (1 - num / den) // BUCKET_KEYS + 1))
     referred = written(_refer(_lists(known, width, t, _frequency_classes(sketch), small, buckets), t, buckets), "referred")
-    groups = connected_components(_verify(known, referred, width, t))
+    release(docs.sparkSession)
+    possible = written(_thinned(rows, referred, t), "possible")
+    release(docs.sparkSession)
+    groups = connected_components(_verify(known, possible, width, t))
     classes = rows.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("least"))
     named = classes.join(groups, classes["least"] == groups["node"], "left").select("a", "b", F.coalesce("component", "least").alias("component_id"))
     full = rows.where("n > 0 and doc_id is not null").join(named, ["a", "b"]).select("doc_id", "n", "component_id")

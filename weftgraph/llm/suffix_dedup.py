@@ -26,7 +26,6 @@ to its bucket once a task.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import drop_folder, shared_folder, slices, string_of, written
+from weftgraph.llm.common import drop_folder, release, shared_folder, slices, string_of, written
 from weftgraph.llm.segments import column_bytes
 from weftgraph.llm.shingles import _VALUES, _powers, mixed
 
@@ -372,12 +371,6 @@ def _home(replies: DataFrame, parts: int) -> DataFrame:
     return replies.select(cols).repartition(parts, "group").sortWithinPartitions("group").mapInArrow(run, "uid long, removed binary, asks binary, masks binary")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of plans that nothing refers to."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def covered(entries: Entries, offsets: np.ndarray, removed: list[bytes | None], masks: list[bytes | None]) -> np.ndarray:
     """Which bytes of a slice lie in a removed window."""
     n = len(entries.data)
