@@ -161,7 +161,7 @@ class _Sorted:
         self.spark, self.id_col, self.text_col = spark, id_col, text_col
         self.uid = next(n for n in ("uid", "uid_", "uid__", "uid___") if n not in docs.columns)
         self.name, self.folder = f"suffixes_{uuid.uuid4().hex}", shared_folder(spark, "texts")
-        self.parts = max(8, 2 * docs.rdd.getNumPartitions())
+        self.parts = max(8, 3 * docs.rdd.getNumPartitions())
         kept = docs.withColumn(self.uid, F.monotonically_increasing_id()).repartition(self.parts, self.uid)
         kept.write.bucketBy(self.parts, self.uid).sortBy(id_col).option("compression", "zstd").option("path", self.folder).saveAsTable(self.name)
         del kept
@@ -312,7 +312,7 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         masks = np.zeros(len(head), dtype=np.uint64)
         order = np.argsort(head, kind="stable")
-        for lo in _group_cuts(head[order], 200_000):
+        for lo in _group_cuts(head[order], 50_000):
             at = order[lo[0] : lo[1]]
             sums = np.zeros((len(at), _CONTEXT + 1), dtype=np.uint64)
             np.cumsum(_VALUES[context[at]] * power[:_CONTEXT], axis=1, out=sums[:, 1:])
@@ -403,7 +403,7 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str) -> tuple[_Sorted, Dat
     spark = docs.sparkSession
     base = _Sorted(spark, docs, id_col, text_col)
     rows = base.slim.select("uid").count()
-    buckets = max(4, base.parts // 2)
+    buckets = base.parts
     splitters = base.splitters(buckets, rows)
     judged = base.entries(splitters).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_Sorted.judge, "group long, kind binary, uids binary, wholes binary")
     first = written(_home(judged, buckets), "verdicts")
