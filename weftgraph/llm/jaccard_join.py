@@ -39,8 +39,10 @@ from weftgraph.llm.common import release, slices, string_of, written
 from weftgraph.llm.components import connected_components
 from weftgraph.llm.shingles import mixed, words_of
 
-#: Counters of the frequency sketch; its size doesn't depend on the corpus.
-SKETCH_BITS = 20
+#: Counters of the frequency sketch; its size doesn't depend on the corpus.  A
+#: task's own counts stop at 255, which still is frequent; only the order of
+#: shingles depends on them, not what is found.
+SKETCH_BITS = 22
 _SKETCH_ROWS = 256
 #: Keys in one bucket, on average, and bytes of sets that one comparison holds.
 BUCKET_KEYS = 500_000
@@ -114,7 +116,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
             probes = pa.array([x[:_PROBES].tobytes() for x in sets], type=pa.binary())
             yield pa.RecordBatch.from_arrays([string_of(part, "doc_id"), pa.array(n), pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy()), pa.array([_bitmap(x) if len(x) > 1 else None for x in sets], type=pa.binary()), pa.nulls(len(n), pa.int32()), probes], names)
         if sketch.any():
-            rows = sketch.reshape(_SKETCH_ROWS, -1)
+            rows = np.minimum(sketch, 255).astype(np.uint8).reshape(_SKETCH_ROWS, -1)
             used = np.flatnonzero(rows.any(axis=1))
             none = [pa.nulls(len(used), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(used.astype(np.int32)), pa.array([rows[i].tobytes() for i in used], type=pa.binary())], names)
@@ -126,27 +128,27 @@ def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for part in batches:
         for block, payload in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            values = np.frombuffer(payload, dtype=np.uint32)
-            total[block] = total[block] + values if block in total else values.copy()
+            if block not in total:
+                total[block] = np.zeros(len(payload), dtype=np.uint32)
+            total[block] += np.frombuffer(payload, dtype=np.uint8)
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int32()), pa.array([x.tobytes() for x in total.values()], type=pa.binary())], ["block", "payload"])
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
-    """Counts over all tasks; summed where they are read, then by block."""
+    """Counts over all tasks, summed by block."""
     rows = profiles.where("block is not null").select("block", "payload")
-    schema = "block int, payload binary"
-    merged = rows.mapInArrow(_summed, schema).repartition("block").mapInArrow(_summed, schema)
     out = np.zeros((_SKETCH_ROWS, (1 << SKETCH_BITS) // _SKETCH_ROWS), dtype=np.uint32)
-    for block, payload in merged.collect():  # 4 MB, whatever the corpus
-        out[block] = np.frombuffer(payload, dtype=np.uint32)
+    for block, payload in rows.repartition("block").mapInArrow(_summed, "block int, payload binary").toLocalIterator():
+        out[block] = np.frombuffer(payload, dtype=np.uint32)  # 16 MB in all, whatever the corpus
     return out.ravel()
 
 
 def _frequency_classes(sketch: np.ndarray) -> np.ndarray:
-    """0 for what is as rare as chance makes a counter, then by powers of two."""
-    usual = 2 * sketch.mean() + 2
-    return np.floor(np.log2(1 + sketch / usual)).astype(np.uint8)
+    """0 for what is as rare as chance lets a counter be, then by powers of two."""
+    mean = sketch.mean()
+    beyond = np.maximum(sketch - mean, 0) / (4 * np.sqrt(mean) + 1)
+    return np.floor(np.log2(1 + beyond)).astype(np.uint8)
 
 
 def _boundary(profiles: DataFrame, sketch: np.ndarray, t: Threshold) -> int:
@@ -162,7 +164,9 @@ def _boundary(profiles: DataFrame, sketch: np.ndarray, t: Threshold) -> int:
                 if size:
                     at = np.frombuffer(probes, dtype=np.uint64) >> np.uint64(64 - SKETCH_BITS)
                     count[size] += 1
-                    reads[size] += np.maximum(held.value[at.astype(np.int64)] - noise, 1.0).mean()
+                    # The prefix holds the rarest quarter.
+                    rare = np.sort(held.value[at.astype(np.int64)])[: max(1, len(at) // 4)]
+                    reads[size] += np.maximum(rare - noise, 1.0).mean()
         used = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(count[used]), pa.array(reads[used])], ["n", "c", "r"])
 
@@ -543,7 +547,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     """
     t = Threshold(num, den)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profiles = written(_profiles(picked, width), "profiles")
+    profiles = written(_profiles(picked, width), "profiles", compression="zstd")
     rows = profiles.where("block is null").select("doc_id", "n", "a", "b", "bits")
     known = picked.where("doc_id is not null and text is not null")
     sketch = _sketch(profiles)
