@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ARTICLES = T.StructType.fromDDL(
+ARTICLES = (
     "article_number bigint, title string, content variant, metadata struct<part:string,chapter:string,section:string,subsection:string>, "
     "clauses variant, keywords array<string>, `references` variant"
 )
-REPORTS = T.StructType.fromDDL("id string, community_id string, level bigint, title string, summary string, findings array<string>, rating double, parent_id string")
+REPORTS = "id string, community_id string, level bigint, title string, summary string, findings array<string>, rating double, parent_id string"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "session_id string, run_id string, seq bigint, created_at string, kind string, step_kind string, tool string, content string, ok boolean, "
     "trace_id string, prev_hash string, row_hash string"
 )
@@ -18,7 +17,7 @@ def scan_log_strict(spark: SparkSession, path: str) -> DataFrame:
     A file that is empty, ends inside a line, has bad JSON, a record without a
     required field, or one of another session fails the query with its place.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", "UTF-8").alias("text"))
     whole = F.when(F.col("text") == "", F.raise_error(F.concat("file", F.lit(": empty")))).when(~F.endswith("text", F.lit("\n")), F.raise_error(F.concat("file", F.lit(": unfinished last line")))).otherwise(F.col("text"))
     lines = files.select("file", F.posexplode(F.split(F.rtrim(whole, F.lit("\n")), "\n")).alias("line", "json"))
     parsed = lines.withColumn("r", F.from_json("json", RECORD, {"mode": "PERMISSIVE"}))
