@@ -325,26 +325,60 @@ def _referrals(bucket: list[tuple[bytes, bytes, bytes, bytes]], t: Threshold) ->
 
 
 def _refer(lists: DataFrame, t: Threshold, buckets: int) -> DataFrame:
-    """(hub, doc_id, n), distinct."""
+    """(hub, doc_id, n), distinct.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A pair is found in as many buckets as it shares shingles in; the buckets'
+    findings travel packed, dealt by pair, and meet once.
+    """
+    names = ["part", "hubs", "docs", "sizes"]
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in _referrals(held, t)], ["hub", "doc_id", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            hub, doc, n = _referrals(held, t)
+            if not len(hub):
+                return
+            part = (mixed(mixed(hub.view(np.uint64)) ^ doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(buckets + 1))
+            used = np.flatnonzero(np.diff(cuts))
+            cols = [[x[order[cuts[p] : cuts[p + 1]]].tobytes() for p in used] for x in (hub, doc, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(c, type=pa.binary()) for c in cols)], names)
 
         for part in batches:
             for bucket, *row in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
                 if bucket != now and held:
-                    yield out()
+                    yield from out()
                     held = []
                 now = bucket
                 held.append(tuple(row))
+        if held:
+            yield from out()
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> pa.RecordBatch:
+            hub, doc, n = (np.concatenate([np.frombuffer(r[k], dtype=np.int64) for r in held]) for k in range(3))
+            order = np.lexsort((doc, hub))
+            hub, doc, n = hub[order], doc[order], n[order]
+            new = np.append(True, (hub[1:] != hub[:-1]) | (doc[1:] != doc[:-1]))
+            return pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (hub, doc, n)], ["hub", "doc_id", "n"])
+
+        for part in batches:
+            for number, *row in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                if number != now and held:
+                    yield out()
+                    held = []
+                now = number
+                held.append(tuple(row))
         if held:
             yield out()
 
     dealt = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "hub long, doc_id long, n long").distinct()
+    found = dealt.mapInArrow(find, "part int, hubs binary, docs binary, sizes binary")
+    return found.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(merge, "hub long, doc_id long, n long")
 
 
 class _Forest:
@@ -494,7 +528,7 @@ def _grouped(batches: Iterable[pa.RecordBatch], extra: int) -> Iterator[list[tup
 
 def _thinned(rows: DataFrame, referred: DataFrame, t: Threshold) -> DataFrame:
     """(hub, doc_id, n) of those sets that bitmaps leave a possible partner."""
-    bits = rows.where("bits is not null").select("doc_id", "n", "bits").join(_cells(referred, 1.0), "doc_id")
+    bits = rows.where("bits is not null").select("doc_id", "n", "bits").join(_cells(referred, 1.0).hint("merge"), "doc_id")
     dealt = bits.repartition("hub", "cell").sortWithinPartitions("hub", "cell", "doc_id").select("hub", "cell", "doc_id", "n", "bits")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -510,7 +544,8 @@ def _thinned(rows: DataFrame, referred: DataFrame, t: Threshold) -> DataFrame:
 
 def _verify(docs: DataFrame, referred: DataFrame, width: int, t: Threshold) -> DataFrame:
     """(a, b): exact links, from the texts of those that were referred."""
-    texts = docs.select("doc_id", "text").join(_cells(referred, 8.0), "doc_id")
+    # What was referred grows with the corpus: it isn't broadcast at any size.
+    texts = docs.select("doc_id", "text").join(_cells(referred, 8.0).hint("merge"), "doc_id")
     dealt = texts.repartition("hub", "cell").sortWithinPartitions("hub", "cell", "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
