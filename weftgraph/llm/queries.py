@@ -72,4 +72,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_url_rules": op10_url_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP2_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM w),
+s AS (
+  SELECT DISTINCT doc_id, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS g, i, n
+  FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+sets AS (SELECT DISTINCT doc_id, g FROM s WHERE i <= greatest(n - 4, 1)),
+n AS (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN sets USING (doc_id) GROUP BY w.doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM met JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = other)
+SELECT n.doc_id, n.n AS n_shingles, min(other) AS component_id FROM n JOIN reach USING (doc_id) GROUP BY 1, 2
+"""
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, unnest(regexp_extract_all(h, '..')) AS x, unnest(range(length(h) // 2)) AS s FROM d),
+b2 AS (SELECT *, x || lead(x) OVER o AS x2 FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+b4 AS (SELECT *, x2 || lead(x2, 2) OVER o AS x4 FROM b2 WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+b8 AS (SELECT *, x4 || lead(x4, 4) OVER o AS x8 FROM b4 WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+b16 AS (SELECT *, x8 || lead(x8, 8) OVER o AS x16 FROM b8 WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+g AS (SELECT doc_id, s, x16 || lead(x16, 16) OVER o || lead(x16, 32) OVER o || lead(x2, 48) OVER o AS k FROM b16 WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+f AS (SELECT k, min(doc_id) AS least FROM g WHERE k IS NOT NULL GROUP BY k),
+hit AS (SELECT g.doc_id, s, max(s + 50) OVER (PARTITION BY g.doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered
+  FROM g JOIN f USING (k) WHERE least < g.doc_id),
+marked AS (SELECT *, sum(CASE WHEN covered IS NULL OR s > covered THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS i FROM hit),
+spans AS (SELECT doc_id, i, min(s) AS a, max(s) + 50 AS b FROM marked GROUP BY 1, 2),
+ends AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM d),
+kept AS (SELECT doc_id, a, substring(h, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS part FROM ends JOIN d USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a, b)),
+text AS (SELECT doc_id, string_agg(part, '' ORDER BY a) AS h FROM kept GROUP BY 1)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(sum(b - a), 0)::BIGINT AS n_removed, count(a)::BIGINT AS n_spans, sha256(unhex(any_value(text.h))) AS kept_sha256
+FROM d JOIN text USING (doc_id) LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id, d.h
+"""
+
+_RULE_ROWS = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in RULES)
+_TARGET = """CASE WHEN starts_with(t, '//') THEN substring(t, 3) WHEN starts_with(t, '/') THEN host || t WHEN strpos(t, '://') > 0 THEN substring(t, strpos(t, '://') + 3) END"""
+
+OP10_SQL = rf"""
+WITH RECURSIVE rules(verdict, rule, rh, rp) AS (VALUES {_RULE_ROWS}),
+u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER}) AS host, substring(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM u),
+q AS (SELECT page_id, html, host, regexp_extract(tail, '^[^?#]*') AS path, host || regexp_extract(tail, '^[^#]*') AS node FROM p),
+tags AS (SELECT node AS a, host, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM q WHERE html IS NOT NULL AND node <> ''),
+found AS (
+  SELECT a, host, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM tags WHERE regexp_matches(tag, '(?is)^<link') AND regexp_matches(tag, '(?is)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')
+  UNION ALL SELECT a, host, regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?\burl\s*=\s*''?([^"''\s>]+)', 1) FROM tags WHERE regexp_matches(tag, '(?is)^<meta') AND regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')),
+target AS (SELECT a, {_TARGET} AS r FROM (SELECT a, host, replace(t, '&amp;', '&') AS t FROM found)),
+edges AS (SELECT a, translate(regexp_extract(r, '^[^/?#]*'), {_LOWER}) || regexp_extract(substring(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^#]*') AS b FROM target WHERE r IS NOT NULL),
+ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+nodes AS (SELECT DISTINCT a AS node, regexp_extract(a, '^[^/?#]*') AS host, regexp_extract(substring(a, length(regexp_extract(a, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM ways),
+bad(node) AS (
+  SELECT node FROM (SELECT node, max_by(verdict, length(rule)) AS v FROM nodes JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY node) WHERE v = 'block'
+  UNION SELECT b FROM bad JOIN ways ON a = node),
+own AS (SELECT page_id, host, path, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict FROM (SELECT DISTINCT page_id, host, path FROM q)
+  JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1, 2, 3)
+SELECT q.page_id, q.host, q.path, own.rule, coalesce(own.verdict, CASE WHEN bad.node IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM q LEFT JOIN own ON own.page_id = q.page_id AND own.host = q.host AND own.path = q.path LEFT JOIN bad ON bad.node = q.node
+"""
+
+#: The others need a tokenizer, a fitted model, fingerprints or image features;
+#: tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op10_url_rules": OP10_SQL}
