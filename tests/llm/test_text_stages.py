@@ -154,7 +154,8 @@ def test_multikey_order():
 def test_repeats_edge_cases(spark, none):
     assert suffix_dedup.repeated_bytes(none).count() == 0
     text = "é" * 40 + "x" * 30
-    rows = spark.createDataFrame([(1, text, "u"), (1, text, "v"), (2, "日" + text, "w"), (None, text, None), (3, None, "z")], "doc_id long, text string, uid string")
+    rows = spark.createDataFrame([(1, text, "u"), (1, text, "v"), (2, "日" + text, "w"), (None, text, None), (3, None, "z")], "doc_id long, text string, uid string").withColumns({"removed": F.lit(1), "masks": F.lit("m")})
+    assert suffix_dedup.drop_repeats(rows).columns == rows.columns
     kept = sorted(((r["doc_id"] or 0, r["text"], r["uid"]) for r in suffix_dedup.drop_repeats(rows).collect()), key=str)
     assert kept == sorted([(1, text, "u"), (1, text, "v"), (2, "日", "w"), (0, text, None), (3, None, "z")], key=str)
 

@@ -298,7 +298,7 @@ def _referrals(bucket: list[tuple[bytes, bytes, bytes, bytes]], t: Threshold) ->
     if not len(first):
         return empty, empty, empty
     # With starts and ends in turn, every other result is that of a list.
-    turns = np.append(np.column_stack([first, stop]).ravel(), 0)[:-1]
+    turns = np.column_stack([first, stop]).ravel()
     either = np.bitwise_or.reduceat(np.append(flag, np.uint8(0)), turns)[::2]
     use = ((either & 2) > 0) | ((either & 5) == 5)
     hubs, members = [], []

@@ -470,12 +470,13 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     base, verdicts, folders = _verdicts(docs, id_col, text_col)
     columns = docs.columns
+    removed, masks = (next(n for n in (k, k + "_", k + "__") if n not in columns) for k in ("removed", "masks"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col, 4 << 20):
             column = string_of(part, text_col)
             data, offsets = column_bytes(column)
-            gone = covered(Entries(data, offsets), offsets, string_of(part, "removed").to_pylist(), string_of(part, "masks").to_pylist())
+            gone = covered(Entries(data, offsets), offsets, string_of(part, removed).to_pylist(), string_of(part, masks).to_pylist())
             # A character that isn't wholly removed stays whole.
             lead = np.flatnonzero((data & 0xC0) != 0x80)
             if len(lead):
@@ -491,6 +492,6 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = [pa.array(texts, type=column.type) if c == text_col else pa.array(sizes, type=string_of(part, c).type) if c == size_col else string_of(part, c) for c in columns]
             yield pa.RecordBatch.from_arrays(out, columns)
 
-    verdicts = verdicts.select(F.col("uid").alias(base.uid), "removed", "masks")
-    joined = base.texts.join(verdicts, base.uid, "left").select(*columns, "removed", "masks")
+    verdicts = verdicts.select(F.col("uid").alias(base.uid), F.col("removed").alias(removed), F.col("masks").alias(masks))
+    joined = base.texts.join(verdicts, base.uid, "left").select(*columns, removed, masks)
     return _finished(base, joined.mapInArrow(run, T.StructType([docs.schema[c] for c in columns])), folders)
