@@ -148,3 +148,20 @@ def test_window_batch_equals_stream(spark, tmp_path):
         if r["older"] + r["kept"] >= sum(last.get(r["session_id"], (0, 0, 0))[1:3]):
             last[r["session_id"]] = tuple(r)
     assert last == batch
+
+
+def test_tool_calls(spark):
+    from weftgraph.operators.tools import judged_calls
+
+    rows = [("r", 1, "search", '{"query": "x"}'), ("r", 2, "search", "{}"), ("r", 3, "other", "{}"), ("r", 4, "search", "nothing"), ("r", 5, "search", '{"query": "y"}'), ("q", 1, "search", '{"query": 5}')]
+    out = judged_calls(spark.createDataFrame(rows, "run_id string, seq int, tool string, args string"), {"search": ("query",)}, 4)
+    found = {(r["run_id"], r["seq"]): r["refusal"] for r in out.collect()}
+    assert found == {("r", 1): None, ("r", 2): "invalid arguments", ("r", 3): "unknown tool", ("r", 4): "invalid arguments", ("r", 5): "over budget", ("q", 1): None}
+
+
+def test_hashing_embedder(spark):
+    from weftgraph.functions.embedding import hashing_embedder
+
+    rows = spark.createDataFrame([("a b c",), ("A  b c",), ("",), (None,)], "t string").select(hashing_embedder(16)("t").alias("v")).collect()
+    assert rows[0]["v"] == rows[1]["v"] and sum(x * x for x in rows[0]["v"]) == pytest.approx(1)
+    assert rows[2]["v"] == [0.0] * 16 and rows[3]["v"] is None

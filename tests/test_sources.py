@@ -68,3 +68,10 @@ def test_events(spark):
     assert [tuple(r) for r in rows] == [(1, 0, "token", "a\nb"), (1, 1, "done", "{}")]
     with pytest.raises(PySparkException):
         session_logs.parse_events(spark.createDataFrame([(1, "event: odd\n\n")], "id int, t string"), "id", F.col("t")).collect()
+
+
+def test_replace_file(spark, tmp_path):
+    path = tmp_path / "manifest.json"
+    for text in ("{}", '{"model": "é"}'):
+        corpus.replace_file(spark, str(path), text)
+        assert path.read_text(encoding="utf-8") == text

@@ -183,6 +183,7 @@ def names_article(text: Column, number: int) -> Column:
 
 def markdown_emphasis(text: Column) -> Column:
     """Marks articles, clauses and points bold, chapters and sections italic."""
+    # What is marked, and how.
     for pattern, to in (
         (r"(?iu)điều ([0-9]+)", "**Điều $1**"),
         (r"(?iu)khoản ([0-9]+)", "**khoản $1**"),

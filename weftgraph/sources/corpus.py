@@ -62,3 +62,22 @@ def file_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """(name, size, sha256) of the files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file (such as a manifest) beside ``path`` and renames it,
+    so that readers see the old one or the new one whole."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at, new = hadoop.Path(path), hadoop.Path(f"{path}.new")
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(new, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+        out.hsync()
+    finally:
+        out.close()
+    rename = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    files = hadoop.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
+    files.rename(system.makeQualified(new), system.makeQualified(at), options)
