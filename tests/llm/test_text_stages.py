@@ -143,6 +143,28 @@ def test_blocks_of_entries_join(spark, monkeypatch):
     assert sorted(starts.tolist()) == list(range(len(text) - 49))
 
 
+def test_entries_do_not_depend_on_blocks(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_BLOCK_BITS", 8)
+    monkeypatch.setattr(suffix_dedup, "_MASK", np.uint64(255))
+    text = np.random.default_rng(2).integers(97, 123, 2000).astype(np.uint8)
+    found = []
+    for before in (0, 1, 50, 77, 128):
+        data = np.concatenate([np.full(before, 65, dtype=np.uint8), text])
+        e = suffix_dedup.Entries(data, np.array([0, before, len(data)]))
+        own = e.doc == 1
+        found.append(list(zip(e.whole[own].tolist(), *((c[own] - before).tolist() for c in (e.place, e.first, e.last)), strict=True)))
+    assert all(f == found[0] for f in found)
+
+
+def test_repeats_over_several_blocks(spark):
+    """Rows with a null id shift the texts in some passes and not in others."""
+    rng = np.random.default_rng(9)
+    passages = ["".join(map(chr, row)) for row in rng.integers(97, 123, (60_000, 50))]
+    rows = [(None, "n" * int(n)) for n in rng.integers(100, 900, 60)] + [(1, "0".join(passages)), (2, "A".join(passages))]
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {None: 0, 1: 0, 2: 50 * len(passages)}
+
+
 def test_multikey_order():
     rng = np.random.default_rng(4)
     keys = [rng.integers(0, 4, 500) for _ in range(4)]

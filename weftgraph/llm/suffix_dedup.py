@@ -53,9 +53,13 @@ class Entries:
     """Entries of the texts of a slice, as arrays."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        parts = []
-        for at in range(0, max(len(data) - LENGTH + 1, 0), 1 << (_BLOCK_BITS - 1)):
-            parts.append(self._block(data, offsets, at, min(at + (1 << (_BLOCK_BITS - 1)), len(data) - LENGTH + 1)))
+        parts, windows, step = [], max(len(data) - LENGTH + 1, 0), 1 << (_BLOCK_BITS - 1)
+        for at in range(0, windows, step):
+            # An entry belongs to the block of its first window, whole: cut at
+            # a block's edge, it would depend on where a text lies in a slice.
+            block = self._block(data, offsets, max(at - 1, 0), min(at + step + _SPAN, windows))
+            own = (block[3] >= at) & (block[3] < at + step)
+            parts.append(tuple(c[own] for c in block))
         cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
         #: Digests of head and windows, minimiser, first and last window start.
         self.head, self.whole, self.place, self.first, self.last = cols
