@@ -220,6 +220,25 @@ def test_leaks(spark, docs, corpus):
     assert kept == {d for d, _ in corpus} - {d for d, _ in got}
 
 
+def test_leaks_of_documents_shorter_than_the_item(spark):
+    """Against bags of the whole documents; 59 words, of which some are cut."""
+    w = [f"w{i}" for i in range(59)]
+    rows = [(k, " ".join(w[k // 2 : 59 - (k - k // 2)])) for k in range(30)] + [(50, " ".join(w[:4])), (51, ""), (52, None), (53, " ".join(w[1:] + ["other"]))]
+    bag = lambda x: Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4))
+    wanted = {}
+    for d, text in rows:
+        own, other = bag(split(" ".join(w))), bag(split(text))
+        similar = sum((own & other).values()) / sum((own | other).values())
+        if similar >= 0.75:
+            wanted[d] = round(similar, 9)
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontamination.find_leaks(docs, items).collect()}
+    assert {d for d, s in wanted.items() if s >= 0.85} <= set(got) <= set(wanted) and len(wanted) > 13
+    assert all(round(r["similarity"], 9) == wanted[d] and r["start"] == 0 for d, r in got.items())
+    assert {r["doc_id"] for r in decontamination.drop_leaks(docs, items).collect()} == {d for d, _ in rows} - set(got)
+
+
 def test_hamming_index_finds_all():
     rng = np.random.default_rng(6)
     prints = rng.integers(0, 1 << 63, 50, dtype=np.uint64)

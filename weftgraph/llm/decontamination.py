@@ -149,6 +149,15 @@ def _leaks_of(words: np.ndarray, shingles: np.ndarray, items: Items, threshold:
                 if similar >= threshold:
                     found = (similar, -int(np.bitwise_count(prints[i] ^ items.index.prints[item])), -(lo + i))
                     best[item] = max(best.get(item, found), found)
+    # To an item of more words the document as a whole is the one window; of
+    # words fewer than a shingle's it shares none.
+    longer = (items.sizes > len(words)) & (len(shingles) >= threshold * (items.sizes - items.width + 1))
+    if len(member) and longer.any():
+        prints = window_prints(shingles, len(shingles))
+        for item in items.index.near(prints)[1].tolist():
+            similar = items.similarity(item, shingles) if longer[item] else 0.0
+            if longer[item] and similar >= threshold:
+                best[item] = (similar, -int(np.bitwise_count(prints[0] ^ items.index.prints[item])), 0)
     return {k: (s, -d, -w) for k, (s, d, w) in best.items()}
 
 
@@ -188,8 +197,8 @@ def _indexes(benchmark: DataFrame, id_col: str, text_col: str, width: int, radiu
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, width: int = 5, radius: int = 19, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Items that documents hold: doc_id, item_id, similarity, distance, start.
 
-    An item of n words is held if some window of n words has a fingerprint at
-    most ``radius`` bits from the item's and a weighted shingle similarity of
+    An item of n words is held if some window of n words (of a document with
+    fewer words, the whole of it) has a fingerprint at most ``radius`` bits from the item's and a weighted shingle similarity of
     ``threshold`` or more.  ``radius`` is where two texts of that similarity
     have their expected distance (11 of 64 bits) plus nearly three deviations.
     The best window is given: by similarity, then distance, then place (in
