@@ -31,6 +31,15 @@ def test_layers_end_on_cycles(spark):
     assert found["a"] == 0 and found["b"] > 0 and found["d"] == 0
 
 
+def test_layers_of_a_long_chain(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    nodes = spark.createDataFrame([(i,) for i in range(53)], "id long").coalesce(1)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(52)], "src long, dst long").coalesce(1)
+    found = {r["id"]: r["depth"] for r in traversal.layer_depths(nodes, edges, nodes.where("id = 0")).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found == {i: i for i in range(53)}
+
+
 def test_layer_rows(spark):
     layers = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", 1)], "id string, depth int")
     edges = spark.createDataFrame([("b", "c"), ("a", "d")], "src string, dst string")

@@ -92,13 +92,13 @@ def first_parents(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("id")).agg(F.min_by("src", F.struct("ord", "src")).alias("parent"))
 
 
-def layer_depths(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
+def layer_depths(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Depth of each node: seeds 0, others 1 + the greatest depth of a parent.
 
-    Passes are bounded by ``most`` (and by the number of nodes plus one), which
-    ends cycles; nodes that seeds don't lead to have depth 0.
+    Passes are bounded by the number of nodes plus one, which ends cycles;
+    nodes that seeds don't lead to have depth 0.
     """
-    rounds = min(most, nodes.count() + 1)
+    rounds = nodes.count() + 1
     start = seeds.select("id").distinct().withColumn("seed", F.lit(True))
     now = _kept(nodes.select("id").distinct().join(start, "id", "left").select("id", F.coalesce("seed", F.lit(False)).alias("seed"), F.when(F.col("seed"), 0).cast("int").alias("depth")))
     for _ in range(rounds):
