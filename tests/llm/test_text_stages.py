@@ -152,7 +152,7 @@ def test_entries_do_not_depend_on_blocks(monkeypatch):
         data = np.concatenate([np.full(before, 65, dtype=np.uint8), text])
         e = suffix_dedup.Entries(data, np.array([0, before, len(data)]))
         own = e.doc == 1
-        found.append(list(zip(e.whole[own].tolist(), *((c[own] - before).tolist() for c in (e.place, e.first, e.last)), strict=True)))
+        found.append(list(zip(e.whole[own].tolist(), e.rows(np.flatnonzero(own)).tolist(), *((c[own] - before).tolist() for c in (e.place, e.first, e.last)), strict=True)))
     assert all(f == found[0] for f in found)
 
 
@@ -165,12 +165,27 @@ def test_repeats_over_several_blocks(spark):
     assert got == {None: 0, 1: 0, 2: 50 * len(passages)}
 
 
-def test_multikey_order():
+def test_suffix_order():
     rng = np.random.default_rng(4)
-    keys = [rng.integers(0, 4, 500) for _ in range(4)]
-    order = suffix_dedup.multikey_order(keys)
-    rows = [tuple(k[i] for k in keys) for i in order]
-    assert rows == sorted(rows)
+    rows = np.zeros((700, 96), dtype=np.uint8)
+    rows[:, :50] = np.repeat(rng.integers(0, 2, (700, 10)), 5, axis=1) * 97
+    order = suffix_dedup.suffix_order(rows, 0, 56)
+    found = [rows[i].tobytes() for i in order]
+    assert found == sorted(found)
+    common = suffix_dedup.common_prefix(rows[order][1:, :50], rows[order][:-1, :50])
+    assert common.tolist() == [next((k for k in range(50) if a[k] != b[k]), 50) for a, b in zip(found[1:], found[:-1], strict=True)]
+
+
+def test_runs_over_many_buckets(spark, monkeypatch):
+    """One passage in all documents, with other bytes around, and few bytes a bucket."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", (700, 700))
+    rng = np.random.default_rng(12)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 100, n)))
+    passage = letters(61)
+    rows = [(i, letters(int(rng.integers(0, 60))) + passage + letters(int(rng.integers(0, 60)))) for i in range(150)]
+    rows += [(150 + i, letters(200)) for i in range(20)] + [(200, passage[:49] * 4), (201, passage[:49] * 4), (202, passage[:50] * 3)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute_repeats(rows)
 
 
 def test_repeats_edge_cases(spark, none):
@@ -180,6 +195,8 @@ def test_repeats_edge_cases(spark, none):
     assert suffix_dedup.drop_repeats(rows).columns == rows.columns
     kept = sorted(((r["doc_id"] or 0, r["text"], r["uid"]) for r in suffix_dedup.drop_repeats(rows).collect()), key=str)
     assert kept == sorted([(1, text, "u"), (1, text, "v"), (2, "日", "w"), (0, text, None), (3, None, "z")], key=str)
+    with pytest.raises(TypeError):
+        suffix_dedup.repeated_bytes(rows.withColumn("doc_id", F.lit("x")))
 
 
 def brute_leaks(rows, items, threshold=0.75):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,30 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+#: Folders that the operators under way have written, by nesting.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def dropped_after(spark: SparkSession) -> Iterator[None]:
+    """Removes what ``written`` wrote inside, whether the work ends or fails,
+    but for tables that it was told to keep."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            drop_folder(spark, path)
+
+
+def written(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
     """``df`` as a table written to the shared folder: computed once, and safe
-    from lost executors."""
+    from lost executors.  ``keep``: it outlasts ``dropped_after``, as a result
+    that is read later must."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

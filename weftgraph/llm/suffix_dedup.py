@@ -1,33 +1,30 @@
-"""Removal of passages that earlier documents have, by sparse sorted suffixes.
+"""Removal of passages that earlier documents have, by a sparse suffix array.
 
 A passage is a string of ``LENGTH`` bytes; its window is its place in a text.
-Sorting every suffix of a corpus moves many times its bytes, so only suffixes
-at minimisers are sorted: in each window, the suffix whose ``HEAD`` leading
-bytes have the least hash.  Equal windows have their minimiser at the same
-place, so no match is missed; consecutive windows mostly share one.  An *entry*
-is a minimiser with the windows that have it, which are consecutive.
-
-1. Suffixes are range-partitioned by their leading bytes, at splitters that are
-   sampled from the corpus.  Each bucket sorts its entries by several keys in
-   turn (the head, then all bytes of the entry's windows, then the document), a
-   later key only where the earlier ones are equal.  An entry that stands in an
-   earlier document is removed whole.  Equal heads have equal leading bytes and
-   never lie on both sides of a splitter.
-2. Where a head has several continuations, they may share some windows.  One
-   entry of each, from its first document, sends the bytes around its suffix;
-   the bucket compares them window by window.
-3. Verdicts go back to the documents, which cut out what is covered.
-
-Keys are digests of 64 bits (of heads 40, which only decide what is compared),
-taken of the exact bytes.  Before anything is shuffled, a task keeps of equal
-entries the first document's only: a passage in a third of all documents comes
-to its bucket once a task.
+Only suffixes at minimisers are sorted: in each window, the suffix whose
+``HEAD`` leading bytes have the least hash.  Equal windows have their minimiser
+at the same place, so no match is missed; consecutive windows mostly share one.
+An *entry* is a minimiser with the consecutive windows that have it.  Its *row*
+holds the bytes themselves: those of the suffix, then those in front of it from
+the nearest on, zero beyond the entry's windows.
+
+1. Rows are range-partitioned by all their bytes, at splitters sampled from the
+   corpus.  Before that, a task keeps of equal rows the first document's only.
+2. Each bucket sorts its rows by multikey quicksort, eight bytes a key, once by
+   the suffixes and once by the bytes in front, and takes the common prefixes
+   of neighbours.  Two rows share the window that starts ``j`` bytes in front of
+   the suffix if they lie in one run of suffixes with ``50 - j`` bytes in common
+   and in one run of fronts with ``j`` bytes in common.
+3. A run that has as many bytes in common with one of its bucket's splitters may
+   go on beyond it.  Its windows, once each with the least document that the
+   bucket has, are compared across boundaries in a second exchange, by window.
+   So even one suffix in a third of all documents is split over buckets.
+4. Verdicts go back to the documents as spans, which are cut out.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,18 +33,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import drop_folder, release, shared_folder, slices, string_of, written
+from weftgraph.llm.common import dropped_after, release, slices, string_of, written
 from weftgraph.llm.segments import column_bytes
 from weftgraph.llm.shingles import _VALUES, _powers, mixed
 
 LENGTH = 50
 HEAD = 16
 _SPAN = LENGTH - HEAD  # a window starts at most so far before its minimiser
-_CONTEXT = _SPAN + LENGTH
+#: A row is LENGTH bytes and six zeros, _SPAN bytes and six zeros: twelve keys of eight bytes.
+_FRONT, ROW = 56, 96
 _BLOCK_BITS = 21
 _MASK = np.uint64((1 << _BLOCK_BITS) - 1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
+#: Text bytes whose entries one bucket sorts; larger corpora take larger ones.
+BUCKET_BYTES = (4 << 20, 32 << 20)
+#: Rows that splitters are chosen from, at most (20 MB on the driver).  They only
+#: balance the buckets.
+SAMPLE = 200_000
+#: Entries that a task combines and sends at once.
+SENT = 400_000
+#: Documents in a row whose verdicts travel together: 2 ** 12.
+_GROUP_BITS = 12
+
 
 class Entries:
     """Entries of the texts of a slice, as arrays."""
@@ -58,13 +66,13 @@ class Entries:
             # An entry belongs to the block of its first window, whole: cut at
             # a block's edge, it would depend on where a text lies in a slice.
             block = self._block(data, offsets, max(at - 1, 0), min(at + step + _SPAN, windows))
-            own = (block[3] >= at) & (block[3] < at + step)
+            own = (block[2] >= at) & (block[2] < at + step)
             parts.append(tuple(c[own] for c in block))
-        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
-        #: Digests of head and windows, minimiser, first and last window start.
-        self.head, self.whole, self.place, self.first, self.last = cols
-        self.data = data
+        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, dtype=t) for t in (np.uint64, np.int64, np.int64, np.int64)]
+        #: Digest of the windows, minimiser, first and last window start.
+        self.whole, self.place, self.first, self.last = cols
         self.doc = np.searchsorted(offsets, self.first, side="right") - 1
+        self.data, self.offsets, self._around = data, offsets, None
 
     @staticmethod
     def _block(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
@@ -88,24 +96,36 @@ class Entries:
         start = np.flatnonzero(valid)
         place = (low[start] & _MASK).astype(np.int64)
         if not len(start):
-            return tuple(np.empty(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+            return tuple(np.empty(0, dtype=t) for t in (np.uint64, np.int64, np.int64, np.int64))
         new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)))
         first, last, place = start[new], start[np.append(new[1:], len(start)) - 1], place[new]
         whole = (sums[last + LENGTH] - sums[first]) * inverse[first] + (place - first).astype(np.uint64) * _A + (last - first).astype(np.uint64) * _B
-        return heads[place], mixed(whole), place + lo, first + lo, last + lo
-
-    def leading(self) -> np.ndarray:
-        """The first eight bytes of each suffix, as numbers in their order."""
-        return np.ascontiguousarray(self.data[self.place[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64)
-
-
-def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
-    """Order by several keys: a later one is sorted by only inside the runs in
-    which all earlier ones are equal."""
-    order = np.argsort(keys[0], kind="stable")
-    same = np.ones(max(len(order) - 1, 0), dtype=bool)
-    for prior, key in zip(keys[:-1], keys[1:], strict=True):
-        same &= prior[order][1:] == prior[order][:-1]
+        return mixed(whole), place + lo, first + lo, last + lo
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """The rows of some entries, (n, ROW) bytes."""
+        if self._around is None:
+            padded = np.concatenate([np.zeros(_SPAN, dtype=np.uint8), self.data, np.zeros(LENGTH, dtype=np.uint8)])
+            self._around = np.lib.stride_tricks.sliding_window_view(padded, _SPAN + LENGTH)
+        around = self._around[self.place[at]]
+        out = np.zeros((len(at), ROW), dtype=np.uint8)
+        behind, front = self.last[at] + LENGTH - self.place[at], self.place[at] - self.first[at]
+        out[:, :LENGTH] = around[:, _SPAN:] * (np.arange(LENGTH) < behind[:, None])
+        out[:, _FRONT : _FRONT + _SPAN] = around[:, _SPAN - 1 :: -1] * (np.arange(_SPAN) < front[:, None])
+        return out
+
+
+def suffix_order(rows: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Order of rows by their bytes from ``start`` to ``stop``.
+
+    Multikey quicksort with keys of eight bytes: all rows are sorted by the
+    first, and only inside runs of equal ones by the next.
+    """
+    keys = rows[:, start:stop].view(">u8")
+    first = keys[:, 0].astype(np.uint64)
+    order = np.argsort(first)
+    same = first[order][1:] == first[order][:-1]
+    for k in range(1, keys.shape[1]):
         inside = np.zeros(len(order), dtype=bool)
         inside[1:] |= same
         inside[:-1] |= same
@@ -113,324 +133,325 @@ def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
         if not len(at):
             break
         run = np.cumsum(~np.append(False, same))[at]
-        part = order[at]
-        order[at] = part[np.lexsort((key[part], run))]
+        own = keys[order[at], k].astype(np.uint64)
+        by = np.lexsort((own, run))
+        order[at] = order[at][by]
+        own, equal = own[by], np.zeros(len(order), dtype=bool)
+        equal[at[1:]] = own[1:] == own[:-1]
+        same &= equal[1:]
     return order
 
 
-def _packed(values: np.ndarray, width: int) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row of ``a`` has in common with ``b``'s."""
+    out = np.empty(len(a), dtype=np.int8)
+    for lo in range(0, len(a), 1 << 17):  # bounds the mask
+        differ = a[lo : lo + (1 << 17)] != (b if b.ndim == 1 else b[lo : lo + (1 << 17)])
+        out[lo : lo + (1 << 17)] = np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+    return out
+
+
+class SortedRows:
+    """Rows sorted by suffixes and by fronts, with neighbours' common prefixes."""
+
+    def __init__(self, rows: np.ndarray):
+        self.sides = []
+        for start, size, stop in ((0, LENGTH, _FRONT), (_FRONT, _SPAN, ROW)):
+            order = suffix_order(rows, start, stop)
+            own = np.ascontiguousarray(rows[order, start : start + size])
+            common = common_prefix(own[1:], own[:-1]) if len(own) else np.empty(0, dtype=np.int8)
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            edge = np.concatenate([[-1], common, [-1]]).astype(np.int8)
+            self.sides.append((rank, common, np.maximum(edge[1:], edge[:-1])[rank] if len(order) else common))
+
+    def shared(self, j: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of ``among`` that may share their window at distance ``j`` with
+        another, run of each): equal runs mean equal windows."""
+        (rank, common, best), (rank_f, common_f, best_f) = self.sides
+        pick = np.flatnonzero(among & (best >= LENGTH - j) & (best_f >= j))
+        if not len(pick):
+            return pick, pick
+        run = np.append(0, np.cumsum(common < LENGTH - j))[rank[pick]]
+        front = np.append(0, np.cumsum(common_f < j))[rank_f[pick]]
+        return pick, run * (len(rank) + 1) + front
+
+
+def later_ones(run: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which rows have a greater id than the least of their run."""
+    if not len(run):
+        return np.empty(0, dtype=bool)
+    order = np.argsort(run)
+    new = np.flatnonzero(np.append(True, run[order][1:] != run[order][:-1]))
+    least = np.repeat(np.minimum.reduceat(ids[order], new), np.diff(np.append(new, len(run))))
+    out = np.empty(len(run), dtype=bool)
+    out[order] = ids[order] > least
+    return out
+
+
+def _zipped(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
+def _unzipped(data: bytes, size: int, kind: str = "u1") -> np.ndarray:
+    if not size:
+        return np.empty(0, dtype=kind)
+    return np.frombuffer(pa.decompress(data, decompressed_size=size * np.dtype(kind).itemsize, codec="zstd", asbytes=True), dtype=kind)
 
 
-def _binary(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    """Rows of an int and binary columns."""
-    cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], type=pa.int64()), *(pa.array(c, type=pa.binary()) for c in cols[1:])], names)
+_PACKED = "at long, kind binary, n long, rows binary, spans binary, ids binary, uids binary, places binary, masks binary"
+_NAMES = [x.split()[0] for x in _PACKED.split(", ")]
 
 
-def _by_group(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows with equal first columns; they come sorted by it."""
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(_NAMES)
+    types = {"at": pa.int64(), "n": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(c, type=types.get(x, pa.binary())) for c, x in zip(cols, _NAMES, strict=True)], _NAMES)
+
+
+def _by_key(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows with one ``at``; they come sorted by it."""
     now, held = None, []
     for part in batches:
-        for key, *row in zip(*(part.column(i).to_pylist() for i in range(part.num_columns)), strict=True):
-            if key != now and held:
+        for row in part.to_pylist():
+            if row["at"] != now and held:
                 yield now, held
                 held = []
-            now = key
-            held.append(tuple(row))
+            now = row["at"]
+            held.append(row)
     if held:
         yield now, held
 
 
-def _replies(uid: np.ndarray, cols: list[np.ndarray], width: list[int]) -> Iterator[tuple]:
-    """Rows (group of documents, uids, …) for the way back."""
-    group = uid >> 33
-    order = np.argsort(group, kind="stable")
-    cuts = np.append(np.flatnonzero(np.append(True, np.diff(group[order]) != 0)), len(order)) if len(order) else [0]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        at = order[a:b]
-        yield (int(group[at[0]]), uid[at].tobytes(), *(_packed(c[at], w) for c, w in zip(cols, width, strict=True)))
+def _parted(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, places that have it) for each distinct key."""
+    if not len(key):
+        return
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    for a, b in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
+        yield int(key[order[a]]), order[a:b]
 
 
-class _Sorted:
-    """Step 1, and the tables that all steps share."""
+def _verdict_rows(kind: bytes, uid: np.ndarray, place: np.ndarray, mask: np.ndarray) -> list[tuple]:
+    """For the documents: kind ``m``, windows that go as bits by distance from
+    the suffix; kind ``a``, an entry that has the verdict of an equal one."""
+    return [(g, kind, len(at), None, None, None, _zipped(uid[at]), _zipped(place[at]), _zipped(mask[at])) for g, at in _parted(uid >> _GROUP_BITS)]
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, id_col: str, text_col: str):
-        self.spark, self.id_col, self.text_col = spark, id_col, text_col
-        self.uid = next(n for n in ("uid", "uid_", "uid__", "uid___") if n not in docs.columns)
-        self.name, self.folder = f"suffixes_{uuid.uuid4().hex}", shared_folder(spark, "texts")
-        self.parts = max(8, 3 * docs.rdd.getNumPartitions())
-        kept = docs.withColumn(self.uid, F.monotonically_increasing_id()).repartition(self.parts, self.uid)
-        kept.write.bucketBy(self.parts, self.uid).sortBy(id_col).option("compression", "zstd").option("path", self.folder).saveAsTable(self.name)
-        del kept
-        release(spark)
-        self.texts = spark.table(self.name)
-        self.slim = self.texts.select(F.col(self.uid).alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def splitters(self, buckets: int, rows: int) -> np.ndarray:
-        """Quantiles of leading bytes in about 400 documents (all kinds)."""
-        step = max(1, rows // 400)
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, "text"):
-                entries = Entries(*column_bytes(string_of(part, "text")))
-                lead = np.sort(entries.leading())
-                yield pa.RecordBatch.from_arrays([pa.array(lead[:: len(lead) // 500 + 1].view(np.int64))], ["lead"])
-
-        picked = self.slim.where(F.pmod(F.xxhash64("uid"), F.lit(step)) == 0).select("text")
-        found = np.sort(np.array([r[0] for r in picked.mapInArrow(run, "lead long").collect()], dtype=np.int64).view(np.uint64))
-        if not len(found):
-            return np.empty(0, dtype=np.uint64)
-        return np.unique(found[np.arange(1, buckets) * len(found) // buckets])
-
-    def entries(self, splitters: np.ndarray) -> DataFrame:
-        """One row a task and bucket; rows with a negative bucket are verdicts
-        that a task has found by itself."""
-        held = self.spark.sparkContext.broadcast(splitters)
-        names = ["bucket", "heads", "wholes", "docs", "table"]
+def _splitters(texts: DataFrame, buckets: int, rows: int, size: int) -> np.ndarray:
+    """Rows that cut a sample of the corpus' rows into equal parts."""
+    docs = min(1.0, max(400, 16 * buckets) / max(rows, 1))
+    stride = max(1, int(size * docs / 18 / SAMPLE) + 1)
 
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: list[tuple[np.ndarray, ...]] = []
-            uids, ids, base = [], [], 0
-            for part in slices(batches, "text", 4 << 20):
-                entries = Entries(*column_bytes(string_of(part, "text")))
-                bucket = np.searchsorted(held.value, entries.leading(), side="right").astype(np.int32)
-                found.append((entries.head, entries.whole, entries.doc + base, bucket))
-                uids.append(string_of(part, "uid").to_numpy())
-                ids.append(string_of(part, "id").to_numpy())
-                base += part.num_rows
-            if not found:
-                return
-            uid, id_ = np.concatenate(uids), np.concatenate(ids)
-            head, whole, doc, bucket = (np.concatenate(c) for c in zip(*found, strict=True))
-            found.clear()
-            order = multikey_order([mixed(head * _A ^ whole), whole, id_[doc], doc])
-            head, whole, doc, bucket = head[order], whole[order], doc[order], bucket[order]
-            new = np.append(True, (whole[1:] != whole[:-1]) | (head[1:] != head[:-1]))[: len(whole)]
-            least = id_[doc[new]][np.cumsum(new) - 1]
-            again = np.append(False, ~new[1:] & (doc[1:] == doc[:-1]))[: len(whole)]
-            later = (id_[doc] > least) & ~again
-            rows = [(-1 - g, b"", w, b"", u) for g, u, w in _replies(uid[doc[later]], [whole[later]], [8])]
-            keep = (id_[doc] == least) & ~again
-            head, whole, doc, bucket = head[keep], whole[keep], doc[keep], bucket[keep]
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(len(held.value) + 2))
-            for b in np.flatnonzero(np.diff(cuts)):
-                at = order[cuts[b] : cuts[b + 1]]
-                who, local = np.unique(doc[at], return_inverse=True)
-                rows.append((int(b), _packed(head[at] >> np.uint64(24), 5), whole[at].tobytes(), local.astype("<u4").tobytes(), np.stack([uid[who], id_[who]]).tobytes()))
-            yield _binary(rows, names)
-
-        known = self.slim.where("id is not null and text is not null")
-        return known.mapInArrow(run, "bucket long, heads binary, wholes binary, docs binary, table binary")
-
-    @staticmethod
-    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorts buckets.  Rows: a group of documents, then uids and entries that
-        are removed, then uids and entries whose bytes are asked for."""
-        names = ["group", "kind", "uids", "wholes"]
-        for bucket, held in _by_group(batches):
-            rows = []
-            if bucket < 0:
-                rows = [(-1 - bucket, b"r", table, whole) for _, whole, _, table in held]
-            else:
-                tables = [np.frombuffer(t, dtype=np.int64).reshape(2, -1) for *_, t in held]
-                base = np.cumsum([0, *(t.shape[1] for t in tables)])
-                uid, id_ = np.concatenate(tables, axis=1)
-                doc = np.concatenate([np.frombuffer(d, dtype="<u4").astype(np.int64) + b for (_, _, d, _), b in zip(held, base, strict=False)])
-                head = np.concatenate([_unpacked(h, 5) for h, *_ in held])
-                whole = np.concatenate([np.frombuffer(w, dtype=np.uint64) for _, w, _, _ in held])
-                held.clear()
-                order = multikey_order([head, whole, id_[doc]])
-                head, whole, doc = head[order], whole[order], doc[order]
-                new_head = np.append(True, head[1:] != head[:-1])
-                new = new_head | np.append(True, whole[1:] != whole[:-1])
-                least = id_[doc[new]]
-                mine = id_[doc] == least[np.cumsum(new) - 1]
-                # Heads with several continuations, not all first in one document.
-                group = np.cumsum(new_head) - 1
-                kinds = np.bincount(group[new])
-                starts = np.append(0, np.cumsum(kinds))[:-1]
-                asks = (kinds > 1) & (np.minimum.reduceat(least, starts) < np.maximum.reduceat(least, starts))
-                for kind, pick in ((b"r", ~mine), (b"a", mine & asks[group])):
-                    rows += [(g, kind, u, w) for g, u, w in _replies(uid[doc[pick]], [whole[pick]], [8])]
-            if rows:
-                yield _binary(rows, names)
-
-
-def _contexts(slim: DataFrame, asked: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """Bytes around the suffixes that step 1 asks for, by bucket."""
-    held = slim.sparkSession.sparkContext.broadcast(splitters)
-    names = ["bucket", "heads", "wholes", "context", "spans", "docs"]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            entries = Entries(*column_bytes(string_of(part, "text")))
+            own = entries.rows(np.arange(0, len(entries.place), max(stride, len(entries.place) * buckets // SAMPLE + 1)))
+            yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()])], ["rows"])
+
+    picked = texts.where(F.pmod(F.xxhash64("uid"), F.lit(1_000_000)) < F.lit(int(docs * 1_000_000))).select("text")
+    found = b"".join(r[0] for r in picked.mapInArrow(run, "rows binary").collect())
+    sample = np.sort(np.frombuffer(found, dtype=f"S{ROW}"))
+    return np.unique(sample[np.arange(1, buckets) * len(sample) // buckets]) if len(sample) else sample
+
+
+def _sent(texts: DataFrame, splitters: np.ndarray) -> DataFrame:
+    """Rows by bucket (kind ``s``), and verdicts that a task found by itself."""
+    held = texts.sparkSession.sparkContext.broadcast(splitters)
+
+    def send(entries: Entries, at: np.ndarray, uid: np.ndarray, id_: np.ndarray) -> list[tuple]:
+        doc, rows = entries.doc[at], entries.rows(at)
+        place = (entries.place[at] - entries.offsets[doc]).astype(np.uint32)
+        spans = np.column_stack([entries.place[at] - entries.last[at], entries.place[at] - entries.first[at]]).astype(np.uint8)
+        # Equal rows: digests find them, bytes decide.
+        order = np.lexsort((place, doc, id_[doc], entries.whole[at]))
+        digest = entries.whole[at][order]
+        alike = np.flatnonzero(digest[1:] == digest[:-1]) + 1
+        a, b = order[alike], order[alike - 1]
+        new = np.ones(len(order), dtype=bool)
+        new[alike] = (rows[a] != rows[b]).any(axis=1) | (spans[a] != spans[b]).any(axis=1)
+        run = np.cumsum(new) - 1
+        least = id_[doc[order[new]]][run]
+        mine = id_[doc[order]] == least
+        again = ~new & np.append(False, doc[order[1:]] == doc[order[:-1]])
+        lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))  # the document's first of them
+        out, later, twice, keep = [], order[~mine], order[mine & again], order[mine & ~again]
+        bits = (np.uint64(2) << spans[:, 1].astype(np.uint64)) - (np.uint64(1) << spans[:, 0].astype(np.uint64))
+        out += _verdict_rows(b"m", uid[doc[later]], place[later], bits[later])
+        out += _verdict_rows(b"a", uid[doc[twice]], place[twice], place[order[lead[mine & again]]].astype(np.uint64))
+        keep = keep[np.argsort(rows[keep, :8].view(">u8").ravel())]
+        bucket = np.searchsorted(held.value, rows[keep].view(f"S{ROW}").ravel(), side="right") if len(held.value) else np.zeros(len(keep), dtype=np.int64)
+        for b, k in _parted(bucket):
+            k = keep[k]
+            out.append((b, b"s", len(k), _zipped(rows[k]), _zipped(spans[k]), _zipped(id_[doc[k]]), _zipped(uid[doc[k]]), _zipped(place[k]), None))
+        return out
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text"):
             entries = Entries(*column_bytes(string_of(part, "text")))
             uid, id_ = string_of(part, "uid").to_numpy(), string_of(part, "id").to_numpy()
-            cuts = np.searchsorted(entries.doc, np.arange(part.num_rows + 1))
-            pick = np.zeros(len(entries.doc), dtype=bool)
-            for i, asks in enumerate(string_of(part, "asks").to_pylist()):
-                at = slice(cuts[i], cuts[i + 1])
-                pick[at] = np.isin(entries.whole[at], np.frombuffer(asks, dtype=np.uint64))
-            at = np.flatnonzero(pick)
-            if not len(at):
+            for lo in range(0, len(entries.place), SENT):
+                yield _packed(send(entries, np.arange(lo, min(lo + SENT, len(entries.place))), uid, id_))
+
+    return texts.where("id is not null and text is not null").select("uid", "id", "text").mapInArrow(run, _PACKED)
+
+
+def _judge(splitters: np.ndarray, parts: int):
+    """Sorts buckets.  Rows: verdicts, and open windows (kind ``o``) by window."""
+    power, _ = _powers(LENGTH)
+
+    def open_windows(rows: np.ndarray, ids: np.ndarray, uid: np.ndarray, place: np.ndarray, found: list[tuple[int, np.ndarray]]) -> list[tuple]:
+        out = []
+        for j, at in found:
+            window = np.concatenate([rows[at, _FRONT : _FRONT + j][:, ::-1], rows[at, : LENGTH - j]], axis=1)
+            key = (mixed((_VALUES[window] * power[:LENGTH]).sum(axis=1)) % np.uint64(parts)).astype(np.int64)
+            for k, own in _parted(key):
+                where = at[own]
+                out.append((k, b"o", len(own), _zipped(window[own]), _zipped(np.full(len(own), j, dtype=np.uint8)), _zipped(ids[where]), _zipped(uid[where]), _zipped(place[where]), None))
+        return out
+
+    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, held in _by_key(batches):
+            own = [r for r in held if r["kind"] == b"s"]
+            others = [tuple(r.values()) for r in held if r["kind"] != b"s"]
+            if others:
+                yield _packed(others)
+            held.clear()
+            if not own:
                 continue
-            # Equal entries of one document are sent once.
-            code = mixed(entries.whole[at] + entries.doc[at].astype(np.uint64) * _A)
-            at = at[np.unique(code, return_index=True)[1]]
-            place = entries.place[at]
-            around = place[:, None] + np.arange(-_SPAN, LENGTH)
-            inside = (around >= 0) & (around < len(entries.data))
-            context = np.where(inside, entries.data[np.clip(around, 0, len(entries.data) - 1)], 0).astype(np.uint8)
-            spans = np.column_stack([place - entries.last[at], place - entries.first[at]]).astype(np.uint8)
-            bucket = np.searchsorted(held.value, entries.leading()[at], side="right")
-            who = np.stack([uid[entries.doc[at]], id_[entries.doc[at]]], axis=1)
-            rows = []
-            for b in np.unique(bucket):
-                k = np.flatnonzero(bucket == b)
-                rows.append((int(b), entries.head[at[k]].tobytes(), entries.whole[at[k]].tobytes(), context[k].tobytes(), spans[k].tobytes(), who[k].tobytes()))
-            yield _binary(rows, names)
-
-    joined = slim.join(asked, "uid").select("uid", "id", "text", "asks")
-    return joined.mapInArrow(run, "bucket long, heads binary, wholes binary, context binary, spans binary, docs binary")
-
-
-def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of contexts with one head: which stand in an earlier document.
-
-    Rows: group of documents, uids, entries, and masks by the window's distance
-    from the suffix."""
-    power, inverse = _powers(_CONTEXT + 1)
-    names = ["group", "kind", "uids", "wholes", "masks"]
-    for _, held in _by_group(batches):
-        head, whole = (np.concatenate([np.frombuffer(r[k], dtype=np.uint64) for r in held]) for k in (0, 1))
-        context = np.concatenate([np.frombuffer(r[2], dtype=np.uint8).reshape(-1, _CONTEXT) for r in held])
-        spans = np.concatenate([np.frombuffer(r[3], dtype=np.uint8).reshape(-1, 2) for r in held]).astype(np.int64)
-        who = np.concatenate([np.frombuffer(r[4], dtype=np.int64).reshape(-1, 2) for r in held])
-        held.clear()
-        masks = np.zeros(len(head), dtype=np.uint64)
-        order = np.argsort(head, kind="stable")
-        for lo in _group_cuts(head[order], 50_000):
-            at = order[lo[0] : lo[1]]
-            sums = np.zeros((len(at), _CONTEXT + 1), dtype=np.uint64)
-            np.cumsum(_VALUES[context[at]] * power[:_CONTEXT], axis=1, out=sums[:, 1:])
-            rows, codes, far = [], [], []
+            rows = np.concatenate([_unzipped(r["rows"], r["n"] * ROW) for r in own]).reshape(-1, ROW)
+            spans = np.concatenate([_unzipped(r["spans"], r["n"] * 2) for r in own]).reshape(-1, 2).astype(np.int8)
+            ids, uid, place = (np.concatenate([_unzipped(r[c], r["n"], t) for r in own]) for c, t in (("ids", "<i8"), ("uids", "<i8"), ("places", "<u4")))
+            own.clear()
+            beyond = np.full(len(rows), -1, dtype=np.int8)
+            for k in (bucket - 1, bucket):
+                if 0 <= k < len(splitters):
+                    edge = np.frombuffer(splitters[k].ljust(ROW, b"\0"), dtype=np.uint8)[:LENGTH]
+                    beyond = np.maximum(beyond, common_prefix(rows[:, :LENGTH], edge))
+            ordered, masks, found = SortedRows(rows), np.zeros(len(rows), dtype=np.uint64), []
             for j in range(_SPAN + 1):
-                has = np.flatnonzero((spans[at, 0] <= j) & (j <= spans[at, 1]))
-                value = (sums[has, _SPAN - j + LENGTH] - sums[has, _SPAN - j]) * inverse[_SPAN - j]
-                codes.append(mixed(mixed(value + np.array([j], dtype=np.uint64) * _B) ^ head[at[has]]))
-                rows.append(has)
-                far.append(np.full(len(has), j, dtype=np.uint64))
-            row, code, j = np.concatenate(rows), np.concatenate(codes), np.concatenate(far)
-            id_ = who[at, 1][row]
-            sort = multikey_order([code, id_])
-            new = np.flatnonzero(np.append(True, np.diff(code[sort].view(np.int64)) != 0))[: len(sort)]
-            least = np.repeat(id_[sort][new], np.diff(np.append(new, len(sort))))
-            hit = sort[id_[sort] > least]
-            np.bitwise_or.at(masks, at[row[hit]], np.uint64(1) << j[hit])
-        some = masks > 0
-        rows = [(g, b"m", u, w, m) for g, u, w, m in _replies(who[some, 0], [whole[some], masks[some]], [8, 8])]
-        if rows:
-            yield _binary(rows, names)
-
-
-def _group_cuts(keys: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of about ``most`` rows that don't cut a run of equal keys."""
-    starts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)], len(keys))
-    at = 0
-    while at < len(keys):
-        to = int(starts[np.searchsorted(starts, min(at + most, len(keys)))])
-        yield at, to
-        at = to
-
-
-def _home(replies: DataFrame, parts: int) -> DataFrame:
-    """One row a document: (uid, removed, asks, masks) as binary."""
-    cols = replies.columns
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in _by_group(batches):
-            out: dict[int, list[bytes]] = {}
-            for slot, kind in enumerate((b"r", b"a", b"m")):
-                own = [r for r in held if r[0] == kind]
-                if not own:
-                    continue
-                uid = np.concatenate([np.frombuffer(r[1], dtype=np.int64) for r in own])
-                whole = np.concatenate([np.frombuffer(r[2], dtype=np.uint64) for r in own])
-                values = np.column_stack([whole, np.concatenate([np.frombuffer(r[3], dtype=np.uint64) for r in own])]) if kind == b"m" else whole
-                order = np.argsort(uid, kind="stable")
-                uid, values = uid[order], values[order]
-                cuts = np.append(np.flatnonzero(np.append(True, np.diff(uid) != 0)), len(uid))
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    out.setdefault(int(uid[a]), [b"", b"", b""])[slot] = values[a:b].tobytes()
-            cells = list(zip(*out.values(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), type=pa.int64()), *(pa.array(c, type=pa.binary()) for c in cells)], ["uid", "removed", "asks", "masks"])
-
-    return replies.select(cols).repartition(parts, "group").sortWithinPartitions("group").mapInArrow(run, "uid long, removed binary, asks binary, masks binary")
-
-
-def covered(entries: Entries, offsets: np.ndarray, removed: list[bytes | None], masks: list[bytes | None]) -> np.ndarray:
-    """Which bytes of a slice lie in a removed window."""
-    n = len(entries.data)
-    open_ = np.zeros(n + 1, dtype=np.int32)
-    cuts = np.searchsorted(entries.doc, np.arange(len(offsets)))
-    for i in range(len(offsets) - 1):
-        if not removed[i] and not masks[i]:
+                has = (spans[:, 0] <= j) & (j <= spans[:, 1])
+                pick, run = ordered.shared(j, has)
+                later = pick[later_ones(run, ids[pick])]
+                masks[later] |= np.uint64(1) << np.uint64(j)
+                left = has & (beyond >= LENGTH - j)
+                left[later] = False
+                if left.any():
+                    found.append((j, np.flatnonzero(left)))
+            some = masks > 0
+            yield _packed(_verdict_rows(b"m", uid[some], place[some], masks[some]))
+            yield _packed(open_windows(rows, ids, uid, place, found))
+
+    return judge
+
+
+def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares open windows of several buckets; rows are verdicts."""
+    for _, held in _by_key(batches):
+        windows = np.zeros((sum(r["n"] for r in held), _FRONT), dtype=np.uint8)
+        windows[:, :LENGTH] = np.concatenate([_unzipped(r["rows"], r["n"] * LENGTH) for r in held]).reshape(-1, LENGTH)
+        j, ids, uid, place = (np.concatenate([_unzipped(r[c], r["n"], t) for r in held]) for c, t in (("spans", "u1"), ("ids", "<i8"), ("uids", "<i8"), ("places", "<u4")))
+        held.clear()
+        order = suffix_order(windows, 0, _FRONT)
+        run = np.empty(len(order), dtype=np.int64)
+        run[order] = np.cumsum(np.append(False, (windows[order[1:]] != windows[order[:-1]]).any(axis=1)))
+        later = later_ones(run, ids)
+        yield _packed(_verdict_rows(b"m", uid[later], place[later], np.uint64(1) << j[later].astype(np.uint64)))
+
+
+def _intervals(place: np.ndarray, mask: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, start, stop) of the bytes that windows cover: one row a run of bits."""
+    out = []
+    while len(mask):
+        low = mask & (~mask + np.uint64(1))
+        first = np.log2(low.astype(np.float64)).astype(np.int64)  # exact: a power of two
+        rest = ~(mask >> first.astype(np.uint64))
+        many = np.log2((rest & (~rest + np.uint64(1))).astype(np.float64)).astype(np.int64)
+        out.append((owner, place - (first + many - 1), place - first + LENGTH))
+        mask = mask & ~(((np.uint64(1) << many.astype(np.uint64)) - np.uint64(1)) << first.astype(np.uint64))
+        more = mask > 0
+        place, mask, owner = place[more], mask[more], owner[more]
+    if not out:
+        return (np.empty(0, dtype=np.int64),) * 3
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, spans): maximal runs of removed bytes of each document."""
+    for _, held in _by_key(batches):
+        tables = {}
+        for kind in (b"m", b"a"):
+            own = [r for r in held if r["kind"] == kind]
+            tables[kind] = [np.concatenate([_unzipped(r[c], r["n"], t) for r in own] or [np.empty(0, dtype=t)]) for c, t in (("uids", "<i8"), ("places", "<u4"), ("masks", "<u8"))]
+        held.clear()
+        uid, place, mask = tables[b"m"]
+        if not len(uid):
             continue
-        at = slice(cuts[i], cuts[i + 1])
-        whole, first, last, place = entries.whole[at], entries.first[at], entries.last[at], entries.place[at]
-        if removed[i]:
-            gone = np.isin(whole, np.frombuffer(removed[i], dtype=np.uint64))
-            np.add.at(open_, first[gone], 1)
-            np.add.at(open_, last[gone] + LENGTH, -1)
-        if masks[i]:
-            table = np.frombuffer(masks[i], dtype=np.uint64).reshape(-1, 2)
-            table = table[np.argsort(table[:, 0])]
-            pos = np.minimum(np.searchsorted(table[:, 0], whole), len(table) - 1)
-            for e in np.flatnonzero(table[pos, 0] == whole).tolist():
-                mask = int(table[pos[e], 1])
-                for j in range(int(place[e] - last[e]), int(place[e] - first[e]) + 1):
-                    if mask >> j & 1:
-                        open_[place[e] - j] += 1
-                        open_[place[e] - j + LENGTH] -= 1
-    return np.cumsum(open_[:n]) > 0
-
-
-def _verdicts(docs: DataFrame, id_col: str, text_col: str) -> tuple[_Sorted, DataFrame, list[str]]:
-    """The written texts, the verdicts by uid, and folders to drop at the end."""
-    spark = docs.sparkSession
-    base = _Sorted(spark, docs, id_col, text_col)
-    rows = base.slim.select("uid").count()
-    buckets = base.parts
-    splitters = base.splitters(buckets, rows)
-    judged = base.entries(splitters).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_Sorted.judge, "group long, kind binary, uids binary, wholes binary")
-    first = written(_home(judged, buckets), "verdicts")
-    del judged
-    release(spark)
-    asked = first.where("length(asks) > 0").select("uid", "asks")
-    compared = _contexts(base.slim, asked, splitters).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare, "group long, kind binary, uids binary, wholes binary, masks binary")
-    second = written(_home(compared, buckets).select("uid", "masks"), "windows")
-    del compared
-    release(spark)
-    both = first.select("uid", "removed").join(second, "uid", "full_outer")
-    return base, both, [f for t in (first, second) for f in {p.rsplit("/", 1)[0] for p in t.inputFiles()}]
-
-
-def _finished(base: _Sorted, out: DataFrame, folders: list[str]) -> DataFrame:
-    """The result as a table of its own; what it was made from is removed."""
-    result = written(out, "kept", compression="zstd")
-    spark = base.spark
-    spark.sql(f"drop table {base.name}")
-    for folder in [base.folder, *folders]:
-        drop_folder(spark, folder)
-    release(spark)
-    return result
+        who, owner = np.unique(uid, return_inverse=True)
+        key = owner.astype(np.int64) << 32 | place
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        key, mask = key[order][new], np.bitwise_or.reduceat(mask[order], new)
+        uid, place, lead = tables[b"a"]
+        known = np.minimum(np.searchsorted(who, uid), len(who) - 1)
+        wanted = known << 32 | lead.astype(np.int64)
+        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        hit = (who[known] == uid) & (key[at] == wanted)
+        key, mask = np.concatenate([key, known[hit] << 32 | place[hit]]), np.concatenate([mask, mask[at[hit]]])
+        owner, start, stop = _intervals(key & 0xFFFFFFFF, mask, key >> 32)
+        order = np.lexsort((start, owner))
+        owner, start, stop = owner[order], start[order], stop[order]
+        reach = np.maximum.accumulate((owner << 33) + stop)  # of earlier owners it is less
+        new = np.append(True, (owner << 33)[1:] + start[1:] > reach[:-1])
+        at = np.flatnonzero(new)
+        pairs = np.column_stack([start[at], (reach - (owner << 33))[np.append(at[1:], len(owner)) - 1]])
+        cuts = np.searchsorted(owner[at], np.arange(len(who) + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array([pairs[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], type=pa.binary())], ["uid", "spans"])
+
+
+class _Verdicts:
+    """The written texts, and the spans of each that go."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        kind = docs.schema[id_col].dataType
+        if not isinstance(kind, T.IntegralType):
+            raise TypeError(f"{id_col} is {kind.simpleString()}; ids must be whole numbers")
+        spark = docs.sparkSession
+        self.uid = next(n for n in ("uid", "uid_", "uid__", "uid___") if n not in docs.columns)
+        self.texts = written(docs.withColumn(self.uid, F.monotonically_increasing_id()), "texts", compression="zstd")
+        slim = self.texts.select(F.col(self.uid).alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        rows, size = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        buckets = size // int(np.clip(size // 20_000, *BUCKET_BYTES)) + 1
+        splitters = _splitters(slim, buckets, rows, size)
+        dealt = lambda df, n: df.repartition(n, "at").sortWithinPartitions("at")
+        sent = dealt(_sent(slim, splitters), buckets)
+        judged = written(sent.mapInArrow(_judge(splitters, buckets), _PACKED), "judged")
+        del sent
+        release(spark)
+        crossed = dealt(judged.where(F.col("kind") == F.lit(b"o")), buckets).mapInArrow(_across, _PACKED)
+        verdicts = judged.where(F.col("kind") != F.lit(b"o")).union(crossed)
+        self.spans = written(dealt(verdicts, buckets).mapInArrow(_spans, "uid long, spans binary"), "spans")
+        del crossed, verdicts
+        release(spark)
+
+    def joined(self, spans: str) -> DataFrame:
+        return self.texts.join(self.spans.select(F.col("uid").alias(self.uid), F.col("spans").alias(spans)), self.uid, "left")
+
+
+def _spans_of(spans: list[bytes | None], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, stop) of all spans of a slice, as places in it."""
+    size = np.array([len(s or b"") // 16 for s in spans], dtype=np.int64)
+    pairs = np.frombuffer(b"".join(s or b"" for s in spans), dtype=np.int64).reshape(-1, 2)
+    owner = np.repeat(np.arange(len(spans)), size)
+    return owner, pairs[:, 0] + offsets[owner], pairs[:, 1] + offsets[owner]
+
+
+def _gone(start: np.ndarray, stop: np.ndarray, size: int) -> np.ndarray:
+    edges = np.zeros(size + 1, dtype=np.int8)
+    np.add.at(edges, start, 1)
+    np.add.at(edges, stop, -1)
+    return np.cumsum(edges[:size], dtype=np.int8) > 0
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -440,29 +461,28 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document with a smaller id.  Strings are judged on the input, and matches
     don't cross documents.  Null texts are empty; texts of fewer than 50 bytes
     keep all; rows of one id don't remove each other's bytes; a row with a null
-    id neither loses bytes nor takes any.  An empty table gives no rows.
+    id neither loses bytes nor takes any.  An empty table gives no rows.  Ids
+    must be of an integral type: others raise a TypeError before any work.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    base, verdicts, folders = _verdicts(docs.select(id_col, text_col), id_col, text_col)
+    with dropped_after(docs.sparkSession):
+        verdicts = _Verdicts(docs.select(id_col, text_col), id_col, text_col)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
-            data, offsets = column_bytes(string_of(part, "text"))
-            gone = covered(Entries(data, offsets), offsets, string_of(part, "removed").to_pylist(), string_of(part, "masks").to_pylist())
-            total = np.concatenate([[0], np.cumsum(gone)])
-            begins = gone & ~np.append(False, gone[:-1])[: len(gone)]
-            begins[offsets[:-1][np.diff(offsets) > 0]] = gone[offsets[:-1][np.diff(offsets) > 0]]
-            spans = np.concatenate([[0], np.cumsum(begins)])
-            sha = []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                own = data[a:b] if total[a] == total[b] else data[a:b][~gone[a:b]]
-                sha.append(hashlib.sha256(np.ascontiguousarray(own)).hexdigest())
-            cols = [pa.array(np.diff(offsets).astype(np.int64)), pa.array(np.diff(total[offsets]).astype(np.int64)), pa.array(np.diff(spans[offsets]).astype(np.int64)), pa.array(sha)]
-            yield pa.RecordBatch.from_arrays([string_of(part, "id"), *cols], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    joined = base.slim.join(verdicts, "uid", "left").select("id", "text", "removed", "masks")
-    out = joined.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return _finished(base, out.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256"), folders)
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, "text"):
+                data, offsets = column_bytes(string_of(part, "text"))
+                owner, start, stop = _spans_of(string_of(part, "spans").to_pylist(), offsets)
+                n = len(offsets) - 1
+                removed = np.bincount(owner, stop - start, minlength=n).astype(np.int64)
+                gone, sha = _gone(start, stop, len(data)), []
+                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    sha.append(hashlib.sha256(np.ascontiguousarray(data[a:b][~gone[a:b]] if removed[i] else data[a:b])).hexdigest())
+                cols = [pa.array(np.diff(offsets).astype(np.int64)), pa.array(removed), pa.array(np.bincount(owner, minlength=n).astype(np.int64)), pa.array(sha)]
+                yield pa.RecordBatch.from_arrays([string_of(part, "id"), *cols], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+        picked = verdicts.joined("spans").select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), "spans")
+        out = picked.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return written(out.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256"), "kept", keep=True, compression="zstd")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
@@ -470,32 +490,32 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A character goes if all its bytes are removed, so texts stay valid.  The
     other columns are kept (``size_col`` is counted anew if it is there); no row
-    is dropped, and a text that nothing is left of is empty.
+    is dropped, and a text that nothing is left of is empty.  Ids must be of an
+    integral type; rows with a null id stay as they are.
     """
-    base, verdicts, folders = _verdicts(docs, id_col, text_col)
     columns = docs.columns
-    removed, masks = (next(n for n in (k, k + "_", k + "__") if n not in columns) for k in ("removed", "masks"))
+    spans = next(n for n in ("spans", "spans_", "spans__") if n not in columns)
+    with dropped_after(docs.sparkSession):
+        verdicts = _Verdicts(docs, id_col, text_col)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col, 4 << 20):
-            column = string_of(part, text_col)
-            data, offsets = column_bytes(column)
-            gone = covered(Entries(data, offsets), offsets, string_of(part, removed).to_pylist(), string_of(part, masks).to_pylist())
-            # A character that isn't wholly removed stays whole.
-            lead = np.flatnonzero((data & 0xC0) != 0x80)
-            if len(lead):
-                all_gone = np.minimum.reduceat(gone, lead)
-                gone = np.repeat(all_gone, np.diff(np.append(lead, len(data))))
-            texts = column.to_pylist()
-            sizes = string_of(part, size_col).to_pylist() if size_col in columns else None
-            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                if gone[a:b].any():
-                    texts[i] = data[a:b][~gone[a:b]].tobytes().decode("utf-8")
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, text_col):
+                column = string_of(part, text_col)
+                data, offsets = column_bytes(column)
+                owner, start, stop = _spans_of(string_of(part, spans).to_pylist(), offsets)
+                gone = _gone(start, stop, len(data))
+                # A character that isn't wholly removed stays whole.
+                lead = np.flatnonzero((data & 0xC0) != 0x80)
+                if len(lead) and len(owner):
+                    gone = np.repeat(np.minimum.reduceat(gone, lead), np.diff(np.append(lead, len(data))))
+                texts = column.to_pylist()
+                sizes = string_of(part, size_col).to_pylist() if size_col in columns else None
+                for i in np.unique(owner).tolist():
+                    own = slice(offsets[i], offsets[i + 1])
+                    texts[i] = data[own][~gone[own]].tobytes().decode("utf-8")
                     if sizes is not None:
                         sizes[i] = len(texts[i])
-            out = [pa.array(texts, type=column.type) if c == text_col else pa.array(sizes, type=string_of(part, c).type) if c == size_col else string_of(part, c) for c in columns]
-            yield pa.RecordBatch.from_arrays(out, columns)
+                out = [pa.array(texts, type=column.type) if c == text_col else pa.array(sizes, type=string_of(part, c).type) if c == size_col else string_of(part, c) for c in columns]
+                yield pa.RecordBatch.from_arrays(out, columns)
 
-    verdicts = verdicts.select(F.col("uid").alias(base.uid), F.col("removed").alias(removed), F.col("masks").alias(masks))
-    joined = base.texts.join(verdicts, base.uid, "left").select(*columns, removed, masks)
-    return _finished(base, joined.mapInArrow(run, T.StructType([docs.schema[c] for c in columns])), folders)
+        return written(verdicts.joined(spans).select(*columns, spans).mapInArrow(run, T.StructType([docs.schema[c] for c in columns])), "kept", keep=True, compression="zstd")
