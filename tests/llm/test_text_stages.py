@@ -178,7 +178,7 @@ def test_suffix_order():
 
 def test_runs_over_many_buckets(spark, monkeypatch):
     """One passage in all documents, with other bytes around, and few bytes a bucket."""
-    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", (700, 700))
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", (20, 20))
     rng = np.random.default_rng(12)
     letters = lambda n: "".join(map(chr, rng.integers(97, 100, n)))
     passage = letters(61)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -32,8 +32,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Folders that the operators under way have written, by nesting.
-_OPEN: list[list[str]] = []
+#: What the operators under way will remove at their end, by nesting.
+_OPEN: list[list[Callable[[], None]]] = []
 
 
 @contextmanager
@@ -44,8 +44,9 @@ def dropped_after(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        for path in _OPEN.pop():
-            drop_folder(spark, path)
+        for remove in _OPEN.pop():
+            remove()
+        release(spark)
 
 
 def written(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
@@ -55,11 +56,22 @@ def written(df: DataFrame, name: str, keep: bool = False, **options: str) -> Dat
     spark = df.sparkSession
     path = shared_folder(spark, name)
     if _OPEN and not keep:
-        _OPEN[-1].append(path)
+        _OPEN[-1].append(lambda: drop_folder(spark, path))
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, parts: int, column: str, **options: str) -> DataFrame:
+    """As ``written``, as a table of ``parts`` buckets by hash of ``column``:
+    joins on it don't move its rows.  ``dropped_after`` drops the table too."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    table = f"{name}_{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1] += [lambda: spark.sql(f"drop table if exists {table}"), lambda: drop_folder(spark, path)]
+    df.repartition(parts, column).write.bucketBy(parts, column).options(path=path, **options).saveAsTable(table)
+    return spark.table(table)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Removes an intermediate table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,9 +8,12 @@ An *entry* is a minimiser with the consecutive windows that have it.  Its *row*
 holds the bytes themselves: those of the suffix, then those in front of it from
 the nearest on, zero beyond the entry's windows.
 
-1. Rows are range-partitioned by all their bytes, at splitters sampled from the
-   corpus.  Before that, a task keeps of equal rows the first document's only.
-2. Each bucket sorts its rows by multikey quicksort, eight bytes a key, once by
+1. A suffix whose head stands in one document only matches nothing and needs no
+   sorting.  Tasks exchange digests of heads (a head that a task has seen in two
+   documents only once), so equal heads always meet; digests decide nothing else.
+2. Rows of the others are range-partitioned by all their bytes, at splitters
+   sampled from them.  Of equal rows a task sends the first document's only.
+   Each bucket sorts its rows by multikey quicksort, eight bytes a key, once by
    the suffixes and once by the bytes in front, and takes the common prefixes
    of neighbours.  Two rows share the window that starts ``j`` bytes in front of
    the suffix if they lie in one run of suffixes with ``50 - j`` bytes in common
@@ -29,11 +32,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import dropped_after, release, slices, string_of, written
+from weftgraph.llm.common import bucketed, dropped_after, release, slices, string_of, written
 from weftgraph.llm.segments import column_bytes
 from weftgraph.llm.shingles import _VALUES, _powers, mixed
 
@@ -46,8 +49,8 @@ _BLOCK_BITS = 21
 _MASK = np.uint64((1 << _BLOCK_BITS) - 1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
-#: Text bytes whose entries one bucket sorts; larger corpora take larger ones.
-BUCKET_BYTES = (4 << 20, 32 << 20)
+#: Rows that one bucket sorts; larger corpora take larger buckets.
+BUCKET_ROWS = (1 << 18, 1 << 21)
 #: Rows that splitters are chosen from, at most (20 MB on the driver).  They only
 #: balance the buckets.
 SAMPLE = 200_000
@@ -66,11 +69,11 @@ class Entries:
             # An entry belongs to the block of its first window, whole: cut at
             # a block's edge, it would depend on where a text lies in a slice.
             block = self._block(data, offsets, max(at - 1, 0), min(at + step + _SPAN, windows))
-            own = (block[2] >= at) & (block[2] < at + step)
+            own = (block[3] >= at) & (block[3] < at + step)
             parts.append(tuple(c[own] for c in block))
-        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, dtype=t) for t in (np.uint64, np.int64, np.int64, np.int64)]
-        #: Digest of the windows, minimiser, first and last window start.
-        self.whole, self.place, self.first, self.last = cols
+        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
+        #: Digests of head and windows, minimiser, first and last window start.
+        self.head, self.whole, self.place, self.first, self.last = cols
         self.doc = np.searchsorted(offsets, self.first, side="right") - 1
         self.data, self.offsets, self._around = data, offsets, None
 
@@ -96,11 +99,15 @@ class Entries:
         start = np.flatnonzero(valid)
         place = (low[start] & _MASK).astype(np.int64)
         if not len(start):
-            return tuple(np.empty(0, dtype=t) for t in (np.uint64, np.int64, np.int64, np.int64))
+            return tuple(np.empty(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
         new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)))
         first, last, place = start[new], start[np.append(new[1:], len(start)) - 1], place[new]
         whole = (sums[last + LENGTH] - sums[first]) * inverse[first] + (place - first).astype(np.uint64) * _A + (last - first).astype(np.uint64) * _B
-        return mixed(whole), place + lo, first + lo, last + lo
+        return heads[place], mixed(whole), place + lo, first + lo, last + lo
+
+    def own_place(self) -> np.ndarray:
+        """Places counted from the start of each text."""
+        return (self.place - self.offsets[self.doc]).astype(np.uint32)
 
     def rows(self, at: np.ndarray) -> np.ndarray:
         """The rows of some entries, (n, ROW) bytes."""
@@ -239,30 +246,110 @@ def _verdict_rows(kind: bytes, uid: np.ndarray, place: np.ndarray, mask: np.ndar
     return [(g, kind, len(at), None, None, None, _zipped(uid[at]), _zipped(place[at]), _zipped(mask[at])) for g, at in _parted(uid >> _GROUP_BITS)]
 
 
-def _splitters(texts: DataFrame, buckets: int, rows: int, size: int) -> np.ndarray:
-    """Rows that cut a sample of the corpus' rows into equal parts."""
-    docs = min(1.0, max(400, 16 * buckets) / max(rows, 1))
-    stride = max(1, int(size * docs / 18 / SAMPLE) + 1)
+def _heads(texts: DataFrame, parts: int) -> DataFrame:
+    """Digests of heads by bucket (kind ``h``), and entries that are asked for
+    since the task has their head in several documents (kind ``k``)."""
+
+    def send(entries: Entries, at: np.ndarray, uid: np.ndarray) -> list[tuple]:
+        order = at[np.lexsort((entries.doc[at], entries.head[at] >> np.uint64(24)))]
+        head, doc, place = entries.head[order] >> np.uint64(24), entries.doc[order], entries.own_place()[order]
+        new = np.append(True, head[1:] != head[:-1])
+        start = np.flatnonzero(new)
+        many = doc[np.append(start[1:], len(head)) - 1] != doc[start]
+        single = ~many[np.cumsum(new) - 1]
+        out = _asked_rows(uid[doc[~single]], place[~single])
+        # Of the others, a document's first entry and the rest of them; of these, one without a document.
+        for flag, pick in ((b"1", np.flatnonzero(single)), (b"2", start[many])):
+            for b, k in _parted((head[pick] >> np.uint64(20)).astype(np.int64) * parts >> 20):
+                k = pick[k]
+                digest = head[k].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                out.append((b, b"h", len(k), _zipped(digest), flag, None, None if flag == b"2" else _zipped(uid[doc[k]]), None if flag == b"2" else _zipped(place[k]), None))
+        return out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            entries, uid = Entries(*column_bytes(string_of(part, "text"))), string_of(part, "uid").to_numpy()
+            for lo in range(0, len(entries.place), SENT):
+                yield _packed(send(entries, np.arange(lo, min(lo + SENT, len(entries.place))), uid))
+
+    return texts.where("id is not null and text is not null").select("uid", "text").mapInArrow(run, _PACKED)
+
+
+def _asked_rows(uid: np.ndarray, place: np.ndarray) -> list[tuple]:
+    return [(g, b"k", len(at), None, None, None, _zipped(uid[at]), _zipped(place[at]), None) for g, at in _parted(uid >> _GROUP_BITS)]
+
+
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries whose head has come from several tasks or documents."""
+    for _, held in _by_key(batches):
+        others = [tuple(r.values()) for r in held if r["kind"] != b"h"]
+        if others:
+            yield _packed(others)
+        own = sorted((r for r in held if r["kind"] == b"h"), key=lambda r: r["spans"])
+        held.clear()
+        single = [r for r in own if r["spans"] == b"1"]
+        if not single:
+            continue
+        head = np.zeros((sum(r["n"] for r in own), 8), dtype=np.uint8)
+        head[:, :5] = np.concatenate([_unzipped(r["rows"], r["n"] * 5) for r in own]).reshape(-1, 5)
+        head = head.view("<u8").ravel()
+        uid, place = (np.concatenate([_unzipped(r[c], r["n"], t) for r in single]) for c, t in (("uids", "<i8"), ("places", "<u4")))
+        own.clear()
+        order = np.argsort(head)
+        new = np.flatnonzero(np.append(True, head[order][1:] != head[order][:-1]))
+        # Rows without a document have a number of their own, less than any.
+        who = np.concatenate([uid, -1 - np.arange(len(head) - len(uid))])[order]
+        several = np.maximum.reduceat(who, new) != np.minimum.reduceat(who, new)
+        pick = np.zeros(len(head), dtype=bool)
+        pick[order] = np.repeat(several, np.diff(np.append(new, len(head))))
+        pick = pick[: len(uid)]
+        yield _packed(_asked_rows(uid[pick], place[pick]))
+
+
+def _asks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, asks): places of the entries that are asked for, in order."""
+    for _, held in _by_key(batches):
+        uid, place = (np.concatenate([_unzipped(r[c], r["n"], t) for r in held]) for c, t in (("uids", "<i8"), ("places", "<u4")))
+        held.clear()
+        order = np.lexsort((place, uid))
+        uid, place = uid[order], place[order]
+        cuts = np.append(np.flatnonzero(np.append(True, uid[1:] != uid[:-1])), len(uid))
+        yield pa.RecordBatch.from_arrays([pa.array(uid[cuts[:-1]]), pa.array([place[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], type=pa.binary())], ["uid", "asks"])
+
+
+def _asked(entries: Entries, asks: list[bytes]) -> np.ndarray:
+    """The entries of a slice that are asked for."""
+    place = np.frombuffer(b"".join(asks), dtype=np.uint32)
+    wanted = np.repeat(np.arange(len(asks), dtype=np.int64), [len(a) // 4 for a in asks]) << 32 | place
+    own = entries.doc.astype(np.int64) << 32 | entries.own_place()
+    at = np.minimum(np.searchsorted(wanted, own), max(len(wanted) - 1, 0))
+    return np.flatnonzero(wanted[at] == own) if len(wanted) else np.empty(0, dtype=np.int64)
+
+
+def _splitters(asked: DataFrame, buckets: int, docs: int, rows: int) -> np.ndarray:
+    """Rows that cut a sample of the rows that are asked for into equal parts."""
+    share = min(1.0, max(1000, 32 * buckets) / max(docs, 1))
+    stride = int(rows * share / SAMPLE) + 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             entries = Entries(*column_bytes(string_of(part, "text")))
-            own = entries.rows(np.arange(0, len(entries.place), max(stride, len(entries.place) * buckets // SAMPLE + 1)))
+            own = entries.rows(_asked(entries, string_of(part, "asks").to_pylist())[::stride])
             yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()])], ["rows"])
 
-    picked = texts.where(F.pmod(F.xxhash64("uid"), F.lit(1_000_000)) < F.lit(int(docs * 1_000_000))).select("text")
-    found = b"".join(r[0] for r in picked.mapInArrow(run, "rows binary").collect())
+    picked = asked.where(F.pmod(F.xxhash64("uid"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    found = b"".join(r[0] for r in picked.select("text", "asks").mapInArrow(run, "rows binary").collect())
     sample = np.sort(np.frombuffer(found, dtype=f"S{ROW}"))
     return np.unique(sample[np.arange(1, buckets) * len(sample) // buckets]) if len(sample) else sample
 
 
-def _sent(texts: DataFrame, splitters: np.ndarray) -> DataFrame:
+def _sent(asked: DataFrame, splitters: np.ndarray) -> DataFrame:
     """Rows by bucket (kind ``s``), and verdicts that a task found by itself."""
-    held = texts.sparkSession.sparkContext.broadcast(splitters)
+    held = asked.sparkSession.sparkContext.broadcast(splitters)
 
     def send(entries: Entries, at: np.ndarray, uid: np.ndarray, id_: np.ndarray) -> list[tuple]:
         doc, rows = entries.doc[at], entries.rows(at)
-        place = (entries.place[at] - entries.offsets[doc]).astype(np.uint32)
+        place = entries.own_place()[at]
         spans = np.column_stack([entries.place[at] - entries.last[at], entries.place[at] - entries.first[at]]).astype(np.uint8)
         # Equal rows: digests find them, bytes decide.
         order = np.lexsort((place, doc, id_[doc], entries.whole[at]))
@@ -291,10 +378,11 @@ def _sent(texts: DataFrame, splitters: np.ndarray) -> DataFrame:
         for part in slices(batches, "text"):
             entries = Entries(*column_bytes(string_of(part, "text")))
             uid, id_ = string_of(part, "uid").to_numpy(), string_of(part, "id").to_numpy()
-            for lo in range(0, len(entries.place), SENT):
-                yield _packed(send(entries, np.arange(lo, min(lo + SENT, len(entries.place))), uid, id_))
+            at = _asked(entries, string_of(part, "asks").to_pylist())
+            for lo in range(0, len(at), SENT):
+                yield _packed(send(entries, at[lo : lo + SENT], uid, id_))
 
-    return texts.where("id is not null and text is not null").select("uid", "id", "text").mapInArrow(run, _PACKED)
+    return asked.select("uid", "id", "text", "asks").mapInArrow(run, _PACKED)
 
 
 def _judge(splitters: np.ndarray, parts: int):
@@ -419,19 +507,27 @@ class _Verdicts:
             raise TypeError(f"{id_col} is {kind.simpleString()}; ids must be whole numbers")
         spark = docs.sparkSession
         self.uid = next(n for n in ("uid", "uid_", "uid__", "uid___") if n not in docs.columns)
-        self.texts = written(docs.withColumn(self.uid, F.monotonically_increasing_id()), "texts", compression="zstd")
+        parts = max(8, 3 * docs.rdd.getNumPartitions())
+        # Written by hash of uid, so that no later join moves texts.
+        self.texts = bucketed(docs.withColumn(self.uid, F.monotonically_increasing_id()), "texts", parts, self.uid, compression="zstd")
+        release(spark)
         slim = self.texts.select(F.col(self.uid).alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        rows, size = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-        buckets = size // int(np.clip(size // 20_000, *BUCKET_BYTES)) + 1
-        splitters = _splitters(slim, buckets, rows, size)
         dealt = lambda df, n: df.repartition(n, "at").sortWithinPartitions("at")
-        sent = dealt(_sent(slim, splitters), buckets)
+        shared = dealt(_heads(slim, parts), parts).mapInArrow(_shared, _PACKED)
+        asks = written(dealt(shared, parts).mapInArrow(_asks, "uid long, asks binary"), "asks")
+        del shared
+        release(spark)
+        docs_, rows = asks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("asks")), F.lit(0)) / 4).first()
+        buckets = int(rows // np.clip(rows // 20_000, *BUCKET_ROWS)) + 1
+        asked = slim.join(asks, "uid")
+        splitters = _splitters(asked, buckets, docs_, int(rows))
+        sent = dealt(_sent(asked, splitters), buckets)
         judged = written(sent.mapInArrow(_judge(splitters, buckets), _PACKED), "judged")
-        del sent
+        del sent, asked
         release(spark)
         crossed = dealt(judged.where(F.col("kind") == F.lit(b"o")), buckets).mapInArrow(_across, _PACKED)
         verdicts = judged.where(F.col("kind") != F.lit(b"o")).union(crossed)
-        self.spans = written(dealt(verdicts, buckets).mapInArrow(_spans, "uid long, spans binary"), "spans")
+        self.spans = written(dealt(verdicts, parts).mapInArrow(_spans, "uid long, spans binary"), "spans")
         del crossed, verdicts
         release(spark)
 
@@ -439,6 +535,7 @@ class _Verdicts:
         return self.texts.join(self.spans.select(F.col("uid").alias(self.uid), F.col("spans").alias(spans)), self.uid, "left")
 
 
+
 def _spans_of(spans: list[bytes | None], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, stop) of all spans of a slice, as places in it."""
     size = np.array([len(s or b"") // 16 for s in spans], dtype=np.int64)
