@@ -498,6 +498,12 @@ def _spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(who), pa.array([pairs[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], type=pa.binary())], ["uid", "spans"])
 
 
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows by ``at``: one bucket a task, groups of documents by hash."""
+    bucket = F.when(F.col("kind").isin(b"h", b"s", b"o"), F.col("at")).otherwise(F.xxhash64("at"))
+    return rows.repartitionById(parts, F.pmod(bucket, F.lit(parts)).cast("int")).sortWithinPartitions("at")
+
+
 class _Verdicts:
     """The written texts, and the spans of each that go."""
 
@@ -512,7 +518,6 @@ class _Verdicts:
         self.texts = bucketed(docs.withColumn(self.uid, F.monotonically_increasing_id()), "texts", parts, self.uid, compression="zstd")
         release(spark)
         slim = self.texts.select(F.col(self.uid).alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        dealt = lambda df, n: df.repartition(n, "at").sortWithinPartitions("at")
         shared = dealt(_heads(slim, parts), parts).mapInArrow(_shared, _PACKED)
         asks = written(dealt(shared, parts).mapInArrow(_asks, "uid long, asks binary"), "asks")
         del shared
