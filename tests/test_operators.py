@@ -107,19 +107,52 @@ def test_percentiles(spark):
 
 
 def test_chain_finds_every_edit(spark):
-    rows = spark.createDataFrame([("s", i, f"body {i}") for i in range(6)], "session_id string, seq long, body string")
+    rows = spark.createDataFrame([("s", i, f"body {i}") for i in range(1, 7)], "session_id string, seq long, body string")
     sealed = hash_chain.seal(rows)
     assert tuple(sessions.verify_chain(sealed).first()) == ("s", 6, None)
-    for i in range(6):
+    for i in range(1, 7):
         changed = sealed.withColumn("body", F.when(F.col("seq") == i, "forged").otherwise(F.col("body")))
-        assert tuple(sessions.verify_chain(changed).first()) == ("s", i, i)
+        assert tuple(sessions.verify_chain(changed).first()) == ("s", i - 1, i)
 
 
 def test_log_rules(spark):
-    rows = [("s", "r", 0, "created", ""), ("s", "r", 1, "answer", ""), ("s", "q", 2, "query", ""), ("s", "q", 3, "query", ""), ("s", "q", 5, "deleted", ""), ("s", "q", 6, "step", "")]
-    log = spark.createDataFrame(rows, "session_id string, run_id string, seq long, kind string, content string")
-    found = {(r["seq"], r["rule"]) for r in sessions.log_violations(log).collect()}
-    assert found == {(1, "without_query"), (3, "repeated_query"), (5, "seq_gap"), (6, "seq_gap"), (6, "after_deleted")}
+    schema = "session_id string, run_id string, seq long, kind string, content string"
+    rows = [("s", None, 1, "session_created", ""), ("s", "r", 2, "answer", ""), ("s", "q", 3, "query", ""), ("s", "q", 4, "query", ""), ("s", "q", 6, "deleted", ""), ("s", "q", 7, "step", "")]
+    rows += [("t", "r", 1, "query", ""), ("t", None, 2, "query", ""), ("t", "r", 3, "error", ""), ("t", "r", 4, "llm_call", ""), ("t", None, 5, "session_created", "")]
+    found = {tuple(r) for r in sessions.log_violations(spark.createDataFrame(rows, schema)).collect()}
+    assert found == {
+        ("s", 2, "without_query"), ("s", 4, "repeated_query"), ("s", 6, "seq_gap"), ("s", 7, "seq_gap"), ("s", 7, "after_deleted"),
+        ("t", 1, "first_not_created"), ("t", 2, "repeated_query"), ("t", 4, "without_query"), ("t", 5, "created_not_first"),
+    }
+
+
+def test_valid_log_has_no_violation(spark):
+    kinds = [(None, "session_created"), ("a", "query"), ("a", "llm_call"), ("a", "step"), ("a", "answer"), ("b", "query"), ("b", "error"), (None, "deleted")]
+    log = spark.createDataFrame([("s", r, i, k, "x") for i, (r, k) in enumerate(kinds, 1)], "session_id string, run_id string, seq long, kind string, body string")
+    sealed = log.drop("body").join(hash_chain.seal(log), ["session_id", "seq"])
+    assert sessions.log_violations(sealed).count() == 0
+    forged = sealed.withColumn("prev_hash", F.when(F.col("seq") == 3, "f" * 64).otherwise(F.col("prev_hash")))
+    assert [tuple(r) for r in sessions.log_violations(forged).collect()] == [("s", 3, "broken_link")]
+
+
+def test_recall_of_first_recent_and_topical_keys(spark):
+    turns = spark.createDataFrame([("s", f"r{i}", i, f"hợp đồng số {i}", "tài sản" if i % 2 else " ") for i in range(5)], "session_id string, run_id string, seq long, query string, answer string")
+    names = lambda key, **more: [(r["run_id"], r["kind"]) for r in sessions.recall(turns, key, **more).orderBy("rank").collect()]
+    assert names("câu hỏi đầu tiên của tôi", run_id="r0") == [("r1", "query"), ("r2", "query"), ("r3", "query")]
+    assert names("lúc nãy tôi nói gì", most=2) == [("r4", "query"), ("r3", "query")]
+    assert names("tài sản") == [("r3", "answer"), ("r1", "answer")]
+    assert names("ta\u0300i sa\u0309n") == [("r3", "answer"), ("r1", "answer")]
+
+
+def test_titles_and_matches_are_nfc(spark):
+    rows = spark.createDataFrame([("s", "r", 1, "query", "Ta\u0300i  sa\u0309n", "t")], "session_id string, run_id string, seq long, kind string, content string, created_at string")
+    assert sessions.fold_sessions(rows).first()["title"] == "Tài sản"
+    assert sessions.match_records(rows, text="TÀI").count() == 1
+
+
+def test_cost_counts_turns(spark):
+    turns = spark.createDataFrame([(1, "legal"), (1, "recall"), (2, "other"), (3, None)], "case_id int, route string")
+    assert tuple(evaluation.cost_estimate(turns, steps=6, legacy_calls=2).first()) == (3, 4, 1, 1, 2, 2, (7 + 2 + 2) * 7000 + 5000)
 
 
 def test_window_of_twelve_turns():

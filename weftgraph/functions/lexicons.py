@@ -52,7 +52,28 @@ SUGGESTIONS = (
 # Ordinals of parts, by number.
 PART_ORDINALS = (("thứ nhất", 1), ("thứ hai", 2), ("thứ ba", 3), ("thứ tư", 4), ("thứ năm", 5), ("thứ sáu", 6), ("thứ bảy", 7))
 
-#: Letters that name points: Latin ones and those of Vietnamese.
+# Phrases that refer to the conversation or name a question of it,
+# with whether a space in them stands for any white space.
+RECALL_PHRASES = {
+    "me": (True, ("tôi", "mình", "em", "chúng tôi", "chúng mình")),
+    "spoke": (True, ("hỏi", "nói", "nhắc", "đề cập")),
+    "conversation_vi": (True, ("{me} (?:đã|vừa) (?:{spoke})", "lúc nãy", "vừa rồi", "lần trước", "nhắc lại", "vừa hỏi")),
+    "conversation_en": (False, (
+        "do you (?:still )?(?:remember|recall)", "(?:remember|recall) (?:what|when|who|that|my|our|me)", "last time", "did i (?:ask|say|mention|tell)",
+        "(?:did|have) (?:i|we) (?:ask|say|mention|tell you|talk about|discuss)", "(?:i|we) (?:asked|said|mentioned|told you|talked about|discussed)", "you (?:said|told me|mentioned)",
+    )),
+    "first_marked": (True, ("câu (?:hỏi )?đầu(?: tiên)? (?:của )?{me}", "{me} (?:đã |vừa )?hỏi câu (?:hỏi )?đầu tiên", "câu (?:hỏi )?đầu tiên {me} (?:đã |vừa )?hỏi")),
+    "first_en": (True, ("first question",)),
+    "first_thing": (True, ("first thing",)),
+    "first_key": (True, ("câu hỏi đầu tiên", "câu (?:hỏi )?đầu(?: tiên)? (?:của )?{me}", "{me} (?:đã |vừa )?hỏi câu (?:hỏi )?đầu tiên")),
+    "first_bare": (True, ("câu đầu tiên", "câu hỏi đầu")),
+    "context": (True, ("bạn", "{spoke}")),
+    "recent_vi": (True, ("(?:đã|vừa) (?:{spoke})", "lúc nãy", "vừa rồi", "lần trước", "nhắc lại", "vừa hỏi")),
+    "before": (True, ("trước đó",)),
+    "earlier": (True, ("earlier",)),
+}
+
+# Letters that name points, Latin ones and those of Vietnamese.
 POINT_LETTERS = "a-zàáảãạăắằẳẵặâấầẩẫậéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵđ"
 
 

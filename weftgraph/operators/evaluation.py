@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -84,12 +83,15 @@ def gate(value: Column, op: Column, target: Column) -> Column:
     return F.when(value.isNull(), "NOT MEASURED").when(ok, "PASS").otherwise("FAIL")
 
 
-def cost_estimate(cases: DataFrame, steps: int = 4, per_call: int = 7000, per_legacy: int = 2500) -> DataFrame:
-    """Calls and tokens of a run by case route: a legal one takes steps + 1
-    calls, a recall two, small talk one; ``legacy`` is a call of its own."""
-    calls = F.when(F.col("route") == "legal", steps + 1).when(F.col("route") == "recall", 2).when(F.col("route") == "small", 1).otherwise(0)
-    legacy = F.when(F.col("route") == "legal", 1).otherwise(0)
-    return cases.agg(F.sum(calls).alias("calls"), F.sum(legacy).alias("legacy_calls")).withColumn("tokens", F.col("calls") * per_call + F.col("legacy_calls") * per_legacy)
+def cost_estimate(turns: DataFrame, steps: int, legacy_calls: int, per_call: int = 7000, per_legacy: int = 2500) -> DataFrame:
+    """Turns by route and the tokens they may take at most, from one row a turn
+    (case_id, route).  A legal turn takes steps + 1 calls, a recall two, and any
+    other route counts as small talk: one.  ``legacy_calls`` are given."""
+    of = lambda cond: F.count_if(cond)
+    legal, recall = F.coalesce(F.col("route") == "legal", F.lit(False)), F.coalesce(F.col("route") == "recall", F.lit(False))
+    sums = turns.agg(F.countDistinct("case_id").alias("cases"), F.count("*").alias("turns"), of(legal).alias("legal_turns"), of(recall).alias("recall_turns"), of(~legal & ~recall).alias("smalltalk_turns"))
+    calls = F.col("legal_turns") * (steps + 1) + F.col("recall_turns") * 2 + F.col("smalltalk_turns")
+    return sums.withColumns({"legacy_calls": F.lit(legacy_calls).cast("long"), "estimated_tokens": (calls * per_call + legacy_calls * per_legacy).cast("long")})
 
 
 def embedding_plan(docs: DataFrame, batch: int = 100, usd_per_million: float = 0.20) -> DataFrame:
@@ -153,5 +155,6 @@ def latest(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
-def rolling_rank(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+def mean_rating(column: str) -> Column:
+    """Mean of an aggregate's ratings, none counting as 0; 0 without rows."""
+    return F.coalesce(F.sum(F.coalesce(F.col(column), F.lit(0))), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))

@@ -112,10 +112,12 @@ def kpi_gate(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("kpi", E.gate(F.col("v"), F.col("op"), F.col("t")).alias("verdict"))
 
 
-@query("cost_estimate", "WITH c AS (SELECT CASE turn % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS calls, CASE turn % 3 WHEN 0 THEN 1 ELSE 0 END AS legacy FROM conversations) SELECT sum(calls)::BIGINT AS calls, sum(legacy)::BIGINT AS legacy_calls, (sum(calls) * 7000 + sum(legacy) * 2500)::BIGINT AS tokens FROM c")
+@query("cost_estimate", """SELECT count(DISTINCT conv_id)::BIGINT AS cases, count(*)::BIGINT AS turns, count(*) FILTER (WHERE turn % 4 = 0)::BIGINT AS legal_turns, count(*) FILTER (WHERE turn % 4 = 1)::BIGINT AS recall_turns,
+  count(*) FILTER (WHERE turn % 4 > 1)::BIGINT AS smalltalk_turns, 12::BIGINT AS legacy_calls, (7000 * sum(CASE turn % 4 WHEN 0 THEN 7 WHEN 1 THEN 2 ELSE 1 END) + 12 * 2500)::BIGINT AS estimated_tokens FROM conversations""")
 def cost_estimate(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("turn") % 3
-    return E.cost_estimate(S.table(spark, d, "conversations").select(F.when(k == 0, "legal").when(k == 1, "recall").otherwise("small").alias("route")))
+    k = F.col("turn") % 4
+    turns = S.table(spark, d, "conversations").select(F.col("conv_id").alias("case_id"), F.when(k == 0, "legal").when(k == 1, "recall").when(k == 2, "smalltalk").alias("route"))
+    return E.cost_estimate(turns, steps=6, legacy_calls=12)
 
 
 @query("embed_plan", "SELECT lang AS kind, count(*)::BIGINT AS n, ceil(count(*) / 100.0)::BIGINT AS batches, max(length(text))::BIGINT AS max_tokens, sum(ceil(length(text) / 4.0))::BIGINT AS tokens, round(sum(ceil(length(text) / 4.0)) * 0.2 / 1e6, 8) AS usd FROM documents GROUP BY lang")

@@ -16,7 +16,7 @@ REC = f"WITH {S.RECORDS}"
 TOK = "greatest(len([w for w in regexp_split_to_array(content, '\\s+') if w <> '']), ceil(length(content) / 4.0))::BIGINT"
 TITLE = "CASE WHEN length(q) > 80 THEN substring(q, 1, 79) || '…' ELSE q END"
 FOLD = f"""{REC}, folded AS (SELECT session_id, count(*)::BIGINT AS record_count, max(created_at) AS last_active_at, (count(*) FILTER (WHERE kind IN ('answer', 'error')))::BIGINT AS turns,
-  coalesce(sum({TOK}) FILTER (WHERE kind IN ('query', 'answer')), 0)::BIGINT AS tokens, trim(regexp_replace(coalesce(min_by(content, seq) FILTER (WHERE kind = 'query'), ''), '\\s+', ' ', 'g')) AS q FROM records GROUP BY session_id)"""
+  coalesce(sum({TOK}) FILTER (WHERE kind IN ('query', 'answer')), 0)::BIGINT AS tokens, trim(regexp_replace(nfc_normalize(coalesce(min_by(content, seq) FILTER (WHERE kind = 'query'), '')), '\\s+', ' ', 'g')) AS q FROM records GROUP BY session_id)"""
 
 
 @query("session_fold", f"{FOLD} SELECT session_id, record_count, last_active_at, turns, tokens, {TITLE} AS title FROM folded")
@@ -48,9 +48,19 @@ def session_list(spark: SparkSession, d: str) -> DataFrame:
     return sessions.session_list(folded, owner="nobody").select("session_id", "turns")
 
 
-@query("trace_page", f"{REC} SELECT session_id, seq, kind FROM records WHERE contains(lower(content), 'the') ORDER BY created_at DESC, session_id, seq DESC LIMIT 20 OFFSET 20")
+@query("trace_page", f"{REC} SELECT session_id, seq, kind FROM records WHERE session_id NOT LIKE '%7' AND contains(lower(nfc_normalize(content)), 'the') ORDER BY created_at DESC, session_id, seq DESC LIMIT 20 OFFSET 20")
 def trace_page(spark: SparkSession, d: str) -> DataFrame:
-    return reads.page(sessions.match_records(S.records(spark, d), text="THE"), sessions.trace_order(), 2, 20).select("session_id", "seq", "kind")
+    """The second page of what one owner may see; sessions that end in 7 are another's."""
+    records = S.records(spark, d)
+    folded = sessions.fold_sessions(records).withColumn("owner", F.when(F.endswith("session_id", F.lit("7")), "other").otherwise("own"))
+    found = sessions.match_records(records, text="THE", scope=sessions.owned_sessions(folded, "own"))
+    return reads.page(found, sessions.trace_order(), 2, 20).select("session_id", "seq", "kind")
+
+
+@query("mean_rating", "SELECT p_brand, round(sum(coalesce(CASE WHEN p_size % 3 > 0 THEN p_retailprice END, 0)) / count(*), 6) AS rating FROM part GROUP BY p_brand")
+def mean_rating(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.table(spark, d, "part").withColumn("rating", F.when(F.col("p_size") % 3 > 0, F.col("p_retailprice")))
+    return rows.groupBy("p_brand").agg(F.round(evaluation.mean_rating("rating"), 6).alias("rating"))
 
 
 @query("kind_counts", f"{REC} SELECT k AS kind, count(seq)::BIGINT AS n FROM (SELECT unnest({list(sessions.KINDS)}) AS k) LEFT JOIN (SELECT * FROM records WHERE contains(lower(content), 'the')) ON kind = k GROUP BY k")
@@ -63,28 +73,23 @@ def hash_chain_seal(spark: SparkSession, d: str) -> DataFrame:
     return hash_chain.seal(S.records(spark, d).withColumn("body", F.to_json(F.struct("content", "kind"))))
 
 
-CHAIN = """c AS (SELECT conv_id, turn::BIGINT AS seq, text AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations)"""
+CHAIN = """c AS (SELECT conv_id, turn::BIGINT AS seq, text AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS place FROM conversations)"""
 
 
-@query("chain_verify", f"WITH {CHAIN} SELECT 'conv_' || conv_id AS session_id, count(*)::BIGINT AS good, NULL::BIGINT AS first_bad FROM c WHERE conv_id % 2 = 0 GROUP BY conv_id UNION ALL SELECT 'conv_' || conv_id, least(1, count(*))::BIGINT, CASE WHEN count(*) > 1 THEN 1 END::BIGINT FROM c WHERE conv_id % 2 = 1 GROUP BY conv_id")
+@query("chain_verify", f"WITH {CHAIN} SELECT 'conv_' || conv_id AS session_id, count(*)::BIGINT + 1 AS good, NULL::BIGINT AS first_bad FROM c WHERE conv_id % 2 = 0 GROUP BY conv_id UNION ALL SELECT 'conv_' || conv_id, 1::BIGINT, min(place)::BIGINT FROM c WHERE conv_id % 2 = 1 GROUP BY conv_id")
 def chain_verify(spark: SparkSession, d: str) -> DataFrame:
     """Sealed logs of which every other one has its second record changed."""
-    sealed = hash_chain.seal(S.records(spark, d).withColumn("body", F.col("content")).withColumn("seq", F.row_number().over(_by_seq()).cast("long") - 1))
+    sealed = hash_chain.seal(S.records(spark, d).withColumn("body", F.col("content")))
     odd = F.element_at(F.split("session_id", "_"), 2).cast("long") % 2 == 1
-    changed = sealed.withColumn("body", F.when(odd & (F.col("seq") == 1), F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    changed = sealed.withColumn("body", F.when(odd & (F.col("seq") == 2), F.concat("body", F.lit("!"))).otherwise(F.col("body")))
     return sessions.verify_chain(changed)
 
 
-def _by_seq():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("session_id").orderBy("seq")
-
-
 @query("log_violations", f"""{REC}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i,
     coalesce(sum(CASE WHEN kind = 'query' THEN 1 ELSE 0 END) OVER b, 0) AS asked, coalesce(sum(CASE WHEN kind IN ('answer', 'error') THEN 1 ELSE 0 END) OVER b, 0) AS closed FROM records
     WINDOW b AS (PARTITION BY session_id, run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-  SELECT session_id, seq, 'seq_gap' AS rule FROM r WHERE seq <> i - 1 UNION ALL SELECT session_id, seq, 'first_not_created' FROM r WHERE i = 1 AND kind <> 'created'
+  SELECT session_id, seq, 'seq_gap' AS rule FROM r WHERE seq <> i UNION ALL SELECT session_id, seq, 'first_not_created' FROM r WHERE i = 1 AND kind <> 'session_created'
+  UNION ALL SELECT session_id, seq, 'created_not_first' FROM r WHERE i > 1 AND kind = 'session_created'
   UNION ALL SELECT session_id, seq, 'repeated_query' FROM r WHERE kind = 'query' AND asked > 0 UNION ALL SELECT session_id, seq, 'without_query' FROM r WHERE kind IN ('step', 'answer') AND (asked = 0 OR closed > 0)""")
 def log_violations(spark: SparkSession, d: str) -> DataFrame:
     return sessions.log_violations(S.records(spark, d))
@@ -105,17 +110,40 @@ def index_consistency(spark: SparkSession, d: str) -> DataFrame:
 
 KEY = "the thing with and worthless idiot there"
 _TERMS = [w for w in dict.fromkeys(KEY.split()) if w not in L.KEY_TERM_STOPS]
+ITEMS = f"""{REC}, {RUNS}, t AS (SELECT * FROM runs WHERE query IS NOT NULL AND answer IS NOT NULL),
+  items AS (SELECT session_id, run_id, seq, 0 AS place, 'query' AS kind, query AS content FROM t UNION ALL SELECT session_id, run_id, seq, 1, 'answer', answer FROM t WHERE length(trim(answer)) > 0)"""
+_RECALLED = "SELECT session_id, run_id, kind, score::INTEGER AS score, r::INTEGER AS rank FROM {} WHERE r <= 3"
 
 
-@query("recall", f"""{REC}, {RUNS}, s AS (SELECT session_id, run_id, seq, len(list_intersect(list_distinct(regexp_split_to_array(lower(query || ' ' || answer), '[^\\p{{L}}\\p{{N}}]+')), {_TERMS})) AS score FROM runs WHERE query IS NOT NULL AND answer IS NOT NULL)
-  SELECT session_id, run_id, score::INTEGER AS score FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, seq DESC) AS r FROM s WHERE score > 0) WHERE r <= 3""")
+@query("recall", f"""{ITEMS}, s AS (SELECT *, len(list_intersect(list_distinct(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+')), {_TERMS})) AS score FROM items),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, seq DESC, place) AS r FROM s WHERE score > 0) {_RECALLED.format("ranked")}""")
 def recall(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.recall(sessions.build_turns(S.records(spark, d)), KEY).select("session_id", "run_id", "score")
+    return sessions.recall(sessions.build_turns(S.records(spark, d)), KEY).drop("content")
+
+
+def _edge(order: str) -> str:
+    return f"{ITEMS}, ranked AS (SELECT *, 0 AS score, row_number() OVER (PARTITION BY session_id ORDER BY seq {order}) AS r FROM items WHERE kind = 'query' AND run_id <> 'run_1') {_RECALLED.format('ranked')}"
+
+
+@query("recall_first", _edge(""))
+def recall_first(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.recall(sessions.build_turns(S.records(spark, d)), "Câu hỏi đầu tiên là gì?", run_id="run_1").drop("content")
+
+
+@query("recall_recent", _edge("DESC"))
+def recall_recent(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.recall(sessions.build_turns(S.records(spark, d)), "what did we talk about earlier?", run_id="run_1").drop("content")
 
 
-@query("run_fold", f"{REC} SELECT session_id, run_id, sha256(string_agg(content, chr(10) ORDER BY seq)) AS messages, sum(seq)::BIGINT AS used, max_by(kind, seq) AS last_kind FROM records GROUP BY 1, 2")
+@query("run_fold", f"""{REC} SELECT session_id, run_id, sha256(string_agg(content, chr(10) ORDER BY seq)) AS messages, array_to_string(flatten(array_agg([seq, seq * 2] ORDER BY seq)), ',') AS citations,
+  sum(seq)::BIGINT AS recalled, sum(CASE WHEN kind = 'answer' THEN length(content) ELSE 0 END)::BIGINT AS input_tokens, (count(*) FILTER (WHERE kind = 'answer') > 0) AS usage_seen,
+  coalesce(max_by(seq, seq), 0)::BIGINT AS tool_calls, coalesce(max_by(kind, seq) FILTER (WHERE kind <> 'query'), '') AS answer FROM records GROUP BY 1, 2""")
 def run_fold(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.run_fold(S.records(spark, d).withColumn("used", F.col("seq"))).withColumn("messages", F.sha2("messages", 256))
+    steps = S.records(spark, d).withColumns({
+        "citations": F.array("seq", F.col("seq") * 2), "recalled": F.col("seq"), "input_tokens": F.when(F.col("kind") == "answer", F.length("content")).cast("long"),
+        "tool_calls": F.col("seq"), "answer": F.when(F.col("kind") != "query", F.col("kind")),
+    })
+    return sessions.run_fold(steps).withColumns({"messages": F.sha2("messages", 256), "citations": F.array_join(F.col("citations").cast("array<string>"), ",")})
 
 
 @query("memory_window")
@@ -125,7 +153,11 @@ def memory_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query("memory_stats")
 def memory_stats(spark: SparkSession, d: str) -> DataFrame:
-    return memory.memory_stats(memory_window(spark, d))
+    """Sums over all windows, and the counters of one recall a session."""
+    turns = sessions.build_turns(S.records(spark, d))
+    found = sessions.recall(turns, KEY).groupBy("session_id").agg(F.count("*").alias("items"))
+    recalls = turns.groupBy("session_id").agg(F.count("*").alias("others")).join(found, "session_id", "left").withColumn("items", F.coalesce("items", F.lit(0)))
+    return memory.memory_stats(memory.windows(turns), recalls)
 
 
 @query("session_export", f"{REC} SELECT seq, kind, content FROM records WHERE session_id = 'conv_3'")

@@ -6,6 +6,7 @@ Each shape is given twice: as a DataFrame, and as SQL for the oracles.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -70,22 +71,25 @@ ARTICLES = """articles AS (
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as session logs: a user's turn opens a run."""
+    """Conversations as session logs: a first record of the session's own, then
+    the turns; a user's turn opens a run, a system's is a step."""
     talk = table(spark, d, "conversations")
     kind = F.when(F.col("role") == "user", "query").when(F.col("role") == "assistant", "answer").otherwise("step")
-    second = F.col("turn").cast("long")
-    at = F.concat(F.lit("2026-01-01T00:00:"), F.lpad(F.pmod(second, F.lit(60)).cast("string"), 2, "0"), F.lit(".000Z"))
-    return talk.select(
-        F.concat(F.lit("conv_"), "conv_id").alias("session_id"), F.concat(F.lit("run_"), F.floor(F.col("turn") / 2)).alias("run_id"), F.col("turn").cast("long").alias("seq"),
-        at.alias("created_at"), kind.alias("kind"), F.col("text").alias("content"),
-    )
+    run = F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(W.partitionBy("conv_id").orderBy("turn"))
+    at = lambda seq: F.concat(F.lit("2026-01-01T00:00:"), F.lpad(F.pmod(seq, F.lit(60)).cast("string"), 2, "0"), F.lit(".000Z"))
+    seq = F.col("turn").cast("long") + 2
+    session = F.concat(F.lit("conv_"), "conv_id").alias("session_id")
+    turns = talk.select(session, F.concat(F.lit("run_"), run).alias("run_id"), seq.alias("seq"), at(seq).alias("created_at"), kind.alias("kind"), F.col("text").alias("content"))
+    first = talk.select("conv_id").distinct().select(session, F.lit(None).cast("string"), F.lit(1).cast("long"), at(F.lit(1)), F.lit("session_created"), F.lit(""))
+    return turns.union(first)
 
 
 RECORDS = """records AS (
-  SELECT 'conv_' || conv_id AS session_id, 'run_' || CAST(floor(turn / 2.0) AS BIGINT) AS run_id, turn::BIGINT AS seq,
-         '2026-01-01T00:00:' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') || '.000Z' AS created_at,
+  SELECT 'conv_' || conv_id AS session_id, 'run_' || sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS run_id, turn::BIGINT + 2 AS seq,
+         '2026-01-01T00:00:' || lpad(CAST((turn + 2) % 60 AS VARCHAR), 2, '0') || '.000Z' AS created_at,
          CASE role WHEN 'user' THEN 'query' WHEN 'assistant' THEN 'answer' ELSE 'step' END AS kind, text AS content
-  FROM conversations)"""
+  FROM conversations
+  UNION ALL SELECT DISTINCT 'conv_' || conv_id, NULL, 1, '2026-01-01T00:00:01.000Z', 'session_created', '' FROM conversations)"""
 
 
 def vectors(spark: SparkSession, d: str, prefix: str = "article_") -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftgraph.functions.privacy import row_hash
 from weftgraph.operators.sessions import GENESIS
 
 SCHEMA = "session_id string, seq long, body string, prev_hash string, row_hash string"
+SCHEMA_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 def _sealed(session: str, rows: pd.DataFrame, prev: str) -> tuple[pd.DataFrame, str]:
@@ -24,12 +27,26 @@ def _sealed(session: str, rows: pd.DataFrame, prev: str) -> tuple[pd.DataFrame,
 
 
 def seal(records: DataFrame) -> DataFrame:
-    """Links each session's canonical bodies in the order of ``seq``."""
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _sealed(key[0], rows, GENESIS)[0]
-
-    return records.select("session_id", "seq", "body").groupBy("session_id").applyInPandas(one, SCHEMA)
+    """Links each session's canonical bodies in the order of ``seq``.
+
+    Rows stream through in order and only the last hash is held, so a session
+    may be of any length.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), GENESIS
+        for part in batches:
+            links, hashes = [], []
+            for session, body in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                if session != now:
+                    now, last = session, GENESIS
+                links.append(last)
+                last = row_hash(last, body)
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(links, type=pa.string()), pa.array(hashes, type=pa.string())], SCHEMA_NAMES)
+
+    rows = records.select("session_id", F.col("seq").cast("long").alias("seq"), "body")
+    return rows.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInArrow(run, SCHEMA)
 
 
 def seal_stream(records: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ it depends on a running budget.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -103,18 +104,30 @@ def _row(session: str, window: Window, limits: Limits) -> dict:
 
 
 SCHEMA = "session_id string, kept int, older int, messages int, tokens int, first_run string, summary string"
+ARROW = pa.schema([(x.split()[0], pa.int32() if x.endswith(" int") else pa.string()) for x in SCHEMA.split(", ")])
 
 
 def windows(turns: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The window of each session after all its turns (by ``seq``)."""
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        window = Window()
-        for r in rows.sort_values(["seq", "run_id"]).itertuples():
-            window.add(r.run_id, r.query or "", r.answer or "", limits)
-        return pd.DataFrame([_row(key[0], window, limits)])
-
-    return turns.select("session_id", "run_id", "seq", "query", "answer").groupBy("session_id").applyInPandas(fold, SCHEMA)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sorted turns stream through; only the window of one session is held.
+        now, window = None, None
+        for part in batches:
+            done = []
+            for row in part.to_pylist():
+                if window is None or row["session_id"] != now:
+                    if window is not None:
+                        done.append(_row(now, window, limits))
+                    now, window = row["session_id"], Window()
+                window.add(row["run_id"], row["query"] or "", row["answer"] or "", limits)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=ARROW)
+        if window is not None:
+            yield pa.RecordBatch.from_pylist([_row(now, window, limits)], schema=ARROW)
+
+    rows = turns.select("session_id", "run_id", "seq", "query", "answer")
+    return rows.repartition("session_id").sortWithinPartitions("session_id", "seq", "run_id").mapInArrow(run, SCHEMA)
 
 
 def window_stream(turns: DataFrame, limits: Limits = Limits(), idle: str | None = None) -> DataFrame:
@@ -141,5 +154,12 @@ def window_stream(turns: DataFrame, limits: Limits = Limits(), idle: str | None
     return turns.select("session_id", "run_id", "seq", "query", "answer").groupBy("session_id").applyInPandasWithState(update, SCHEMA, "window string", "update", timeout)
 
 
-def memory_stats(folded: DataFrame) -> DataFrame:
-    return folded.agg(F.count("*").alias("sessions"), F.sum("kept").alias("turns"), F.sum("tokens").alias("tokens"))
+def memory_stats(folded: DataFrame, recalls: DataFrame | None = None) -> DataFrame:
+    """Sums over windows, and the counters of recall calls if a table of them is
+    given: ``others`` (turns of other runs) and ``items`` (what was found)."""
+    out = folded.agg(F.count("*").alias("sessions"), F.coalesce(F.sum("kept"), F.lit(0)).alias("turns"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    if recalls is None:
+        return out
+    hit = (F.col("others") > 0) & (F.col("items") > 0)
+    counted = recalls.agg(F.count("*").alias("recall_calls"), F.count_if(hit).alias("recall_hits"), F.count_if(~hit).alias("recall_empty"))
+    return out.crossJoin(counted)  # one row each
