@@ -4,12 +4,13 @@ import hashlib
 import io
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import media, url_rules
-from weftgraph.llm.queries import RULES
+from weftgraph.llm.queries import OP10_SQL, RULES
 
 RNG = np.random.default_rng(9)
 
@@ -98,3 +99,44 @@ def test_aliases(spark):
     table = spark.createDataFrame([("http://g.net/8", "http://h.com/de/")], "a string, b string")
     assert url_rules.judge_urls(pages, RULES, edges=table).where("page_id = 8").first()["verdict"] == "block"
     assert url_rules.judge_urls(pages.limit(0), RULES).count() == 0
+
+
+LINKS = {  # target on http://m.net/a/b/c?x=1: resource
+    "d": "m.net/a/b/d", "./d": "m.net/a/b/d", "../d": "m.net/a/d", "../../../d": "m.net/d", "..": "m.net/a/", ".": "m.net/a/b/", "?y=2": "m.net/a/b/c?y=2", "/d/../e?z#f": "m.net/e?z", "//N.net": "n.net/", "http://n.net:80/q": "n.net/q",
+    "https://n.net:443": "n.net/", "http://n.net:443/": "n.net:443/", "HTTP://n.net:80": "n.net/", "mailto:a@b": None, "#top": None, "d/./e/": "m.net/a/b/d/e/", "d?p=../x": "m.net/a/b/d?p=../x",
+}
+
+
+def test_targets_are_resolved(spark):
+    rows = spark.createDataFrame(list(LINKS.items()), "t string, wanted string")
+    found = rows.select("t", "wanted", url_rules.resource_of(url_rules.resolved(F.col("t"), F.lit("http://m.net/a/b/c?x=1"))).alias("r"))
+    assert [(r["t"], r["r"]) for r in found.collect()] == list(LINKS.items())
+
+
+def _link_pages():
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [(100 + i, f"http://c.com/de/p{i}?q", link(t.replace("n.net", f"n{i}.net"))) for i, t in enumerate(LINKS)]
+    rows += [(200 + i, f"http://m.net/{x}", None) for i, x in enumerate(("d", "e?z", "a/d"))] + [(300 + 3 * i + k, f"http://n{i}.net{x}", None) for i in range(len(LINKS)) for k, x in enumerate(("/", "/q", ""))]
+    rows += [(1, "http://s.net/x/1", link("../y")), (2, "http://s.net/y", link("http://c.com/de/z")), (3, "http://t.net:80/q", link("http://c.com/de/z")), (4, "https://t.net:443/q", None), (5, "http://t.net:443/q", None)]
+    rows += [(6, "http://u.net/1", "<!-- " + link("http://c.com/de/z") + " -->"), (7, "http://u.net/2", "<!-- open " + link("http://c.com/de/z")), (8, "http://u.net/3", "<!-- a --> <LINK\nhref=http://c.com/de/z\nREL=canonical >")]
+    rows += [(9, "http://u.net/4", "<link rel=canonical href='http://c.com/de/z'" * 3), (10, "http://u.net/5", "<meta content='5;URL=/3' http-equiv=refresh>"), (11, "HTTP://v.net", link("http://c.com/de/z")), (12, "http://v.net/", None), (13, None, link("http://c.com/de/z")), (14, "v.net", link("http://c.com/de/z"))]
+    return rows
+
+
+def test_links_and_their_sql(spark):
+    rows = _link_pages()
+    got = {r["page_id"]: tuple(r)[1:] for r in url_rules.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), RULES).collect()}
+    verdicts = {i: got[i][-1] for i in range(1, 15)}
+    assert verdicts == {i: "block" if i in (1, 2, 3, 4, 8, 10, 11, 12) else "allow" for i in verdicts}
+    duck = duckdb.connect()
+    duck.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    duck.executemany("insert into pages values (?, ?, ?)", rows)
+    cursor = duck.execute(OP10_SQL)
+    assert [c[0] for c in cursor.description] == ["page_id", "host", "path", "rule", "verdict"]
+    assert got == {r[0]: tuple(r)[1:] for r in cursor.fetchall()}
+
+
+def test_long_html_takes_linear_time(spark):
+    rows = [(1, "http://a.net/", "<link rel=canonical " * 100_000), (2, "http://b.net/", "<!--" * 200_000 + "canonical"), (3, "http://c.net/", '<link rel="canonical" href="http://c.com/de/1">' + "x" * 3_000_000)]
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(spark.createDataFrame(rows, "page_id int, url string, html string"), RULES).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "block"}

@@ -110,19 +110,35 @@ FROM d JOIN text USING (doc_id) LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
 """
 
 _RULE_ROWS = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in RULES)
-_TARGET = """CASE WHEN starts_with(t, '//') THEN substring(t, 3) WHEN starts_with(t, '/') THEN host || t WHEN strpos(t, '://') > 0 THEN substring(t, strpos(t, '://') + 3) END"""
+
+def _host(url: str) -> str:
+    return rf"regexp_extract({url}, '://([^/?#]*)', 1)"
+
+
+def _node(url: str) -> str:
+    """A url without its scheme and fragment: host without a default port, path and query."""
+    port = f"CASE WHEN regexp_matches({url}, '(?i)^http://') THEN ':80' WHEN regexp_matches({url}, '(?i)^https://') THEN ':443' ELSE '' END"
+    tail = f"regexp_extract(substring({url}, strpos({url}, '://') + 3 + length({_host(url)})), '^[^#]*')"
+    host = f"translate({_host(url)}, {_LOWER})"
+    return f"CASE WHEN {port} <> '' AND ends_with({host}, {port}) THEN left({host}, length({host}) - length({port})) ELSE {host} END || CASE WHEN starts_with({tail}, '/') THEN '' ELSE '/' END || {tail}"
+
+
+_DOTS = """list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(substring(p, 2), '/'), lambda x: [x])), lambda done, x: CASE WHEN x[1] = '..' THEN done[1:len(done) - 1] WHEN x[1] = '.' THEN done ELSE list_concat(done, x) END)"""
 
 OP10_SQL = rf"""
 WITH RECURSIVE rules(verdict, rule, rh, rp) AS (VALUES {_RULE_ROWS}),
-u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER}) AS host, substring(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM u),
-q AS (SELECT page_id, html, host, regexp_extract(tail, '^[^?#]*') AS path, host || regexp_extract(tail, '^[^#]*') AS node FROM p),
-tags AS (SELECT node AS a, host, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM q WHERE html IS NOT NULL AND node <> ''),
-found AS (
-  SELECT a, host, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM tags WHERE regexp_matches(tag, '(?is)^<link') AND regexp_matches(tag, '(?is)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')
-  UNION ALL SELECT a, host, regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?\burl\s*=\s*''?([^"''\s>]+)', 1) FROM tags WHERE regexp_matches(tag, '(?is)^<meta') AND regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')),
-target AS (SELECT a, {_TARGET} AS r FROM (SELECT a, host, replace(t, '&amp;', '&') AS t FROM found)),
-edges AS (SELECT a, translate(regexp_extract(r, '^[^/?#]*'), {_LOWER}) || regexp_extract(substring(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^#]*') AS b FROM target WHERE r IS NOT NULL),
+u AS (SELECT page_id, html, url, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, url, regexp_extract(rest, '^[^/?#]*') AS raw, substring(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM u),
+q AS (SELECT page_id, html, url, raw, translate(raw, {_LOWER}) AS host, regexp_extract(tail, '^[^?#]*') AS path, CASE WHEN strpos(url, '://') > 0 THEN {_node("url")} END AS node FROM p),
+tags AS (SELECT url, raw, path, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g'), '(?i)<(?:link|meta)\b[^<>]*>')) AS tag FROM q WHERE html IS NOT NULL AND node IS NOT NULL),
+found AS (SELECT url, raw, path, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+  WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?\burl\s*=\s*''?([^"''\s>]+)', 1) END, '&amp;', '&') AS t FROM tags),
+parts AS (SELECT url, t, regexp_extract(url, '^([^:/?#]*)://', 1) AS scheme, raw, path, regexp_extract(t, '^[^?#]*') AS own FROM found WHERE t <> ''),
+rooted AS (SELECT *, CASE WHEN starts_with(own, '/') THEN own ELSE CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^.*/') END || own END AS p FROM parts),
+flat AS (SELECT *, regexp_replace('/' || array_to_string({_DOTS}, '/') || CASE WHEN regexp_matches(p, '/\.\.?$') THEN '/' ELSE '' END, '^/+$', '/') AS clean FROM rooted),
+target AS (SELECT url, CASE WHEN starts_with(t, '#') THEN NULL WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+  WHEN starts_with(t, '?') THEN scheme || '://' || raw || path || t ELSE scheme || '://' || raw || clean || substring(t, length(own) + 1) END AS r FROM flat),
+edges AS (SELECT {_node("url")} AS a, {_node("r")} AS b FROM target WHERE r IS NOT NULL),
 ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 nodes AS (SELECT DISTINCT a AS node, regexp_extract(a, '^[^/?#]*') AS host, regexp_extract(substring(a, length(regexp_extract(a, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM ways),
 bad(node) AS (

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import written
 from weftgraph.llm.components import connected_components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -15,9 +14,15 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule); a rule is a host and a path in one, split at its first slash.
 Rule = tuple[str, str]
 
-#: Values of href and of refresh targets in raw HTML, quoted either way or bare.
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*'?([^"'\s>]+)"""
+#: Comments, and tags of two kinds: neither pattern looks back or ahead, and a
+#: tag ends at the next sign of one, so long texts take linear time.
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+_TAG = r"(?i)<(?:link|meta)\b[^<>]*>"
+_IS_CANONICAL = r"""(?i)^<link\b.*\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""
+_IS_REFRESH = r"""(?i)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""
+#: Values of href and of refresh targets, quoted either way or bare.
+_HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+_REFRESH_URL = r"""(?i)\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*'?([^"'\s>]+)"""
 
 
 def _after_scheme(url: Column) -> Column:
@@ -42,10 +47,44 @@ def path_of(url: Column) -> Column:
 
 
 def resource_of(url: Column) -> Column:
-    """Host, path and query: what two urls of one resource share.  The scheme
-    and the fragment don't tell resources apart."""
-    rest = F.substring(_after_scheme(url), F.length(_raw_host(url)) + 1, F.length(url))
-    return F.concat(host_of(url), F.regexp_extract(rest, r"^[^#]*", 0))
+    """Host, path and query: what two urls of one resource share.  The scheme,
+    its default port and the fragment don't tell resources apart, and an empty
+    path is ``/``."""
+    rest = F.regexp_extract(F.substring(_after_scheme(url), F.length(_raw_host(url)) + 1, F.length(url)), r"^[^#]*", 0)
+    port = F.when(F.regexp_like(url, F.lit("(?i)^http://")), ":80").when(F.regexp_like(url, F.lit("(?i)^https://")), ":443")
+    host = F.when(port.isNotNull() & F.endswith(host_of(url), port), F.substring(host_of(url), F.lit(1), F.length(host_of(url)) - F.length(port))).otherwise(host_of(url))
+    return F.concat(host, F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest)))
+
+
+def without_dots(path: Column) -> Column:
+    """A path from the root with ``.`` and ``..`` resolved; the last segment
+    leaves a slash if it is one of them."""
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    empty = F.array().cast("array<string>")
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    kept = F.aggregate(parts, empty, lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    last = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), last), "^/+$", "/")
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The absolute url that a target means on the page ``base``; null for other
+    schemes such as ``mailto:``, and for a mere fragment."""
+    scheme = F.regexp_extract(base, r"^([^:/?#]*)://", 1)
+    root = F.concat(scheme, F.lit("://"), _raw_host(base))
+    path = path_of(base)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^.*/", 0))
+    own = F.regexp_extract(target, r"^[^?#]*", 0)
+    rest = F.substring(target, F.length(own) + 1, F.length(target))
+    return (
+        F.when(target.isNull() | (target == "") | F.startswith(target, F.lit("#")), None)
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when(F.regexp_like(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), target)
+        .when(F.regexp_like(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), None)
+        .when(F.startswith(target, F.lit("?")), F.concat(root, path, target))
+        .when(F.startswith(target, F.lit("/")), F.concat(root, without_dots(own), rest))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, own)), rest))
+    )
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -65,16 +104,17 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b): resources that a canonical link or a refresh redirect equates.
 
-    Targets are absolute, without a scheme (``//host/…``) or absolute paths of
-    the same host; other forms are left out.
+    Targets are resolved against the page's url, dot segments included.  Tags in
+    comments don't count, and a tag holds no ``<``.  Other schemes, mere
+    fragments and pages without a ``://`` in their url give no edge.
     """
     url, html = F.col(url_col), F.col(html_col)
-    targets = F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), 1), F.regexp_extract_all(html, F.lit(_REFRESH), 1))
     found = pages.where(html.isNotNull() & url.contains("://") & F.rlike(html, F.lit(r"(?i)canonical|refresh")))
-    found = found.select(resource_of(url).alias("a"), host_of(url).alias("host"), F.explode(targets).alias("t"))
-    t = F.replace(F.col("t"), F.lit("&amp;"), F.lit("&"))
-    whole = F.when(F.startswith(t, F.lit("//")), F.concat(F.lit("http:"), t)).when(F.startswith(t, F.lit("/")), F.concat(F.lit("http://"), F.col("host"), t)).when(t.contains("://"), t)
-    return found.select("a", resource_of(whole).alias("b")).where("b is not null and a <> b").distinct()
+    tags = found.select(url.alias("url"), F.explode(F.regexp_extract_all(F.regexp_replace(html, _COMMENT, ""), F.lit(_TAG), 0)).alias("tag"))
+    tag = F.regexp_replace("tag", r"\s+", " ")
+    target = F.when(F.regexp_like(tag, F.lit(_IS_CANONICAL)), F.regexp_extract(tag, _HREF, 1)).when(F.regexp_like(tag, F.lit(_IS_REFRESH)), F.regexp_extract(tag, _REFRESH_URL, 1))
+    ends = tags.select("url", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("t")).where("t <> ''")
+    return ends.select(resource_of(F.col("url")).alias("a"), resource_of(resolved(F.col("t"), F.col("url"))).alias("b")).where("b is not null and a <> b").distinct()
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
@@ -101,7 +141,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None
     out = judged.withColumn("aliased", F.lit(None).cast("string"))
     if links:
         all_links = links[0] if len(links) == 1 else links[0].union(links[1])
-        groups = connected_components(written(all_links, "aliases"))
+        groups = connected_components(all_links)
         node = F.concat(F.lit("http://"), F.col("node"))
         own = longest_rule(host_of(node), path_of(node), rules)
         groups = groups.withColumn("bad", F.coalesce(own["verdict"] == "block", F.lit(False)))
