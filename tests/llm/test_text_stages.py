@@ -319,24 +319,57 @@ def test_features_of_texts():
     assert x[4, names["run_share"]] == 2 / 7 and x[4, names["pipe_share"]] == 1 / 7
 
 
-def test_lm_scoring(spark, docs, corpus, none):
-    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in corpus] + [(0, None)], "doc_id long, quality int")
-    got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, labels, size=50).collect()}
-    hashed = words_of(pa.array([t for _, t in corpus], type=pa.string()))
-    lists = [hashed.hashes[a:b].tolist() for a, b in zip(hashed.bounds[:-1], hashed.bounds[1:], strict=True)]
-    counts = Counter(h for x in lists for h in x)
-    vocabulary = lm_scoring.Vocabulary(np.sort(np.array(sorted(counts, key=lambda h: (-counts[h], h))[:50], dtype=np.uint64)))
-    size = vocabulary.size
-    tables = np.zeros((2, size, size))
-    coded = [vocabulary.tokens(np.array(x, dtype=np.uint64)).tolist() for x in lists]
-    for (i, _), tokens in zip(corpus, coded, strict=True):
-        for a, b in zip([size - 1, *tokens[:-1]], tokens, strict=False):
-            tables[1, a, b] += 1
-            tables[0, a, b] += i % 3 == 0
-    target, background = (lm_scoring.losses(t) for t in tables)
-    for (i, _), tokens in zip(corpus, coded, strict=True):
-        pairs = list(zip([size - 1, *tokens[:-1]], tokens, strict=False)) if tokens else []
-        t, b = (float(np.mean([m[p] for p in pairs])) if pairs else 0.0 for m in (target, background))
-        assert got[i]["n_tokens"] == len(tokens)
-        assert got[i]["target_loss"] == pytest.approx(t, abs=1e-4) and got[i]["score"] == pytest.approx(t - b, abs=1e-4)
+def brute_scores(rows, targets, prior=50.0, added=0.1):
+    """Counts of all words by dictionaries, without the document's own."""
+    def events(words):
+        seq = ["", *words, ""]
+        return list(zip(seq[:-1], seq[1:], strict=True)) if words else []
+
+    def model(texts):
+        pairs = Counter(e for w in texts for e in events(w))
+        return pairs, Counter(w for x in texts for _, w in events(x))
+
+    lists = [split(t) for _, t in rows]
+    both = [model([w for (i, _), w in zip(rows, lists, strict=True) if i in targets]), model(lists)]
+    total = [sum(m[1].values()) for m in both]
+    types, scale = max(1, len(both[1][1])), min(1.0, total[0] / total[1]) if total[1] else 1.0
+    out = []
+    for (i, _), words in zip(rows, lists, strict=True):
+        own = model([words])
+        figures = []
+        for (pairs, singles), n, by, mine in ((both[0], total[0], 1.0, i in targets), (both[1], total[1], scale, True)):
+            loss = 0.0
+            for h, w in events(words):
+                p, c, g, m = pairs[h, w], singles[w], singles[h], n
+                if mine:
+                    p, c, g, m = p - own[0][h, w], c - own[1][w], g - own[1][h], m - len(words) - 1
+                q = (by * c + added) / (by * m + added * types)
+                loss -= np.log2((by * p + prior * q) / (by * g + prior))
+            figures.append(loss / max(1, len(events(words))))
+        out.append((i, len(words), *figures, figures[0] - figures[1]))
+    return out
+
+
+@pytest.mark.parametrize("bucket_bytes", [4 << 20, 2000])
+def test_lm_scoring(spark, docs, corpus, none, monkeypatch, bucket_bytes):
+    """Over a vocabulary of all words, in one bucket and in many."""
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", (bucket_bytes, bucket_bytes))
+    targets = {i for i, _ in corpus if i % 3 == 0}
+    labels = spark.createDataFrame([(i, int(i in targets)) for i, _ in corpus] + [(0, 1), (1, None), (None, 1), (9999, 1)], "doc_id long, quality int")
+    got = sorted(map(tuple, lm_scoring.score_documents(docs.withColumns({"n": F.lit(1), "score": F.lit("own"), "kind": F.lit("k")}), labels).collect()))
+    for r, w in zip(got, sorted(brute_scores(corpus, targets)), strict=True):
+        assert r[:2] == w[:2] and r[2:] == pytest.approx(w[2:], abs=1e-9)
+
+
+def test_lm_scoring_edge_cases(spark, none):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert lm_scoring.score_documents(none, labels).count() == 0
+    rows = [(None, "a b"), (1, "a b c"), (1, "a b c"), (2, None), (3, ""), (4, "a " * 5000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, lm_scoring.score_documents(frame, labels).collect()), key=str)
+    wanted = sorted(brute_scores(rows, {1}), key=str)
+    assert [r[:2] for r in got] == [w[:2] for w in wanted]
+    assert all(r[2:] == pytest.approx(w[2:], abs=1e-9) for r, w in zip(got, wanted, strict=True))
+    assert {r["score"] for r in lm_scoring.score_documents(frame, labels.limit(0)).collect()} == {0.0}
+    named = spark.createDataFrame([("x", "a b"), ("y", "b c")], "name string, text string")
+    assert lm_scoring.score_documents(named, spark.createDataFrame([("x", 1)], "doc_id string, quality int"), id_col="name").count() == 2

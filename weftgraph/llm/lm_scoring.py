@@ -2,209 +2,267 @@
 
 After Moore and Lewis, "Intelligent Selection of Language Model Training Data"
 (2010): two bigram models, of target documents and of the whole corpus, of one
-order, one smoothing and one vocabulary.  A document's score is its mean loss a
-token under the target model less that under the background model; the lower,
-the more it is like the target.
+order, one smoothing and one vocabulary, which is open: every word of the corpus
+has counts of its own.  A document's score is its mean loss an event under the
+target model less that under the background model; the lower, the more it is
+like the target.
+
+Counts live in a distributed table and are never gathered in one place.  A task
+numbers the distinct n-grams of a *chunk* of texts and asks for their counts by
+bucket of their hash, each once; buckets add up and answer; the chunk scores its
+documents with the answers.  No bucket sees an n-gram more than once a chunk, so
+frequent ones are no hot keys, and the texts themselves are not shuffled.
+
+The models are matched: background counts are scaled to the target's size, so
+both are smoothed alike.  A document is scored without its own counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import slices, string_of
-from weftgraph.llm.shingles import words_of
-
-#: Words with tokens of their own: the most frequent of the whole corpus.  All
-#: other words share tokens by hash, so every word is counted and scored.  This
-#: bounds the tables, which are broadcast: (words + shared + 1) ** 2 * 8 bytes.
-VOCABULARY = 1000
-SHARED = 23
-_BUCKETS = 64
-
-
-@dataclass
-class Vocabulary:
-    """Token of each word hash: frequent ones in order of hash, shared ones,
-    and one for the start of a document."""
-
-    hashes: np.ndarray  # sorted
-
-    @property
-    def size(self) -> int:
-        return len(self.hashes) + SHARED + 1
-
-    def tokens(self, words: np.ndarray) -> np.ndarray:
-        shared = len(self.hashes) + (words % np.uint64(SHARED)).astype(np.int64)
-        if not len(self.hashes):
-            return shared
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at, shared)
-
-
-def _packed_rows(keys: np.ndarray, cols: list[np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(_BUCKETS + 1))
-    rows = []
-    for b in np.flatnonzero(np.diff(cuts)):
-        at = order[cuts[b] : cuts[b + 1]]
-        rows.append((int(b), keys[at].tobytes(), np.stack([c[at] for c in cols]).tobytes()))
-    k, a, c = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(k, type=pa.int32()), pa.array(a, type=pa.binary()), pa.array(c, type=pa.binary())], ["bucket", "keys", "counts"])
-
-
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, count = np.concatenate(keys), np.concatenate(counts, axis=1)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return key[first], np.add.reduceat(count[:, order], first, axis=1)
-
-
-class _Tally:
-    """Counts by key, merged whenever many have come."""
-
-    def __init__(self, rows: int):
-        self.rows, self.keys, self.counts, self.held = rows, [], [], 0
+from weftgraph.llm.common import dropped_after, slices, string_of, written
+from weftgraph.llm.shingles import Words, mixed, words_of
+
+#: Text bytes of the n-grams that one bucket counts; larger corpora take larger ones.
+BUCKET_BYTES = (4 << 20, 64 << 20)
+#: Hash classes of target ids that texts are thinned by before the exact join:
+#: a broadcast table of at most so many numbers.
+CLASSES = 1 << 20
+
+_EDGE = np.uint64(0x5851F42D4C957F2C)  # in front of and behind each document
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+_SCHEMA = "kind string, at long, bucket long, n long, keys binary, target binary, counts binary, ids binary, sizes binary"
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"kind": pa.string()} | dict.fromkeys(("at", "bucket", "n"), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], type=kinds.get(c, pa.binary())) for c in _NAMES], _NAMES)
+
+
+def _zipped(values: np.ndarray, kind: str) -> bytes:
+    """Bytes by place in the number, which compress well for sorted ones."""
+    planes = values.astype(kind).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unzipped(data: bytes, n: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True), dtype=np.uint8) if n else np.empty(0, dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+class Events:
+    """The events of some documents: each word after the one before, the first
+    one and the end after the edge.  Documents without words have none."""
+
+    def __init__(self, stream: np.ndarray, words: np.ndarray, sizes: np.ndarray):
+        #: Number of each event's word, the words' keys in order, events by document.
+        self.stream, self.words, self.sizes = stream, words, sizes
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        before = np.empty_like(stream)
+        before[1:] = stream[:-1]  # a document's last event is the edge, so the next one's first follows it
+        if len(stream):
+            before[0] = np.searchsorted(words, _EDGE & ~np.uint64(1))
+        self.before = before
+        pair = mixed(words[before] * _FACTOR + words[stream]) | np.uint64(1)
+        self.pairs, self.pair = np.unique(pair, return_inverse=True)
+
+    @classmethod
+    def of(cls, found: Words) -> Events:
+        n = np.diff(found.bounds)
+        full = np.flatnonzero(n > 0)
+        stream = np.insert(found.hashes, found.bounds[full + 1], _EDGE) & ~np.uint64(1)
+        words, numbers = np.unique(stream, return_inverse=True)
+        return cls(numbers, words, n + (n > 0))
+
+    def keys(self) -> np.ndarray:
+        """Keys of all words (even) and pairs (odd), in order."""
+        return np.sort(np.concatenate([self.words, self.pairs]))
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        out = np.empty(len(keys), dtype=np.uint32)
+        out[np.searchsorted(keys, self.words)] = np.bincount(self.stream, minlength=len(self.words))
+        out[np.searchsorted(keys, self.pairs)] = np.bincount(self.pair, minlength=len(self.pairs))
+        return out
+
+    def within(self, numbers: np.ndarray) -> np.ndarray:
+        """How often each event's number occurs in its document."""
+        code = self.doc * (int(numbers.max()) + 1 if len(numbers) else 1) + numbers
+        _, at, many = np.unique(code, return_inverse=True, return_counts=True)
+        return many[at]
+
+
+def losses(events: Events, keys: np.ndarray, counts: np.ndarray, total: int, scale: float, types: int, own: bool, prior: float, added: float) -> np.ndarray:
+    """Bits of each event: -log2 of (c(h, w) + prior q(w)) / (c(h) + prior), with
+    q(w) = (c(w) + added) / (N + added types).  Counts are multiplied by
+    ``scale``; ``own``: those of the event's document are taken off before."""
+    of = counts.astype(np.float64)
+    word, pair = of[np.searchsorted(keys, events.words)], of[np.searchsorted(keys, events.pairs)]
+    w, h, p, n = word[events.stream], word[events.before], pair[events.pair], np.float64(total)
+    if own:
+        # Below 0 only for documents that the counts don't hold, whose figure nobody takes.
+        less = lambda x, numbers: np.maximum(x - events.within(numbers), 0)
+        w, h, p, n = less(w, events.stream), less(h, events.before), less(p, events.pair), np.maximum(n - events.sizes[events.doc], 0)
+    q = (scale * w + added) / (scale * n + added * types)
+    return -np.log2((scale * p + prior * q) / (scale * h + prior))
+
+
+def _ids(column: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([column], ["id"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _asks(events: Events, buckets: int, chunk: int | None) -> list[dict]:
+    """What a chunk counts and asks for, by bucket.  Without a chunk's number
+    the counts are the target's, and nothing is asked for."""
+    keys = events.keys()
+    counts = events.counts(keys)
+    bucket = (keys >> np.uint64(44)).astype(np.int64) * buckets >> 20
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    out = []
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        own = slice(cuts[b], cuts[b + 1])
+        out.append({"kind": "t" if chunk is None else "a", "at": chunk, "bucket": b, "n": cuts[b + 1] - cuts[b], "keys": _zipped(keys[own], "<u8"), "counts": _zipped(counts[own], "<u4")})
+    return out
+
+
+def _chunked(buckets: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for part in slices(batches, "text"):
+            events = Events.of(words_of(string_of(part, "text")))
+            own = {"kind": "o", "at": number, "n": len(events.words), "keys": _zipped(events.words, "<u8"), "counts": _zipped(events.stream, "<u4"), "ids": _ids(string_of(part, "doc_id")), "sizes": _zipped(events.sizes, "<u4")}
+            yield _batch([own | {"bucket": len(events.stream)}])
+            yield _batch(_asks(events, buckets, number))
+            number += 1
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        if not len(keys):
-            return
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.held += len(keys)
-        if self.held > 4_000_000:
-            k, c = self.total()
-            self.keys, self.counts, self.held = [k], [c], 0
+    return run
 
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.empty(0, dtype=np.uint64), np.empty((self.rows, 0), dtype=np.int64)
-        return _merged(self.keys, self.counts)
 
+def _targets(buckets: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            yield _batch(_asks(Events.of(words_of(string_of(part, "text"))), buckets, None))
 
-_PACKED = "bucket int, keys binary, counts binary"
+    return run
 
 
-def _by_bucket(rows: int, finish):
-    """A function that sums the packed rows of each bucket and ends it so."""
+def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up each bucket.  Rows: answers by chunk (kind ``r``), and a bucket's
+    number of words and of events of both models (kind ``v``)."""
+
+    def answered(bucket: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
+        size = np.array([r["n"] for r in held])
+        keys = np.concatenate([_unzipped(r["keys"], r["n"], "<u8") for r in held])
+        counts = np.concatenate([_unzipped(r["counts"], r["n"], "<u4") for r in held])
+        is_target = np.repeat([r["kind"] == "t" for r in held], size)
+        distinct, at = np.unique(keys, return_inverse=True)
+        sums = np.stack([np.bincount(at, np.where(is_target, counts, 0), len(distinct)), np.bincount(at, np.where(is_target, 0, counts), len(distinct))]).astype(np.int64)
+        words = distinct % 2 == 0
+        totals = np.array([words.sum(), *sums[:, words].sum(axis=1)], dtype=np.int64)
+        yield _batch([{"kind": "v", "bucket": bucket, "n": 3, "counts": totals.tobytes()}])
+        start = np.append(0, np.cumsum(size))
+        for i, r in enumerate(held):
+            if r["kind"] == "a":
+                own = sums[:, at[start[i] : start[i + 1]]]
+                yield _batch([{"kind": "r", "at": r["at"], "bucket": bucket, "n": r["n"], "target": _zipped(own[0], "<u8"), "counts": _zipped(own[1], "<u8")}])
+
+    now, held = None, []
+    for part in batches:
+        for row in part.to_pylist():
+            if row["bucket"] != now and held:
+                yield from answered(now, held)
+                held = []
+            now = row["bucket"]
+            held.append(row)
+    if held:
+        yield from answered(now, held)
+
+
+def _scored(types: int, target: int, background: int, prior: float, added: float):
+    scale = min(1.0, target / background) if background else 1.0
+    names = ["doc_id", "n_tokens", "target_loss", "own_target_loss", "background_loss"]
+
+    def scored(own: dict, answers: list[dict]) -> pa.RecordBatch:
+        sizes = _unzipped(own["sizes"], _count(own["ids"]), "<u4").astype(np.int64)
+        events = Events(_unzipped(own["counts"], own["bucket"], "<u4").astype(np.int64), _unzipped(own["keys"], own["n"], "<u8"), sizes)
+        keys = events.keys()
+        found = [np.concatenate([_unzipped(r[c], r["n"], "<u8") for r in answers] or [np.empty(0)]) for c in ("target", "counts")]
+        many = np.maximum(sizes, 1)
+        mean = lambda x: pa.array(np.bincount(events.doc, x, len(sizes)) / many)
+        wanted = ((found[0], target, 1.0, False), (found[0], target, 1.0, True), (found[1], background, scale, True))
+        means = [mean(losses(events, keys, counts, total, by, types, less, prior, added)) for counts, total, by, less in wanted]
+        with pa.ipc.open_stream(own["ids"]) as ids:
+            column = ids.read_all().column(0).combine_chunks()
+        return pa.RecordBatch.from_arrays([column, pa.array(np.maximum(sizes - 1, 0)), *means], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tally = None, None
+        own, answers = None, []
         for part in batches:
-            for bucket, keys, counts in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                if bucket != now:
-                    if tally:
-                        yield finish(now, *tally.total())
-                    now, tally = bucket, _Tally(rows)
-                tally.add(np.frombuffer(keys, dtype=np.uint64), np.frombuffer(counts, dtype=np.int64).reshape(rows, -1))
-        if tally:
-            yield finish(now, *tally.total())
+            for row in part.to_pylist():
+                if row["kind"] == "o":
+                    if own is not None:
+                        yield scored(own, answers)
+                    own, answers = row, []
+                else:
+                    answers.append(row)
+        if own is not None:
+            yield scored(own, answers)
 
     return run
 
 
-def build_vocabulary(texts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    """The ``size`` most frequent words over all texts (ties: least hash).
+def _count(ids: bytes) -> int:
+    with pa.ipc.open_stream(ids) as found:
+        return found.read_all().num_rows
 
-    Tasks count their own words first; each bucket of hashes adds them up and
-    hands on its ``size`` most frequent, among which the whole corpus' are.
-    """
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally(1)
-        for part in slices(batches, "text"):
-            words, many = np.unique(words_of(string_of(part, "text")).hashes, return_counts=True)
-            tally.add(words, many[None].astype(np.int64))
-        keys, counts = tally.total()
-        if len(keys):
-            yield _packed_rows(keys, [counts[0]], (keys >> np.uint64(58)).astype(np.int64))
-
-    def best(bucket: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        at = np.lexsort((keys, -counts[0]))[:size]
-        return pa.RecordBatch.from_arrays([pa.array([bucket], type=pa.int32()), pa.array([keys[at].tobytes()], type=pa.binary()), pa.array([counts[0][at].tobytes()], type=pa.binary())], ["bucket", "keys", "counts"])
-
-    found = texts.select("text").mapInArrow(count, _PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(1, best), _PACKED).collect()
-    if not found:
-        return Vocabulary(np.empty(0, dtype=np.uint64))
-    keys = np.concatenate([np.frombuffer(r["keys"], dtype=np.uint64) for r in found])
-    counts = np.concatenate([np.frombuffer(r["counts"], dtype=np.int64) for r in found])
-    return Vocabulary(np.sort(keys[np.lexsort((keys, -counts))[:size]]))
-
-
-def _pairs(words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of token pairs in a row, document of each)."""
-    tokens = vocabulary.tokens(words.hashes)
-    n = np.diff(words.bounds)
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[words.bounds[:-1][n > 0]] = vocabulary.size - 1
-    return before * vocabulary.size + tokens, np.repeat(np.arange(len(n)), n)
-
-
-def count_pairs(texts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(target, background) counts of all pairs; ``texts`` has text and target."""
-    size = vocabulary.size
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size * size), dtype=np.int64)
-        for part in slices(batches, "text"):
-            code, doc = _pairs(words_of(string_of(part, "text")), vocabulary)
-            target = string_of(part, "target").to_numpy(zero_copy_only=False).astype(bool)
-            total[0] += np.bincount(code[target[doc]], minlength=size * size)
-            total[1] += np.bincount(code, minlength=size * size)
-        used = np.flatnonzero(total[1])
-        if len(used):
-            yield _packed_rows(used.astype(np.uint64), [total[0][used], total[1][used]], used * _BUCKETS // (size * size))
-
-    def whole(bucket: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([bucket], type=pa.int32()), pa.array([keys.tobytes()], type=pa.binary()), pa.array([counts.tobytes()], type=pa.binary())], ["bucket", "keys", "counts"])
-
-    out = np.zeros((2, size * size), dtype=np.int64)
-    rows = texts.select("text", "target").mapInArrow(count, _PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(2, whole), _PACKED)
-    for row in rows.toLocalIterator():
-        keys = np.frombuffer(row["keys"], dtype=np.uint64).astype(np.int64)
-        out[:, keys] = np.frombuffer(row["counts"], dtype=np.int64).reshape(2, -1)
-    return out[0].reshape(size, size), out[1].reshape(size, size)
-
-
-def losses(counts: np.ndarray, prior: float = 50.0) -> np.ndarray:
-    """-log2 p(word | word before), smoothed by a Dirichlet prior on unigrams,
-    which have one count added each."""
-    uni = counts.sum(axis=0) + 1.0
-    uni /= uni.sum()
-    return -np.log2((counts + prior * uni) / (counts.sum(axis=1, keepdims=True) + prior)).astype(np.float64)
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", prior: float = 50.0, added: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of each row.
 
     The target are documents with label 1, the background is all.  Losses are
-    bits a token; ``score`` is the target's less the background's.  Null and
-    empty texts have 0 tokens and 0 for all figures.  Null labels count as
-    none; labels that repeat count once; repeated rows are counted and scored
-    each.  Without any label 1 the target model is its prior.  An empty table
-    gives no rows.
+    bits an event (the words and the end); ``score`` is the target's less the
+    background's.  Each row is scored by counts that are not its own, so copies
+    count for one another.  Words are told apart by 63 bits of hash.
+
+    Null and empty texts have 0 tokens and 0 for all figures.  Null labels count
+    as none; labels that repeat count once; repeated rows are counted and scored
+    each; a row with a null id belongs to no target.  Without any label 1 both
+    models are uniform and scores 0.  An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    vocabulary = build_vocabulary(texts, size)
-    wanted = labels.where(F.col(label_col) == 1).select("doc_id").distinct().withColumn("target", F.lit(True))
-    flagged = texts.join(wanted.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    target, background = count_pairs(flagged, vocabulary)
-    held = docs.sparkSession.sparkContext.broadcast(np.stack([losses(target), losses(background)]).reshape(2, -1).astype(np.float32))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            words = words_of(string_of(part, "text"))
-            code, doc = _pairs(words, vocabulary)
-            n = np.diff(words.bounds)
-            sums = [np.bincount(doc, table[code], minlength=len(n)) / np.maximum(n, 1) for table in held.value]
-            yield pa.RecordBatch.from_arrays([string_of(part, "doc_id"), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[0] - sums[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("doc_id", id_col)
+    wanted = labels.where(F.col(label_col) == 1).select(F.col("doc_id").cast(kind).alias("doc_id")).where("doc_id is not null").distinct()
+    group = F.pmod(F.xxhash64("doc_id"), F.lit(CLASSES)).cast("int").alias("group")
+    with dropped_after(docs.sparkSession):
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        buckets = size // int(np.clip(size // 20_000, *BUCKET_BYTES)) + 1
+        chunks = written(texts.mapInArrow(_chunked(buckets), _SCHEMA), "chunks")
+        # Thinned by a table of bounded size first, so that few texts are shuffled.
+        thin = texts.withColumn("group", group).join(F.broadcast(wanted.select(group).distinct()), "group", "left_semi")
+        target_texts = thin.join(wanted, "doc_id", "left_semi").select("text")
+        asked = chunks.where("kind = 'a'").union(target_texts.mapInArrow(_targets(buckets), _SCHEMA))
+        answers = written(asked.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_answers, _SCHEMA), "answers")
+        totals = np.zeros(3, dtype=np.int64)
+        for row in answers.where("kind = 'v'").select("counts").toLocalIterator():  # 24 bytes a bucket
+            totals += np.frombuffer(row["counts"], dtype=np.int64)
+        types, target, background = (int(x) for x in totals)
+        parts = max(8, int(size // (8 << 20)) + 1)
+        dealt = chunks.where("kind = 'o'").union(answers.where("kind = 'r'")).repartition(parts, "at").sortWithinPartitions("at", "kind", "bucket")
+        out = dealt.mapInArrow(_scored(max(types, 1), target, background, prior, added), f"doc_id {kind}, n_tokens long, target_loss double, own_target_loss double, background_loss double")
+        marked = out.join(wanted.withColumn("is_target", F.lit(True)), "doc_id", "left")
+        loss = F.when(F.col("is_target"), F.col("own_target_loss")).otherwise(F.col("target_loss"))
+        result = marked.select(F.col("doc_id").alias(id_col), "n_tokens", loss.alias("target_loss"), "background_loss", (loss - F.col("background_loss")).alias("score"))
+        return written(result, "scores", keep=True)
