@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -8,11 +9,12 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weftgraph.llm import packing, token_counts, token_files
 from weftgraph.llm.common import shared_folder
-from weftgraph.llm.segments import column_bytes, document_bounds, tokenizer_of
+from weftgraph.llm.segments import SegmentTokenizer, column_bytes, document_bounds, kind_of, tokenizer_of
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 LIBRARY = {f: Tokenizer.from_file(P.path(f)) for f in FILES}
@@ -27,7 +29,7 @@ PIECES = st.sampled_from([
 @given(texts=st.lists(st.lists(PIECES, max_size=12).map("".join) | st.text(max_size=20), max_size=4))
 def test_segments_give_the_library_ids(file, texts):
     data, offsets = column_bytes(pa.array(texts, type=pa.string()))
-    bounds, first = document_bounds(data, offsets)
+    bounds, first = document_bounds(tokenizer_of(P.path(file)), data, offsets)
     ids, sizes = tokenizer_of(P.path(file)).ids(data, bounds)
     at = np.concatenate([[0], np.cumsum(sizes)])[first]
     for i, text in enumerate(texts):
@@ -43,6 +45,49 @@ def test_chunks_are_spliced_exactly(file, text, chunk, overlap):
     assert np.concatenate(parts).tolist() == LIBRARY[file].encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("file", FILES)
+def test_overlaps_widen_until_chunks_agree(file, monkeypatch):
+    """No boundary in the first overlaps, then a stretch that is cut inside a word."""
+    text = "start of it, " + "x" * 700 + " middle part here " + "日本語é" * 90 + " some more words " * 30 + "<|endoftext|>" * 20 + "z" * 333
+    data, tries = np.frombuffer(text.encode(), dtype=np.uint8), []
+    real = token_counts._Chunk.__init__
+    monkeypatch.setattr(token_counts._Chunk, "__init__", lambda self, t, d, lo, hi: (tries.append((lo, hi)), real(self, t, d, lo, hi))[1])
+    parts = list(token_counts.encode_huge(tokenizer_of(P.path(file)), data, 200, 16))
+    assert np.concatenate(parts).tolist() == LIBRARY[file].encode(text, add_special_tokens=False).ids
+    ends = [hi for _, hi in tries]
+    assert len(parts) > 2 and any(a == b for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_chunks_that_differ_are_not_aligned():
+    tokenizer = tokenizer_of(P.path(FILES[0]))
+    data = np.frombuffer(b"one two three four five six seven eight nine ten eleven twelve", dtype=np.uint8)
+    left, right = token_counts._Chunk(tokenizer, data, 0, 50), token_counts._Chunk(tokenizer, data, 5, len(data))
+    assert token_counts.aligned(left, right, 27, 0) and not token_counts.aligned(left, right, 25, 0)
+    assert not token_counts.aligned(left, right, 23, 0)  # too near to where the right chunk was cut
+    right.ids[5] += 1
+    assert not token_counts.aligned(left, right, 27, 0)
+
+
+def test_files_of_other_kinds_are_encoded_whole(tmp_path):
+    spec = json.loads(LIBRARY[FILES[0]].to_str())
+    assert [kind_of(P.path(f)) for f in FILES] == ["bytes", "folding"]
+    text = "One  two,three " * 40
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"added_tokens": [spec["added_tokens"][0] | {"rstrip": True}]}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        tokenizer, data = SegmentTokenizer(str(path)), np.frombuffer(text.encode(), dtype=np.uint8)
+        assert tokenizer.kind is None
+        wanted = Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+        assert np.concatenate(list(token_counts.encode_huge(tokenizer, data, 100, 16))).tolist() == wanted
+        assert tokenizer.ids(data, document_bounds(tokenizer, data, np.array([0, len(data)]))[0])[0].tolist() == wanted
+
+
+def test_counts_edge_cases(spark):
+    rows = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string").withColumns({"id": F.lit("x"), "n_tokens": F.lit(9)})
+    got = sorted(map(tuple, token_counts.count_tokens(rows, P.path(FILES[0])).collect()), key=str)
+    assert got == sorted([(None, 3, 2, False), (1, 3, 2, False), (1, 3, 2, False), (2, 0, 0, False)], key=str)
+
+
 def test_counts(docs, corpus, none):
     file = FILES[0]
     out = token_counts.count_tokens(docs.withColumnRenamed("doc_id", "id"), P.path(file), limit=100, id_col="id", chunk_bytes=1000, overlap_bytes=64)

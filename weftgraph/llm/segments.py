@@ -17,10 +17,14 @@ Otherwise only ASCII white space starts a segment.  A segment also never starts
 a character that may itself be Unicode white space (see ``cut_points``), and
 never inside one of the tokenizer's special strings, as those hold no white
 space.
+
+All this holds for two kinds of tokenizer, which a file is recognised as by its
+own description; any other file's texts are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -88,6 +92,29 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def kind_of(path: str) -> str | None:
+    """The kind of a tokenizer file: ``bytes`` (byte-level BPE on the usual
+    pre-tokens), ``folding`` (lower case, white space dropped, word ends), or
+    None if it is another, or has special strings that a segment could cut."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = lambda part, key: [x["type"] for x in part.get(key, [part])] if part else []
+    normal, before = steps(spec["normalizer"], "normalizers"), spec["pre_tokenizer"] or {}
+    plain = spec["model"]["type"] == "BPE" and not spec["post_processor"] and not spec["model"].get("dropout")
+    whole = all(not (x["lstrip"] or x["rstrip"] or x["single_word"]) and not len(cut_points(np.frombuffer(x["content"].encode(), dtype=np.uint8))) for x in spec["added_tokens"])
+    if not plain or not whole:
+        return None
+    if not normal and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not spec["model"].get("end_of_word_suffix"):
+        return "bytes"
+    if normal == ["NFC", "Replace", "Lowercase"] and steps(before, "pretokenizers") == ["Split", "ByteLevel"]:
+        replace, split, last = spec["normalizer"]["normalizers"][1], *before["pretokenizers"]
+        pattern = split["pattern"].get("Regex", "")
+        # White space goes, and every pre-token is letters, one number, marks, or a contraction.
+        known = replace["pattern"] == {"Regex": r"\s+"} and replace["content"] == " " and split["invert"] and split["behavior"] == "Removed" and not last["use_regex"] and not last["add_prefix_space"]
+        return "folding" if known and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") else None
+    return None
+
+
 class SegmentTokenizer:
     """A ``tokenizers`` file with a memo from segment to ids.
 
@@ -101,10 +128,15 @@ class SegmentTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        # The one that lower-cases also drops white space.
-        self.folds = self.library.normalizer is not None
+        self.kind = kind_of(path)
+        self.folds = self.kind == "folding"
         self._clear()
 
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Proven boundaries of a text, whatever surrounds it; none if the
+        tokenizer's kind isn't known."""
+        return cut_points(data) if self.kind else np.empty(0, dtype=np.int64)
+
     def _clear(self) -> None:
         self.memo: dict[bytes, int] = {}
         self.flat = np.empty(1 << 16, dtype=np.uint32)
@@ -130,6 +162,9 @@ class SegmentTokenizer:
         rest = []
         merge, plain, ascii_only, folds, space = self.model.tokenize, _PLAIN.fullmatch, _ASCII_PLAIN.fullmatch, self.folds, _STAND_IN[32]
         for i, raw in enumerate(part):
+            if not self.kind:
+                rest.append(i)
+                continue
             if ascii_only(raw):
                 text = raw.decode("ascii")
                 text = text.lstrip().lower() if folds else text.replace(" ", space)
@@ -193,13 +228,13 @@ class SegmentTokenizer:
         return self.flat[at], sizes
 
 
-def document_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def document_bounds(tokenizer: SegmentTokenizer, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bounds of all segments, for each document the first of them).
 
     Documents are cut from one another too; an empty one has no segment.
     """
     starts = np.zeros(len(data) + 1, dtype=bool)
-    starts[cut_points(data)] = True
+    starts[tokenizer.cuts(data)] = True
     starts[offsets] = True
     bounds = np.flatnonzero(starts)
     return bounds, np.searchsorted(bounds, offsets)

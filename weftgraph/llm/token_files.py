@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import slices, string_of
 from weftgraph.llm.segments import column_bytes, document_bounds, tokenizer_of
 
-#: Text bytes for one file, rows of whole row groups and pages.
-FILE_BYTES = 64 << 20
+#: Bytes of row groups and of pages.
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 
@@ -24,7 +23,7 @@ def encoded_ids(column: pa.Array, tokenizer_path: str, end_id: int | None) -> tu
     after every text."""
     tokenizer = tokenizer_of(tokenizer_path)
     data, offsets = column_bytes(column)
-    bounds, first = document_bounds(data, offsets)
+    bounds, first = document_bounds(tokenizer, data, offsets)
     ids, sizes = tokenizer.ids(data, bounds)
     at = np.concatenate([[0], np.cumsum(sizes)])[first]
     if end_id is not None:
