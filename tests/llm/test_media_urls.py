@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import media, url_rules
+from weftgraph.llm.common import shared_folder
 from weftgraph.llm.queries import OP10_SQL, RULES
 
 RNG = np.random.default_rng(9)
@@ -50,6 +51,21 @@ def test_area_resize(target):
     assert (media.area_resize(x, h, w) == (2 * rows + 143) // 286).all()
 
 
+def brute_means(x, height, width):
+    """Area means by repeating samples to a common multiple."""
+    h, w, c = x.shape
+    by_row = np.stack([np.repeat(x, height, axis=0)[k * h : (k + 1) * h].astype(np.int64).sum(axis=0) for k in range(height)])
+    sums = np.stack([np.repeat(by_row, width, axis=1)[:, k * w : (k + 1) * w].sum(axis=1) for k in range(width)], axis=1)
+    return ((2 * sums + h * w) // (2 * h * w)).astype(np.uint8)
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (3, 7), (16, 16), (50, 20), (200, 64)])
+def test_area_means(shape):
+    x = image(*shape)
+    for size in ((8, 9), (16, 16), (1, 1), (31, 5)):
+        assert (media.area_resize(x, *size) == brute_means(x, *size)).all()
+
+
 def test_tiles(spark):
     x = image(20, 30)
     rows = [(1, media.write_netpbm(x)), (2, media.write_bmp(x)), (3, b"nothing"), (4, None), (1, b"")]
@@ -57,6 +73,9 @@ def test_tiles(spark):
     assert [r["error"] is None for r in out] == [True, True, False, False, False]
     assert out[0]["tile"] == out[1]["tile"] and out[0]["dhash"] == out[1]["dhash"]
     assert (np.load(io.BytesIO(out[0]["tile"])) == media.area_resize(x, 8, 8)).all()
+    path = shared_folder(spark, "tiles")
+    media.write_tiles(spark.createDataFrame(rows, "id int, media binary"), path, "media", "id", 8, 8)
+    assert spark.read.parquet(path).where("tile is not null").count() == 2
 
 
 def test_payloads(docs, corpus, none):
@@ -67,11 +86,23 @@ def test_payloads(docs, corpus, none):
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(payload[-16:])
-        stored = media.write_netpbm(np.frombuffer(payload, dtype=np.uint8).reshape(-1, 64, 3))
+        image = np.frombuffer(payload, dtype=np.uint8).reshape(-1, 64, 3)
+        stored = media.write_bmp(image) if len(image) > media.TALL else media.write_netpbm(image)
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        tile = io.BytesIO()
+        np.save(tile, brute_means(image, 16, 16))
+        assert r["feature"].split("-")[1] == hashlib.sha256(tile.getvalue()).hexdigest()
     assert media.payload_features(none).count() == 0
 
 
+def test_payload_edge_cases(spark):
+    long = "long text é " * 400_000
+    rows = spark.createDataFrame([(1, "x"), (1, "x"), (None, "x"), (2, long), (3, None), (4, "")], "doc_id long, text string").withColumns({"id": F.lit(0), "media": F.lit("m")})
+    got = sorted(map(tuple, media.payload_features(rows).collect()), key=str)
+    assert len(got) == 6 and len({r[1:] for r in got if r[1] == 1}) == 1 and len({r[1:] for r in got if r[1] == 0}) == 1
+    assert [r[2] for r in got if r[0] == 2] == [-(-len(long.encode()) // 192) * 192]
+
+
 URLS = [
     ("http://A.Example.ORG/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"), ("https://example.org/en/15", "example.org", "/en/15", "example.org/en/1", "block"), ("https://x.org", "x.org", "", None, "allow"),
     ("https://x.org/", "x.org", "/", "org/", "allow"), ("ftp://b.com/de/?q#f", "b.com", "/de/", "com/de/", "block"), ("http://com/fr/a", "com", "/fr/a", "com/fr/", "allow"), ("http://telecom/fr/", "telecom", "/fr/", None, "allow"),

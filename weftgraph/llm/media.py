@@ -13,11 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import slices, string_of
+from weftgraph.llm.common import slices, string_of, written
 from weftgraph.llm.segments import column_bytes
 
 #: Bytes of one row of the images that carry payloads: 64 pixels of 3 samples.
 ROW_BYTES = 192
+#: Payload images of more rows are stored as BMP, others as Netpbm.
+TALL = 8
+#: Side of the tiles of payload images.
+TILE = 16
 
 
 class ImageError(ValueError):
@@ -127,15 +131,16 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
     The integral image is read at the corners of each target pixel; corners
     between samples are interpolated, which is exact, as a sample is constant
-    over its area.  Works for smaller and larger sizes.
+    over its area.  Works for smaller and larger sizes.  Of the integral image
+    only the rows at target edges are held, so memory follows the target.
     """
     old_h, old_w, channels = image.shape
-    total = np.zeros((old_h + 1, old_w + 1, channels), dtype=np.int64)
-    np.cumsum(image, axis=0, out=total[1:, 1:], dtype=np.int64)
-    # Rows first: only the rows at target edges are summed along the other axis.
     at, part = _edges(old_h, height)
-    rows = total[at] * height + part[:, None, None] * (total[np.minimum(at + 1, old_h)] - total[at])
-    rows = np.cumsum(rows, axis=1)
+    held = np.unique(np.concatenate([at, np.minimum(at + 1, old_h)]))  # from 0 to old_h
+    total = np.zeros((len(held), old_w + 1, channels), dtype=np.int64)
+    np.cumsum(np.add.reduceat(image, held[:-1], axis=0, dtype=np.int64), axis=0, out=total[1:, 1:])
+    low, high = total[np.searchsorted(held, at)], total[np.searchsorted(held, np.minimum(at + 1, old_h))]
+    rows = np.cumsum(low * height + part[:, None, None] * (high - low), axis=1)
     at, part = _edges(old_w, width)
     both = rows[:, at] * width + part[None, :, None] * (rows[:, np.minimum(at + 1, old_w)] - rows[:, at])
     areas = both[1:, 1:] - both[:-1, 1:] - both[1:, :-1] + both[:-1, :-1]
@@ -196,36 +201,60 @@ def media_tiles(frame: DataFrame, bytes_col: str, id_col: str, height: int = 32,
     return picked.mapInArrow(run, f"id {kind}, height int, width int, channels int, tile binary, dhash string, error string").withColumnRenamed("id", id_col)
 
 
+def write_tiles(frame: DataFrame, path: str, bytes_col: str, id_col: str, height: int = 32, width: int = 32) -> None:
+    """Writes the rows of ``media_tiles`` as Parquet."""
+    media_tiles(frame, bytes_col, id_col, height, width).write.parquet(path)
+
+
 def payload_image(text: bytes) -> np.ndarray:
     """Bytes as rows of 64 RGB pixels, filled up with spaces."""
     rows = max(1, -(-len(text) // ROW_BYTES))
     return np.frombuffer(text.ljust(rows * ROW_BYTES), dtype=np.uint8).reshape(rows, ROW_BYTES // 3, 3)
 
 
+def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, media) of each text: its payload as a Netpbm or BMP image.
+
+    A null text is empty; an empty one is a single row of spaces.  Equal texts
+    have equal images; the pass is narrow.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            data, offsets = column_bytes(string_of(part, "text"))
+            images = (payload_image(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+            media = [write_bmp(x) if len(x) > TALL else write_netpbm(x) for x in images]
+            yield pa.RecordBatch.from_arrays([string_of(part, "id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(media, type=pa.binary())], ["id", "n_bytes", "media"])
+
+    return picked.mapInArrow(run, f"id {kind}, n_bytes long, media binary")
+
+
 def payload_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts stored as PPM images, read back, and described.
+    """Texts stored as images in the shared folder, read back, and described.
 
     Columns: id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature (difference hash).  A null text is
-    empty; an empty one is a single row of spaces.  Equal texts have equal
-    values; all rows are kept; the pass is narrow.
+    media_bytes, media_sha256, feature (difference hash, and the digest of the
+    NPY tile).  A null text is empty; an empty one is a single row of spaces.
+    Equal texts have equal values; all rows are kept; both passes are narrow.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    stored = written(store_payloads(docs, id_col, text_col), "media", compression="zstd")
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def one(text: bytes) -> tuple:
-        media = write_netpbm(payload_image(text))
-        image = read_netpbm(media)
+    def one(n_bytes: int, media: bytes) -> tuple:
+        image = read_image(media)
         payload = image.tobytes()
-        return (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image))
+        tile = npy_bytes(area_resize(image, TILE, TILE))
+        feature = f"{difference_hash(image)}-{hashlib.sha256(tile).hexdigest()}"
+        return (n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            data, offsets = column_bytes(string_of(part, "text"))
-            raw = data.tobytes()
-            cols = zip(*(one(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)), strict=True)
+        for part in slices(batches, "media"):
+            cols = zip(*map(one, string_of(part, "n_bytes").to_pylist(), string_of(part, "media").to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([string_of(part, "id"), *(pa.array(c, type=t) for c, t in zip(cols, types, strict=True))], ["id", *names])
 
-    return picked.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    out = stored.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return out.withColumnRenamed("id", id_col)
