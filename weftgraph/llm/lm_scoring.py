@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import dropped_after, slices, string_of, written
+from weftgraph.llm.common import dropped_after, release, slices, string_of, written
 from weftgraph.llm.shingles import Words, mixed, words_of
 
 #: Text bytes of the n-grams that one bucket counts; larger corpora take larger ones.
@@ -36,6 +36,10 @@ BUCKET_BYTES = (4 << 20, 64 << 20)
 #: a broadcast table of at most so many numbers.
 CLASSES = 1 << 20
 
+#: Bits of a key beyond those that name its bucket: two of a bucket's n-grams
+#: have one key about once in a million.
+KEY_BITS = 41
+
 _EDGE = np.uint64(0x5851F42D4C957F2C)  # in front of and behind each document
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,29 +64,46 @@ def _unzipped(data: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
+def _key_bits(buckets: int) -> int:
+    return min(63, KEY_BITS + buckets.bit_length())
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return _zipped(np.diff(keys, prepend=np.uint64(0)), "<u8")
+
+
+def _keys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unzipped(data, n, "<u8"), dtype=np.uint64)
+
+
 class Events:
     """The events of some documents: each word after the one before, the first
     one and the end after the edge.  Documents without words have none."""
 
-    def __init__(self, stream: np.ndarray, words: np.ndarray, sizes: np.ndarray):
+    def __init__(self, stream: np.ndarray, words: np.ndarray, sizes: np.ndarray, bits: int):
         #: Number of each event's word, the words' keys in order, events by document.
-        self.stream, self.words, self.sizes = stream, words, sizes
+        self.stream, self.words, self.sizes, self.bits = stream, words, sizes, bits
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         before = np.empty_like(stream)
         before[1:] = stream[:-1]  # a document's last event is the edge, so the next one's first follows it
         if len(stream):
-            before[0] = np.searchsorted(words, _EDGE & ~np.uint64(1))
+            before[0] = stream[sizes[sizes > 0][0] - 1]
         self.before = before
-        pair = mixed(words[before] * _FACTOR + words[stream]) | np.uint64(1)
+        pair = self.cut(mixed(words[before] * _FACTOR + words[stream]), bits) | np.uint64(1)
         self.pairs, self.pair = np.unique(pair, return_inverse=True)
 
+    @staticmethod
+    def cut(hashes: np.ndarray, bits: int) -> np.ndarray:
+        return hashes >> np.uint64(64 - bits) & ~np.uint64(1)
+
     @classmethod
-    def of(cls, found: Words) -> Events:
+    def of(cls, found: Words, bits: int) -> Events:
         n = np.diff(found.bounds)
         full = np.flatnonzero(n > 0)
-        stream = np.insert(found.hashes, found.bounds[full + 1], _EDGE) & ~np.uint64(1)
+        stream = cls.cut(np.insert(found.hashes, found.bounds[full + 1], _EDGE), bits)
         words, numbers = np.unique(stream, return_inverse=True)
-        return cls(numbers, words, n + (n > 0))
+        return cls(numbers, words, n + (n > 0), bits)
 
     def keys(self) -> np.ndarray:
         """Keys of all words (even) and pairs (odd), in order."""
@@ -94,24 +115,34 @@ class Events:
         out[np.searchsorted(keys, self.pairs)] = np.bincount(self.pair, minlength=len(self.pairs))
         return out
 
-    def within(self, numbers: np.ndarray) -> np.ndarray:
-        """How often each event's number occurs in its document."""
-        code = self.doc * (int(numbers.max()) + 1 if len(numbers) else 1) + numbers
-        _, at, many = np.unique(code, return_inverse=True, return_counts=True)
-        return many[at]
+    def within(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often each event's word, the one before and the pair occur in its
+        document.  A document's words and those before them are the same."""
+
+        def often(numbers: np.ndarray) -> np.ndarray:
+            out = np.ones(len(numbers), dtype=np.int64)
+            again = np.flatnonzero(np.bincount(numbers)[numbers] > 1) if len(numbers) else numbers
+            code = self.doc[again] * np.int64(len(self.words) + len(self.pairs)) + numbers[again]
+            _, at, many = np.unique(code, return_inverse=True, return_counts=True)
+            out[again] = many[at]
+            return out
+
+        word = often(self.stream)
+        before = np.append(1, word)[: len(word)]
+        before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 1  # the edge
+        return word, before, often(self.pair)
 
 
-def losses(events: Events, keys: np.ndarray, counts: np.ndarray, total: int, scale: float, types: int, own: bool, prior: float, added: float) -> np.ndarray:
+def losses(events: Events, keys: np.ndarray, counts: np.ndarray, total: int, scale: float, types: int, own: tuple[np.ndarray, ...] | None, prior: float, added: float) -> np.ndarray:
     """Bits of each event: -log2 of (c(h, w) + prior q(w)) / (c(h) + prior), with
     q(w) = (c(w) + added) / (N + added types).  Counts are multiplied by
-    ``scale``; ``own``: those of the event's document are taken off before."""
+    ``scale``; before, those in ``own`` (of the event's document) are taken off."""
     of = counts.astype(np.float64)
     word, pair = of[np.searchsorted(keys, events.words)], of[np.searchsorted(keys, events.pairs)]
     w, h, p, n = word[events.stream], word[events.before], pair[events.pair], np.float64(total)
-    if own:
+    if own is not None:
         # Below 0 only for documents that the counts don't hold, whose figure nobody takes.
-        less = lambda x, numbers: np.maximum(x - events.within(numbers), 0)
-        w, h, p, n = less(w, events.stream), less(h, events.before), less(p, events.pair), np.maximum(n - events.sizes[events.doc], 0)
+        w, h, p, n = (np.maximum(x - y, 0) for x, y in zip((w, h, p, n), (*own, events.sizes[events.doc]), strict=True))
     q = (scale * w + added) / (scale * n + added * types)
     return -np.log2((scale * p + prior * q) / (scale * h + prior))
 
@@ -129,12 +160,12 @@ def _asks(events: Events, buckets: int, chunk: int | None) -> list[dict]:
     the counts are the target's, and nothing is asked for."""
     keys = events.keys()
     counts = events.counts(keys)
-    bucket = (keys >> np.uint64(44)).astype(np.int64) * buckets >> 20
+    bucket = (keys >> np.uint64(events.bits - 32)).astype(np.int64) * buckets >> 32
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     out = []
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         own = slice(cuts[b], cuts[b + 1])
-        out.append({"kind": "t" if chunk is None else "a", "at": chunk, "bucket": b, "n": cuts[b + 1] - cuts[b], "keys": _zipped(keys[own], "<u8"), "counts": _zipped(counts[own], "<u4")})
+        out.append({"kind": "t" if chunk is None else "a", "at": chunk, "bucket": b, "n": cuts[b + 1] - cuts[b], "keys": _steps(keys[own]), "counts": _zipped(counts[own], "<u4")})
     return out
 
 
@@ -142,8 +173,8 @@ def _chunked(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for part in slices(batches, "text"):
-            events = Events.of(words_of(string_of(part, "text")))
-            own = {"kind": "o", "at": number, "n": len(events.words), "keys": _zipped(events.words, "<u8"), "counts": _zipped(events.stream, "<u4"), "ids": _ids(string_of(part, "doc_id")), "sizes": _zipped(events.sizes, "<u4")}
+            events = Events.of(words_of(string_of(part, "text")), _key_bits(buckets))
+            own = {"kind": "o", "at": number, "n": len(events.words), "keys": _steps(events.words), "counts": _zipped(events.stream, "<u4"), "ids": _ids(string_of(part, "doc_id")), "sizes": _zipped(events.sizes, "<u4")}
             yield _batch([own | {"bucket": len(events.stream)}])
             yield _batch(_asks(events, buckets, number))
             number += 1
@@ -154,7 +185,7 @@ def _chunked(buckets: int):
 def _targets(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            yield _batch(_asks(Events.of(words_of(string_of(part, "text"))), buckets, None))
+            yield _batch(_asks(Events.of(words_of(string_of(part, "text")), _key_bits(buckets)), buckets, None))
 
     return run
 
@@ -165,7 +196,7 @@ def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def answered(bucket: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
         size = np.array([r["n"] for r in held])
-        keys = np.concatenate([_unzipped(r["keys"], r["n"], "<u8") for r in held])
+        keys = np.concatenate([_keys(r["keys"], r["n"]) for r in held])
         counts = np.concatenate([_unzipped(r["counts"], r["n"], "<u4") for r in held])
         is_target = np.repeat([r["kind"] == "t" for r in held], size)
         distinct, at = np.unique(keys, return_inverse=True)
@@ -191,18 +222,18 @@ def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from answered(now, held)
 
 
-def _scored(types: int, target: int, background: int, prior: float, added: float):
+def _scored(buckets: int, types: int, target: int, background: int, prior: float, added: float):
     scale = min(1.0, target / background) if background else 1.0
     names = ["doc_id", "n_tokens", "target_loss", "own_target_loss", "background_loss"]
 
     def scored(own: dict, answers: list[dict]) -> pa.RecordBatch:
         sizes = _unzipped(own["sizes"], _count(own["ids"]), "<u4").astype(np.int64)
-        events = Events(_unzipped(own["counts"], own["bucket"], "<u4").astype(np.int64), _unzipped(own["keys"], own["n"], "<u8"), sizes)
-        keys = events.keys()
+        events = Events(_unzipped(own["counts"], own["bucket"], "<u4").astype(np.int64), _keys(own["keys"], own["n"]), sizes, _key_bits(buckets))
+        keys, mine = events.keys(), events.within()
         found = [np.concatenate([_unzipped(r[c], r["n"], "<u8") for r in answers] or [np.empty(0)]) for c in ("target", "counts")]
         many = np.maximum(sizes, 1)
         mean = lambda x: pa.array(np.bincount(events.doc, x, len(sizes)) / many)
-        wanted = ((found[0], target, 1.0, False), (found[0], target, 1.0, True), (found[1], background, scale, True))
+        wanted = ((found[0], target, 1.0, None), (found[0], target, 1.0, mine), (found[1], background, scale, mine))
         means = [mean(losses(events, keys, counts, total, by, types, less, prior, added)) for counts, total, by, less in wanted]
         with pa.ipc.open_stream(own["ids"]) as ids:
             column = ids.read_all().column(0).combine_chunks()
@@ -235,7 +266,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
     The target are documents with label 1, the background is all.  Losses are
     bits an event (the words and the end); ``score`` is the target's less the
     background's.  Each row is scored by counts that are not its own, so copies
-    count for one another.  Words are told apart by 63 bits of hash.
+    count for one another.  Words and pairs are told apart by hashes whose length
+    follows the corpus (``KEY_BITS``).
 
     Null and empty texts have 0 tokens and 0 for all figures.  Null labels count
     as none; labels that repeat count once; repeated rows are counted and scored
@@ -259,9 +291,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
         for row in answers.where("kind = 'v'").select("counts").toLocalIterator():  # 24 bytes a bucket
             totals += np.frombuffer(row["counts"], dtype=np.int64)
         types, target, background = (int(x) for x in totals)
+        release(docs.sparkSession)
         parts = max(8, int(size // (8 << 20)) + 1)
         dealt = chunks.where("kind = 'o'").union(answers.where("kind = 'r'")).repartition(parts, "at").sortWithinPartitions("at", "kind", "bucket")
-        out = dealt.mapInArrow(_scored(max(types, 1), target, background, prior, added), f"doc_id {kind}, n_tokens long, target_loss double, own_target_loss double, background_loss double")
+        out = dealt.mapInArrow(_scored(buckets, max(types, 1), target, background, prior, added), f"doc_id {kind}, n_tokens long, target_loss double, own_target_loss double, background_loss double")
         marked = out.join(wanted.withColumn("is_target", F.lit(True)), "doc_id", "left")
         loss = F.when(F.col("is_target"), F.col("own_target_loss")).otherwise(F.col("target_loss"))
         result = marked.select(F.col("doc_id").alias(id_col), "n_tokens", loss.alias("target_loss"), "background_loss", (loss - F.col("background_loss")).alias("score"))
