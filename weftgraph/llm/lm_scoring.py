@@ -32,6 +32,8 @@ from weftgraph.llm.shingles import Words, mixed, words_of
 
 #: Text bytes of the n-grams that one bucket counts; larger corpora take larger ones.
 BUCKET_BYTES = (4 << 20, 64 << 20)
+#: Text bytes of a chunk; a worker holds about forty times as many.
+CHUNK_BYTES = 3 << 20
 #: Hash classes of target ids that texts are thinned by before the exact join:
 #: a broadcast table of at most so many numbers.
 CLASSES = 1 << 20
@@ -172,7 +174,7 @@ def _asks(events: Events, buckets: int, chunk: int | None) -> list[dict]:
 def _chunked(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", CHUNK_BYTES):
             events = Events.of(words_of(string_of(part, "text")), _key_bits(buckets))
             own = {"kind": "o", "at": number, "n": len(events.words), "keys": _steps(events.words), "counts": _zipped(events.stream, "<u4"), "ids": _ids(string_of(part, "doc_id")), "sizes": _zipped(events.sizes, "<u4")}
             yield _batch([own | {"bucket": len(events.stream)}])
@@ -184,7 +186,7 @@ def _chunked(buckets: int):
 
 def _targets(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", CHUNK_BYTES):
             yield _batch(_asks(Events.of(words_of(string_of(part, "text")), _key_bits(buckets)), buckets, None))
 
     return run
