@@ -111,10 +111,13 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     url, html = F.col(url_col), F.col(html_col)
     found = pages.where(html.isNotNull() & url.contains("://") & F.rlike(html, F.lit(r"(?i)canonical|refresh")))
     tags = found.select(url.alias("url"), F.explode(F.regexp_extract_all(F.regexp_replace(html, _COMMENT, ""), F.lit(_TAG), 0)).alias("tag"))
-    tag = F.regexp_replace("tag", r"\s+", " ")
+    tags = tags.select("url", F.regexp_replace("tag", r"\s+", " ").alias("tag"))
+    tag = F.col("tag")
     target = F.when(F.regexp_like(tag, F.lit(_IS_CANONICAL)), F.regexp_extract(tag, _HREF, 1)).when(F.regexp_like(tag, F.lit(_IS_REFRESH)), F.regexp_extract(tag, _REFRESH_URL, 1))
     ends = tags.select("url", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("t")).where("t <> ''")
-    return ends.select(resource_of(F.col("url")).alias("a"), resource_of(resolved(F.col("t"), F.col("url"))).alias("b")).where("b is not null and a <> b").distinct()
+    # Few rows; whole steps are kept apart, as one expression of all would be huge.
+    ends = ends.distinct().select(resource_of(F.col("url")).alias("a"), resolved(F.col("t"), F.col("url")).alias("to")).where("to is not null").distinct()
+    return ends.select("a", resource_of(F.col("to")).alias("b")).where("a <> b").distinct()
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
