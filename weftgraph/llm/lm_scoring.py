@@ -38,9 +38,8 @@ CHUNK_BYTES = 3 << 20
 #: a broadcast table of at most so many numbers.
 CLASSES = 1 << 20
 
-#: Bits of a key beyond those that name its bucket: two of a bucket's n-grams
-#: have one key about once in a million.
-KEY_BITS = 41
+#: Bits of hash that tell words, and pairs of words, apart.
+KEY_BITS = 62
 
 _EDGE = np.uint64(0x5851F42D4C957F2C)  # in front of and behind each document
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -66,10 +65,6 @@ def _unzipped(data: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
-def _key_bits(buckets: int) -> int:
-    return min(63, KEY_BITS + buckets.bit_length())
-
-
 def _steps(keys: np.ndarray) -> bytes:
     """Sorted keys by their differences."""
     return _zipped(np.diff(keys, prepend=np.uint64(0)), "<u8")
@@ -83,29 +78,29 @@ class Events:
     """The events of some documents: each word after the one before, the first
     one and the end after the edge.  Documents without words have none."""
 
-    def __init__(self, stream: np.ndarray, words: np.ndarray, sizes: np.ndarray, bits: int):
+    def __init__(self, stream: np.ndarray, words: np.ndarray, sizes: np.ndarray):
         #: Number of each event's word, the words' keys in order, events by document.
-        self.stream, self.words, self.sizes, self.bits = stream, words, sizes, bits
+        self.stream, self.words, self.sizes = stream, words, sizes
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         before = np.empty_like(stream)
         before[1:] = stream[:-1]  # a document's last event is the edge, so the next one's first follows it
         if len(stream):
             before[0] = stream[sizes[sizes > 0][0] - 1]
         self.before = before
-        pair = self.cut(mixed(words[before] * _FACTOR + words[stream]), bits) | np.uint64(1)
+        pair = self.cut(mixed(words[before] * _FACTOR + words[stream])) | np.uint64(1)
         self.pairs, self.pair = np.unique(pair, return_inverse=True)
 
     @staticmethod
-    def cut(hashes: np.ndarray, bits: int) -> np.ndarray:
-        return hashes >> np.uint64(64 - bits) & ~np.uint64(1)
+    def cut(hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - KEY_BITS) & ~np.uint64(1)
 
     @classmethod
-    def of(cls, found: Words, bits: int) -> Events:
+    def of(cls, found: Words) -> Events:
         n = np.diff(found.bounds)
         full = np.flatnonzero(n > 0)
-        stream = cls.cut(np.insert(found.hashes, found.bounds[full + 1], _EDGE), bits)
+        stream = cls.cut(np.insert(found.hashes, found.bounds[full + 1], _EDGE))
         words, numbers = np.unique(stream, return_inverse=True)
-        return cls(numbers, words, n + (n > 0), bits)
+        return cls(numbers, words, n + (n > 0))
 
     def keys(self) -> np.ndarray:
         """Keys of all words (even) and pairs (odd), in order."""
@@ -162,7 +157,7 @@ def _asks(events: Events, buckets: int, chunk: int | None) -> list[dict]:
     the counts are the target's, and nothing is asked for."""
     keys = events.keys()
     counts = events.counts(keys)
-    bucket = (keys >> np.uint64(events.bits - 32)).astype(np.int64) * buckets >> 32
+    bucket = (keys >> np.uint64(KEY_BITS - 32)).astype(np.int64) * buckets >> 32
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     out = []
     for b in np.flatnonzero(np.diff(cuts)).tolist():
@@ -171,15 +166,26 @@ def _asks(events: Events, buckets: int, chunk: int | None) -> list[dict]:
     return out
 
 
-def _chunked(buckets: int):
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as numbers of words, by chunk (kind ``o``)."""
+    number = TaskContext.get().partitionId() << 32
+    for part in slices(batches, "text", CHUNK_BYTES):
+        events = Events.of(words_of(string_of(part, "text")))
+        own = {"kind": "o", "at": number, "n": len(events.words), "keys": _steps(events.words), "counts": _zipped(events.stream, "<u4"), "ids": _ids(string_of(part, "doc_id")), "sizes": _zipped(events.sizes, "<u4")}
+        yield _batch([own | {"bucket": len(events.stream)}])
+        number += 1
+
+
+def _events(own: dict) -> Events:
+    sizes = _unzipped(own["sizes"], _count(own["ids"]), "<u4").astype(np.int64)
+    return Events(_unzipped(own["counts"], own["bucket"], "<u4").astype(np.int64), _keys(own["keys"], own["n"]), sizes)
+
+
+def _asked(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for part in slices(batches, "text", CHUNK_BYTES):
-            events = Events.of(words_of(string_of(part, "text")), _key_bits(buckets))
-            own = {"kind": "o", "at": number, "n": len(events.words), "keys": _steps(events.words), "counts": _zipped(events.stream, "<u4"), "ids": _ids(string_of(part, "doc_id")), "sizes": _zipped(events.sizes, "<u4")}
-            yield _batch([own | {"bucket": len(events.stream)}])
-            yield _batch(_asks(events, buckets, number))
-            number += 1
+        for part in batches:
+            for own in part.to_pylist():
+                yield _batch(_asks(_events(own), buckets, own["at"]))
 
     return run
 
@@ -187,7 +193,7 @@ def _chunked(buckets: int):
 def _targets(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", CHUNK_BYTES):
-            yield _batch(_asks(Events.of(words_of(string_of(part, "text")), _key_bits(buckets)), buckets, None))
+            yield _batch(_asks(Events.of(words_of(string_of(part, "text"))), buckets, None))
 
     return run
 
@@ -224,14 +230,13 @@ def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from answered(now, held)
 
 
-def _scored(buckets: int, types: int, target: int, background: int, prior: float, added: float):
+def _scored(types: int, target: int, background: int, prior: float, added: float):
     scale = min(1.0, target / background) if background else 1.0
     names = ["doc_id", "n_tokens", "target_loss", "own_target_loss", "background_loss"]
 
     def scored(own: dict, answers: list[dict]) -> pa.RecordBatch:
-        sizes = _unzipped(own["sizes"], _count(own["ids"]), "<u4").astype(np.int64)
-        events = Events(_unzipped(own["counts"], own["bucket"], "<u4").astype(np.int64), _keys(own["keys"], own["n"]), sizes, _key_bits(buckets))
-        keys, mine = events.keys(), events.within()
+        events = _events(own)
+        keys, mine, sizes = events.keys(), events.within(), events.sizes
         found = [np.concatenate([_unzipped(r[c], r["n"], "<u8") for r in answers] or [np.empty(0)]) for c in ("target", "counts")]
         many = np.maximum(sizes, 1)
         mean = lambda x: pa.array(np.bincount(events.doc, x, len(sizes)) / many)
@@ -268,8 +273,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
     The target are documents with label 1, the background is all.  Losses are
     bits an event (the words and the end); ``score`` is the target's less the
     background's.  Each row is scored by counts that are not its own, so copies
-    count for one another.  Words and pairs are told apart by hashes whose length
-    follows the corpus (``KEY_BITS``).
+    count for one another.  Words, and pairs of words, are told apart by
+    hashes of ``KEY_BITS`` bits.
 
     Null and empty texts have 0 tokens and 0 for all figures.  Null labels count
     as none; labels that repeat count once; repeated rows are counted and scored
@@ -283,20 +288,21 @@ def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
     with dropped_after(docs.sparkSession):
         size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         buckets = size // int(np.clip(size // 20_000, *BUCKET_BYTES)) + 1
-        chunks = written(texts.mapInArrow(_chunked(buckets), _SCHEMA), "chunks")
+        chunks = written(texts.mapInArrow(_chunks, _SCHEMA), "chunks")
         # Thinned by a table of bounded size first, so that few texts are shuffled.
         thin = texts.withColumn("group", group).join(F.broadcast(wanted.select(group).distinct()), "group", "left_semi")
         target_texts = thin.join(wanted, "doc_id", "left_semi").select("text")
-        asked = chunks.where("kind = 'a'").union(target_texts.mapInArrow(_targets(buckets), _SCHEMA))
+        asked = chunks.mapInArrow(_asked(buckets), _SCHEMA).union(target_texts.mapInArrow(_targets(buckets), _SCHEMA))
         answers = written(asked.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_answers, _SCHEMA), "answers")
         totals = np.zeros(3, dtype=np.int64)
         for row in answers.where("kind = 'v'").select("counts").toLocalIterator():  # 24 bytes a bucket
             totals += np.frombuffer(row["counts"], dtype=np.int64)
         types, target, background = (int(x) for x in totals)
+        del asked, target_texts, thin
         release(docs.sparkSession)
         parts = max(8, int(size // (8 << 20)) + 1)
-        dealt = chunks.where("kind = 'o'").union(answers.where("kind = 'r'")).repartition(parts, "at").sortWithinPartitions("at", "kind", "bucket")
-        out = dealt.mapInArrow(_scored(buckets, max(types, 1), target, background, prior, added), f"doc_id {kind}, n_tokens long, target_loss double, own_target_loss double, background_loss double")
+        dealt = chunks.union(answers.where("kind = 'r'")).repartition(parts, "at").sortWithinPartitions("at", "kind", "bucket")
+        out = dealt.mapInArrow(_scored(max(types, 1), target, background, prior, added), f"doc_id {kind}, n_tokens long, target_loss double, own_target_loss double, background_loss double")
         marked = out.join(wanted.withColumn("is_target", F.lit(True)), "doc_id", "left")
         loss = F.when(F.col("is_target"), F.col("own_target_loss")).otherwise(F.col("target_loss"))
         result = marked.select(F.col("doc_id").alias(id_col), "n_tokens", loss.alias("target_loss"), "background_loss", (loss - F.col("background_loss")).alias("score"))
