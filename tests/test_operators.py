@@ -207,3 +207,9 @@ def test_hashing_embedder(spark):
     rows = spark.createDataFrame([("a b c",), ("A  b c",), ("",), (None,)], "t string").select(hashing_embedder(16)("t").alias("v")).collect()
     assert rows[0]["v"] == rows[1]["v"] and sum(x * x for x in rows[0]["v"]) == pytest.approx(1)
     assert rows[2]["v"] == [0.0] * 16 and rows[3]["v"] is None
+
+
+def test_upsert_of_a_key_twice_in_a_batch(spark):
+    stored = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "id string, name string, n int")
+    batch = spark.createDataFrame([("a", "new", None, 1), ("a", "newer", 5, 2), ("a", None, None, 3), ("c", "z", 7, 1)], "id string, name string, n int, ord int")
+    assert sorted(map(tuple, graph.upsert_nodes(stored, batch).collect())) == [("a", "newer", 5), ("b", "y", 2), ("c", "z", 7)]

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -75,3 +76,13 @@ def test_replace_file(spark, tmp_path):
     for text in ("{}", '{"model": "é"}'):
         corpus.replace_file(spark, str(path), text)
         assert path.read_text(encoding="utf-8") == text
+
+
+def test_folders_fail_on_broken_files_and_skip_objects(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"article_number": 1, "title": "t"}, {"article_number": 2, "metadata": {"part": "p"}}]))
+    (tmp_path / "b.json").write_text(json.dumps({"article_number": 3}))
+    (tmp_path / "community_reports.json").write_text(json.dumps([{"article_number": 4}]))
+    assert sorted(r["article_number"] for r in corpus.scan_folder(spark, str(tmp_path)).collect()) == [1, 2]
+    (tmp_path / "c.json").write_text('[{"article_number": 5}')
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        corpus.scan_folder(spark, str(tmp_path)).collect()

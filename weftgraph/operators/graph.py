@@ -116,10 +116,13 @@ def entity_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def upsert_nodes(stored: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
     """New nodes are added; of known ones, columns of the batch that aren't null
-    take the place of the stored ones.  A batch's last row of a key counts."""
+    take the place of the stored ones.  Where a batch has a key several times,
+    its rows are applied in the order of its column ``ord`` (ties by value)."""
     others = [c for c in stored.columns if c != key]
     old = stored.select(F.col(key), F.struct(*others).alias("old"))
-    new = batch.select(F.col(key), F.struct(*others).alias("new"))
+    at = F.col("ord") if "ord" in batch.columns else F.lit(0)
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(at, F.col(c)))).alias(c) for c in others]
+    new = batch.groupBy(key).agg(*last).select(F.col(key), F.struct(*others).alias("new"))
     return old.join(new, key, "full_outer").select(key, *[F.coalesce(F.col(f"new.{c}"), F.col(f"old.{c}")).alias(c) for c in others])
 
 

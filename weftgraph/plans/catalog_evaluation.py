@@ -126,12 +126,12 @@ def embed_plan(spark: SparkSession, d: str) -> DataFrame:
     return E.embedding_plan(docs).withColumn("usd", F.round("usd", 8))
 
 
-@query("dataset_violations", """WITH g AS (SELECT o_orderkey AS case_id, l_partkey AS article FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 50 = 0)
+@query("dataset_violations", """WITH g AS (SELECT o_orderkey AS case_id, l_partkey AS article FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
   SELECT 'unknown_article' AS rule, case_id || ':' || article AS subject FROM g WHERE article % 7 = 0
-  UNION ALL SELECT 'count', o_orderstatus FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 2
+  UNION ALL SELECT 'count', o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 2
   UNION ALL SELECT 'not_contiguous', case_id::VARCHAR FROM g GROUP BY case_id HAVING max(article) - min(article) + 1 <> count(DISTINCT article)""")
 def dataset_violations(spark: SparkSession, d: str) -> DataFrame:
-    o = S.table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("type"))
+    o = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("type"))
     gold = S.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.collect_list(F.col("l_partkey").cast("long")).alias("gold"))
     corpus = S.table(spark, d, "part").where("p_partkey % 7 > 0").select(F.col("p_partkey").cast("long").alias("article"))
     declared = spark.createDataFrame([], "type string, declared long")

@@ -9,6 +9,7 @@ ARTICLES = (
     "article_number bigint, title string, content variant, metadata struct<part:string,chapter:string,section:string,subsection:string>, "
     "clauses variant, keywords array<string>, `references` variant"
 )
+_FIELDS = "article_number:bigint, title:string, content:variant, metadata:struct<part:string,chapter:string,section:string,subsection:string>, clauses:variant, keywords:array<string>, `references`:variant"
 REPORTS = "id string, community_id string, level bigint, title string, summary string, findings array<string>, rating double, parent_id string"
 
 
@@ -24,11 +25,17 @@ def scan_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Articles of all JSON files of a folder but the reports'; what isn't an
-    article is left out."""
-    read = spark.read.schema(ARTICLES).option("multiLine", True).option("pathGlobFilter", "*.json")
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return read.json(folder).where(name != "community_reports.json").where("article_number is not null")
+    """Articles of all JSON files of a folder but the reports'.
+
+    Files that hold one object instead of an array are left out.  A file that
+    isn't JSON fails the read.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    heads = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).where(name != "community_reports.json")
+    text = F.decode(F.col("content"), "UTF-8")
+    value = F.parse_json(text)  # fails on anything else
+    items = heads.where(F.startswith(F.schema_of_variant(value), F.lit("ARRAY"))).select(F.explode(F.from_json(text, f"array<struct<{_FIELDS}>>", {"mode": "FAILFAST"})).alias("a"))
+    return items.select("a.*").where("article_number is not null")
 
 
 def scan_reports(spark: SparkSession, path: str) -> DataFrame:
