@@ -499,9 +499,8 @@ def _spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dealt(rows: DataFrame, parts: int) -> DataFrame:
-    """Rows by ``at``: one bucket a task, groups of documents by hash."""
-    bucket = F.when(F.col("kind").isin(b"h", b"s", b"o"), F.col("at")).otherwise(F.xxhash64("at"))
-    return rows.repartitionById(parts, F.pmod(bucket, F.lit(parts)).cast("int")).sortWithinPartitions("at")
+    """Rows by ``at``, in its order."""
+    return rows.repartition(parts, "at").sortWithinPartitions("at")
 
 
 class _Verdicts:
