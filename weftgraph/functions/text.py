@@ -263,12 +263,21 @@ def is_recent_key(text: Column) -> Column:
     return ~is_first_key(text) & _has(text, "recent_vi", "before", "earlier", "conversation_en")
 
 
+class _Unmarked(dict):
+    """Code points to themselves, marks to nothing; filled as they occur."""
+
+    def __missing__(self, point: int) -> int | None:
+        self[point] = None if unicodedata.category(chr(point)) == "Mn" else point
+        return self[point]
+
+
 @F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Lower case without diacritics."""
+    unmarked = _Unmarked()
 
     def one(s: str) -> str:
-        s = unicodedata.normalize("NFD", s.lower().replace("đ", "d"))
-        return "".join(c for c in s if unicodedata.category(c) != "Mn")
+        s = s.lower()
+        return s if s.isascii() else unicodedata.normalize("NFD", s.replace("đ", "d")).translate(unmarked)
 
     return text.map(one, na_action="ignore")

@@ -102,23 +102,40 @@ def bm25_tokens(folded: Column) -> Column:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score): every document that shares a term, ranked by score.
+    """(query_id, id, score) of every document that shares a term with a query.
 
     ``docs``: id and ``tokens`` (the title's twice); ``queries``: query_id and
     ``tokens``.  Only terms of the queries are counted beyond document lengths:
-    they are a stated set, which bounds the join's small side.
+    they are a stated set, which bounds the join's small side.  Null tokens are
+    none.  Each document also gives one row with an empty term, for the number of documents and their
+    mean length, so that all figures come from one shuffle of one scan.
     """
-    sized = docs.select(F.col(id_col).alias("id"), "tokens", F.size("tokens").alias("len"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    nothing = F.filter(F.array(F.lit("")), lambda x: F.length(x) > 0)  # without nulls, unlike a cast
+    tokens = F.coalesce("tokens", nothing)
+    sized = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"), F.size(tokens).alias("len"))
     wanted = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    tf = sized.select("id", "len", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    terms = wanted.select("term").distinct().withColumn("asked", F.lit(True))
+    own = F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term")
+    found = sized.select("id", "len", own).join(terms, "term", "left").where("asked or term = ''")
+    # ``whole`` is no key and ``tf`` is read by all, so that the three share the shuffle.
+    counted = found.groupBy("id", "len", "term").agg(F.count("*").alias("tf"), F.bool_or(F.col("term") == "").alias("whole"))
+    totals = counted.where("whole").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("len")) / F.sum("tf")).alias("mean"))
+    tf = counted.where("not whole")
+    df = tf.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
     weighted = tf.join(df, "term").crossJoin(F.broadcast(totals))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return weighted.withColumn("s", part).join(wanted, "term").groupBy("query_id", "id").agg(F.sum("s").alias("score"))
 
 
+def ranked(scores: DataFrame, k: int, id_col: str = "id", digits: int = 9) -> DataFrame:
+    """The ``k`` best of each query with their ``rank`` from 1; ties (scores
+    equal to ``digits`` places) by id.  Tasks keep their own ``k`` a query first
+    (WindowGroupLimit), so no query's scores are gathered in one place."""
+    best = W.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), id_col)
+    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def concepts(articles: DataFrame, most: int = 10) -> DataFrame:
     """Keywords of ranked articles in order of first mention: the first ten.
 
