@@ -88,3 +88,20 @@ def roman_numerals(most: int = 40) -> dict[str, int]:
             rest %= value
         out[text] = n
     return out
+
+# Types of evaluation cases.
+CASE_TYPES = (
+    "seed", "multi_hop", "explicit_article", "global", "small_talk", "recall_basic", "recall_fresh", "recall_far", "followup_window",
+    "isolation", "false_trigger",
+)
+# What a recall finds in a new session, and phrases that claim an earlier question.
+FRESH_SESSION = "chưa có nội dung nào trước đó"
+PRIOR_QUESTIONS = (
+    "bạn đã hỏi", "bạn vừa hỏi", "bạn hỏi trước đó", "câu hỏi trước của bạn", "câu hỏi trước đó của bạn", "you asked", "you previously asked",
+    "your previous question", "your earlier question",
+)
+# Tools, and the arguments of which they need one.
+TOOL_ARGUMENTS = (
+    ("search_legal_articles", ("query",)), ("traverse_references", ("article_id", "query")), ("get_community_context", ("query",)),
+    ("get_article", ("article_number",)), ("recall_session", ("key",)),
+)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions import lexicons as L
+
 
 def rate(k: Column, n: Column) -> Column:
     """k / n; null where there is nothing."""
@@ -115,18 +117,138 @@ def fingerprint_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("name", change.alias("change")).where("change is not null")
 
 
-def case_scores(cases: DataFrame) -> DataFrame:
-    """Verdict of each case by its type.
-
-    ``cases``: type, error, first_tool, expected_first_tool, invalid_calls,
-    over_budget, cited, gold, answer, expected_names, leak_markers.
+def plain(text: Column) -> Column:
+    """Lower case, with runs of blanks as one; NFC is the caller's."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def valid_call(tool: Column, arguments: Column) -> Column:
+    """Whether a tool is known and its JSON holds one of the arguments that it
+    needs: a positive whole ``article_number``, or another as a text that isn't empty."""
+    found = F.try_parse_json(arguments)
+    number = F.try_variant_get(found, "$.article_number", "double")
+    is_number = ~F.coalesce(F.schema_of_variant(F.try_variant_get(found, "$.article_number", "variant")).isin("STRING", "BOOLEAN"), F.lit(True))
+
+    def fits(name: str) -> Column:
+        if name == "article_number":
+            return is_number & (number > 0) & (number == F.floor(number))
+        kind = F.schema_of_variant(F.try_variant_get(found, f"$.{name}", "variant"))
+        return (kind == "STRING") & (F.length(F.try_variant_get(found, f"$.{name}", "string")) > 0)
+
+    out = F.lit(False)
+    for name, wanted in L.TOOL_ARGUMENTS:
+        for argument in wanted:
+            out = out | ((tool == name) & F.coalesce(fits(argument), F.lit(False)))
+    return F.coalesce(out, F.lit(False))
+
+
+def quoted_queries(answers: DataFrame, queries: DataFrame, least: int = 12) -> DataFrame:
+    """case_id of ``answers`` (case_id, answer) that hold a query of ``least``
+    characters or more.  Beginnings of queries meet equally long windows of the
+    answers in an equal join; whole queries are compared after it."""
+    asked = queries.where(F.length("query") >= least).select(plain(F.col("query")).alias("q")).distinct()
+    asked = asked.select("q", F.substring("q", 1, least).alias("key"))
+    lengths = asked.select(F.length("key").alias("n")).distinct()  # at most least + 1 rows
+    texts = answers.select("case_id", plain(F.col("answer")).alias("a")).join(F.broadcast(lengths))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("a") - F.col("n") + 1, F.lit(1)))
+    windows = texts.select("case_id", "a", "n", F.explode(starts).alias("at")).select("case_id", "a", F.expr("substring(a, at, n)").alias("key"))
+    return windows.join(asked, "key").where(F.contains("a", F.col("q"))).select("case_id").distinct()
+
+
+def case_scores(cases: DataFrame, turns: DataFrame, max_steps: int) -> DataFrame:
+    """Score of each case by its type (one of ``CASE_TYPES``).
+
+    ``cases``: case_id, type, queries (texts of its turns), gold (articles),
+    chapter (label, first, last), expected_first_tool, answer_names (articles),
+    leaks (texts that another session mustn't show), target_turn.  ``turns``: one
+    row for each attempted turn: case_id, turn (from 0), ok, answer and steps
+    (kind, tool, tool_input, content, citations (article, breadcrumb)).
+
+    A case with a failed or missing turn is ``errored`` and has calls only.  One
+    turn is scored: the last of follow-ups, isolation and recalls but fresh
+    ones, else the first.  Flags that don't apply to a type are null.  Texts are
+    compared by ``plain``.  Null steps, answers and lists are empty; with a null type
+    no flag applies.
     """
-    names = F.forall("expected_names", lambda x: F.contains(F.lower("answer"), F.lower(x)))
-    leak = F.exists("leak_markers", lambda x: F.contains(F.lower("answer"), F.lower(x)))
-    recalled = recall_at(F.col("cited"), F.col("gold"), 1_000_000)
-    kind = F.col("type")
-    passed = F.when(F.col("error"), False).when(kind == "isolation", ~leak).when(kind == "recall", names & ~leak).when(kind == "single", recalled >= 0.999999).when(kind == "multi", recalled > 0).otherwise(F.size("cited") == 0)
-    return cases.select("case_id", "type", passed.alias("passed"), F.when(F.size("gold") > 0, recalled).alias("recall"), F.when(F.col("expected_first_tool").isNotNull(), F.col("first_tool").eqNullSafe(F.col("expected_first_tool"))).alias("tool_ok"), (F.col("invalid_calls") > 0).alias("invalid"), F.col("over_budget"))
+    kind, last = F.col("type"), F.size("queries") - 1
+    own = cases.select("*", F.when(kind.isin("followup_window", "recall_basic", "recall_far", "isolation"), last).otherwise(0).alias("scored"))
+    steps = F.coalesce("steps", F.array().cast(turns.schema["steps"].dataType))
+    actions = F.filter(steps, lambda s: s["kind"] == "action")
+    seen = F.filter(steps, lambda s: s["kind"] == "observation")
+    recalls = F.transform(steps, lambda s: F.coalesce((s["kind"] == "action") & (s["tool"] == "recall_session"), F.lit(False)))
+    at = F.array_position(recalls, True).cast("int")
+    after = F.filter(F.slice(steps, at + 1, F.size(steps)), lambda s: s["kind"] == "observation")
+    facts = F.struct(
+        "turn",
+        F.coalesce("answer", F.lit("")).alias("answer"),
+        F.get(actions, F.lit(0))["tool"].alias("first_tool"),
+        F.size(actions).alias("calls"),
+        (at > 0).alias("recalled"),
+        F.when(at > 0, F.get(after, F.lit(0))["content"]).alias("recall"),
+        F.flatten(F.filter(F.transform(seen, lambda s: s["citations"]), lambda x: x.isNotNull())).alias("cited"),
+        F.array_join(F.transform(steps, lambda s: s["content"]), "\n").alias("contents"),
+    )
+    invalid = F.size(F.filter(actions, lambda s: ~valid_call(s["tool"], s["tool_input"])))
+    ok = F.coalesce("ok", F.lit(False))
+    done = turns.join(own.select("case_id", "scored"), "case_id").groupBy("case_id").agg(
+        F.count("*").alias("attempted"), F.bool_and(ok).alias("all_ok"),
+        F.sum(F.when(ok, F.size(actions)).otherwise(0)).alias("tool_calls"), F.sum(F.when(ok, invalid).otherwise(0)).alias("invalid_calls"),
+        F.max_by(facts, F.when(F.col("turn") == F.col("scored"), 1)).alias("t"),
+    )
+    zero = F.lit(0).cast("long")
+    full = own.join(done, "case_id", "left").withColumns({
+        "errored": ~F.coalesce(F.col("all_ok") & (F.col("attempted") >= F.size("queries")), F.lit(False)),
+        "tool_calls": F.coalesce("tool_calls", zero), "invalid_calls": F.coalesce("invalid_calls", zero),
+    })
+    # What an errored case lacks is null, and null goes through all that follows.
+    full = full.withColumn("t", F.when(~F.col("errored"), F.col("t")))
+    t, gold, chapter = F.col("t"), F.coalesce("gold", F.array().cast("array<int>")), F.col("chapter")
+    answer = t["answer"]
+    names = lambda n: F.regexp_like(answer, F.concat(F.lit(r"(?iu)điều\s*"), n.cast("string"), F.lit(r"(?![0-9])")))
+    holds = lambda text, part: F.contains(plain(text), plain(part))
+    cited = F.transform(t["cited"], lambda c: c["article"])
+    label = F.concat(F.lit("chương "), F.lower(chapter["label"]))
+    titled = lambda x: F.startswith(F.lower(x), label) & ~F.regexp_like(F.substring(F.lower(x), F.length(label) + 1, F.lit(1)), F.lit("[ivxlc]"))
+    in_chapter = F.exists(t["cited"], lambda c: c["article"].between(chapter["first"], chapter["last"]) | F.coalesce(F.exists(c["breadcrumb"], titled), F.lit(False)))
+    of_gold, of_chapter = t.isNotNull() & (F.size(gold) > 0), t.isNotNull() & (F.size(gold) == 0) & chapter.isNotNull()
+    hits = F.size(F.filter(gold, lambda g: F.array_contains(cited, g)))
+    full = full.withColumns({
+        "citation_recall": F.when(of_gold, hits / F.size(gold)).when(of_chapter, in_chapter.cast("double")),
+        "gold_hit": F.when(of_gold, hits > 0).when(of_chapter, in_chapter),
+        "answer_cites_gold": F.when(of_gold, F.exists(gold, names)),
+        "first_tool": t["first_tool"],
+        "recall_called": t["recalled"],
+    })
+    hit, called = F.coalesce("gold_hit", F.lit(False)), F.col("recall_called")
+    found = lambda part: F.coalesce(holds(t["recall"], part), F.lit(False))
+    query = lambda i: F.get(F.col("queries"), i)
+    # Only answers in fresh sessions are held against all queries.
+    fresh = full.where((kind == "recall_fresh") & t.isNotNull()).select("case_id", answer.alias("answer"))
+    quoted = quoted_queries(fresh, cases.select(F.explode("queries").alias("query"))).withColumn("quotes", F.lit(True))
+    claims = F.lit(False)
+    for phrase in L.PRIOR_QUESTIONS:
+        claims = claims | holds(answer, F.lit(phrase))
+    invented = ~(called & found(F.lit(L.FRESH_SESSION))) | F.regexp_like(answer, F.lit(r"(?iu)điều\s*[0-9]")) | F.coalesce("quotes", F.lit(False)) | claims
+    shown = F.concat_ws("\n", F.coalesce(t["recall"], F.lit("")), answer, t["contents"])
+    none = F.array().cast("array<string>")
+    leak = F.exists(F.concat(F.array(query(F.lit(0))), F.coalesce("leaks", none)), lambda x: holds(shown, x))
+    tool_types, step_types = ("explicit_article", "multi_hop", "global"), ("seed", "multi_hop", "explicit_article", "global")
+    recall_ok = (
+        F.when(kind == "recall_basic", called & found(query(F.lit(0))) & F.forall(F.coalesce("answer_names", F.array().cast("array<int>")), names))
+        .when(kind == "recall_fresh", ~invented)
+        .when(kind == "recall_far", called & found(query(F.coalesce("target_turn", F.lit(0)))))
+        .when(kind == "followup_window", hit & ~called)
+    )
+    scored = lambda cond, x: F.when(t.isNotNull() & cond, x)
+    return full.join(quoted, "case_id", "left").select(
+        "case_id", "type", "errored", "citation_recall", "gold_hit", "answer_cites_gold", "first_tool", "tool_calls", "invalid_calls", "recall_called",
+        scored(kind.isin(*tool_types) & F.col("expected_first_tool").isNotNull(), F.col("first_tool").eqNullSafe(F.col("expected_first_tool"))).alias("tool_choice_ok"),
+        scored(kind.isin(*step_types), (t["calls"] >= max_steps) & ~hit).alias("budget_exhausted"),
+        scored(F.lit(True), recall_ok).alias("recall_ok"),
+        scored(kind == "recall_fresh", invented).alias("fabricated"),
+        scored(kind == "isolation", leak).alias("isolation_leak"),
+        scored(kind == "isolation", called).alias("isolation_exercised"),
+    )
 
 
 def dataset_violations(cases: DataFrame, corpus: DataFrame, declared: DataFrame) -> DataFrame:

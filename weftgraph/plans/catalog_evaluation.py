@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.functions import lexicons as L
 from weftgraph.functions import text as T
 from weftgraph.operators import evaluation as E
 from weftgraph.plans import standins as S
@@ -138,16 +139,49 @@ def dataset_violations(spark: SparkSession, d: str) -> DataFrame:
     return E.dataset_violations(o.join(gold, "case_id"), corpus, declared)
 
 
-CASES = [
-    (1, "single", False, "search", "search", 0, False, [1, 2], [1, 2], "Điều 1", [], []), (2, "single", False, "x", "search", 1, False, [1], [1, 2], "", [], []), (3, "isolation", False, None, None, 0, True, [], [], "secret", [], ["SECRET"]),
-    (4, "recall", False, None, None, 0, False, [], [], "An và Bình", ["an"], ["x"]), (5, "multi", True, None, None, 0, False, [1], [1], "", [], []), (6, "small", False, None, None, 0, False, [], [], "", [], []),
-]
-
-
-@query("case_score", "SELECT * FROM (VALUES (1::BIGINT, true, 1.0::DOUBLE, true, false, false), (2, false, 0.5, false, true, false), (3, false, NULL, NULL, false, true), (4, true, NULL, NULL, false, false), (5, false, 1.0, NULL, false, false), (6, true, NULL, NULL, false, false)) t(case_id, passed, recall, tool_ok, invalid, over_budget)")
+NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+ANSWER = "(CASE WHEN conv_id % 5 > 1 THEN 'Vâng' ELSE text END || CASE WHEN conv_id % 3 > 0 THEN ' Điều ' || (turn % 7) ELSE '' END)"
+
+
+@query("case_score", f"""WITH c AS (SELECT conv_id, conv_id % 11 AS k, list(text ORDER BY turn) AS queries, count(*) AS n FROM conversations GROUP BY 1), s AS (SELECT *, CASE WHEN k IN (5, 7, 8, 9) THEN n - 1 ELSE 0 END AS scored, conv_id % 10 = 9 AS errored FROM c),
+  calls AS (SELECT conv_id, count(*) AS tool_calls, count(*) FILTER (WHERE NOT ((conv_id + turn) % 4 = 0 AND conv_id % 5 = 0 OR (conv_id + turn) % 4 = 1 AND conv_id % 5 = 1)) AS invalid_calls FROM conversations WHERE NOT (conv_id % 10 = 9 AND turn = 1) GROUP BY 1),
+  t AS (SELECT s.*, turn, text, tool_calls, invalid_calls, {ANSWER} AS answer, (conv_id + turn) % 4 AS tool, (conv_id + turn) % 7 AS art, conv_id % 7 AS g, CASE conv_id % 4 WHEN 0 THEN queries[1] WHEN 2 THEN text ELSE 'Chưa có  nội dung nào trước đó' END AS content
+    FROM s JOIN conversations USING (conv_id) JOIN calls USING (conv_id) WHERE turn = scored),
+  f AS (SELECT *, CASE WHEN conv_id % 2 = 0 THEN ((art = g)::INT + (art = g + 1)::INT) / 2.0 WHEN conv_id % 4 = 1 THEN (art BETWEEN 3 AND 5 OR turn % 3 = 0)::INT::DOUBLE END AS recall, tool = 1 AS called, {NORM.format("CASE WHEN tool = 1 THEN content ELSE '' END")} AS seen, {NORM.format("answer")} AS a, {NORM.format("queries[1]")} AS q1 FROM t),
+  q AS (SELECT DISTINCT {NORM.format("text")} AS q FROM conversations WHERE length(text) >= 12), quoted AS (SELECT DISTINCT conv_id FROM f JOIN q ON contains(a, q) WHERE k = 6),
+  r AS (SELECT f.*, regexp_matches(answer, '(?i)điều\\s*[0-9]') AS names_any, (regexp_matches(answer, '(?i)điều\\s*' || g || '([^0-9]|$)')) AS names_g, (regexp_matches(answer, '(?i)điều\\s*' || (g + 1) || '([^0-9]|$)')) AS names_h,
+    NOT (called AND contains(seen, 'chưa có nội dung nào trước đó')) OR names_any OR conv_id IN (SELECT conv_id FROM quoted) AS invented,
+    contains({NORM.format("content || chr(10) || answer")}, q1) OR contains({NORM.format("content")}, q1) OR contains(a, q1) OR contains({NORM.format("content || chr(10) || answer")}, 'zzz') AS leak FROM f)
+  SELECT conv_id AS case_id, list_value({", ".join(f"'{x}'" for x in L.CASE_TYPES)})[k + 1] AS type, errored, CASE WHEN NOT errored THEN recall END AS citation_recall, CASE WHEN NOT errored THEN recall > 0 END AS gold_hit, CASE WHEN NOT errored AND conv_id % 2 = 0 THEN names_g OR names_h END AS answer_cites_gold,
+    CASE WHEN NOT errored THEN list_value('get_article', 'recall_session', 'search_legal_articles', 'other')[tool + 1] END AS first_tool, tool_calls, invalid_calls, CASE WHEN NOT errored THEN called END AS recall_called,
+    CASE WHEN NOT errored AND k IN (1, 2, 3) THEN tool = 0 END AS tool_choice_ok, CASE WHEN NOT errored AND k < 4 THEN NOT coalesce(recall > 0, false) END AS budget_exhausted,
+    CASE WHEN NOT errored THEN CASE k WHEN 5 THEN called AND contains(seen, q1) AND names_g WHEN 6 THEN NOT invented WHEN 7 THEN called AND contains(seen, q1) WHEN 8 THEN coalesce(recall > 0, false) AND NOT called END END AS recall_ok,
+    CASE WHEN NOT errored AND k = 6 THEN invented END AS fabricated, CASE WHEN NOT errored AND k = 9 THEN leak END AS isolation_leak, CASE WHEN NOT errored AND k = 9 THEN called END AS isolation_exercised FROM r""")
 def case_score(spark: SparkSession, d: str) -> DataFrame:
-    schema = "case_id long, type string, error boolean, first_tool string, expected_first_tool string, invalid_calls int, over_budget boolean, cited array<long>, gold array<long>, answer string, expected_names array<string>, leak_markers array<string>"
-    return E.case_scores(spark.createDataFrame(CASES, schema)).drop("type")
+    """Conversations as cases of all types, each turn with one call and what it found."""
+    rows = S.table(spark, d, "conversations")
+    conv, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
+    pick = lambda items, i: F.get(F.array(*[F.lit(x) for x in items]), i.cast("int"))
+    queries = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("queries")
+    g = (conv % 7).cast("int")
+    cases = rows.groupBy("conv_id").agg(queries).select(
+        conv.alias("case_id"), pick(L.CASE_TYPES, conv % 11).alias("type"), "queries", F.when(conv % 2 == 0, F.array(g, g + 1)).alias("gold"),
+        F.when(conv % 4 == 1, F.struct(F.lit("I").alias("label"), F.lit(3).alias("first"), F.lit(5).alias("last"))).alias("chapter"),
+        F.lit("get_article").alias("expected_first_tool"), F.array(g).alias("answer_names"), F.array(F.lit("zzz")).alias("leaks"), F.lit(0).alias("target_turn"),
+    )
+    first = rows.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"))
+    content = F.when(conv % 4 == 0, F.col("first")).when(conv % 4 == 2, text).otherwise("Chưa có  nội dung nào trước đó")
+    cited = F.struct(((conv + turn) % 7).cast("int").alias("article"), F.array(F.when(turn % 3 == 0, "Chương I: x").otherwise("Chương IV")).alias("breadcrumb"))
+    arguments = pick(['{"article_number": 3}', '{"key": "x"}', '{"query": ""}', "broken", None], conv % 5)
+    tool = pick(["get_article", "recall_session", "search_legal_articles", "other"], (conv + turn) % 4)
+    none, nothing = F.lit(None).cast("string"), F.filter(F.array(cited), lambda x: F.lit(False))
+    steps = F.array(
+        F.struct(F.lit("action").alias("kind"), tool.alias("tool"), arguments.alias("tool_input"), F.lit("").alias("content"), nothing.alias("citations")),
+        F.struct(F.lit("observation").alias("kind"), none.alias("tool"), none.alias("tool_input"), content.alias("content"), F.array(cited).alias("citations")),
+    )
+    answer = F.concat(F.when(conv % 5 > 1, "Vâng").otherwise(text), F.when(conv % 3 > 0, F.concat(F.lit(" Điều "), (turn % 7).cast("string"))).otherwise(""))
+    turns = rows.join(first, "conv_id").select(conv.alias("case_id"), "turn", (~((conv % 10 == 9) & (turn == 1))).alias("ok"), answer.alias("answer"), steps.alias("steps"))
+    return E.case_scores(cases, turns, max_steps=1)
 
 
 @query("manifest_compare", "SELECT 'dim' AS mismatch")
