@@ -213,3 +213,55 @@ def test_upsert_of_a_key_twice_in_a_batch(spark):
     stored = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "id string, name string, n int")
     batch = spark.createDataFrame([("a", "new", None, 1), ("a", "newer", 5, 2), ("a", None, None, 3), ("c", "z", 7, 1)], "id string, name string, n int, ord int")
     assert sorted(map(tuple, graph.upsert_nodes(stored, batch).collect())) == [("a", "newer", 5), ("b", "y", 2), ("c", "z", 7)]
+
+
+def test_numbers_of_a_hot_group_across_ranges(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 50 == 0, F.lit(None).cast("string")).when(F.col("id") % 50 == 1, "b").otherwise("a").alias("g"), (5000 - F.col("id")).alias("n"))
+    found = traversal.numbered(rows, ["g"], ["n"], "i")
+    assert found.columns == ["g", "n", "i"]
+    want = {}
+    for n in range(1, 5001):
+        want.setdefault(None if (5000 - n) % 50 == 0 else "b" if (5000 - n) % 50 == 1 else "a", []).append(n)
+    got = {(r["g"], r["n"]): r["i"] for r in found.collect()}
+    assert got == {(g, n): i for g, ns in want.items() for i, n in enumerate(ns)}
+
+
+def test_ranking_ties_go_by_id(spark):
+    docs = spark.createDataFrame([(3, ["aa", "bb"]), (1, ["aa", "bb"]), (2, ["aa", "aa"]), (4, ["cc"]), (5, None)], "id long, tokens array<string>")
+    queries = spark.createDataFrame([(7, ["aa", "zz", "aa"]), (8, [])], "query_id long, tokens array<string>")
+    found = search.ranked(search.bm25(docs, queries, "id"), 2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["id"], r["rank"]) for r in found] == [(7, 2, 1), (7, 1, 2)]
+
+
+def test_case_types(spark):
+    step = "struct<kind:string,tool:string,tool_input:string,content:string,citations:array<struct<article:int,breadcrumb:array<string>>>>"
+    call = lambda tool, arguments: ("action", tool, arguments, "", None)
+    saw = lambda text, *cited: ("observation", None, None, text, [(n, []) for n in cited])
+    asked = ["Điều 5 nói gì về tài sản?", "tôi đã hỏi gì?"]
+    cases = spark.createDataFrame(
+        [
+            ("basic", "recall_basic", asked, [], None, None, [5], [], None), ("fresh", "recall_fresh", ["a"], [], None, None, [], [], None), ("made_up", "recall_fresh", ["b"], [], None, None, [], [], None),
+            ("leaky", "isolation", ["secret of A", "x"], [], None, None, [], ["Mark"], None), ("failed", "seed", ["q"], [5], None, None, [], [], None), ("missing", "seed", ["q"], [5], None, None, [], [], None),
+            ("chapter", "global", ["q"], [], ("V", 10, 20), "get_community_context", [], [], None), ("empty", "small_talk", ["hi"], [], None, None, [], [], None),
+        ],
+        "case_id string, type string, queries array<string>, gold array<int>, chapter struct<label:string,first:int,last:int>, expected_first_tool string, answer_names array<int>, leaks array<string>, target_turn int",
+    )
+    fresh = [call("recall_session", '{"key": "all"}'), saw("Chưa có nội dung nào  trước đó.")]
+    turns = spark.createDataFrame(
+        [
+            ("basic", 0, True, "Điều 5", []), ("basic", 1, True, "Bạn hỏi về điều 5", [call("recall_session", '{"key": ""}'), saw("1. điều 5 NÓI gì về tài sản?")]),
+            ("fresh", 0, True, "Chưa có câu hỏi nào.", fresh), ("made_up", 0, True, "You  asked about houses", fresh),
+            ("leaky", 0, True, "", []), ("leaky", 1, True, "a mark", [call("get_article", '{"article_number": "5"}')]), ("failed", 0, False, None, None),
+            ("chapter", 0, True, "x", [call("get_community_context", '{"query": "q"}'), saw("", 15)]), ("empty", 0, True, None, None),
+        ],
+        f"case_id string, turn int, ok boolean, answer string, steps array<{step}>",
+    )
+    found = {r["case_id"]: r.asDict() for r in evaluation.case_scores(cases, turns, 1).collect()}
+    assert len(found) == 8
+    assert found["basic"]["recall_ok"] and found["basic"]["invalid_calls"] == 1
+    assert found["fresh"]["recall_ok"] and not found["fresh"]["fabricated"]
+    assert found["made_up"]["fabricated"] and not found["made_up"]["recall_ok"]
+    assert found["leaky"]["isolation_leak"] and not found["leaky"]["isolation_exercised"] and found["leaky"]["invalid_calls"] == 1
+    assert all(found[x]["errored"] and found[x]["gold_hit"] is None for x in ("failed", "missing"))
+    assert found["chapter"]["gold_hit"] and found["chapter"]["citation_recall"] == 1 and found["chapter"]["tool_choice_ok"] and not found["chapter"]["budget_exhausted"]
+    assert not found["empty"]["errored"] and found["empty"]["recall_ok"] is None

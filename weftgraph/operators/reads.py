@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.operators.traversal import numbered
+
 
 def nodes_of(nodes: DataFrame, label: str) -> DataFrame:
     return nodes.where(F.col("label") == label)
@@ -63,8 +64,8 @@ def relation_grid(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def graph_data(edges: DataFrame, order: list[str]) -> DataFrame:
     """Edges other than REFERENCES with ids ``type_i``, i counted in each type."""
-    number = F.row_number().over(W.partitionBy("type").orderBy(*order)) - 1
-    return edges.where(F.col("type") != "REFERENCES").select(F.concat_ws("_", "type", number.cast("string")).alias("id"), "src", "dst", "type")
+    found = numbered(edges.where(F.col("type") != "REFERENCES"), ["type"], order, "_i")
+    return found.select(F.concat_ws("_", "type", F.col("_i").cast("string")).alias("id"), "src", "dst", "type")
 
 
 def visible(edges: DataFrame, shown: DataFrame, kinds: Sequence[str]) -> DataFrame:

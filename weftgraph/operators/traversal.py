@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def numbered(rows: DataFrame, groups: list[str], order: list[Column | str], column: str) -> DataFrame:
+    """Rows with their number in their group, from 0, by ``order``.
+
+    Ranges of the order are numbered apart, and the numbers of rows in a group's
+    earlier ranges are added, from a table of one row a range and group, so a
+    group may be of any size.  Rows that ``order`` doesn't tell apart stay in one
+    range, in any order.  The ranges are kept, so both readings see the same.
+    """
+    ranged = _kept(rows.repartitionByRange(*groups, *order).withColumn("_range", F.spark_partition_id()))
+    before = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*groups, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = ranged.withColumn("_at", F.row_number().over(W.partitionBy(*groups, "_range").orderBy(*order)) - 1)
+    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*groups, "_range")]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    both = inside.alias("i").join(sizes.alias("s"), cond)
+    return both.select(*[F.col(f"i.{c}") for c in rows.columns], (F.col("_at") + F.col("_before")).alias(column))
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a loop: written to the checkpoint folder if the
     session has one, so that a lost executor costs one round."""
@@ -116,11 +136,11 @@ def layer_rows(layers: DataFrame, edges: DataFrame, order: str) -> DataFrame:
     """Row of each node in its layer: by the mean row of its parents in the
     layer above, then by ``order``.  A loop over depths."""
     deepest = layers.agg(F.max("depth")).first()[0]
-    by_order = W.partitionBy("depth").orderBy(order)
-    done = layers.where("depth = 0").withColumn("row", F.row_number().over(by_order) - 1)
+    done = _kept(numbered(layers.where("depth = 0"), ["depth"], [order], "row"))
     for depth in range(1, (deepest or 0) + 1):
         above = done.select(F.col("id").alias("src"), F.col("row").alias("up"))
         mean = edges.select("src", "dst").join(above, "src").groupBy(F.col("dst").alias("id")).agg(F.avg("up").alias("mean"))
-        ranked = layers.where(F.col("depth") == depth).join(mean, "id", "left")
-        done = done.unionByName(ranked.withColumn("row", F.row_number().over(W.partitionBy("depth").orderBy(F.col("mean").asc_nulls_last(), order)) - 1).drop("mean"))
+        ranked = layers.where(F.col("depth") == depth).join(mean, "id", "left").select(*layers.columns, "mean")
+        placed = numbered(ranked, ["depth"], [F.col("mean").asc_nulls_last(), F.col(order)], "row").drop("mean")
+        done = done.unionByName(_kept(placed))
     return done
