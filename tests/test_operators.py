@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import evaluation, graph, parsing, reads, search, sessions, traversal
+from weftgraph.operators import caching, evaluation, graph, parsing, reads, search, sessions, traversal
 from weftgraph.streaming import hash_chain, memory
 
 
@@ -265,3 +265,21 @@ def test_case_types(spark):
     assert all(found[x]["errored"] and found[x]["gold_hit"] is None for x in ("failed", "missing"))
     assert found["chapter"]["gold_hit"] and found["chapter"]["citation_recall"] == 1 and found["chapter"]["tool_choice_ok"] and not found["chapter"]["budget_exhausted"]
     assert not found["empty"]["errored"] and found["empty"]["recall_ok"] is None
+
+
+def test_cache_by_age_and_size(spark):
+    now = [0]
+    cache = caching.TtlCache("path", lambda: now[0])
+    cache.most = 2
+    for key in "ab":
+        now[0] += 1
+        cache.set(key, key)
+    cache.set("c", "c")
+    assert cache.get("a") is None and cache.get("b") == "b" and cache.get("c") == "c"
+    now[0] += cache.ttl
+    assert cache.get("b") == "b"
+    now[0] += 1
+    assert cache.get("b") is None and cache.stats() == {"hits": 3, "misses": 2, "hit_rate": 0.6}
+    log = [("a", 0, 1, "get"), ("a", 1, 2, "set"), ("a", 11, 3, "get"), ("a", 12, 4, "get"), ("b", 1, 5, "set"), ("b", 2, 6, "delete"), ("b", 3, 7, "get"), (None, 1, 8, "set"), (None, 1, 9, "get")]
+    found = caching.replay(spark.createDataFrame(log, "key string, at long, ord int, op string"), 10)
+    assert {r["ord"]: r["hit"] for r in found.collect()} == {1: False, 3: True, 4: False, 7: False, 9: True}

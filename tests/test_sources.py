@@ -7,7 +7,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from weftgraph.sources import corpus, session_logs
+from weftgraph.functions.embedding import hashing_embedder
+from weftgraph.sources import corpus, knowledge, session_logs
 
 
 def test_folder_scan(spark, tmp_path):
@@ -86,3 +87,27 @@ def test_folders_fail_on_broken_files_and_skip_objects(spark, tmp_path):
     (tmp_path / "c.json").write_text('[{"article_number": 5}')
     with pytest.raises((PySparkException, Py4JJavaError)):
         corpus.scan_folder(spark, str(tmp_path)).collect()
+
+
+def test_upload_is_incremental_and_refused_by_a_manifest(spark, tmp_path):
+    store, embed = f"file://{tmp_path}/store", hashing_embedder(8)
+    first = json.dumps([{"article_number": 1, "title": "a", "content": "1. x\n2. theo Điều 2"}, {"article_number": 2, "title": "b", "content": "y"}])
+    stats = lambda rows: {r["key"]: r["n"] for r in rows.collect() if r["n"]}
+    one = {"Article": 2, "Clause": 3, "edge:HAS_CLAUSE": 3, "edge:REFERENCES": 1, "edge:REFERENCED_BY": 1, "edge:NEXT_ARTICLE": 1}
+    for _ in range(2):
+        assert stats(knowledge.upload(spark, store, "a.json", first, embed)) == one
+    assert spark.read.parquet(f"{store}/vectors").count() == spark.read.parquet(f"{store}/progress").count() == 5
+    more = json.dumps([{"article_number": 3, "title": "c", "content": "theo Điều 1"}])
+    assert stats(knowledge.upload(spark, store, "b.json", more, embed)) == one | {"Article": 3, "Clause": 4, "edge:HAS_CLAUSE": 4, "edge:REFERENCES": 2, "edge:REFERENCED_BY": 2}
+    corpus.replace_file(spark, f"{store}/{knowledge.MANIFEST}", "{}")
+    with pytest.raises(knowledge.StoreLocked):
+        knowledge.upload(spark, store, "c.json", more, embed)
+    assert not (tmp_path / "store/files/c.json").exists()
+
+
+def test_resume_refuses_unknown_progress(spark):
+    rows = spark.createDataFrame([("article", "1", 0), ("article", "2", 0), ("clause", "1", 0)], "kind string, id string, v int")
+    stored = rows.where("id = '1' and kind = 'article'")
+    assert sorted((r["kind"], r["id"]) for r in knowledge.resumed(rows, stored, stored.limit(0)).collect()) == [("article", "2"), ("clause", "1")]
+    with pytest.raises(knowledge.ProgressAhead, match="lists 2 ids .*first: 2"):
+        knowledge.resumed(rows, stored, rows)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import lexicons as L
-from weftgraph.operators import evaluation, reads, sessions
+from weftgraph.operators import caching, evaluation, reads, sessions
 from weftgraph.plans import standins as S
 from weftgraph.plans.registry import query
 from weftgraph.sources import session_logs
@@ -190,3 +190,13 @@ def avg_op_time(spark: SparkSession, d: str) -> DataFrame:
 def cache_stats(spark: SparkSession, d: str) -> DataFrame:
     e = S.table(spark, d, "events").select((F.col("user_id") % 3 == 0).alias("hit"))
     return evaluation.cache_stats(e).withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+@query("cache_replay", """WITH o AS (SELECT user_id AS key, epoch_ms(ts) AS ms, event_id AS ord, CASE WHEN event_id % 5 = 0 THEN 'set' WHEN event_id % 11 = 0 THEN 'delete' ELSE 'get' END AS op FROM events),
+  c AS (SELECT *, last_value(CASE WHEN op <> 'get' THEN {'op': op, 'ms': ms} END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ms, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM o)
+  SELECT key, ord, coalesce(was.op = 'set' AND ms - was.ms <= 86400000, false) AS hit FROM c WHERE op = 'get'""")
+def cache_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Events as operations of a cache by user, whose entries live for a day."""
+    op = F.when(F.col("event_id") % 5 == 0, "set").when(F.col("event_id") % 11 == 0, "delete").otherwise("get")
+    events = S.table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("ord"), op.alias("op"))
+    return caching.replay(events, caching.CONFIGS["answer"][0]).drop("at")

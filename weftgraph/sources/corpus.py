@@ -13,7 +13,7 @@ _FIELDS = "article_number:bigint, title:string, content:variant, metadata:struct
 REPORTS = "id string, community_id string, level bigint, title string, summary string, findings array<string>, rating double, parent_id string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
     return files is not None and len(files) > 0
@@ -40,7 +40,7 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_reports(spark: SparkSession, path: str) -> DataFrame:
     """Reports of a file; a missing one has none."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], REPORTS)
     return spark.read.schema(REPORTS).option("multiLine", True).json(path).where("id is not null")
 
