@@ -94,7 +94,8 @@ def hierarchy_values(rows: DataFrame, levels: list[str]) -> DataFrame:
 def split_clauses(rows: DataFrame, article: str, text: str) -> DataFrame:
     """(article_id, place, number, text): a clause for each line that starts with
     a number and a dot.  What stands before the first belongs to it, with a line
-    break between; without any there is one clause, number 1."""
+    break between; without any there is one clause, number 1.  A number too long
+    for a bigint counts as 1."""
     # A look-ahead split keeps each marker with its clause; element 0 may be a preamble.
     pieces = F.split(F.coalesce(F.col(text), F.lit("")), r"(?m)(?=^[0-9]+\.\s+)")
     pieces = F.filter(pieces, lambda p, i: (i > 0) | (F.trim(p) != ""))
@@ -105,7 +106,7 @@ def split_clauses(rows: DataFrame, article: str, text: str) -> DataFrame:
     numbers = F.when(F.size(pieces) == 0, F.array(F.lit("1"))).otherwise(F.transform(F.filter(pieces, marked), lambda p: F.regexp_extract(p, r"^([0-9]+)\.", 1)))
     out = rows.select(F.col(article).alias("article_id"), merged.alias("m"), numbers.alias("n"))
     out = out.select("article_id", F.posexplode("m").alias("place", "text"), "n")
-    number = F.coalesce(F.try_element_at("n", F.col("place") + 1).cast("long"), F.lit(1).cast("long"))
+    number = F.coalesce(F.try_element_at("n", F.col("place") + 1).try_cast("long"), F.lit(1).cast("long"))
     return out.select("article_id", (F.col("place") + 1).cast("long").alias("place"), number.alias("number"), trim(F.col("text")).alias("text"))
 
 

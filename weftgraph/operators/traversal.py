@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Tables of visited nodes that a search keeps apart.
+SEEN_TABLES = 16
+
 
 def numbered(rows: DataFrame, groups: list[str], order: list[Column | str], column: str) -> DataFrame:
     """Rows with their number in their group, from 0, by ``order``.
@@ -53,6 +58,8 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, depth: int, keep_path: boo
         new = out.join(found.select("id"), "id", "left_anti")
         first = new.groupBy("id").agg(F.min_by(F.struct("place", "path", "relationship"), F.struct("place", "relationship")).alias("f"))
         level = first.select("id", F.lit(step).alias("depth"), "f.place", F.concat("f.path", F.array("id")).alias("path"), "f.relationship")
+        if step < depth:
+            level = _kept(level)  # read by the next step and by the result
         found = found.union(level)
     return found if keep_path else found.drop("path")
 
@@ -74,17 +81,20 @@ def shortest_path(edges: DataFrame, start: object, goal: object, most: int = 100
     steps = forth.union(back)
     id_type = edges.schema["src"].dataType
     level = spark.createDataFrame([(start,)], "id string").select(F.col("id").cast(id_type), F.array(F.col("id").cast(id_type)).alias("path"), F.array(F.lit(0).cast("long")).alias("place"))
-    seen = level.select("id")
+    seen = [level.select("id")]
     for _ in range(most):
         hit = level.where(F.col("id") == F.lit(goal)).select("path").first()
         if hit:
             return spark.createDataFrame([(i, x) for i, x in enumerate(hit["path"])], f"step int, id {id_type.simpleString()}")
         out = level.select(F.col("id").alias("src"), "path", "place").join(steps, "src").select(F.col("dst").alias("id"), "path", F.concat("place", F.array(F.col("rank").cast("long"), F.col("ord").cast("long"))).alias("place"))
-        new = out.join(seen, "id", "left_anti").groupBy("id").agg(F.min_by(F.struct("path", "place"), "place").alias("f"))
+        new = out.join(reduce(DataFrame.union, seen), "id", "left_anti").groupBy("id").agg(F.min_by(F.struct("path", "place"), "place").alias("f"))
         level = _kept(new.select("id", F.concat("f.path", F.array("id")).alias("path"), "f.place"))
         if level.isEmpty():
             break
-        seen = _kept(seen.union(level.select("id")))
+        # Each round adds its own table; they are written anew as one now and then.
+        seen.append(level.select("id"))
+        if len(seen) > SEEN_TABLES:
+            seen = [_kept(reduce(DataFrame.union, seen))]
     return spark.createDataFrame([], f"step int, id {id_type.simpleString()}")
 
 

@@ -11,7 +11,7 @@ from weftgraph.functions import vectors as V
 from weftgraph.operators import search
 from weftgraph.plans import bundle
 from weftgraph.plans import standins as S
-from weftgraph.plans.catalog_text import LAWS, LAWS_SQL, fixture
+from weftgraph.plans.catalog_text import FOUND_SQL, LAWS, LAWS_SCHEMA, LAWS_SQL, fixture, with_documents
 from weftgraph.plans.registry import query, values
 
 Q0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0) q"
@@ -152,7 +152,7 @@ def bm25_ranking(spark: SparkSession, d: str) -> DataFrame:
     return search.ranked(_bm25(spark, d), 10).select("query_id", "id", "rank")
 
 
-@query("concepts", f"""{LAWS_SQL}, k AS (SELECT * FROM (VALUES {values((i, w) for i, w in enumerate(L.LEGAL_TERMS))}) v(i, w)),
+@query("concepts", f"""{FOUND_SQL}, k AS (SELECT * FROM (VALUES {values((i, w) for i, w in enumerate(L.LEGAL_TERMS))}) v(i, w)),
   x AS (SELECT id, w, row_number() OVER (PARTITION BY id ORDER BY k.i) - 1 AS i FROM t JOIN k ON contains(lower(title || ' ' || text), w)), f AS (SELECT w, min(id * 100 + i) AS place FROM x GROUP BY w ORDER BY place, w LIMIT 10)
   SELECT 'concept_' || replace(w, ' ', '_') AS id, w AS name, CASE WHEN contains(w, 'người') OR contains(w, 'cá nhân') THEN 'person' WHEN contains(w, 'tài sản') OR contains(w, 'sở hữu') THEN 'property'
     WHEN contains(w, 'hợp đồng') THEN 'contract' WHEN contains(w, 'thừa kế') THEN 'inheritance' WHEN contains(w, 'bồi thường') OR contains(w, 'thiệt hại') THEN 'tort' ELSE 'other' END AS category, '1,2,3,4' AS source_articles FROM f""")
@@ -169,7 +169,7 @@ def concept_relevance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("entity_tags", f"{LAWS_SQL} SELECT id::BIGINT AS id, type, keyword, c::DOUBLE AS confidence FROM t JOIN (VALUES {values((k, c, w) for k, c, ws in L.ENTITY_KEYWORDS for w in ws)}) v(type, c, keyword) ON contains(lower(text), keyword)")
 def entity_tags(spark: SparkSession, d: str) -> DataFrame:
-    return search.entity_tags(fixture(spark, LAWS, "id long, title string, text string"), "id", F.col("text"))
+    return search.entity_tags(with_documents(spark, d, LAWS, LAWS_SCHEMA), "id", F.col("text"))
 
 
 @query("suggestions", f"SELECT ord::INTEGER AS ord, text FROM (VALUES {values(enumerate(L.SUGGESTIONS))}) t(ord, text) WHERE contains(lower(text), 'tài sản') ORDER BY ord LIMIT 5")

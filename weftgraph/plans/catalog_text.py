@@ -99,26 +99,47 @@ def hier_path(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", parsing.hierarchical_path(F.col("part"), F.col("chapter"), F.col("section"), F.col("subsection")).alias("path"))
 
 
-@query("clause_split", """SELECT article_id::BIGINT AS article_id, place::BIGINT AS place, number::BIGINT AS number, text FROM (VALUES
-  (1, 1, 1, 'Mở đầu.' || chr(10) || '1. Khoản một:' || chr(10) || 'a) điểm a' || chr(10) || 'b) điểm b'), (1, 2, 2, '2. Khoản hai.'), (1, 3, 3, '3. Khoản ba.'),
-  (2, 1, 1, '1. Chỉ một khoản' || chr(10) || 'đ) điểm đ' || chr(10) || 'A) hoa'), (3, 1, 1, 'không có khoản nào'), (4, 1, 1, ''),
-  (5, 1, 1, '1. x'), (5, 2, 1, '1. y lặp'), (5, 3, 10, '10. z')) t(article_id, place, number, text)""")
+def with_documents(spark: SparkSession, d: str, rows: list[tuple], schema: str) -> DataFrame:
+    """All documents (title: the first line), and the rows under negative ids."""
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("id"), F.split("text", "\n", 2)[0].alias("title"), "text")
+    own = fixture(spark, rows, schema)
+    title = F.col("title") if "title" in own.columns else F.lit("")
+    return docs.unionByName(own.select((-F.col("id")).alias("id"), title.alias("title"), "text"))
+
+
+ALL_DOCS = "SELECT doc_id::BIGINT AS id, string_split(text, chr(10))[1] AS title, text FROM documents"
+CLAUSES_SQL = f"WITH t AS ({ALL_DOCS} UNION ALL SELECT -id, '', text FROM (VALUES {values(CLAUSES)}) v(id, text))"
+_TRIM = "regexp_replace({}, '^[\\t-\\r\\x{{85}}\\p{{Z}}]+|[\\t-\\r\\x{{85}}\\p{{Z}}]+$', '', 'g')".format
+
+
+@query("clause_split", f"""{CLAUSES_SQL}, s AS (SELECT id, string_split(regexp_replace(coalesce(text, ''), '(?m)^([0-9]+\\.\\s+)', chr(1) || '\\1', 'g'), chr(1)) AS raw FROM t),
+  p AS (SELECT id, list_filter(raw, lambda x, i: i > 1 OR trim(x) <> '') AS p FROM s),
+  m AS (SELECT id, list_transform(list_filter(p, lambda x: regexp_matches(x, '^[0-9]+\\.\\s')), lambda x: regexp_extract(x, '^([0-9]+)\\.', 1)) AS n,
+    CASE WHEN len(p) = 0 THEN [''] WHEN len(p) > 1 AND NOT regexp_matches(p[1], '^[0-9]+\\.\\s') THEN list_concat([{_TRIM("p[1]")} || chr(10) || {_TRIM("p[2]")}], p[3:]) ELSE p END AS m FROM p),
+  r AS (SELECT id, n, m, unnest(range(1, len(m) + 1)) AS place FROM m)
+  SELECT id AS article_id, place::BIGINT AS place, coalesce(try_cast(n[place] AS BIGINT), 1)::BIGINT AS number, {_TRIM("m[place]")} AS text FROM r""")
 def clause_split(spark: SparkSession, d: str) -> DataFrame:
-    return parsing.split_clauses(fixture(spark, CLAUSES, "id long, text string"), "id", "text")
+    return parsing.split_clauses(with_documents(spark, d, CLAUSES, "id long, text string"), "id", "text")
+
+
+_POINT = f"(?im)^([{L.POINT_LETTERS}])\\)\\s+(.+)$"
 
 
-@query("point_split", """SELECT clause_id::BIGINT AS clause_id, place::BIGINT AS place, letter, text FROM (VALUES (1, 1, 'a', 'điểm a'), (1, 2, 'b', 'điểm b'), (2, 1, 'đ', 'điểm đ'), (2, 2, 'a', 'hoa')) t(clause_id, place, letter, text)""")
+@query("point_split", f"""{CLAUSES_SQL}, r AS (SELECT id, regexp_extract_all(text, '{_POINT}', 1) AS a, regexp_extract_all(text, '{_POINT}', 2) AS b FROM t),
+  u AS (SELECT id, a, b, unnest(range(1, len(a) + 1)) AS place FROM r) SELECT id AS clause_id, place::BIGINT AS place, lower(a[place]) AS letter, trim(b[place]) AS text FROM u""")
 def point_split(spark: SparkSession, d: str) -> DataFrame:
-    return parsing.split_points(fixture(spark, CLAUSES, "id long, text string"), "id", "text")
+    return parsing.split_points(with_documents(spark, d, CLAUSES, "id long, text string"), "id", "text")
 
 
-LAWS_SQL = f"WITH t(id, title, text) AS (VALUES {values(LAWS)})"
+FOUND_SQL = f"WITH t(id, title, text) AS (VALUES {values(LAWS)})"
+LAWS_SCHEMA = "id long, title string, text string"
+LAWS_SQL = f"WITH t AS ({ALL_DOCS} UNION ALL SELECT -id, title, text FROM (VALUES {values(LAWS)}) v(id, title, text))"
 
 
 @query("keywords", f"""{LAWS_SQL}, k AS (SELECT * FROM (VALUES {values((i, w) for i, w in enumerate(L.LEGAL_TERMS))}) v(i, w))
   SELECT id::BIGINT AS id, coalesce(string_agg(w, ',' ORDER BY i), '') AS words FROM t LEFT JOIN k ON contains(lower(title || ' ' || text), w) GROUP BY id""")
 def keywords(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, LAWS, "id long, title string, text string").select("id", F.array_join(T.keywords(F.col("title"), F.col("text")), ",").alias("words"))
+    return with_documents(spark, d, LAWS, LAWS_SCHEMA).select("id", F.array_join(T.keywords(F.col("title"), F.col("text")), ",").alias("words"))
 
 
 def _refs(pattern: str, group: int) -> str:
@@ -127,24 +148,24 @@ def _refs(pattern: str, group: int) -> str:
 
 @query("article_refs", _refs("(?i)điều\\s+([0-9]+)", 1))
 def article_refs(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, LAWS, "id long, title string, text string").select("id", F.array_join(T.article_references(F.col("text")).cast("array<string>"), ",").alias("refs"))
+    return with_documents(spark, d, LAWS, LAWS_SCHEMA).select("id", F.array_join(T.article_references(F.col("text")).cast("array<string>"), ",").alias("refs"))
 
 
 @query("clause_refs", _refs("(?i)khoản\\s+([0-9]+)", 0))
 def clause_refs(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, LAWS, "id long, title string, text string").select("id", F.array_join(T.clause_references(F.col("text")), ",").alias("refs"))
+    return with_documents(spark, d, LAWS, LAWS_SCHEMA).select("id", F.array_join(T.clause_references(F.col("text")), ",").alias("refs"))
 
 
 @query("point_refs", _refs("(?i)điểm\\s+([a-z])\\)?", 0))
 def point_refs(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, LAWS, "id long, title string, text string").select("id", F.array_join(T.point_references(F.col("text")), ",").alias("refs"))
+    return with_documents(spark, d, LAWS, LAWS_SCHEMA).select("id", F.array_join(T.point_references(F.col("text")), ",").alias("refs"))
 
 
 @query("ids_from_text", f"{LAWS_SQL}, x AS (SELECT id, unnest(regexp_extract_all(text, 'Điều\\s+([0-9]+)', 1)) AS r FROM t) SELECT DISTINCT id::BIGINT AS id, r::BIGINT AS article FROM x")
 def ids_from_text(spark: SparkSession, d: str) -> DataFrame:
     from weftgraph.operators.search import article_ids_in
 
-    return fixture(spark, LAWS, "id long, title string, text string").select("id", F.explode(article_ids_in(F.col("text"))).alias("article"))
+    return with_documents(spark, d, LAWS, LAWS_SCHEMA).select("id", F.explode(article_ids_in(F.col("text"))).alias("article"))
 
 
 DOCS = "WITH t AS (SELECT doc_id AS id, text, string_split(text, chr(10))[1] AS title FROM documents)"
@@ -193,7 +214,7 @@ def nfc(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fold", f"{LAWS_SQL} SELECT id::BIGINT AS id, lower(strip_accents(replace(replace(text, 'đ', 'd'), 'Đ', 'D'))) AS folded FROM t")
 def fold(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, LAWS, "id long, title string, text string").select("id", T.folded("text").alias("folded"))
+    return with_documents(spark, d, LAWS, LAWS_SCHEMA).select("id", T.folded("text").alias("folded"))
 
 
 @query("cap_tokens")
@@ -255,7 +276,7 @@ def row_hash(spark: SparkSession, d: str) -> DataFrame:
 
 @query("md_format")
 def md_format(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, LAWS, "id long, title string, text string").select("id", T.markdown_emphasis(F.col("text")).alias("text"))
+    return with_documents(spark, d, LAWS, LAWS_SCHEMA).select("id", T.markdown_emphasis(F.col("text")).alias("text"))
 
 
 @query("section_count")
@@ -265,7 +286,7 @@ def section_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query("names_article")
 def names_article(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, LAWS, "id long, title string, text string").select("id", T.names_article(F.col("text"), 5).alias("five"), T.names_article(F.col("text"), 1).alias("one"))
+    return with_documents(spark, d, LAWS, LAWS_SCHEMA).select("id", T.names_article(F.col("text"), 5).alias("five"), T.names_article(F.col("text"), 1).alias("one"))
 
 
 @query("content_normalize", "SELECT * FROM (VALUES (1::BIGINT, 'plain'), (2, 'a' || chr(10) || 'b'), (3, 'x' || chr(10) || 'y'), (4, ''), (5, '')) t(id, text)")
