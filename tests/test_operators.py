@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,3 +285,29 @@ def test_cache_by_age_and_size(spark):
     log = [("a", 0, 1, "get"), ("a", 1, 2, "set"), ("a", 11, 3, "get"), ("a", 12, 4, "get"), ("b", 1, 5, "set"), ("b", 2, 6, "delete"), ("b", 3, 7, "get"), (None, 1, 8, "set"), (None, 1, 9, "get")]
     found = caching.replay(spark.createDataFrame(log, "key string, at long, ord int, op string"), 10)
     assert {r["ord"]: r["hit"] for r in found.collect()} == {1: False, 3: True, 4: False, 7: False, 9: True}
+
+
+def test_fill_down_over_ranges(spark):
+    """Against a loop, for a corpus of one group and for several."""
+    rng = random.Random(3)
+    some = lambda p, values: rng.choice(values) if rng.random() < p else None
+    rows = [(i, i // 150, some(0.05, ["P1", "P2"]), some(0.1, ["C1", "C2", "C3"]), some(0.2, ["S1", "S2", ""]), some(0.2, ["T1", ""])) for i in range(600)]
+    articles = spark.createDataFrame(rows, "pos long, doc int, part string, chapter string, section string, subsection string").repartition(3)
+    for group in (None, ["doc"]):
+        wanted, now, doc = {}, [None, None, "", ""], 0
+        for pos, d, part, chapter, section, subsection in rows:
+            if group and d != doc:
+                now, doc = [None, None, "", ""], d
+            was = list(now)
+            if part is not None and part != now[0]:
+                now = [part, None, "", ""]
+            name = chapter if chapter is not None else now[1] if now[1] is not None else parsing.UNSORTED_CHAPTER if now[0] else None
+            if name != now[1] and not (was[0] == now[0] and was[1] == name):
+                now[2] = now[3] = ""
+            now[1] = name
+            now[2] = section if section is not None else now[2]
+            now[3] = subsection if subsection is not None else now[3]
+            wanted[pos] = tuple(now)
+        out = parsing.fill_down(articles, "pos", group)
+        assert out.columns == [*articles.columns, "part_name", "chapter_name", "section_name", "subsection_name"]
+        assert {r["pos"]: tuple(r)[-4:] for r in out.collect()} == wanted

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.functions import lexicons as L
 from weftgraph.functions import text as T
+from weftgraph.operators.traversal import kept
 
 UNSORTED_CHAPTER = "Chương chưa phân loại"
 
@@ -22,6 +25,19 @@ def normalized_content(content: Column) -> Column:
     return F.coalesce(F.when(F.startswith(kind, F.lit("ARRAY")), items).when(F.startswith(kind, F.lit("OBJECT")), values).when(kind == "STRING", F.try_variant_get(value, "$", "string")), F.lit(""))
 
 
+def _carried(rows: DataFrame, ordinal: str, groups: list[str], values: dict[str, Column], before: bool = False) -> DataFrame:
+    """Adds the last value that isn't null up to each row (``before``: in front
+    of it).  Ranges are filled apart; what earlier ones end with comes from a
+    table of one row a range and group."""
+    inside = W.partitionBy(*groups, "_range").orderBy(ordinal).rowsBetween(W.unboundedPreceding, -1 if before else 0)
+    earlier = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ends = rows.groupBy(*groups, "_range").agg(*[F.max_by(c, F.when(c.isNotNull(), F.col(ordinal))).alias(f"_last_{n}") for n, c in values.items()])
+    ends = ends.select(*groups, "_range", *[F.last(f"_last_{n}", ignorenulls=True).over(earlier).alias(f"_last_{n}") for n in values])
+    own = rows.withColumns({n: F.last(c, ignorenulls=True).over(inside) for n, c in values.items()})
+    same = reduce(Column.__and__, [F.col(f"i.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*groups, "_range")])
+    return own.alias("i").join(ends.alias("s"), same, "left").select(*[F.col(f"i.{c}") for c in rows.columns], *[F.coalesce(f"i.{n}", f"s._last_{n}").alias(n) for n in values])
+
+
 def fill_down(articles: DataFrame, ordinal: str, group: list[str] | None = None) -> DataFrame:
     """Carries part, chapter, section and subsection down the articles.
 
@@ -29,25 +45,25 @@ def fill_down(articles: DataFrame, ordinal: str, group: list[str] | None = None)
     ``subsection`` are null where a row hasn't the key, and may be empty.  A new
     part resets the chapter and, like a new chapter, section and subsection; a
     row's own values count after the reset.  ``group`` splits the corpus into
-    documents that are filled apart, as one order of all rows is one task.
+    documents that are filled apart.  Ranges of the order are filled apart and
+    joined at their ends, so neither the corpus nor a group is one task.
+    ``ordinal`` is a column without ties or nulls.
     """
     keys = group or []
-    w = W.partitionBy(*keys, "_p").orderBy(ordinal) if keys else W.partitionBy("_p").orderBy(ordinal)
-    top = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(ordinal)
-
-    def changed(column: str, over: W) -> Column:
-        before = F.lag(column).over(over)
-        return F.sum(F.when(before.eqNullSafe(F.col(column)), 0).otherwise(1)).over(over)
-
-    filled = articles.withColumn("part_name", F.last("part", ignorenulls=True).over(top))
-    filled = filled.withColumn("_p", changed("part_name", top))
-    filled = filled.withColumn("chapter_name", F.coalesce(F.last("chapter", ignorenulls=True).over(w), F.when(F.col("part_name").isNotNull(), F.lit(UNSORTED_CHAPTER))))
-    filled = filled.withColumn("_c", changed("chapter_name", w))
-    inner = W.partitionBy(*keys, "_p", "_c").orderBy(ordinal)
-    return filled.withColumns({
-        "section_name": F.coalesce(F.last("section", ignorenulls=True).over(inner), F.lit("")),
-        "subsection_name": F.coalesce(F.last("subsection", ignorenulls=True).over(inner), F.lit("")),
-    }).drop("_p", "_c")
+    at = F.col(ordinal)
+    rows = kept(articles.repartitionByRange(*keys, ordinal).withColumn("_range", F.spark_partition_id()))
+    rows = _carried(rows, ordinal, keys, {"part_name": F.col("part")})
+    rows = _carried(rows, ordinal, keys, {"_part_before": F.col("part")}, before=True)
+    new_part = ~F.col("part_name").eqNullSafe(F.col("_part_before"))
+    placed = lambda c: F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("name")))
+    rows = _carried(rows, ordinal, keys, {"_from_part": F.when(new_part, at), "_chapter": placed("chapter")})
+    since = lambda item, start: F.when(F.col(start).isNull() | (F.col(f"{item}.at") >= F.col(start)), F.col(f"{item}.name"))
+    rows = rows.withColumn("chapter_name", F.coalesce(since("_chapter", "_from_part"), F.when(F.col("part_name").isNotNull(), F.lit(UNSORTED_CHAPTER))))
+    rows = _carried(rows, ordinal, keys, {"_chapter_before": F.struct("chapter_name")}, before=True)
+    new_chapter = (at == F.col("_from_part")) | ~F.col("chapter_name").eqNullSafe(F.col("_chapter_before.chapter_name"))
+    rows = _carried(rows, ordinal, keys, {"_from_chapter": F.when(new_chapter, at), "_section": placed("section"), "_subsection": placed("subsection")})
+    names = {f"{c}_name": F.coalesce(since(f"_{c}", "_from_chapter"), F.lit("")) for c in ("section", "subsection")}
+    return rows.select(*articles.columns, "part_name", "chapter_name", *[c.alias(n) for n, c in names.items()])
 
 
 def hierarchy_counts(rows: DataFrame, levels: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ def numbered(rows: DataFrame, groups: list[str], order: list[Column | str], colu
     group may be of any size.  Rows that ``order`` doesn't tell apart stay in one
     range, in any order.  The ranges are kept, so both readings see the same.
     """
-    ranged = _kept(rows.repartitionByRange(*groups, *order).withColumn("_range", F.spark_partition_id()))
+    ranged = kept(rows.repartitionByRange(*groups, *order).withColumn("_range", F.spark_partition_id()))
     before = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     sizes = ranged.groupBy(*groups, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     inside = ranged.withColumn("_at", F.row_number().over(W.partitionBy(*groups, "_range").orderBy(*order)) - 1)
@@ -32,7 +32,7 @@ def numbered(rows: DataFrame, groups: list[str], order: list[Column | str], colu
     return both.select(*[F.col(f"i.{c}") for c in rows.columns], (F.col("_at") + F.col("_before")).alias(column))
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a loop: written to the checkpoint folder if the
     session has one, so that a lost executor costs one round."""
     context = df.sparkSession.sparkContext
@@ -59,7 +59,7 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, depth: int, keep_path: boo
         first = new.groupBy("id").agg(F.min_by(F.struct("place", "path", "relationship"), F.struct("place", "relationship")).alias("f"))
         level = first.select("id", F.lit(step).alias("depth"), "f.place", F.concat("f.path", F.array("id")).alias("path"), "f.relationship")
         if step < depth:
-            level = _kept(level)  # read by the next step and by the result
+            level = kept(level)  # read by the next step and by the result
         found = found.union(level)
     return found if keep_path else found.drop("path")
 
@@ -88,13 +88,13 @@ def shortest_path(edges: DataFrame, start: object, goal: object, most: int = 100
             return spark.createDataFrame([(i, x) for i, x in enumerate(hit["path"])], f"step int, id {id_type.simpleString()}")
         out = level.select(F.col("id").alias("src"), "path", "place").join(steps, "src").select(F.col("dst").alias("id"), "path", F.concat("place", F.array(F.col("rank").cast("long"), F.col("ord").cast("long"))).alias("place"))
         new = out.join(reduce(DataFrame.union, seen), "id", "left_anti").groupBy("id").agg(F.min_by(F.struct("path", "place"), "place").alias("f"))
-        level = _kept(new.select("id", F.concat("f.path", F.array("id")).alias("path"), "f.place"))
+        level = kept(new.select("id", F.concat("f.path", F.array("id")).alias("path"), "f.place"))
         if level.isEmpty():
             break
         # Each round adds its own table; they are written anew as one now and then.
         seen.append(level.select("id"))
         if len(seen) > SEEN_TABLES:
-            seen = [_kept(reduce(DataFrame.union, seen))]
+            seen = [kept(reduce(DataFrame.union, seen))]
     return spark.createDataFrame([], f"step int, id {id_type.simpleString()}")
 
 
@@ -130,11 +130,11 @@ def layer_depths(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFr
     """
     rounds = nodes.count() + 1
     start = seeds.select("id").distinct().withColumn("seed", F.lit(True))
-    now = _kept(nodes.select("id").distinct().join(start, "id", "left").select("id", F.coalesce("seed", F.lit(False)).alias("seed"), F.when(F.col("seed"), 0).cast("int").alias("depth")))
+    now = kept(nodes.select("id").distinct().join(start, "id", "left").select("id", F.coalesce("seed", F.lit(False)).alias("seed"), F.when(F.col("seed"), 0).cast("int").alias("depth")))
     for _ in range(rounds):
         deep = now.where("depth is not null").select(F.col("id").alias("src"), F.col("depth").alias("d"))
         best = edges.select("src", "dst").join(deep, "src").groupBy(F.col("dst").alias("id")).agg((F.max("d") + 1).alias("next"))
-        step = _kept(now.join(best, "id", "left").select("id", "seed", F.when(F.col("seed"), F.lit(0)).otherwise(F.coalesce("next", "depth")).alias("depth")))
+        step = kept(now.join(best, "id", "left").select("id", "seed", F.when(F.col("seed"), F.lit(0)).otherwise(F.coalesce("next", "depth")).alias("depth")))
         same = step.join(now.select("id", F.col("depth").alias("was")), "id").where("not (depth <=> was)").isEmpty()
         now = step
         if same:
@@ -146,11 +146,11 @@ def layer_rows(layers: DataFrame, edges: DataFrame, order: str) -> DataFrame:
     """Row of each node in its layer: by the mean row of its parents in the
     layer above, then by ``order``.  A loop over depths."""
     deepest = layers.agg(F.max("depth")).first()[0]
-    done = _kept(numbered(layers.where("depth = 0"), ["depth"], [order], "row"))
+    done = kept(numbered(layers.where("depth = 0"), ["depth"], [order], "row"))
     for depth in range(1, (deepest or 0) + 1):
         above = done.select(F.col("id").alias("src"), F.col("row").alias("up"))
         mean = edges.select("src", "dst").join(above, "src").groupBy(F.col("dst").alias("id")).agg(F.avg("up").alias("mean"))
         ranked = layers.where(F.col("depth") == depth).join(mean, "id", "left").select(*layers.columns, "mean")
         placed = numbered(ranked, ["depth"], [F.col("mean").asc_nulls_last(), F.col(order)], "row").drop("mean")
-        done = done.unionByName(_kept(placed))
+        done = done.unionByName(kept(placed))
     return done
