@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -18,14 +18,19 @@ from weftgraph.llm.segments import SegmentTokenizer, column_bytes, document_boun
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 LIBRARY = {f: Tokenizer.from_file(P.path(f)) for f in FILES}
+#: Letters that have a composed form in lower case only, or in both, or none.
+COMPOSED = ["T\u0308", "H\u0331", "W\u030a", "Y\u030a", "J\u030c", "don'T\u0308", "THE W\u030aORLD", "E\u0301", "t\u0308", "X\u0302", "A\u0328\u0301", "K\u0331", "\u212a", "\u0301"]
 PIECES = st.sampled_from([
     " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\u0085", "\x1c", "the", "The", "THE", "it's", "don'T", "'ll", "e\u0301", "é", "Ñandú", "ß", "İ", "日本", "🙂", ",", ".", "!!", "$$$", "##", "(a)", "12", "3.4",
     "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", "_", "-", "a-b", "\u0308", "\u200b",
+    *COMPOSED,
 ])
 
 
 @pytest.mark.parametrize("file", FILES)
 @settings(max_examples=300, deadline=None)
+@example(texts=COMPOSED)
+@example(texts=[" ".join(COMPOSED), "".join(COMPOSED)])
 @given(texts=st.lists(st.lists(PIECES, max_size=12).map("".join) | st.text(max_size=20), max_size=4))
 def test_segments_give_the_library_ids(file, texts):
     data, offsets = column_bytes(pa.array(texts, type=pa.string()))

@@ -80,6 +80,23 @@ def cut_points(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((white[1:] & sure) | (_LETTER[last] & _MARK[data[1:]])) + 1
 
 
+def folded(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case and white space as spaces, in segments of
+    ASCII alone.
+
+    Others stay: the library composes characters before it folds case, and some
+    letters have a composed form in lower case only (``t`` and U+0308).
+    """
+    out = _TO_LOWER[data]
+    high = np.flatnonzero(data >= 0x80)
+    if len(high):
+        mixed = np.zeros(len(bounds) - 1, dtype=bool)
+        mixed[np.searchsorted(bounds, high, side="right") - 1] = True
+        inside = np.repeat(mixed, np.diff(bounds))
+        out[inside] = data[inside]
+    return out
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array; nulls count as empty."""
     column = column.cast(pa.large_binary())
@@ -203,7 +220,7 @@ class SegmentTokenizer:
         data = np.ascontiguousarray(data)
         if self.folds and b"<|" not in data.tobytes():
             # This tokenizer folds case and white space itself; done before, fewer segments differ.
-            data = _TO_LOWER[data]
+            data = folded(data, bounds)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, dtype=np.int64)), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
         keys = coded.dictionary.to_pylist()
