@@ -49,6 +49,12 @@ def dropped_after(spark: SparkSession) -> Iterator[None]:
         release(spark)
 
 
+def later(remove: Callable[[], None]) -> None:
+    """Has ``dropped_after`` call this at its end, if there is one."""
+    if _OPEN:
+        _OPEN[-1].append(remove)
+
+
 def written(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
     """``df`` as a table written to the shared folder: computed once, and safe
     from lost executors.  ``keep``: it outlasts ``dropped_after``, as a result

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import drop_folder, shared_folder
+from weftgraph.llm.common import drop_folder, later, shared_folder
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -35,6 +35,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if path:
             drop_folder(spark, path)
         path = to
+        later(lambda at=to: drop_folder(spark, at))
         if not found["n"]:
             return kept.select(F.col("u").alias("node"), F.col("v").alias("component"))
         if mark == found:

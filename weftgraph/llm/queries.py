@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontamination, jaccard_join, lm_scoring, media, packing, quality, suffix_dedup, token_counts, token_files, url_rules
+from weftgraph.llm import decontamination, fill_in_middle, filter_audit, jaccard_join, lm_scoring, media, packing, quality, simhash_dedup, suffix_dedup, token_counts, token_files, url_rules
 from weftgraph.llm.common import shared_folder
 
 #: The rules that ``op10_url_rules`` judges by.
@@ -60,6 +60,20 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    hashed = made.withColumn("digest", fill_in_middle.digests(made["output"], made["form"]))
+    return hashed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "digest.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
@@ -71,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_packing": op9_packing,
     "op10_url_rules": op10_url_rules,
+    "op11_simhash_dedup": op11_simhash_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -150,6 +167,38 @@ SELECT q.page_id, q.host, q.path, own.rule, coalesce(own.verdict, CASE WHEN bad.
 FROM q LEFT JOIN own ON own.page_id = q.page_id AND own.host = q.host AND own.path = q.path LEFT JOIN bad ON bad.node = q.node
 """
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: Counts each step of each order from the documents' masks, without inversion.
+OP12_SQL = rf"""
+WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, {_WORDS} AS ws, doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS e FROM documents),
+m AS (SELECT part, CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN e THEN 16 ELSE 0 END AS mask,
+  coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS t FROM m GROUP BY 1, 2),
+f AS (SELECT chr(65 + i::INTEGER) AS letter, 1 << i::INTEGER AS bit FROM range(5) r(i)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+s AS (SELECT filter_order, i::INTEGER AS step, 1 << (ascii(filter_order[i]) - 65) AS bit, coalesce(list_sum([1 << (ascii(filter_order[j]) - 65) FOR j IN range(1, i)]), 0)::INTEGER AS done FROM o, range(1, 6) r(i)),
+k AS (SELECT part, filter_order, step, sum(CASE WHEN mask & (done | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN mask & done = 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN mask & done <> 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN mask & done = 0 AND mask & bit <> 0 THEN g ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN mask & done = 0 AND mask & bit <> 0 THEN t ELSE 0 END)::BIGINT AS toxic_lost, any_value(bit) AS bit
+  FROM c, s GROUP BY 1, 2, 3)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM k
+"""
+
+OP13_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS one, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS two, ('0x' || h[25:32])::BIGINT % 100 AS kind FROM t),
+p AS (SELECT doc_id, x, n, CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') THEN 'plain' WHEN kind < 50 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(u[1:least(one, two)], '') AS a, array_to_string(u[least(one, two) + 1:greatest(one, two)], '') AS m, array_to_string(u[greatest(one, two) + 1:], '') AS s FROM d)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || a || '<M>' || m END) AS output_sha256, sha256(x) AS restored_sha256 FROM p
+"""
+
 #: The others need a tokenizer, a fitted model, fingerprints or image features;
 #: tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op10_url_rules": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op10_url_rules": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
