@@ -140,21 +140,50 @@ def _node(url: str) -> str:
     return f"CASE WHEN {port} <> '' AND ends_with({host}, {port}) THEN left({host}, length({host}) - length({port})) ELSE {host} END || CASE WHEN starts_with({tail}, '/') THEN '' ELSE '/' END || {tail}"
 
 
-_DOTS = """list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(substring(p, 2), '/'), lambda x: [x])), lambda done, x: CASE WHEN x[1] = '..' THEN done[1:len(done) - 1] WHEN x[1] = '.' THEN done ELSE list_concat(done, x) END)"""
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _attribute(name: str) -> str:
+    """The first attribute of that name of the list ``attrs``, unescaped."""
+    first = rf"list_filter(attrs, lambda x: regexp_matches(x, '(?i)^{name}(?:[\s=]|$)'))[1]"
+    value = rf"regexp_replace(regexp_replace({first}, '^[^\s=]*\s*=?\s*', ''), '(?s)^\"(.*)\"$|^''(.*)''$', '\1\2')"
+    names = ", ".join(f"{_text('&' + k + ';')}: {_text(v)}" for k, v in url_rules.ENTITIES.items())
+    number = "CASE WHEN {0} > 0 AND {0} < 1114112 AND {0} NOT BETWEEN 55296 AND 57343 THEN chr({0}::INTEGER) ELSE chr(65533) END".format
+    hexed, plain = number("TRY_CAST('0x' || regexp_extract(z, '^&#[xX]([0-9a-fA-F]+)', 1) AS BIGINT)"), number("TRY_CAST(regexp_extract(z, '^&#([0-9]+)', 1) AS BIGINT)")
+    one = f"CASE WHEN regexp_matches(z, '^&#[xX]') THEN {hexed} WHEN regexp_matches(z, '^&#') THEN {plain} ELSE coalesce(MAP {{{names}}}[z], z) END"
+    return f"array_to_string(list_transform(regexp_extract_all({value}, {_text(url_rules.PIECES)}), lambda z: {one}), '')"
+
+
+def _resolving(name: str, source: str, to: str, base: str) -> str:
+    """A table: ``source`` with r, the absolute url that ``to`` means on ``base``."""
+    dots = "list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(substring(p, 2), '/'), lambda x: [x])), lambda done, x: CASE WHEN x[1] = '..' THEN done[1:len(done) - 1] WHEN x[1] = '.' THEN done ELSE list_concat(done, x) END)"
+    return rf"""
+{name}_1 AS (SELECT *, regexp_extract({base}, '^([^:/?#]*)://', 1) AS scheme, {_host(base)} AS host, regexp_extract(substring({base}, strpos({base}, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract({to}, '^[^?#]*') AS own FROM {source}),
+{name}_2 AS (SELECT *, CASE WHEN starts_with(own, '/') THEN own ELSE CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^.*/') END || own END AS p FROM {name}_1),
+{name}_3 AS (SELECT *, regexp_replace('/' || array_to_string({dots}, '/') || CASE WHEN regexp_matches(p, '/\.\.?$') THEN '/' ELSE '' END, '^/+$', '/') AS clean FROM {name}_2),
+{name} AS (SELECT * EXCLUDE (scheme, host, path, own, p, clean), CASE WHEN {to} = '' OR starts_with({to}, '#') THEN NULL WHEN starts_with({to}, '//') THEN scheme || ':' || {to} WHEN regexp_matches({to}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {to}
+  WHEN regexp_matches({to}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with({to}, '?') THEN scheme || '://' || host || path || {to} ELSE scheme || '://' || host || clean || substring({to}, length(own) + 1) END AS r FROM {name}_3)"""
+
+
+_TRIMMED = r"regexp_replace(regexp_replace({}, '^\s+|\s+$', '', 'g'), '[\t\r\n]', '', 'g')".format
+_REFRESHED = " || ".join(f"regexp_extract(content, {_text(url_rules.REFRESH)}, {i})" for i in (1, 2, 3))
+_MEANT = rf"CASE WHEN kind = 'link' AND list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical') THEN href WHEN kind = 'meta' AND lower(trim(equiv)) = 'refresh' THEN {_REFRESHED} END"
 
 OP10_SQL = rf"""
 WITH RECURSIVE rules(verdict, rule, rh, rp) AS (VALUES {_RULE_ROWS}),
-u AS (SELECT page_id, html, url, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, html, url, regexp_extract(rest, '^[^/?#]*') AS raw, substring(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM u),
-q AS (SELECT page_id, html, url, raw, translate(raw, {_LOWER}) AS host, regexp_extract(tail, '^[^?#]*') AS path, CASE WHEN strpos(url, '://') > 0 THEN {_node("url")} END AS node FROM p),
-tags AS (SELECT url, raw, path, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g'), '(?i)<(?:link|meta)\b[^<>]*>')) AS tag FROM q WHERE html IS NOT NULL AND node IS NOT NULL),
-found AS (SELECT url, raw, path, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-  WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?\burl\s*=\s*''?([^"''\s>]+)', 1) END, '&amp;', '&') AS t FROM tags),
-parts AS (SELECT url, t, regexp_extract(url, '^([^:/?#]*)://', 1) AS scheme, raw, path, regexp_extract(t, '^[^?#]*') AS own FROM found WHERE t <> ''),
-rooted AS (SELECT *, CASE WHEN starts_with(own, '/') THEN own ELSE CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^.*/') END || own END AS p FROM parts),
-flat AS (SELECT *, regexp_replace('/' || array_to_string({_DOTS}, '/') || CASE WHEN regexp_matches(p, '/\.\.?$') THEN '/' ELSE '' END, '^/+$', '/') AS clean FROM rooted),
-target AS (SELECT url, CASE WHEN starts_with(t, '#') THEN NULL WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
-  WHEN starts_with(t, '?') THEN scheme || '://' || raw || path || t ELSE scheme || '://' || raw || clean || substring(t, length(own) + 1) END AS r FROM flat),
+u AS (SELECT page_id, html, url, row_number() OVER () AS i, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, url, i, regexp_extract(rest, '^[^/?#]*') AS raw, substring(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM u),
+q AS (SELECT page_id, html, url, i, translate(raw, {_LOWER}) AS host, regexp_extract(tail, '^[^?#]*') AS path, CASE WHEN strpos(url, '://') > 0 THEN {_node("url")} END AS node FROM p),
+tokens AS (SELECT i, url, unnest(regexp_extract_all(html, {_text(url_rules.token_pattern(""))})) AS tag, generate_subscripts(regexp_extract_all(html, {_text(url_rules.token_pattern(""))}), 1) AS place FROM q
+  WHERE node IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')),
+tags AS (SELECT i, url, place, lower(regexp_extract(tag, '^<([A-Za-z]+)', 1)) AS kind, regexp_extract_all(regexp_replace(tag, '^<[^\s/>]*', ''), {_text(url_rules.attribute_pattern(""))}) AS attrs FROM tokens WHERE regexp_matches(tag, {_text(url_rules.WANTED)})),
+read AS (SELECT i, url, place, kind, {_attribute("href")} AS href, {_attribute("rel")} AS rel, {_attribute("http-equiv")} AS equiv, {_attribute("content")} AS content FROM tags),
+base_of AS (SELECT i, url, arg_min({_TRIMMED("href")}, place) AS b FROM read WHERE kind = 'base' AND href IS NOT NULL GROUP BY 1, 2),
+{_resolving("placed", "base_of", "b", "url")},
+meant AS (SELECT i, url, {_TRIMMED(_MEANT)} AS t FROM read WHERE kind <> 'base'),
+found AS (SELECT meant.url, t, coalesce(r, meant.url) AS base FROM meant LEFT JOIN placed USING (i) WHERE t <> ''),
+{_resolving("target", "found", "t", "base")},
 edges AS (SELECT {_node("url")} AS a, {_node("r")} AS b FROM target WHERE r IS NOT NULL),
 ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 nodes AS (SELECT DISTINCT a AS node, regexp_extract(a, '^[^/?#]*') AS host, regexp_extract(substring(a, length(regexp_extract(a, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM ways),
