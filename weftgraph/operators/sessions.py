@@ -22,30 +22,49 @@ def title_of(query: Column, most: int = 80) -> Column:
 
 
 def fold_sessions(records: DataFrame) -> DataFrame:
-    """One row a session: records, last activity, title of the first query, turns
-    (answers and errors), tokens of queries and answers, and whether hidden."""
+    """One row a session: records, activity of the last one, title of the first
+    query that has any, turns (answers and errors), tokens of queries and
+    answers, and whether hidden."""
     kind = F.col("kind")
-    return records.groupBy("session_id").agg(
+    titled = records.withColumn("_title", F.when(kind == "query", title_of(F.coalesce("content", F.lit("")))))
+    return titled.groupBy("session_id").agg(
         F.count("*").alias("record_count"),
-        F.max("created_at").alias("last_active_at"),
-        F.min_by("content", F.when(kind == "query", F.col("seq"))).alias("_first"),
+        F.max_by("created_at", "seq").alias("last_active_at"),
+        F.coalesce(F.min_by("_title", F.when(F.col("_title") != "", F.col("seq"))), F.lit("")).alias("title"),
         F.sum(F.when(kind.isin("answer", "error"), 1).otherwise(0)).alias("turns"),
         F.sum(F.when(kind.isin("query", "answer"), T.count_tokens(F.col("content"))).otherwise(0)).alias("tokens"),
         F.max(F.coalesce(kind == "deleted", F.lit(False))).alias("hidden"),
-    ).withColumn("title", title_of(F.coalesce("_first", F.lit("")))).drop("_first")
+    )
 
 
 def build_turns(records: DataFrame) -> DataFrame:
-    """Completed runs: first query, answer (else error) and steps in order."""
+    """Completed runs: (session_id, run_id, seq, query, answer, steps, created_at,
+    ok, trace_id).
+
+    A query is a turn once its run has an answer or an error.  A failed run has
+    an empty answer and isn't ok, so what its error says never enters a window
+    or a recall; an answered one is as ok as its record says, and an answer that
+    doesn't say fails the query.  The trace is the answer's, else the error's.
+    Columns ``ok``, ``created_at`` and ``trace_id`` may be missing from the
+    records: then an answer is ok, and the others are null.
+    """
+    none = F.lit(None).cast("string")
+    has = set(records.columns)
+    field = lambda name: F.col(name).cast("string") if name in has else none
     at = lambda k: F.when(F.col("kind") == k, F.col("seq"))
+    ok = F.coalesce("ok", F.raise_error(F.concat_ws(" ", F.lit("answer without ok:"), "session_id", F.col("seq").cast("string"))).cast("boolean")) if "ok" in has else F.lit(True)
     runs = records.where("run_id is not null").groupBy("session_id", "run_id").agg(
         F.min(at("query")).alias("seq"),
-        F.min_by("content", at("query")).alias("query"),
-        F.min_by("content", at("answer")).alias("answer"),
-        F.min_by("content", at("error")).alias("error"),
+        F.min_by(F.struct("content", field("created_at").alias("created_at")), at("query")).alias("asked"),
+        F.max_by(F.struct("content", F.when(F.col("kind") == "answer", ok).alias("ok"), field("trace_id").alias("trace_id")), at("answer")).alias("answered"),
+        F.max_by(F.struct(field("trace_id").alias("trace_id")), at("error")).alias("failed"),
         F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == "step", F.struct("seq", "content")))), lambda s: s["content"]).alias("steps"),
     )
-    return runs.where("query is not null and (answer is not null or error is not null)").withColumn("ok", F.col("answer").isNotNull()).withColumn("answer", F.coalesce("answer", "error")).drop("error")
+    done = runs.where("asked is not null and (answered is not null or failed is not null)")
+    return done.select(
+        "session_id", "run_id", "seq", F.col("asked.content").alias("query"), F.when(F.col("answered").isNotNull(), F.col("answered.content")).otherwise(F.lit("")).alias("answer"), "steps", F.col("asked.created_at").alias("created_at"),
+        F.coalesce("answered.ok", F.lit(False)).alias("ok"), F.when(F.col("answered").isNotNull(), F.col("answered.trace_id")).otherwise(F.col("failed.trace_id")).alias("trace_id"),
+    )
 
 
 def store_counts(folded: DataFrame) -> DataFrame:

@@ -14,9 +14,10 @@ from weftgraph.streaming import hash_chain, memory
 
 REC = f"WITH {S.RECORDS}"
 TOK = "greatest(len([w for w in regexp_split_to_array(content, '\\s+') if w <> '']), ceil(length(content) / 4.0))::BIGINT"
+FLAT = "trim(regexp_replace(nfc_normalize(content), '\\s+', ' ', 'g'))"
 TITLE = "CASE WHEN length(q) > 80 THEN substring(q, 1, 79) || '…' ELSE q END"
-FOLD = f"""{REC}, folded AS (SELECT session_id, count(*)::BIGINT AS record_count, max(created_at) AS last_active_at, (count(*) FILTER (WHERE kind IN ('answer', 'error')))::BIGINT AS turns,
-  coalesce(sum({TOK}) FILTER (WHERE kind IN ('query', 'answer')), 0)::BIGINT AS tokens, trim(regexp_replace(nfc_normalize(coalesce(min_by(content, seq) FILTER (WHERE kind = 'query'), '')), '\\s+', ' ', 'g')) AS q FROM records GROUP BY session_id)"""
+FOLD = f"""{REC}, folded AS (SELECT session_id, count(*)::BIGINT AS record_count, max_by(created_at, seq) AS last_active_at, (count(*) FILTER (WHERE kind IN ('answer', 'error')))::BIGINT AS turns,
+  coalesce(sum({TOK}) FILTER (WHERE kind IN ('query', 'answer')), 0)::BIGINT AS tokens, coalesce(min_by({FLAT}, seq) FILTER (WHERE kind = 'query' AND {FLAT} <> ''), '') AS q FROM records GROUP BY session_id)"""
 
 
 @query("session_fold", f"{FOLD} SELECT session_id, record_count, last_active_at, turns, tokens, {TITLE} AS title FROM folded")
@@ -24,12 +25,14 @@ def session_fold(spark: SparkSession, d: str) -> DataFrame:
     return sessions.fold_sessions(S.records(spark, d)).select("session_id", "record_count", "last_active_at", "turns", "tokens", "title")
 
 
-RUNS = """runs AS (SELECT session_id, run_id, min(seq) FILTER (WHERE kind = 'query') AS seq, min_by(content, seq) FILTER (WHERE kind = 'query') AS query, min_by(content, seq) FILTER (WHERE kind = 'answer') AS answer FROM records GROUP BY 1, 2)"""
+RUNS = """runs AS (SELECT session_id, run_id, min(seq) FILTER (WHERE kind = 'query') AS seq, min_by(content, seq) FILTER (WHERE kind = 'query') AS query, min_by(created_at, seq) FILTER (WHERE kind = 'query') AS created_at,
+  max_by(content, seq) FILTER (WHERE kind = 'answer') AS answered, coalesce(answered, '') AS answer, bool_or(ok) FILTER (WHERE kind = 'answer') AS fine, max(trace_id) AS trace_id,
+  count(*) FILTER (WHERE kind IN ('answer', 'error')) AS ends FROM records GROUP BY 1, 2), t AS (SELECT * FROM runs WHERE query IS NOT NULL AND ends > 0)"""
 
 
-@query("turns", f"{REC}, {RUNS} SELECT session_id, run_id, seq, query, answer FROM runs WHERE query IS NOT NULL AND answer IS NOT NULL")
+@query("turns", f"{REC}, {RUNS} SELECT session_id, run_id, seq, query, answer, created_at, coalesce(fine, false) AS ok, trace_id FROM t")
 def turns(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.build_turns(S.records(spark, d)).select("session_id", "run_id", "seq", "query", "answer")
+    return sessions.build_turns(S.records(spark, d)).drop("steps")
 
 
 @query("store_counts", f"{REC} SELECT count(DISTINCT session_id)::BIGINT AS live, 0::BIGINT AS hidden, count(*)::BIGINT AS records FROM records")
@@ -90,7 +93,7 @@ def chain_verify(spark: SparkSession, d: str) -> DataFrame:
     WINDOW b AS (PARTITION BY session_id, run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
   SELECT session_id, seq, 'seq_gap' AS rule FROM r WHERE seq <> i UNION ALL SELECT session_id, seq, 'first_not_created' FROM r WHERE i = 1 AND kind <> 'session_created'
   UNION ALL SELECT session_id, seq, 'created_not_first' FROM r WHERE i > 1 AND kind = 'session_created'
-  UNION ALL SELECT session_id, seq, 'repeated_query' FROM r WHERE kind = 'query' AND asked > 0 UNION ALL SELECT session_id, seq, 'without_query' FROM r WHERE kind IN ('step', 'answer') AND (asked = 0 OR closed > 0)""")
+  UNION ALL SELECT session_id, seq, 'repeated_query' FROM r WHERE kind = 'query' AND asked > 0 UNION ALL SELECT session_id, seq, 'without_query' FROM r WHERE kind IN ('step', 'answer', 'error') AND (asked = 0 OR closed > 0)""")
 def log_violations(spark: SparkSession, d: str) -> DataFrame:
     return sessions.log_violations(S.records(spark, d))
 
@@ -110,7 +113,7 @@ def index_consistency(spark: SparkSession, d: str) -> DataFrame:
 
 KEY = "the thing with and worthless idiot there"
 _TERMS = [w for w in dict.fromkeys(KEY.split()) if w not in L.KEY_TERM_STOPS]
-ITEMS = f"""{REC}, {RUNS}, t AS (SELECT * FROM runs WHERE query IS NOT NULL AND answer IS NOT NULL),
+ITEMS = f"""{REC}, {RUNS},
   items AS (SELECT session_id, run_id, seq, 0 AS place, 'query' AS kind, query AS content FROM t UNION ALL SELECT session_id, run_id, seq, 1, 'answer', answer FROM t WHERE length(trim(answer)) > 0)"""
 _RECALLED = "SELECT session_id, run_id, kind, score::INTEGER AS score, r::INTEGER AS rank FROM {} WHERE r <= 3"
 

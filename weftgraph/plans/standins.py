@@ -72,24 +72,32 @@ ARTICLES = """articles AS (
 
 def records(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as session logs: a first record of the session's own, then
-    the turns; a user's turn opens a run, a system's is a step."""
+    the turns; a user's turn opens a run, a system's is a step.  Some of the
+    assistant's are errors, some answers aren't ok, some first queries are blank."""
     talk = table(spark, d, "conversations")
-    kind = F.when(F.col("role") == "user", "query").when(F.col("role") == "assistant", "answer").otherwise("step")
+    failed = (F.col("conv_id") + F.col("turn")) % 7 == 3
+    kind = F.when(F.col("role") == "user", "query").when(F.col("role") == "assistant", F.when(failed, "error").otherwise("answer")).otherwise("step")
     run = F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(W.partitionBy("conv_id").orderBy("turn"))
     at = lambda seq: F.concat(F.lit("2026-01-01T00:00:"), F.lpad(F.pmod(seq, F.lit(60)).cast("string"), 2, "0"), F.lit(".000Z"))
     seq = F.col("turn").cast("long") + 2
     session = F.concat(F.lit("conv_"), "conv_id").alias("session_id")
-    turns = talk.select(session, F.concat(F.lit("run_"), run).alias("run_id"), seq.alias("seq"), at(seq).alias("created_at"), kind.alias("kind"), F.col("text").alias("content"))
-    first = talk.select("conv_id").distinct().select(session, F.lit(None).cast("string"), F.lit(1).cast("long"), at(F.lit(1)), F.lit("session_created"), F.lit(""))
+    blank = (F.col("role") == "user") & (F.col("turn") < 2) & (F.col("conv_id") % 4 == 1)
+    none = F.lit(None).cast("string")
+    ok = F.when(kind == "answer", F.col("turn") % 5 != 1)
+    trace = F.when(kind == "answer", F.concat(F.lit("trace_"), "turn"))
+    turns = talk.select(session, F.concat(F.lit("run_"), run).alias("run_id"), seq.alias("seq"), at(seq).alias("created_at"), kind.alias("kind"), F.when(blank, " \n ").otherwise(F.col("text")).alias("content"), ok.alias("ok"), trace.alias("trace_id"))
+    first = talk.select("conv_id").distinct().select(session, none, F.lit(1).cast("long"), at(F.lit(1)), F.lit("session_created"), F.lit(""), F.lit(None).cast("boolean"), none)
     return turns.union(first)
 
 
 RECORDS = """records AS (
+  SELECT *, CASE WHEN kind = 'answer' THEN (seq - 2) % 5 <> 1 END AS ok, CASE WHEN kind = 'answer' THEN 'trace_' || (seq - 2) END AS trace_id FROM (
   SELECT 'conv_' || conv_id AS session_id, 'run_' || sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS run_id, turn::BIGINT + 2 AS seq,
          '2026-01-01T00:00:' || lpad(CAST((turn + 2) % 60 AS VARCHAR), 2, '0') || '.000Z' AS created_at,
-         CASE role WHEN 'user' THEN 'query' WHEN 'assistant' THEN 'answer' ELSE 'step' END AS kind, text AS content
+         CASE role WHEN 'user' THEN 'query' WHEN 'assistant' THEN CASE WHEN (conv_id + turn) % 7 = 3 THEN 'error' ELSE 'answer' END ELSE 'step' END AS kind,
+         CASE WHEN role = 'user' AND turn < 2 AND conv_id % 4 = 1 THEN ' ' || chr(10) || ' ' ELSE text END AS content
   FROM conversations
-  UNION ALL SELECT DISTINCT 'conv_' || conv_id, NULL, 1, '2026-01-01T00:00:01.000Z', 'session_created', '' FROM conversations)"""
+  UNION ALL SELECT DISTINCT 'conv_' || conv_id, NULL, 1, '2026-01-01T00:00:01.000Z', 'session_created', '' FROM conversations))"""
 
 
 def vectors(spark: SparkSession, d: str, prefix: str = "article_") -> DataFrame:
