@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,13 +35,16 @@ def numbered(rows: DataFrame, groups: list[str], order: list[Column | str], colu
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop: written to the checkpoint folder if the
-    session has one, so that a lost executor costs one round."""
+    """Cuts the lineage of a loop: written to the checkpoint folder, so that a
+    lost executor costs one round.  Only a local session, which has no other
+    executors, may do without the setting; a folder of its own is made then."""
     context = df.sparkSession.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir")
-    if base and context.getCheckpointDir() is None:
-        context.setCheckpointDir(base)
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+    if context.getCheckpointDir() is None:
+        base = context.getConf().get("spark.checkpoint.dir")
+        if not base and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+        context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="shared-"))
+    return df.checkpoint()
 
 
 def breadth_first(seeds: DataFrame, edges: DataFrame, depth: int, keep_path: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import graph, parsing, reads, traversal
+from weftgraph.operators import graph, parsing, patterns, reads, traversal
 from weftgraph.plans import standins as S
 from weftgraph.plans.registry import query, values
 
@@ -335,6 +335,27 @@ def find_paths(spark: SparkSession, d: str) -> DataFrame:
     return traversal.find_paths(seeds, S.edges(spark, d)).select("id", "depth", "weight")
 
 
+_WALK = """w(start, node, hops, path, types) AS (SELECT id, id, 0, id, '' FROM nodes WHERE label = 'Article'
+  UNION ALL SELECT w.start, e.dst, hops + 1, path || '>' || e.dst, types || '|' || e.type FROM w JOIN {} e ON e.src = w.node WHERE hops < 3)"""
+
+
+@query("path_pattern", f"""WITH RECURSIVE {S.NODES}, {S.EDGES}, p AS (SELECT src, dst, type FROM edges WHERE type IN ('BELONGS_TO_CHAPTER', 'NEXT_ARTICLE')), {_WALK.format('p')}
+  SELECT start, node AS goal, hops, path, substring(types, 2) AS types FROM w WHERE hops >= 1 AND node LIKE 'chapter%'""")
+def path_pattern(spark: SparkSession, d: str) -> DataFrame:
+    """From all articles, along the next ones, to a chapter in three hops."""
+    nodes = S.nodes(spark, d)
+    found = patterns.match_paths(S.edges(spark, d), ["BELONGS_TO_CHAPTER", "NEXT_ARTICLE"], 1, 3, starts=nodes.where("label = 'Article'"), goals=nodes.where("label = 'Chapter'"))
+    return found.withColumns({"path": F.array_join("path", ">"), "types": F.array_join("types", "|")})
+
+
+@query("article_levels", f"""WITH RECURSIVE {S.NODES}, {S.EDGES}, p AS (SELECT src, dst, type FROM edges WHERE type = 'BELONGS_TO_CHAPTER' UNION ALL SELECT dst, src, 'BELONGS_TO_PART' FROM edges WHERE type = 'HAS_CHAPTER'), {_WALK.format('p')}
+  SELECT start AS id, label, name, hops FROM w JOIN nodes ON nodes.id = node WHERE hops >= 1""")
+def article_levels(spark: SparkSession, d: str) -> DataFrame:
+    edges, nodes = S.edges(spark, d), S.nodes(spark, d)
+    parts = edges.where("type = 'HAS_CHAPTER'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("BELONGS_TO_PART").alias("type"), "ord", "weight")
+    return patterns.ancestors(edges.union(parts), nodes, nodes.where("label = 'Article'"))
+
+
 @query("neighbors", f"{S.GRAPH} SELECT DISTINCT id, type, title FROM edges JOIN nodes ON id = dst WHERE src = 'article_7' AND label = 'Article'")
 def neighbors(spark: SparkSession, d: str) -> DataFrame:
     return traversal.neighbours(S.edges(spark, d), S.nodes(spark, d).where("label = 'Article'").select("id", "title"), "article_7")
