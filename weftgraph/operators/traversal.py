@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.session import shared_base
+
 #: Tables of visited nodes that a search keeps apart.
 SEEN_TABLES = 16
 
@@ -36,14 +36,8 @@ def numbered(rows: DataFrame, groups: list[str], order: list[Column | str], colu
 
 def kept(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a loop: written to the checkpoint folder, so that a
-    lost executor costs one round.  Only a local session, which has no other
-    executors, may do without the setting; a folder of its own is made then."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        base = context.getConf().get("spark.checkpoint.dir")
-        if not base and not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
-        context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="shared-"))
+    lost executor costs one round."""
+    shared_base(df.sparkSession)
     return df.checkpoint()
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -34,6 +36,27 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that all executors reach: ``spark.checkpoint.dir``.  Only a local
+    session, which has no other executors, may do without the setting; a folder
+    of its own is made and set then."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+        base = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder below ``shared_base``."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(name: str = "tests", cores: str = "*", **conf: str) -> SparkSession:
     """A session on this machine, for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
