@@ -38,4 +38,4 @@ def values(rows: Iterable[tuple]) -> str:
 
 def load_catalogs() -> None:
     """Imports the modules that register queries."""
-    from weftgraph.plans import catalog_evaluation, catalog_graph, catalog_search, catalog_sessions, catalog_text  # noqa: F401
+    from weftgraph.plans import catalog_evaluation, catalog_graph, catalog_search, catalog_sessions, catalog_stores, catalog_text  # noqa: F401
