@@ -67,10 +67,15 @@ def mrr(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d).select("o_custkey", F.round(E.reciprocal_rank(F.col("ranked"), F.col("gold")), 6).alias("rr"))
 
 
-@query("ranked_list", "SELECT * FROM (VALUES (1::BIGINT, '3,1,2,5'), (2, '4')) t(id, ranked)")
+@query("ranked_list", """WITH x AS (SELECT l_orderkey AS id, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS place FROM lineitem WHERE l_linenumber <= 2
+    UNION ALL SELECT l_orderkey, l_partkey, 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC) FROM lineitem WHERE l_linenumber >= 2),
+  f AS (SELECT id, p, min(place) AS place FROM x GROUP BY id, p) SELECT id, string_agg(p::VARCHAR, ',' ORDER BY place) AS ranked FROM f GROUP BY id""")
 def ranked_list(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, [3, 1, 3], [1, 2, 5]), (2, [], [4, 4])], "id long, s array<int>, p array<int>")
-    return rows.select("id", F.array_join(E.ranked_list(F.col("s"), F.col("p")).cast("array<string>"), ",").alias("ranked"))
+    """Of each order the first two parts as seeds, and those from the last to the second as paths."""
+    line = F.struct("l_linenumber", "l_partkey")
+    orders = S.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.when(F.col("l_linenumber") <= 2, line))).alias("s"), F.sort_array(F.collect_list(F.when(F.col("l_linenumber") >= 2, line)), False).alias("p"))
+    parts = [F.transform(c, lambda x: x["l_partkey"]) for c in ("s", "p")]
+    return orders.select("id", F.array_join(E.ranked_list(*parts).cast("array<string>"), ",").alias("ranked"))
 
 
 @query("citation_recall", """WITH c AS (SELECT DISTINCT l_orderkey AS case_id, l_partkey AS article FROM lineitem WHERE l_linenumber <= 2), g AS (SELECT DISTINCT l_orderkey AS case_id, l_partkey AS article FROM lineitem WHERE l_returnflag = 'R')
@@ -107,9 +112,11 @@ def paired_delta(spark: SparkSession, d: str) -> DataFrame:
 GATES = [("a", 0.9, ">=", 0.85), ("b", 0.1, "<=", 0.05), ("c", None, ">=", 0.5), ("d", 0.0, "==", 0.0), ("e", 0.7999999999, ">=", 0.8)]
 
 
-@query("kpi_gate", f"SELECT kpi, CASE WHEN v IS NULL THEN 'NOT MEASURED' WHEN (op = '>=' AND v >= t - 1e-9) OR (op = '<=' AND v <= t + 1e-9) OR (op = '==' AND abs(v - t) <= 1e-9) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (VALUES {values(GATES)}) g(kpi, v, op, t)")
+@query("kpi_gate", f"SELECT kpi, CASE WHEN v IS NULL THEN 'NOT MEASURED' WHEN (op = '>=' AND v >= t - 1e-9) OR (op = '<=' AND v <= t + 1e-9) OR (op = '==' AND abs(v - t) <= 1e-9) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT * FROM (VALUES {values(GATES)}) v(kpi, v, op, t) UNION ALL SELECT 'part ' || p_partkey, CASE WHEN p_partkey % 7 > 0 THEN p_size / 10.0 END, ['>=', '<=', '=='][p_partkey % 3 + 1], (p_partkey % 50) / 10.0 FROM part) g")
 def kpi_gate(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(GATES, "kpi string, v double, op string, t double")
+    k = F.col("p_partkey")
+    parts = S.table(spark, d, "part").select(F.concat(F.lit("part "), k), F.when(k % 7 > 0, F.col("p_size") / 10.0), F.get(F.array(F.lit(">="), F.lit("<="), F.lit("==")), (k % 3).cast("int")), (k % 50) / 10.0)
+    rows = spark.createDataFrame(GATES, "kpi string, v double, op string, t double").union(parts)
     return rows.select("kpi", E.gate(F.col("v"), F.col("op"), F.col("t")).alias("verdict"))
 
 
@@ -184,10 +191,12 @@ def case_score(spark: SparkSession, d: str) -> DataFrame:
     return E.case_scores(cases, turns, max_steps=1)
 
 
-@query("manifest_compare", "SELECT 'dim' AS mismatch")
+@query("manifest_compare", "WITH a AS (SELECT max(len(embedding)) AS dim, count(*) AS n FROM embeddings), b AS (SELECT max(len(embedding)) AS dim, count(*) AS n FROM embeddings WHERE vec_id % 2 = 0) SELECT CASE WHEN a.dim IS DISTINCT FROM b.dim THEN 'dim' WHEN a.n <> b.n THEN 'n' END AS mismatch FROM a, b")
 def manifest_compare(spark: SparkSession, d: str) -> DataFrame:
-    schema = "model string, dim int, template string"
-    return E.first_mismatch(spark.createDataFrame([("m", 64, "t")], schema), spark.createDataFrame([("m", 32, "u")], schema), ["model", "dim", "template"])
+    """The manifest of all vectors and that of every other one."""
+    e = S.table(spark, d, "embeddings")
+    manifest = lambda rows: rows.agg(F.lit("m").alias("model"), F.max(F.size("embedding")).alias("dim"), F.count("*").alias("n"))
+    return E.first_mismatch(manifest(e), manifest(e.where("vec_id % 2 = 0")), ["model", "dim", "n"])
 
 
 @query("fingerprint_diff", """SELECT 'doc_' || doc_id AS name, CASE WHEN doc_id % 3 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'appeared' ELSE 'changed' END AS change FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0""")

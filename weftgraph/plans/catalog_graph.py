@@ -130,12 +130,13 @@ def edge_merge(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("some", F.lit(True))
 
 
-@query("edge_labels", f"""SELECT e.type, e.level, CASE WHEN e.type = 'BELONGS_TO' THEN 'Article' ELSE t.a END AS from_label,
-  CASE WHEN e.type = 'BELONGS_TO' THEN upper(coalesce(level, 'chapter')[1]) || coalesce(level, 'chapter')[2:] ELSE t.b END AS to_label
-  FROM (VALUES ('HAS_POINT', NULL), ('BELONGS_TO', 'section'), ('BELONGS_TO', NULL), ('REFERENCES', NULL), ('OTHER', NULL)) e(type, level) LEFT JOIN (VALUES {values(graph.EDGE_LABELS)}) t(type, a, b) ON t.type = e.type""")
+@query("edge_labels", f"""{S.GRAPH}, e AS (SELECT src, dst, ord, CASE WHEN type = 'BELONGS_TO_CHAPTER' AND ord % 2 = 0 THEN 'BELONGS_TO' WHEN type = 'NEXT_ARTICLE' AND ord % 5 = 0 THEN 'OTHER' ELSE type END AS type, CASE WHEN ord % 3 = 0 THEN 'section' WHEN ord % 3 = 1 THEN 'chapter' END AS level FROM edges)
+  SELECT src, dst, ord, e.type, e.level, CASE WHEN e.type = 'BELONGS_TO' THEN 'Article' ELSE t.a END AS from_label, CASE WHEN e.type = 'BELONGS_TO' THEN upper(coalesce(level, 'chapter')[1]) || coalesce(level, 'chapter')[2:] ELSE t.b END AS to_label
+  FROM e LEFT JOIN (VALUES {values(graph.EDGE_LABELS)}) t(type, a, b) ON t.type = e.type""")
 def edge_labels(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("HAS_POINT", None), ("BELONGS_TO", "section"), ("BELONGS_TO", None), ("REFERENCES", None), ("OTHER", None)]
-    return graph.edge_end_labels(spark.createDataFrame(rows, "type string, level string"))
+    k, kind = F.col("ord"), F.col("type")
+    named = F.when((kind == "BELONGS_TO_CHAPTER") & (k % 2 == 0), "BELONGS_TO").when((kind == "NEXT_ARTICLE") & (k % 5 == 0), "OTHER").otherwise(kind)
+    return graph.edge_end_labels(S.edges(spark, d).select("src", "dst", "ord", named.alias("type"), F.when(k % 3 == 0, "section").when(k % 3 == 1, "chapter").alias("level")))
 
 
 @query("incremental_pending", "SELECT doc_id AS id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.functions import lexicons as L
@@ -11,7 +12,7 @@ from weftgraph.functions import vectors as V
 from weftgraph.operators import search
 from weftgraph.plans import bundle
 from weftgraph.plans import standins as S
-from weftgraph.plans.catalog_text import FOUND_SQL, LAWS, LAWS_SCHEMA, LAWS_SQL, fixture, with_documents
+from weftgraph.plans.catalog_text import LAWS, LAWS_SCHEMA, LAWS_SQL, fixture, with_documents
 from weftgraph.plans.registry import query, values
 
 Q0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0) q"
@@ -152,18 +153,23 @@ def bm25_ranking(spark: SparkSession, d: str) -> DataFrame:
     return search.ranked(_bm25(spark, d), 10).select("query_id", "id", "rank")
 
 
-@query("concepts", f"""{FOUND_SQL}, k AS (SELECT * FROM (VALUES {values((i, w) for i, w in enumerate(L.LEGAL_TERMS))}) v(i, w)),
-  x AS (SELECT id, w, row_number() OVER (PARTITION BY id ORDER BY k.i) - 1 AS i FROM t JOIN k ON contains(lower(title || ' ' || text), w)), f AS (SELECT w, min(id * 100 + i) AS place FROM x GROUP BY w ORDER BY place, w LIMIT 10)
+@query("concepts", f"""WITH t AS (SELECT id, row_number() OVER (ORDER BY length(text) DESC, id) AS rank, title, text FROM (SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, text FROM documents ORDER BY length(text) DESC, doc_id LIMIT 10)
+    UNION ALL SELECT -id, -id, title, text FROM (VALUES {values(LAWS)}) v(id, title, text)), k AS (SELECT * FROM (VALUES {values((i, w) for i, w in enumerate(L.LEGAL_TERMS))}) v(i, w)),
+  x AS (SELECT rank, w, row_number() OVER (PARTITION BY id ORDER BY k.i) - 1 AS i FROM t JOIN k ON contains(lower(title || ' ' || text), w)), f AS (SELECT w, min(rank * 100 + i) AS place FROM x GROUP BY w ORDER BY place, w LIMIT 10)
   SELECT 'concept_' || replace(w, ' ', '_') AS id, w AS name, CASE WHEN contains(w, 'người') OR contains(w, 'cá nhân') THEN 'person' WHEN contains(w, 'tài sản') OR contains(w, 'sở hữu') THEN 'property'
-    WHEN contains(w, 'hợp đồng') THEN 'contract' WHEN contains(w, 'thừa kế') THEN 'inheritance' WHEN contains(w, 'bồi thường') OR contains(w, 'thiệt hại') THEN 'tort' ELSE 'other' END AS category, '1,2,3,4' AS source_articles FROM f""")
+    WHEN contains(w, 'hợp đồng') THEN 'contract' WHEN contains(w, 'thừa kế') THEN 'inheritance' WHEN contains(w, 'bồi thường') OR contains(w, 'thiệt hại') THEN 'tort' ELSE 'other' END AS category, (SELECT string_agg(id::VARCHAR, ',' ORDER BY id) FROM t) AS source_articles FROM f""")
 def concepts(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixture(spark, LAWS, "id long, title string, text string").select("id", F.col("id").alias("rank"), T.keywords(F.col("title"), F.col("text")).alias("keywords"))
+    """Of the ten longest documents and the written laws, which rank in front."""
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("id"), F.split("text", "\n", 2)[0].alias("title"), "text").orderBy(F.desc(F.length("text")), "id").limit(10)
+    ranked = docs.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.length("text")), "id")).cast("long"))
+    laws = fixture(spark, LAWS, LAWS_SCHEMA).select((-F.col("id")).alias("id"), "title", "text", (-F.col("id")).alias("rank"))
+    rows = ranked.unionByName(laws).select("id", "rank", T.keywords(F.col("title"), F.col("text")).alias("keywords"))
     return search.concepts(rows).select("id", "name", "category", "source_articles")
 
 
-@query("concept_relevance", "SELECT id::BIGINT AS id, i::INTEGER AS i, round(1 - 0.1 * i, 6)::DOUBLE AS relevance FROM (VALUES (1, 0), (1, 1), (1, 2)) t(id, i)")
+@query("concept_relevance", "WITH w AS (SELECT doc_id AS id, unnest(range(len(string_split(string_split(text, chr(10))[1], ' ')))) AS i FROM documents) SELECT id, i::INTEGER AS i, round(1 - 0.1 * i, 6)::DOUBLE AS relevance FROM w")
 def concept_relevance(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixture(spark, [(1, ["a", "b", "c"])], "id long, names array<string>")
+    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split(F.split("text", "\n", 2)[0], " ").alias("names"))
     return _rounded(search.concept_relevance(rows, "names").select("id", "i", "relevance"), "relevance")
 
 
@@ -172,9 +178,9 @@ def entity_tags(spark: SparkSession, d: str) -> DataFrame:
     return search.entity_tags(with_documents(spark, d, LAWS, LAWS_SCHEMA), "id", F.col("text"))
 
 
-@query("suggestions", f"SELECT ord::INTEGER AS ord, text FROM (VALUES {values(enumerate(L.SUGGESTIONS))}) t(ord, text) WHERE contains(lower(text), 'tài sản') ORDER BY ord LIMIT 5")
+@query("suggestions", f"SELECT ord::BIGINT AS ord, text FROM (SELECT * FROM (VALUES {values(enumerate(L.SUGGESTIONS))}) v(ord, text) UNION ALL SELECT 1000 + item_id, text FROM benchmark) t WHERE contains(lower(text), 'tài sản') ORDER BY ord LIMIT 5")
 def suggestions(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixture(spark, list(enumerate(L.SUGGESTIONS)), "ord int, text string")
+    rows = fixture(spark, list(enumerate(L.SUGGESTIONS)), "ord long, text string").union(S.table(spark, d, "benchmark").select((F.col("item_id") + 1000).cast("long"), "text"))
     return search.suggestions(rows, "text", "tài sản")
 
 
@@ -184,10 +190,12 @@ def linked_articles(spark: SparkSession, d: str) -> DataFrame:
     return search.linked_articles(paths, spark.createDataFrame([("article_1",), ("article_2",)], "id string"))
 
 
-@query("observation_graph", "SELECT * FROM (VALUES ('a', 'b'), ('b', 'c'), ('b', 'e')) t(src, dst)")
+@query("observation_graph", """WITH n AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem), shown AS (SELECT p_partkey FROM part WHERE p_size % 2 = 0)
+  SELECT DISTINCT src, dst FROM n WHERE src IN (SELECT * FROM shown) AND dst IN (SELECT * FROM shown)""")
 def observation_graph(spark: SparkSession, d: str) -> DataFrame:
-    paths = fixture(spark, [(["a", "b", "c"],), (["a", "b", "e"],), (["c", "x"],), (["a"],)], "path array<string>")
-    return search.observation_edges(paths, fixture(spark, [(x,) for x in "abce"], "id string"))
+    """Orders as paths over their parts, of which those of an even size are shown."""
+    lines = S.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("path"))
+    return search.observation_edges(lines.select("path"), S.table(spark, d, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("id")))
 
 
 @query("get_article", f"WITH {S.ARTICLES} SELECT id, part FROM articles WHERE number = 25")

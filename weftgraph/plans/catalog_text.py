@@ -46,30 +46,39 @@ def fixture(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-NAMES_SQL = f"WITH t(id, name) AS (VALUES {values(NAMES)})"
+#: What stands in front of documents' titles, by id, so that they name levels.
+FRONTS = ["Phần thứ nhất ", "Chương IX ", "Mục 2: ", "Tiểu mục 3: ", "PHẦN 12 ", "chương 40 ", "", "  Phần thứ bảy "]
+NAMES_SQL = f"""WITH t AS (SELECT doc_id::BIGINT AS id, {FRONTS}[doc_id % {len(FRONTS)} + 1] || string_split(text, chr(10))[1] AS name FROM documents UNION ALL SELECT -id, name FROM (VALUES {values(NAMES)}) v(id, name))"""
 
 
-@query("clean_name", f"{NAMES_SQL} SELECT id::BIGINT AS id, CASE WHEN starts_with(lower(trim(name)), 'phần') AND length(trim(name)) <= 150 THEN trim(name) ELSE '' END AS part, CASE WHEN starts_with(lower(trim(name)), 'tiểu mục') THEN trim(name) ELSE '' END AS subsection FROM t")
+def names(spark: SparkSession, d: str) -> DataFrame:
+    """All documents' titles as names of levels, and the written names under negative ids."""
+    front = F.get(F.lit(FRONTS), (F.col("doc_id") % len(FRONTS)).cast("int"))
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("id"), F.concat(front, F.split("text", "\n", 2)[0]).alias("name"))
+    return docs.union(fixture(spark, NAMES, "id long, name string").select(-F.col("id"), "name"))
+
+
+@query("clean_name", f"{NAMES_SQL} SELECT id::BIGINT AS id, CASE WHEN starts_with(lower(trim(name)), 'phần') AND length(trim(name)) <= 150 THEN trim(name) ELSE '' END AS part, CASE WHEN starts_with(lower(trim(name)), 'tiểu mục') AND length(trim(name)) <= 150 THEN trim(name) ELSE '' END AS subsection FROM t")
 def clean_name(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, NAMES, "id long, name string").select("id", T.clean_hierarchy_name(F.col("name"), "part").alias("part"), T.clean_hierarchy_name(F.col("name"), "subsection").alias("subsection"))
+    return names(spark, d).select("id", T.clean_hierarchy_name(F.col("name"), "part").alias("part"), T.clean_hierarchy_name(F.col("name"), "subsection").alias("subsection"))
 
 
 @query("part_number", f"""{NAMES_SQL} SELECT id::BIGINT AS id, coalesce(try_cast(nullif(regexp_extract(name, '(?i)phần (?:thứ )?([0-9]+)', 1), '') AS BIGINT),
   CASE WHEN contains(lower(name), 'thứ nhất') THEN 1 WHEN contains(lower(name), 'thứ bảy') THEN 7 ELSE 0 END)::BIGINT AS n FROM t""")
 def part_number(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, NAMES, "id long, name string").select("id", T.part_number(F.col("name")).alias("n"))
+    return names(spark, d).select("id", T.part_number(F.col("name")).alias("n"))
 
 
 @query("chapter_info", f"""{NAMES_SQL}, r AS (SELECT id, name, nullif(upper(regexp_extract(name, '(?i)chương\\s+([IVXLCM]+)', 1)), '') AS r, nullif(regexp_extract(name, '(?i)chương\\s+([0-9]+)', 1), '') AS n FROM t)
   SELECT id::BIGINT AS id, coalesce(r, n) AS roman, CASE WHEN r IS NOT NULL THEN coalesce(v, 0) ELSE n::BIGINT END::BIGINT AS number FROM r LEFT JOIN (VALUES {values(L.roman_numerals().items())}) q(k, v) ON k = r""")
 def chapter_info(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, NAMES, "id long, name string").select("id", T.chapter_roman(F.col("name")).alias("roman"), T.chapter_number(F.col("name")).alias("number"))
+    return names(spark, d).select("id", T.chapter_roman(F.col("name")).alias("roman"), T.chapter_number(F.col("name")).alias("number"))
 
 
 @query("section_info", f"""{NAMES_SQL} SELECT id::BIGINT AS id, coalesce(try_cast(nullif(regexp_extract(name, '(?i)mục\\s+([0-9]+):\\s*(.+)', 1), '') AS BIGINT), 0) AS number,
   CASE WHEN regexp_matches(name, '(?i)mục\\s+([0-9]+):\\s*(.+)') THEN rtrim(trim(regexp_extract(name, '(?i)mục\\s+([0-9]+):\\s*(.+)', 2)), ',') ELSE name END AS short FROM t""")
 def section_info(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, NAMES, "id long, name string").select("id", T.section_number(F.col("name")).alias("number"), T.section_short_name(F.col("name")).alias("short"))
+    return names(spark, d).select("id", T.section_number(F.col("name")).alias("number"), T.section_short_name(F.col("name")).alias("short"))
 
 
 FILL = [
@@ -78,7 +87,9 @@ FILL = [
 ]
 
 
-@query("hier_filldown", f"""WITH t(pos, part, chapter, section, subsection, z) AS (VALUES {values(FILL)}),
+@query("hier_filldown", f"""WITH t(pos, part, chapter, section, subsection) AS (SELECT doc_id, CASE WHEN doc_id % 40 = 0 THEN 'Phần ' || doc_id END, CASE WHEN doc_id % 10 = 3 THEN 'Chương ' || (doc_id % 30) END,
+    CASE WHEN doc_id % 8 = 5 THEN '' WHEN doc_id % 4 = 1 THEN 'Mục ' || doc_id END, CASE WHEN doc_id % 6 = 2 THEN 'Tiểu mục ' || doc_id END FROM documents
+    UNION ALL SELECT pos + 1000000000, part, chapter, section, subsection FROM (VALUES {values(FILL)}) v(pos, part, chapter, section, subsection, z)),
   p AS (SELECT *, last_value(part IGNORE NULLS) OVER (ORDER BY pos) AS part_name FROM t),
   p2 AS (SELECT *, sum(CASE WHEN part_name IS NOT DISTINCT FROM prev THEN 0 ELSE 1 END) OVER (ORDER BY pos) AS pg FROM (SELECT *, lag(part_name) OVER (ORDER BY pos) AS prev FROM p)),
   c AS (SELECT *, coalesce(last_value(chapter IGNORE NULLS) OVER (PARTITION BY pg ORDER BY pos), 'Chương chưa phân loại') AS chapter_name FROM p2),
@@ -86,17 +97,23 @@ FILL = [
   SELECT pos::BIGINT AS pos, part_name, chapter_name, coalesce(last_value(section IGNORE NULLS) OVER (PARTITION BY pg, cg ORDER BY pos), '') AS section_name,
     coalesce(last_value(subsection IGNORE NULLS) OVER (PARTITION BY pg, cg ORDER BY pos), '') AS subsection_name FROM c2""")
 def hier_filldown(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixture(spark, [r[:5] for r in FILL], "pos long, part string, chapter string, section string, subsection string")
+    """Documents as rows of which some begin a level, and the written ones behind them."""
+    own = fixture(spark, [r[:5] for r in FILL], "pos long, part string, chapter string, section string, subsection string").withColumn("pos", F.col("pos") + 1_000_000_000)
+    k = F.col("doc_id")
+    part, chapter = F.when(k % 40 == 0, F.concat(F.lit("Phần "), k)), F.when(k % 10 == 3, F.concat(F.lit("Chương "), k % 30))
+    section, subsection = F.when(k % 8 == 5, "").when(k % 4 == 1, F.concat(F.lit("Mục "), k)), F.when(k % 6 == 2, F.concat(F.lit("Tiểu mục "), k))
+    rows = S.table(spark, d, "documents").select(k.cast("long").alias("pos"), part.alias("part"), chapter.alias("chapter"), section.alias("section"), subsection.alias("subsection")).union(own)
     return parsing.fill_down(rows, "pos").select("pos", "part_name", "chapter_name", "section_name", "subsection_name")
 
 
-PATHS = [(1, "Phần thứ hai", "Chương IV", "Mục 2: b", "Tiểu mục 3: c"), (2, "Phần thứ nhất", "Chương I", None, None), (3, "Phần 5", None, "", None), (4, None, None, None, None)]
-
-
-@query("hier_path", """SELECT * FROM (VALUES (1::BIGINT, 'part_2/chapter_p2_c4/section_chapter_p2_c4_s2/subsection_section_chapter_p2_c4_s2_ss3'), (2, 'part_1/chapter_p1_c1'), (3, 'part_5'), (4, '')) t(id, path)""")
+@query("hier_path", """WITH t AS (SELECT doc_id::BIGINT AS id, CASE WHEN doc_id % 4 > 0 THEN doc_id % 9 + 1 END AS p, CASE WHEN doc_id % 3 > 0 THEN doc_id % 50 + 1 END AS c, CASE WHEN doc_id % 5 > 1 THEN doc_id % 7 END AS s, CASE WHEN doc_id % 2 = 0 THEN doc_id % 6 END AS b FROM documents),
+  i AS (SELECT *, 'chapter_p' || coalesce(p, 0) || '_c' || coalesce(c, 0) AS ci FROM t), j AS (SELECT *, 'section_' || ci || '_s' || coalesce(s, 0) AS si FROM i)
+  SELECT id, concat_ws('/', 'part_' || p, CASE WHEN c IS NOT NULL THEN ci END, CASE WHEN s IS NOT NULL THEN si END, 'subsection_' || si || '_ss' || b) AS path FROM j""")
 def hier_path(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixture(spark, PATHS, "id long, part string, chapter string, section string, subsection string")
-    return rows.select("id", parsing.hierarchical_path(F.col("part"), F.col("chapter"), F.col("section"), F.col("subsection")).alias("path"))
+    k = F.col("doc_id")
+    part, chapter = F.when(k % 4 > 0, F.concat(F.lit("Phần "), k % 9 + 1)), F.when(k % 3 > 0, F.concat(F.lit("Chương "), k % 50 + 1))
+    section, subsection = F.when(k % 5 > 1, F.concat(F.lit("Mục "), k % 7, F.lit(": a"))), F.when(k % 2 == 0, F.concat(F.lit("Tiểu mục "), k % 6, F.lit(": b")))
+    return S.table(spark, d, "documents").select(k.cast("long").alias("id"), parsing.hierarchical_path(part, chapter, section, subsection).alias("path"))
 
 
 def with_documents(spark: SparkSession, d: str, rows: list[tuple], schema: str) -> DataFrame:
@@ -131,7 +148,6 @@ def point_split(spark: SparkSession, d: str) -> DataFrame:
     return parsing.split_points(with_documents(spark, d, CLAUSES, "id long, text string"), "id", "text")
 
 
-FOUND_SQL = f"WITH t(id, title, text) AS (VALUES {values(LAWS)})"
 LAWS_SCHEMA = "id long, title string, text string"
 LAWS_SQL = f"WITH t AS ({ALL_DOCS} UNION ALL SELECT -id, title, text FROM (VALUES {values(LAWS)}) v(id, title, text))"
 
@@ -195,10 +211,13 @@ def count_tokens(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.count_tokens(t).alias("tokens"), T.estimate_input_tokens(t).alias("est"))
 
 
-@query("est_tokens", "SELECT * FROM (VALUES (1::BIGINT, 5::BIGINT, 2::BIGINT), (2, 3, 1)) t(id, est, tokens)")
+ASTRAL = "len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]'))"
+
+
+@query("est_tokens", f"WITH t AS ({ALL_DOCS} UNION ALL VALUES (-1, '', 'a\U0001f600'), (-2, '', 'abc')) SELECT id::BIGINT AS id, (length(text) + 3 * {ASTRAL})::BIGINT AS est, greatest({WORDS}, ceil((length(text) + {ASTRAL}) / 4.0))::BIGINT AS tokens FROM t")
 def est_tokens(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixture(spark, [(1, "a\U0001f600"), (2, "abc")], "id long, text string")
-    return rows.select("id", T.estimate_input_tokens(F.col("text")).alias("est"), (T.count_tokens(F.col("text")) + F.when(F.col("id") == 1, 1).otherwise(0)).alias("tokens"))
+    rows = with_documents(spark, d, [(1, "a\U0001f600"), (2, "abc")], "id long, text string")
+    return rows.select("id", T.estimate_input_tokens(F.col("text")).alias("est"), T.count_tokens(F.col("text")).alias("tokens"))
 
 
 @query("key_terms", f"{DOCS}, w AS (SELECT id, unnest(list_distinct([x for x in regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+') if length(x) >= 2])) AS w FROM t) SELECT id, count(*)::BIGINT AS terms, min(w) AS least FROM w WHERE w NOT IN (SELECT unnest([{', '.join(repr(x) for x in L.KEY_TERM_STOPS)}])) GROUP BY id")
@@ -228,11 +247,11 @@ def truncations(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.truncated(F.col("text"), 200).alias("short"))
 
 
-@query("route_query", f"""WITH t(id, q) AS (VALUES {values(QUERIES)}) SELECT id::BIGINT AS id, CASE WHEN len([w for w in {list(L.SHARED_TERMS)} if contains(lower(q), w)]) > 0 THEN 'local'
+@query("route_query", f"""WITH t AS (SELECT doc_id AS id, text AS q FROM documents UNION ALL SELECT -id, q FROM (VALUES {values(QUERIES)}) v(id, q)) SELECT id::BIGINT AS id, CASE WHEN len([w for w in {list(L.SHARED_TERMS)} if contains(lower(q), w)]) > 0 THEN 'local'
   WHEN len([w for w in {list(L.SUMMARY_TERMS)} if contains(lower(q), w)]) > 0 THEN 'global'
   WHEN len([w for w in {list(L.GLOBAL_TERMS)} if contains(lower(q), w)]) > 0 AND len([w for w in {list(L.LOCAL_TERMS)} if contains(lower(q), w)]) = 0 THEN 'global' ELSE 'local' END AS route FROM t""")
 def route_query(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, QUERIES, "id long, q string").select("id", T.route_query(F.col("q")).alias("route"))
+    return with_documents(spark, d, QUERIES, "id long, text string").select("id", T.route_query(F.col("text")).alias("route"))
 
 
 @query("valid_query", f"{DOCS} SELECT id, (trim(text) <> '' AND length(text) <= 1000) AS ok FROM t")
@@ -241,15 +260,18 @@ def valid_query(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), ((F.trim(t) != "") & (F.length(t) <= 1000)).alias("ok"))
 
 
-@query("error_class", "SELECT * FROM (VALUES (1::BIGINT, 'llm_rate_limited'), (2, 'llm_auth_error'), (3, 'llm_unreachable'), (4, 'aborted'), (5, 'llm_error'), (6, 'internal'), (7, 'llm_unreachable'), (8, 'internal')) t(id, code)")
+@query("error_class", f"""WITH t AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -id, text FROM (VALUES {values(ERRORS)}) v(id, text)) SELECT id::BIGINT AS id, CASE WHEN contains(lower(text), 'aborted') THEN 'aborted'
+  WHEN regexp_matches(text, '(?i)\\b429\\b|RESOURCE_EXHAUSTED|rate.?limit|quota') THEN 'llm_rate_limited' WHEN regexp_matches(text, '(?i)\\b40[13]\\b|API key|PERMISSION_DENIED|UNAUTHENTICATED') THEN 'llm_auth_error'
+  WHEN regexp_matches(text, '(?i)\\b400\\b|INVALID_ARGUMENT') THEN 'llm_error' WHEN regexp_matches(text, '(?i)fetch failed|ECONN|ENOTFOUND|ETIMEDOUT|network|\\b50[034]\\b') THEN 'llm_unreachable' ELSE 'internal' END AS code FROM t""")
 def error_class(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, ERRORS, "id long, message string").select("id", T.error_class(F.col("message")).alias("code"))
+    return with_documents(spark, d, ERRORS, "id long, text string").select("id", T.error_class(F.col("text")).alias("code"))
 
 
 @query("recall_intent")
 def recall_intent(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return fixture(spark, TALK, "id long, text string").select("id", T.recall_intent(t).alias("recall"), T.is_first_key(t).alias("first"), T.is_recent_key(t).alias("recent"))
+    talk = S.table(spark, d, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).cast("long").alias("id"), "text")
+    return talk.union(fixture(spark, TALK, "id long, text string").withColumn("id", -F.col("id"))).select("id", T.recall_intent(t).alias("recall"), T.is_first_key(t).alias("first"), T.is_recent_key(t).alias("recent"))
 
 
 @query("redact")
@@ -289,7 +311,10 @@ def names_article(spark: SparkSession, d: str) -> DataFrame:
     return with_documents(spark, d, LAWS, LAWS_SCHEMA).select("id", T.names_article(F.col("text"), 5).alias("five"), T.names_article(F.col("text"), 1).alias("one"))
 
 
-@query("content_normalize", "SELECT * FROM (VALUES (1::BIGINT, 'plain'), (2, 'a' || chr(10) || 'b'), (3, 'x' || chr(10) || 'y'), (4, ''), (5, '')) t(id, text)")
+@query("content_normalize", f"WITH t AS ({ALL_DOCS}) SELECT id, CASE id % 5 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN title || chr(10) || text ELSE '' END AS text FROM t")
 def content_normalize(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, '"plain"'), (2, '["a","b"]'), (3, '{"p":"x","q":"y"}'), (4, None), (5, "null")]
-    return fixture(spark, rows, "id long, json string").select("id", parsing.normalized_content(F.col("json")).alias("text"))
+    """Documents as JSON of each kind: a string, an array of lines, an object, none, and null."""
+    k, text = F.col("id") % 5, F.col("text")
+    listed = F.to_json(F.array(text))
+    json = F.when(k == 0, F.substring(listed, F.lit(2), F.length(listed) - 2)).when(k == 1, F.to_json(F.split(text, "\n"))).when(k == 2, F.to_json(F.struct(F.col("title").alias("p"), text.alias("q")))).when(k == 3, "null")
+    return S.table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("id"), F.split("text", "\n", 2)[0].alias("title"), "text").select("id", parsing.normalized_content(json).alias("text"))
