@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.operators import search
 from weftgraph.operators.sessions import GENESIS
+from weftgraph.operators.vector_index import VectorIndex
 from weftgraph.plans import standins as S
 from weftgraph.plans.registry import query
 from weftgraph.session import shared_folder
@@ -69,3 +71,14 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
     changed = lines.select("session_id", line.alias("line"), place.alias("place"))
     changed.repartition("session_id").sortWithinPartitions("session_id", "place").select("session_id", "line").write.partitionBy("session_id").text(path)
     return log_source.verify_lines(log_source.read_log_lines(spark, path, suffix=".txt", split_bytes=4096))
+
+
+@query("vec_index_recall", "SELECT count(*)::BIGINT AS queries, 10 * count(*)::BIGINT AS wanted, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def vec_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the index finds nine in ten of the ten nearest rows of each hundredth, against the exact search."""
+    rows = S.vectors(spark, d)
+    index = VectorIndex.build(rows, shared_folder(spark, "vectors"), id_col="vec_id")
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    exact = search.vector_top_k_batch(rows, queries, 10, id_col="vec_id").select("query_id", "id")
+    found = exact.join(index.search(queries, 10).select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return found.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("wanted"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("enough"))
