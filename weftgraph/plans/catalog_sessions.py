@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import lexicons as L
-from weftgraph.operators import caching, evaluation, reads, sessions
+from weftgraph.operators import caching, evaluation, reads, sessions, tool_functions
 from weftgraph.plans import standins as S
 from weftgraph.plans.registry import query
 from weftgraph.sources import session_logs
@@ -203,3 +203,16 @@ def cache_replay(spark: SparkSession, d: str) -> DataFrame:
     op = F.when(F.col("event_id") % 5 == 0, "set").when(F.col("event_id") % 11 == 0, "delete").otherwise("get")
     events = S.table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("ord"), op.alias("op"))
     return caching.replay(events, caching.CONFIGS["answer"][0]).drop("at")
+
+
+@query("tool_calls", """WITH c AS (SELECT conv_id AS run_id, turn::BIGINT AS seq, ['get_article', 'search', 'other'][(conv_id + turn) % 3 + 1] AS tool, turn % 5 AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations)
+  SELECT run_id, seq, tool, CASE WHEN place > 4 THEN 'over budget' WHEN tool = 'other' THEN 'unknown tool' WHEN k = 0 OR k = 1 AND tool = 'search' THEN 'invalid arguments' END AS refusal FROM c""")
+def tool_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as tool calls, judged by a table function of SQL."""
+    tool_functions.register(spark)
+    k = F.col("turn") % 5
+    args = F.when(k == 0, "no json").when(k == 1, '{"id": "a"}').otherwise('{"id": "a", "query": "q"}')
+    tool = F.get(F.array(F.lit("get_article"), F.lit("search"), F.lit("other")), ((F.col("conv_id") + F.col("turn")) % 3).cast("int"))
+    calls = S.table(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").cast("long").alias("seq"), tool.alias("tool"), args.alias("args"))
+    required = '{"get_article": ["id"], "search": ["query"]}'
+    return spark.sql("SELECT run_id, seq, tool, refusal FROM judge_calls(TABLE({calls}), 4, :required)", args={"required": required}, calls=calls)
