@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import lexicons as L
 from weftgraph.functions import text as T
+from weftgraph.operators import dataset_rules
 from weftgraph.operators import evaluation as E
 from weftgraph.plans import standins as S
 from weftgraph.plans.registry import query, values
@@ -206,3 +207,43 @@ def fingerprint_diff(spark: SparkSession, d: str) -> DataFrame:
     before = docs.where(~((k % 5 == 0) & (k % 3 > 0)))
     after = docs.where(k % 3 > 0).withColumn("sha256", F.when(k % 7 == 0, "other").otherwise(F.col("sha256")))
     return E.fingerprint_diff(before, after)
+
+
+_ROUTE = "['legal', 'recall', 'smalltalk', 'other'][(conv_id + turn) % 4 + 1]"
+_OF = "conv_id % 12"
+
+
+@query("dataset_rules", f"""WITH c AS (SELECT conv_id, 'case_' || conv_id AS id, {list(dataset_rules.TYPES)}[{_OF} + 1] AS type, count(*) AS n, list({_ROUTE} ORDER BY turn) AS routes, list(CASE WHEN turn % 5 = 4 THEN '' ELSE ['A', 'B'][turn % 2 + 1] END ORDER BY turn) AS sessions, list(text ORDER BY turn) AS queries,
+    CASE WHEN conv_id % 5 > 0 THEN list_distinct([conv_id % 9 * 3, conv_id % 4]) ELSE [] END AS gold, CASE conv_id % 3 WHEN 0 THEN 'get_article' WHEN 1 THEN 'traverse_references' END AS tool, CASE WHEN conv_id % 2 = 0 THEN 0 END AS target, CASE WHEN conv_id % 4 > 1 THEN ['zz'] END AS markers FROM conversations GROUP BY conv_id),
+  a AS (SELECT doc_id AS number, CASE WHEN doc_id % 2 = 0 THEN 'Điều ' || doc_id || '. x' ELSE 'x' END AS title, 'Điều ' || (doc_id + 1) AS content FROM documents),
+  t AS (SELECT 'case_' || conv_id AS id, {_OF} AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, {_ROUTE} AS route, turn, text FROM conversations)
+  SELECT 'invalid_type' AS rule, id AS subject, NULL::INTEGER AS turn FROM c WHERE type IS NULL
+  UNION ALL SELECT 'invalid_route', id, i FROM t WHERE k < 11 AND route = 'other' UNION ALL SELECT 'no_session', id, i FROM t WHERE k < 11 AND turn % 5 = 4 UNION ALL SELECT 'query_length', id, i FROM t WHERE k < 11 AND length(text) NOT BETWEEN 1 AND 1000
+  UNION ALL SELECT 'unknown_article', id, NULL FROM c WHERE type IS NOT NULL AND EXISTS (SELECT 1 FROM (SELECT unnest(gold) AS x) u WHERE x NOT IN (SELECT number FROM a))
+  UNION ALL SELECT 'seed_shape', id, NULL FROM c WHERE type = 'seed' AND NOT (n = 1 AND len(gold) >= 1) UNION ALL SELECT 'two_gold', id, NULL FROM c WHERE type = 'multi_hop' AND len(gold) < 2
+  UNION ALL SELECT 'no_reference_edge', id, NULL FROM c WHERE type = 'multi_hop' AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(gold) AS x) u JOIN (SELECT unnest(gold) AS y) v ON y = x + 1 JOIN a ON a.number = x)
+  UNION ALL SELECT 'first_tool', id, NULL FROM c WHERE type = 'multi_hop' AND coalesce(tool, '') <> 'traverse_references' OR type = 'explicit_article' AND coalesce(tool, '') <> 'get_article' OR type = 'global'
+  UNION ALL SELECT 'one_gold', id, NULL FROM c WHERE type = 'explicit_article' AND len(gold) <> 1 UNION ALL SELECT 'query_names_gold', id, NULL FROM c WHERE type = 'explicit_article'
+  UNION ALL SELECT 'corpus_title', id, NULL FROM c WHERE type = 'explicit_article' AND CASE WHEN conv_id % 5 > 0 THEN conv_id % 9 * 3 % 2 ELSE 1 END <> 0 UNION ALL SELECT 'gold_chapter', id, NULL FROM c WHERE type = 'global' UNION ALL SELECT 'no_gold', id, NULL FROM c WHERE type = 'global' AND len(gold) > 0
+  UNION ALL SELECT 'small_talk_shape', id, NULL FROM c WHERE type = 'small_talk' AND NOT (len(gold) = 0 AND routes[1] = 'smalltalk') UNION ALL SELECT 'recall_turn', id, NULL FROM c WHERE type = 'recall_basic' AND NOT (n = 2 AND routes[2] = 'recall') OR type = 'recall_fresh' AND NOT (n = 1 AND routes[1] = 'recall') OR type = 'recall_far' AND routes[n] <> 'recall'
+  UNION ALL SELECT 'answer_names', id, NULL FROM c WHERE type = 'recall_basic' UNION ALL SELECT 'far_turns', id, NULL FROM c WHERE type = 'recall_far' AND n <> 11 UNION ALL SELECT 'recall_target', id, NULL FROM c WHERE type = 'recall_far' AND target IS NULL
+  UNION ALL SELECT 'repeated_query', id, NULL FROM c WHERE type = 'recall_far' AND len(list_distinct(queries)) <> n UNION ALL SELECT 'followup_shape', id, NULL FROM c WHERE type = 'followup_window' AND NOT (n = 2 AND len(gold) >= 2)
+  UNION ALL SELECT 'legal_turns', id, NULL FROM c WHERE type = 'followup_window' AND len(list_filter(routes, lambda r: r <> 'legal')) > 0 UNION ALL SELECT 'two_sessions', id, NULL FROM c WHERE type = 'isolation' AND NOT (n = 2 AND sessions[1] = 'A' AND sessions[2] = 'B')
+  UNION ALL SELECT 'leak_markers', id, NULL FROM c WHERE type = 'isolation' AND markers IS NULL UNION ALL SELECT 'marker_in_query', id, NULL FROM c WHERE type = 'isolation' AND markers IS NOT NULL AND NOT contains(queries[1], 'zz')
+  UNION ALL SELECT 'trigger_shape', id, NULL FROM c WHERE type = 'false_trigger' AND NOT (n = 1 AND routes[1] = 'legal')""")
+def dataset_rules_broken(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as cases and documents as the corpus, under all rules of cases."""
+    k, turn = F.col("conv_id"), F.col("turn")
+    one = lambda items, at: F.get(F.array(*[F.lit(x) for x in items]), at.cast("int"))
+    route = one([*dataset_rules.ROUTES, "other"], (k + turn) % 4)
+    session = F.when(turn % 5 == 4, "").otherwise(one("AB", turn % 2))
+    told = F.sort_array(F.collect_list(F.struct("turn", session.alias("session"), F.col("text").alias("query"), route.alias("route"))))
+    turns = F.transform(told, lambda t: F.struct(t["session"].alias("session"), t["query"].alias("query"), t["route"].alias("route")))
+    gold = F.when(k % 5 > 0, F.array_distinct(F.array(k % 9 * 3, k % 4))).otherwise(F.array()).cast("array<bigint>")
+    cases = S.table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns")).select(
+        F.concat(F.lit("case_"), k).alias("id"), one(dataset_rules.TYPES, k % 12).alias("type"), "turns", gold.alias("gold"), F.lit(None).cast("struct<label:string,first:bigint,last:bigint>").alias("chapter"),
+        F.when(k % 3 == 0, "get_article").when(k % 3 == 1, "traverse_references").alias("first_tool"), F.lit(None).cast("array<bigint>").alias("answer_names"), F.when(k % 2 == 0, 0).alias("recall_target"), F.when(k % 4 > 1, F.array(F.lit("zz"))).alias("leak_markers"),
+    )
+    n = F.col("doc_id")
+    corpus = S.table(spark, d, "documents").select(n.cast("long").alias("number"), F.when(n % 2 == 0, F.concat(F.lit("Điều "), n, F.lit(". x"))).otherwise("x").alias("title"), F.concat(F.lit("Điều "), n + 1).alias("content"), F.lit(None).cast("string").alias("chapter"))
+    return dataset_rules.broken_rules(cases, corpus)
