@@ -311,3 +311,26 @@ def test_fill_down_over_ranges(spark):
         out = parsing.fill_down(articles, "pos", group)
         assert out.columns == [*articles.columns, "part_name", "chapter_name", "section_name", "subsection_name"]
         assert {r["pos"]: tuple(r)[-4:] for r in out.collect()} == wanted
+
+
+def test_relations_in_the_order_of_a_locale(spark):
+    names = {"a": "Ấn", "b": "Đà", "c": "An", "d": "Da", "e": "Ăn", "f": "Dz", "g": None}
+    relations = spark.createDataFrame([(x, "z", t) for x in names for t in ("ĐI", "an")], "src string, dst string, type string")
+    labels = spark.createDataFrame(list(names.items()), "id string, label string")
+    rows = [r for n in (1, 2, 3) for r in reads.relation_page(relations, labels, n, 5).collect()]
+    assert [(r["type"], r["src"]) for r in rows] == [(t, s) for t in ("an", "ĐI") for s in "cead" + "fbg"]
+    out = reads.collated(labels, ["label"])
+    assert "collate" in out.schema["label"].dataType.simpleString() and out.orderBy("label").where("label > 'Dy'").count() == 2
+
+
+def test_children_are_numbered_by_first_appearance(spark):
+    rows = [("p", f"c{i % 7}", i) for i in range(40)] + [("q", "x", 3), ("q", "a", 3), (None, "n", 1)]
+    found = graph.containment_edges(spark.createDataFrame(rows, "parent string, child string, pos long").repartition(4), "parent", "child", "pos", "HAS").collect()
+    assert sorted(((r["src"] or "", r["ord"], r["dst"]) for r in found)) == sorted([("p", i + 1, f"c{i}") for i in range(7)] + [("q", 1, "a"), ("q", 2, "x"), ("", 1, "n")])
+
+
+def test_quoted_queries_of_long_answers(spark):
+    asked = "what is the meaning of this"
+    answers = spark.createDataFrame([(1, "x" * 5000 + " " + asked.upper()), (2, "what is the  meaning of that"), (3, asked[:20]), (4, None)], "case_id int, answer string")
+    queries = spark.createDataFrame([(asked,), ("short",), (asked,)], "query string")
+    assert [r["case_id"] for r in evaluation.quoted_queries(answers, queries).collect()] == [1]

@@ -149,10 +149,13 @@ def quoted_queries(answers: DataFrame, queries: DataFrame, least: int = 12) -> D
     asked = queries.where(F.length("query") >= least).select(plain(F.col("query")).alias("q")).distinct()
     asked = asked.select("q", F.substring("q", 1, least).alias("key"))
     lengths = asked.select(F.length("key").alias("n")).distinct()  # at most least + 1 rows
-    texts = answers.select("case_id", plain(F.col("answer")).alias("a")).join(F.broadcast(lengths))
+    texts = answers.select("case_id", plain(F.col("answer")).alias("a"))
     starts = F.sequence(F.lit(1), F.greatest(F.length("a") - F.col("n") + 1, F.lit(1)))
-    windows = texts.select("case_id", "a", "n", F.explode(starts).alias("at")).select("case_id", "a", F.expr("substring(a, at, n)").alias("key"))
-    return windows.join(asked, "key").where(F.contains("a", F.col("q"))).select("case_id").distinct()
+    keys = F.array_distinct(F.transform(starts, lambda at: F.substring(F.col("a"), at, F.col("n"))))
+    # Windows travel without their answer; the few that begin a query meet it again.
+    windows = texts.join(F.broadcast(lengths)).select("case_id", F.explode(keys).alias("key"))
+    possible = windows.join(asked, "key").select("case_id", "q").distinct()
+    return possible.join(texts, "case_id").where(F.contains("a", F.col("q"))).select("case_id").distinct()
 
 
 def case_scores(cases: DataFrame, turns: DataFrame, max_steps: int) -> DataFrame:

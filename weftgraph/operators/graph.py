@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.operators.traversal import numbered
+
 # Edge types and the labels of their ends.
 EDGE_LABELS = (
     ("HAS_CHAPTER", "Part", "Chapter"), ("HAS_SECTION", "Chapter", "Section"), ("HAS_SUBSECTION", "Section", "Subsection"),
@@ -17,10 +19,11 @@ COUNTED_LABELS = ("Part", "Chapter", "Section", "Subsection", "Article", "Clause
 
 
 def containment_edges(children: DataFrame, parent: str, child: str, position: str, kind: str) -> DataFrame:
-    """parent -> child with a 1-based ``ord`` by first appearance."""
-    firsts = children.groupBy(parent, child).agg(F.min(position).alias("_at"))
-    order = W.partitionBy(parent).orderBy("_at", child)
-    return firsts.select(F.col(parent).alias("src"), F.col(child).alias("dst"), F.lit(kind).alias("type"), F.row_number().over(order).cast("long").alias("ord"))
+    """parent -> child with a 1-based ``ord`` by first appearance, ties by child.
+    Children are numbered in ranges, so a parent may have any number of them."""
+    firsts = children.groupBy(F.col(parent).alias("src"), F.col(child).alias("dst")).agg(F.min(position).alias("_at"))
+    placed = numbered(firsts, ["src"], ["_at", "dst"], "_n")
+    return placed.select("src", "dst", F.lit(kind).alias("type"), (F.col("_n") + 1).cast("long").alias("ord"))
 
 
 def belongs_edges(articles: DataFrame, article: str, parent: str, parent_kind: str) -> DataFrame:

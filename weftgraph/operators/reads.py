@@ -149,3 +149,17 @@ def active_communities(communities: DataFrame, runs: DataFrame) -> DataFrame:
     latest = runs.groupBy("scope").agg(F.max_by("run_id", F.struct("activated_at", "run_id")).alias("active"))
     joined = communities.join(latest, "scope", "left")
     return joined.where("active is null or run_id is null or run_id = '' or run_id = active").select(communities.columns)
+
+
+def collated(rows: DataFrame, columns: list[str], locale: str = "vi") -> DataFrame:
+    """Text columns typed with a locale's collation: whatever sorts, pages, groups
+    or joins them after this follows it, without being told again."""
+    return rows.withColumns({c: F.collate(F.col(c), locale) for c in columns})
+
+
+def relation_page(relations: DataFrame, labels: DataFrame, number: int, size: int, locale: str = "vi") -> DataFrame:
+    """A page of relations (src, dst, type) by type and then by the label of the
+    source, both in a locale's order; equal ones by src and dst.  ``labels``: id,
+    label; a source without one has its id."""
+    named = relations.join(labels.select(F.col("id").alias("src"), "label"), "src", "left").select("src", "dst", "type", F.coalesce("label", "src").alias("label"))
+    return page(collated(named, ["type", "label"], locale), ["type", "label", "src", "dst"], number, size)

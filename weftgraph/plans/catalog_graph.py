@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from weftgraph.operators import graph, parsing, patterns, reads, traversal
 from weftgraph.plans import standins as S
 from weftgraph.plans.registry import query, values
+from weftgraph.session import shared_folder
+from weftgraph.sources import properties
 
 # ---- construction
 
@@ -276,9 +278,35 @@ def paginate(spark: SparkSession, d: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(reads.page_info(e, 25).select("total")))  # one row
 
 
-@query("locale_sort")
+@query("locale_sort", "SELECT n_name FROM nation ORDER BY n_name COLLATE vi")
 def locale_sort(spark: SparkSession, d: str) -> DataFrame:
-    return S.table(spark, d, "nation").orderBy(F.collate("n_name", "UNICODE")).select("n_name")
+    return reads.collated(S.table(spark, d, "nation"), ["n_name"]).orderBy("n_name").select(F.collate("n_name", "UTF8_BINARY").alias("n_name"))
+
+
+_VIET = ["Đà ", "An ", "Ấn ", "đa ", "Ăn ", "Zê ", "da "]
+
+
+@query("relation_page", f"""{S.GRAPH}, l AS (SELECT id, {_VIET}[length(coalesce(title, name)) % 7 + 1] || coalesce(title, name) AS label FROM nodes), r AS (SELECT src, dst, type, coalesce(label, src) AS label FROM edges LEFT JOIN l ON id = src)
+  SELECT src, dst, type, label FROM r ORDER BY type COLLATE vi, label COLLATE vi, src, dst LIMIT 50 OFFSET 100""")
+def relation_page(spark: SparkSession, d: str) -> DataFrame:
+    name = F.coalesce("title", "name")
+    labels = S.nodes(spark, d).select("id", F.concat(F.get(F.lit(_VIET), F.length(name) % 7), name).alias("label"))
+    found = reads.relation_page(S.edges(spark, d).select("src", "dst", "type"), labels, 3, 50)
+    return found.select("src", "dst", *[F.collate(c, "UTF8_BINARY").alias(c) for c in ("type", "label")])
+
+
+@query("typed_properties", """WITH j AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"title": null, "keywords": ["' || event_type || '", "x"]}' WHEN 1 THEN '{"title": "' || event_type || '", "keywords": "[\\"y\\"]"}' WHEN 2 THEN '{"keywords": "[broken", "title": ' || user_id || '}' WHEN 3 THEN '{broken ' || event_id WHEN 4 THEN props END AS p, event_type, user_id, props FROM events)
+  SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_type || ',x' WHEN 1 THEN 'y' WHEN 2 THEN '' END AS keywords, CASE event_id % 6 WHEN 1 THEN event_type WHEN 2 THEN user_id::VARCHAR END AS title,
+    CASE WHEN event_id % 6 = 4 THEN (props->>'$.k')::BIGINT END AS k, CASE WHEN event_id % 6 = 3 THEN p END AS raw FROM j""")
+def typed_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Events' properties of each kind, stored as VARIANT and read by their types."""
+    n, kind = F.col("event_id") % 6, F.col("event_type")
+    json = F.when(n == 0, F.concat(F.lit('{"title": null, "keywords": ["'), kind, F.lit('", "x"]}'))).when(n == 1, F.concat(F.lit('{"title": "'), kind, F.lit('", "keywords": "[\\"y\\"]"}')))
+    json = json.when(n == 2, F.concat(F.lit('{"keywords": "[broken", "title": '), "user_id", F.lit("}"))).when(n == 3, F.concat(F.lit("{broken "), "event_id")).when(n == 4, F.col("props"))
+    path = shared_folder(spark, "properties")
+    properties.packed(S.table(spark, d, "events").select("event_id", json.alias("json")), "json").write.parquet(path)
+    found = properties.shredded(spark.read.parquet(path), {"keywords": "array<string>", "title": "string", "k": "bigint"})
+    return found.select("event_id", F.array_join("keywords", ",").alias("keywords"), "title", "k", F.col("props_raw").alias("raw"))
 
 
 @query("top_referenced", f"{S.GRAPH} SELECT dst AS id, count(*)::BIGINT AS n FROM edges WHERE type = 'REFERENCES' GROUP BY 1 ORDER BY n DESC, id LIMIT 5")
