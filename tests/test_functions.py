@@ -97,3 +97,14 @@ def test_recall_intent(spark, text, recall):
 def test_headings(spark):
     text = "# A\n1. Pháp luật áp dụng\n---\n```\n**2. Điều kiện**\nplain"
     assert one(spark, T.section_count, text) == 3
+
+
+def test_rules_of_keys(spark):
+    rows = spark.createDataFrame([("article_12", "q", 0.0), ("article_", " \n\u00a0", 1.5), ("xarticle_1", "x" * 1001, 3.0), ("article_1\n", "\U0001f600" * 501, 4.0), (None, None, None), ("article_0", "x" * 1000, -1.0)], "id string, q string, level double")
+    got = rows.select(T.valid_article_id(F.col("id")), T.valid_query(F.col("q")), T.valid_level(F.col("level"))).collect()
+    assert [tuple(r) for r in got] == [(True, True, True), (False, False, False), (False, False, True), (False, False, False), (False, False, False), (True, True, False)]
+
+
+def test_names_article(spark):
+    rows = spark.createDataFrame([("xem Điều 5.",), ("Điều 50",), ("điều  5, khoản 1",), ("không",)], "t string")
+    assert [r[0] for r in rows.select(T.names_article(F.col("t"), 5)).collect()] == [True, False, True, False]

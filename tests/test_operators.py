@@ -334,3 +334,36 @@ def test_quoted_queries_of_long_answers(spark):
     answers = spark.createDataFrame([(1, "x" * 5000 + " " + asked.upper()), (2, "what is the  meaning of that"), (3, asked[:20]), (4, None)], "case_id int, answer string")
     queries = spark.createDataFrame([(asked,), ("short",), (asked,)], "query string")
     assert [r["case_id"] for r in evaluation.quoted_queries(answers, queries).collect()] == [1]
+
+
+def test_an_article_of_a_chapter_by_seed(spark):
+    articles = spark.createDataFrame([(f"a{i}",) for i in range(30)], "id string")
+    edges = spark.createDataFrame([(f"a{i}", "chapter_p1_c2" if i % 3 else "chapter_p1_c1", "BELONGS_TO_CHAPTER") for i in range(30)] + [("a0", "chapter_p1_c2", "REFERENCES")], "src string, dst string, type string")
+    found = {reads.random_article(articles, edges, "p1_c2", seed).first()["id"] for seed in range(12)}
+    assert len(found) > 3 and all(int(x[1:]) % 3 for x in found)
+    assert reads.random_article(articles, edges, "p1_c2", 5).first() == reads.random_article(articles, edges, "p1_c2", 5).first()
+    assert reads.random_article(articles, edges, "nowhere").count() == 0
+
+
+def test_references_in_queue_order(spark):
+    edges = spark.createDataFrame([("a", "c", "REFERENCES", 1), ("a", "b", "REFERENCES", 2), ("b", "d", "REFERENCES", 1), ("c", "e", "REFERENCES", 9), ("c", "gone", "REFERENCES", 1), ("a", "x", "OTHER", 0), ("e", "f", "REFERENCES", 1)], "src string, dst string, type string, ord long")
+    articles = spark.createDataFrame([(x,) for x in "abcdefx"], "id string")
+    seeds = spark.createDataFrame([("a", 1)], "id string, ord long")
+    rows = traversal.traverse_references(seeds, edges, articles).collect()
+    assert [(r["id"], r["depth"], r["path"]) for r in rows] == [("a", 0, ["a"]), ("c", 1, ["a", "c"]), ("b", 1, ["a", "b"]), ("e", 2, ["a", "c", "e"]), ("d", 2, ["a", "b", "d"])]
+    assert [r["id"] for r in traversal.traverse_references(seeds, edges, articles, most=2).collect()] == ["a", "c"]
+
+
+def test_memory_of_failed_runs(spark):
+    """An error's text is no answer: it enters neither a window nor a recall."""
+    rows = [("s", None, 1, "session_created", "", None), ("s", "r1", 2, "query", "first thing", None), ("s", "r1", 3, "error", "boom secret", None), ("s", "r2", 4, "query", "second thing", None), ("s", "r2", 5, "answer", "fine answer", True), ("s", "r3", 6, "query", "open", None)]
+    turns = sessions.build_turns(spark.createDataFrame(rows, "session_id string, run_id string, seq long, kind string, content string, ok boolean"))
+    assert sorted((r["run_id"], r["answer"], r["ok"]) for r in turns.collect()) == [("r1", "", False), ("r2", "fine answer", True)]
+    window = memory.windows(turns)
+    assert [(r["kept"], r["first_run"]) for r in window.collect()] == [(1, "r2")]
+    assert sessions.recall(turns, "boom secret").count() == 0
+    calls = spark.createDataFrame([(2, 1), (1, 0), (0, 0)], "others int, items int")
+    stats = memory.memory_stats(window, calls).first()
+    assert (stats["sessions"], stats["turns"], stats["recall_calls"], stats["recall_hits"], stats["recall_empty"]) == (1, 1, 3, 1, 2)
+    with pytest.raises(Exception, match="answer without ok"):
+        sessions.build_turns(spark.createDataFrame([*rows[:4], ("s", "r2", 5, "answer", "x", None)], "session_id string, run_id string, seq long, kind string, content string, ok boolean")).collect()

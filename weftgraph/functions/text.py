@@ -160,6 +160,21 @@ def truncated(text: Column, most: int, suffix: str = "...") -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(suffix))).otherwise(text)
 
 
+def valid_article_id(value: Column) -> Column:
+    """``article_`` and a number; null is not."""
+    return F.coalesce(F.regexp_like(value, F.lit(r"^article_[0-9]+\z")), F.lit(False))
+
+
+def valid_query(value: Column, most: int = 1000) -> Column:
+    """Something other than white space, of ``most`` UTF-16 units at most."""
+    return F.coalesce(F.regexp_like(value, F.lit(r"(?U)\S")) & (utf16_length(value) <= most), F.lit(False))
+
+
+def valid_level(value: Column) -> Column:
+    """A whole number from 0 (part) to 3 (subsection)."""
+    return F.coalesce((value == F.floor(value)) & value.between(0, 3), F.lit(False))
+
+
 def error_class(message: Column) -> Column:
     """Code of an error by the first pattern that its text has."""
     # Patterns and codes, in order.

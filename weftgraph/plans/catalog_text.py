@@ -254,10 +254,16 @@ def route_query(spark: SparkSession, d: str) -> DataFrame:
     return with_documents(spark, d, QUERIES, "id long, text string").select("id", T.route_query(F.col("text")).alias("route"))
 
 
-@query("valid_query", f"{DOCS} SELECT id, (trim(text) <> '' AND length(text) <= 1000) AS ok FROM t")
+@query("valid_query", f"{DOCS} SELECT id, (trim(text) <> '' AND length(text) + {ASTRAL} <= 1000) AS ok FROM t")
 def valid_query(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), ((F.trim(t) != "") & (F.length(t) <= 1000)).alias("ok"))
+    return S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.valid_query(F.col("text")).alias("ok"))
+
+
+@query("valid_keys", f"{S.GRAPH} SELECT src, dst, type, regexp_matches(src, '^article_[0-9]+$') AS source_ok, regexp_matches(dst, '^article_[0-9]+$') AS target_ok, coalesce(weight * ord / 4 IN (0, 1, 2, 3), false) AS level_ok FROM edges")
+def valid_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Ends of edges as ids of articles, and a number made of each edge as a level."""
+    level = F.col("weight") * F.col("ord") / 4
+    return S.edges(spark, d).select("src", "dst", "type", T.valid_article_id(F.col("src")).alias("source_ok"), T.valid_article_id(F.col("dst")).alias("target_ok"), T.valid_level(level).alias("level_ok"))
 
 
 @query("error_class", f"""WITH t AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -id, text FROM (VALUES {values(ERRORS)}) v(id, text)) SELECT id::BIGINT AS id, CASE WHEN contains(lower(text), 'aborted') THEN 'aborted'

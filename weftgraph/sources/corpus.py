@@ -20,8 +20,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def scan_file(spark: SparkSession, path: str) -> DataFrame:
-    """Articles of one JSON file (an array of objects)."""
-    return spark.read.schema(ARTICLES).option("multiLine", True).json(path)
+    """Articles of one JSON file (an array of objects); one that isn't JSON, or an
+    item that doesn't fit, fails the read."""
+    return spark.read.schema(ARTICLES).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
