@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftgraph.llm import decontamination, jaccard_join, packing, suffix_dedup, token_files
+from weftgraph.llm import decontamination, jaccard_join, lm_scoring, packing, suffix_dedup, token_files
 from weftgraph.llm.common import shared_folder
 from weftgraph.llm.queries import OP2_SQL, OP5_SQL
+from weftgraph.llm.shingles import mixed
 
 WORDS = P.path("word_bpe_49k.json")
 
@@ -112,3 +113,13 @@ def test_pipeline_of_odd_tables(spark, small, tmp_path, filled):
         odd.coalesce(2).write.parquet(f"{tmp_path}/{name}.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert bool(out) == filled and all(r["length"] > 0 for r in out)
+
+
+def test_words_that_share_a_key(monkeypatch):
+    """All bits of a key but one tell words apart: at 14 bits and 1024 words about
+    1 - exp(-1023 / 2 ** 13) of them, an eighth, meet another."""
+    monkeypatch.setattr(lm_scoring, "KEY_BITS", 14)
+    keys = lm_scoring.Events.cut(mixed(np.arange(1, 1025, dtype=np.uint64)))
+    assert (keys % 2 == 0).all() and int(keys.max()) < 1 << 14
+    _, numbers = np.unique(keys, return_inverse=True)
+    assert 0.07 < (np.bincount(numbers)[numbers] > 1).mean() < 0.17

@@ -38,8 +38,9 @@ CHUNK_BYTES = 3 << 20
 #: a broadcast table of at most so many numbers.
 CLASSES = 1 << 20
 
-#: Bits of hash that tell words, and pairs of words, apart: of 2 ** 44 distinct
-#: ones, as 100 TB may have, about one in four thousand meets another.
+#: Bits of a key.  One of them tells words from pairs of words, so 55 bits of hash
+#: tell words apart, and pairs: of 2 ** 44 distinct ones, as 100 TB may have, about
+#: one in two thousand meets another and shares its count.
 KEY_BITS = 56
 
 _EDGE = np.uint64(0x5851F42D4C957F2C)  # in front of and behind each document
