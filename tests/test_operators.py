@@ -367,3 +367,18 @@ def test_memory_of_failed_runs(spark):
     assert (stats["sessions"], stats["turns"], stats["recall_calls"], stats["recall_hits"], stats["recall_empty"]) == (1, 1, 3, 1, 2)
     with pytest.raises(Exception, match="answer without ok"):
         sessions.build_turns(spark.createDataFrame([*rows[:4], ("s", "r2", 5, "answer", "x", None)], "session_id string, run_id string, seq long, kind string, content string, ok boolean")).collect()
+
+
+def test_contexts_of_articles(spark):
+    requests = spark.createDataFrame([("article_1", 1), ("article_1", 9), ("article_2", 0), ("article_3", 1), ("x", 1), ("article_4", 2), (None, None)], "article_id string, level int")
+    articles = spark.createDataFrame([("article_1",), ("article_2",), ("article_4",), ("x",)], "id string")
+    community = "array<struct<id:string,title:string,summary:string,entity_ids:array<string>>>"
+    answers = [("article_1", 1, "nói về chương\tII tài sản\nMục 4: a > b", []), ("article_2", 0, "ignored", [("c", "Phần A", "S", ["e", "f"]), ("d", "Chương B", "", None)]), ("article_4", 2, None, [("c", None, None, None)]), ("article_3", 1, "x", None), ("x", 1, "x", None)]
+    out = search.community_contexts(requests, articles, spark.createDataFrame(answers, f"article_id string, level int, response string, communities {community}")).collect()
+    got = {(r["article_id"], r["level"]): r["context"] for r in out}
+    one = got["article_1", 1]
+    assert (one["part"]["name"], one["chapter"]["name"], one["section"]["name"], one["subsection"], one["hierarchical_context"], one["article_count"]) == ("QUY ĐỊNH CHUNG", "II tài sản", "4: a ", None, "II tài sản > 4: a ", 1)
+    assert got["article_1", 9] == one and len(out) == 7
+    two = got["article_2", 0]
+    assert (two["part"]["name"], two["part"]["article_count"], two["chapter"]["name"], two["principles"], two["hierarchical_context"]) == ("Phần A", 2, "", "S", "Phần A > Chương B")
+    assert all(got[k]["part"]["name"] == "" and got[k]["article_count"] == 0 for k in (("article_3", 1), ("x", 1), (None, None), ("article_4", 2)))

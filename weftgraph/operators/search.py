@@ -101,7 +101,7 @@ def bm25_tokens(folded: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(*L.FOLDED_STOPS))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str, k1: float = 1.2, b: float = 0.75, most_terms: int = 10_000) -> DataFrame:
     """(query_id, id, score) of every document that shares a term with a query.
 
     ``docs``: id and ``tokens`` (the title's twice); ``queries``: query_id and
@@ -109,14 +109,22 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, k1: float = 1.2, b: f
     they are a stated set, which bounds the join's small side.  Null tokens are
     none.  Each document also gives one row with an empty term, for the number of documents and their
     mean length, so that all figures come from one shuffle of one scan.
+
+    Up to ``most_terms`` terms of the queries are a set that the scan looks tokens
+    up in, so that only those of the queries become rows; more are met in a join.
     """
     nothing = F.filter(F.array(F.lit("")), lambda x: F.length(x) > 0)  # without nulls, unlike a cast
     tokens = F.coalesce("tokens", nothing)
     sized = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"), F.size(tokens).alias("len"))
     wanted = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    terms = wanted.select("term").distinct().withColumn("asked", F.lit(True))
-    own = F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term")
-    found = sized.select("id", "len", own).join(terms, "term", "left").where("asked or term = ''")
+    terms = wanted.select("term").where("term is not null").distinct()
+    few = [r["term"] for r in terms.limit(most_terms + 1).collect()]
+    if len(few) <= most_terms:
+        asked = F.filter("tokens", lambda t: t.isin(*few))
+        found = sized.select("id", "len", F.explode(F.concat(F.array(F.lit("")), asked)).alias("term"))
+    else:
+        own = F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term")
+        found = sized.select("id", "len", own).join(terms.withColumn("asked", F.lit(True)), "term", "left").where("asked or term = ''")
     # ``whole`` is no key and ``tf`` is read by all, so that the three share the shuffle.
     counted = found.groupBy("id", "len", "term").agg(F.count("*").alias("tf"), F.bool_or(F.col("term") == "").alias("whole"))
     totals = counted.where("whole").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("len")) / F.sum("tf")).alias("mean"))
@@ -185,3 +193,79 @@ def suggestions(rows: DataFrame, text: str, query: str | None, limit: int = 5, o
 def community_context(articles: DataFrame, sections: DataFrame, chapters: DataFrame, parts: DataFrame) -> DataFrame:
     """Names of the levels above each article, by joins of the hierarchy."""
     return articles.join(sections, "section_id", "left").join(chapters, "chapter_id", "left").join(parts, "part_id", "left")
+
+
+# Names of levels where a text has none, and lengths of excerpts.
+DEFAULT_PART, DEFAULT_CHAPTER = "QUY ĐỊNH CHUNG", "NHỮNG QUY ĐỊNH CHUNG"
+SUMMARY_CHARS, PRINCIPLES_CHARS = 500, 1000
+LEVEL_NAMES = (("part", "Phần"), ("chapter", "Chương"), ("section", "Mục"), ("subsection", "Tiểu mục"))
+
+_PART = "struct<id:string,name:string,part_number:int,chapter_count:int,article_count:int>"
+_CHAPTER = "struct<id:string,name:string,chapter_roman:string,part_id:string,article_count:int,section_count:int,summary:string>"
+_LOWER = "struct<id:string,name:string,number:int,parent_id:string,article_count:int>"
+CONTEXT = f"struct<part:{_PART},chapter:{_CHAPTER},section:{_LOWER},subsection:{_LOWER},article_count:int,principles:string,hierarchical_context:string>"
+
+
+def _context(part: Column, chapter: Column, section: Column, subsection: Column, count: Column, principles: Column, path: Column) -> Column:
+    named = {"part": part, "chapter": chapter, "section": section, "subsection": subsection, "article_count": count, "principles": principles, "hierarchical_context": path}
+    return F.struct(*[c.alias(name) for name, c in named.items()]).cast(CONTEXT)
+
+
+def _part(id: Column, name: Column, number: int, chapters: int, count: Column) -> Column:
+    return F.struct(id, name, F.lit(number), F.lit(chapters), count).cast(_PART)
+
+
+def _chapter(id: Column, name: Column, roman: str, part: str, count: Column, summary: Column) -> Column:
+    return F.struct(id, name, F.lit(roman), F.lit(part), count, F.lit(0), summary).cast(_CHAPTER)
+
+
+def empty_context() -> Column:
+    """The context of an article that isn't known."""
+    none, zero = F.lit(""), F.lit(0)
+    return _context(_part(none, none, 0, 0, zero), _chapter(none, none, "", "", zero, none), F.lit(None), F.lit(None), zero, none, none)
+
+
+def mapped_context(communities: Column, level: Column) -> Column:
+    """The context from an answer's communities (id, title, summary, entity_ids):
+    the first is the part at level 0 and the chapter at level 1; at deeper levels
+    both stay empty.  The path has all titles."""
+    first = F.get(communities, F.lit(0))
+    none, zero = F.lit(""), F.lit(0)
+    count = F.coalesce(F.size(first["entity_ids"]), zero)
+    count = F.greatest(count, zero)
+    part = F.when(level == 0, _part(first["id"], first["title"], 1, 0, count)).otherwise(_part(none, none, 0, 0, zero))
+    chapter = F.when(level == 1, _chapter(first["id"], first["title"], "", "", count, first["summary"])).otherwise(_chapter(none, none, "", "", zero, none))
+    path = F.array_join(F.transform(communities, lambda c: F.coalesce(c["title"], F.lit(""))), " > ")
+    return _context(part, chapter, F.lit(None), F.lit(None), count, F.coalesce(first["summary"], none), path)
+
+
+def extracted_context(response: Column) -> Column:
+    """The context from an answer's text: what follows the first mention of each
+    level, up to a line's end or a ``>``.  A part or chapter that isn't named has
+    the usual name, a section or subsection is null; the path has those that are
+    named.  As "mục" ends "tiểu mục", a section is also found there."""
+    text = F.coalesce(response, F.lit(""))
+    found = {name: F.nullif(F.regexp_extract(text, rf"(?iu){word}\s+([^>\n\r]+)", 1), F.lit("")) for name, word in LEVEL_NAMES}
+    one = F.lit(1)
+    part = _part(F.lit("part_1"), F.coalesce(found["part"], F.lit(DEFAULT_PART)), 1, 1, one)
+    chapter = _chapter(F.lit("chapter_1"), F.coalesce(found["chapter"], F.lit(DEFAULT_CHAPTER)), "I", "part_1", one, F.substring(text, 1, SUMMARY_CHARS))
+    low = lambda name, above: F.when(found[name].isNotNull(), F.struct(F.lit(f"{name}_1"), found[name], one, F.lit(above), one).cast(_LOWER))
+    path = F.array_join(F.filter(F.array(*found.values()), lambda x: x.isNotNull()), " > ")
+    return _context(part, chapter, low("section", "chapter_1"), low("subsection", "section_1"), one, F.substring(text, 1, PRINCIPLES_CHARS), path)
+
+
+def community_contexts(requests: DataFrame, articles: DataFrame, answers: DataFrame) -> DataFrame:
+    """(article_id, level, context) of each request.
+
+    ``requests``: article_id, level; ``articles``: id; ``answers``: article_id,
+    level, response, communities.  A level that isn't 0 to 3 counts as 1.  An id
+    that is none, an unknown article, and one without an answer have the empty
+    context; an answer's communities come before its text.
+    """
+    level = F.when(T.valid_level(F.col("level")), F.col("level")).otherwise(1).cast("int")
+    asked = requests.select("article_id", F.col("level").alias("asked"), level.alias("level"))
+    known = articles.select(F.col("id").alias("article_id"), F.lit(True).alias("known")).distinct()
+    found = asked.join(known, "article_id", "left").join(answers.select("article_id", F.col("level").cast("int").alias("level"), "response", "communities", F.lit(True).alias("answered")), ["article_id", "level"], "left")
+    usable = T.valid_article_id(F.col("article_id")) & F.coalesce("known", F.lit(False)) & F.coalesce("answered", F.lit(False))
+    context = F.when(~usable, empty_context()).when(F.size("communities") > 0, mapped_context(F.col("communities"), F.col("level"))).otherwise(extracted_context(F.col("response")))
+    return found.select("article_id", F.col("asked").alias("level"), context.alias("context"))

@@ -213,6 +213,31 @@ def community_context(spark: SparkSession, d: str) -> DataFrame:
     return search.community_context(a, sections, chapters, parts).select("c_custkey", "chapter_name", "part_name")
 
 
+_SAID = "CASE doc_id % 4 WHEN 0 THEN 'Phần thứ nhất > Chương II: x' || chr(10) || 'Tiểu mục 3' WHEN 1 THEN 'CHƯƠNG V tài sản' || chr(10) || text ELSE text END"
+_FIND = "nullif(regexp_extract({}, '(?i){}\\s+([^>\\n\\r]+)', 1), '')".format
+
+
+@query("community_contexts", f"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'doc_' ELSE 'article_' END || doc_id AS article_id, doc_id % 5 AS level, CASE WHEN doc_id % 5 < 4 THEN doc_id % 5 ELSE 1 END AS lvl, {_SAID} AS said, doc_id % 10 <> 9 AND doc_id % 7 > 0 AND (doc_id % 5 < 4 OR doc_id % 2 = 0) AS ok, doc_id % 3 = 0 AS mapped, lang, source FROM documents),
+  f AS (SELECT *, {_FIND("said", "phần")} AS p, {_FIND("said", "chương")} AS c, {_FIND("said", "mục")} AS s, {_FIND("said", "tiểu mục")} AS b FROM r)
+  SELECT article_id, level::INTEGER AS level, CASE WHEN NOT ok THEN '' WHEN mapped THEN CASE WHEN lvl = 0 THEN lang ELSE '' END ELSE coalesce(p, 'QUY ĐỊNH CHUNG') END AS part, CASE WHEN NOT ok THEN '' WHEN mapped THEN CASE WHEN lvl = 1 THEN lang ELSE '' END ELSE coalesce(c, 'NHỮNG QUY ĐỊNH CHUNG') END AS chapter,
+    CASE WHEN ok AND NOT mapped THEN s END AS section, CASE WHEN ok AND NOT mapped THEN b END AS subsection, CASE WHEN NOT ok THEN 0 WHEN mapped THEN doc_id % 4 ELSE 1 END::INTEGER AS articles, CASE WHEN NOT ok THEN '' WHEN mapped THEN 'sum' ELSE left(said, 1000) END AS principles,
+    CASE WHEN NOT ok THEN '' WHEN mapped THEN lang || ' > ' || coalesce(source, '') ELSE concat_ws(' > ', p, c, s, b) END AS path FROM f""")
+def community_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as articles, each asked for at some level, with answers of both kinds."""
+    k = F.col("doc_id")
+    docs = S.table(spark, d, "documents")
+    wrong = F.when(k % 10 == 9, F.concat(F.lit("doc_"), k)).otherwise(F.concat(F.lit("article_"), k))
+    said = F.when(k % 4 == 0, "Phần thứ nhất > Chương II: x\nTiểu mục 3").when(k % 4 == 1, F.concat(F.lit("CHƯƠNG V tài sản\n"), "text")).otherwise(F.col("text"))
+    ids = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < k % 4), lambda i: i.cast("string"))
+    first = F.struct(F.lit("c").alias("id"), F.col("lang").alias("title"), F.lit("sum").alias("summary"), ids.alias("entity_ids"))
+    second = F.struct(F.lit("d").alias("id"), F.col("source").alias("title"), F.lit("").alias("summary"), ids.alias("entity_ids"))
+    communities = F.when(k % 3 == 0, F.array(first, second))
+    level = F.when(k % 5 < 4, k % 5).when(k % 2 == 0, 1).otherwise(3)  # of some that ask for level 4 there is an answer at level 1
+    answers = docs.select(wrong.alias("article_id"), level.alias("level"), said.alias("response"), communities.alias("communities"))
+    found = search.community_contexts(docs.select(wrong.alias("article_id"), (k % 5).cast("int").alias("level")), docs.where("doc_id % 7 > 0").select(wrong.alias("id")), answers)
+    return found.select("article_id", "level", *[F.col(f"context.{x}.name").alias(x) for x in ("part", "chapter", "section", "subsection")], F.col("context.article_count").alias("articles"), F.col("context.principles").alias("principles"), F.col("context.hierarchical_context").alias("path"))
+
+
 @query("hybrid_local")
 def hybrid_local(spark: SparkSession, d: str) -> DataFrame:
     v = S.vectors(spark, d)
