@@ -382,3 +382,16 @@ def test_contexts_of_articles(spark):
     two = got["article_2", 0]
     assert (two["part"]["name"], two["part"]["article_count"], two["chapter"]["name"], two["principles"], two["hierarchical_context"]) == ("Phần A", 2, "", "S", "Phần A > Chương B")
     assert all(got[k]["part"]["name"] == "" and got[k]["article_count"] == 0 for k in (("article_3", 1), ("x", 1), (None, None), ("article_4", 2)))
+
+
+def test_first_reports(spark):
+    reports = spark.createDataFrame([("a", 2), ("b", 1), ("a", 9), ("c", 4), ("d", 3)], "id string, rank int")
+    assert [tuple(r) for r in search.linked_reports(reports).collect()] == [("b", 1), ("a", 2), ("d", 3)]
+    assert search.linked_reports(None) is None
+
+
+def test_pages_hold_all_rows(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1009, None if i % 50 == 0 else "x") for i in range(1009)], "n int, t string").repartition(5)
+    got = sorted((r["page"], r["place"], r["n"]) for r in reads.paged(rows, ["n"], 10).collect())
+    assert got == [(i // 10 + 1, i % 10, i) for i in range(1009)]
+    assert reads.paged(rows.limit(0), ["n"], 10).count() == 0

@@ -111,3 +111,15 @@ def test_resume_refuses_unknown_progress(spark):
     assert sorted((r["kind"], r["id"]) for r in knowledge.resumed(rows, stored, stored.limit(0)).collect()) == [("article", "2"), ("clause", "1")]
     with pytest.raises(knowledge.ProgressAhead, match="lists 2 ids .*first: 2"):
         knowledge.resumed(rows, stored, rows)
+
+
+def test_tables_of_a_folder(spark, small):
+    rows = {(r["table"], r["column"]): (r["type"], r["vector_length"]) for r in corpus.table_catalog(spark, small).collect()}
+    assert rows["embeddings", "embedding"] == ("array<float>", 64) and rows["documents", "doc_id"][0] == "bigint" and rows["documents", "text"] == ("string", None)
+    assert len({t for t, _ in rows}) >= 14
+
+
+def test_broken_files_fail(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"article_number": 1, "title": "x"}, {"article_number":')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        corpus.scan_file(spark, str(tmp_path / "a.json")).collect()

@@ -140,6 +140,17 @@ def merge_edges(stored: DataFrame, batch: DataFrame, nodes: DataFrame, props: li
     return rows.groupBy("src", "dst", "type").agg(*latest)
 
 
+def insertable_edges(batch: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges of a batch whose ends exist with the labels that their type asks
+    for; of an unknown type any labels will do.  ``nodes``: id, label.  Edges with
+    a null end or type are left out, repeated ones stay, as an insert adds."""
+    ends = nodes.select("id", "label").distinct()
+    labelled = edge_end_labels(batch if "level" in batch.columns else batch.withColumn("level", F.lit(None).cast("string"))).where("type is not null")
+    fits = lambda side: F.col(f"{side}_label").isNull() | (F.col(f"{side}_label") == F.col("l"))
+    both = labelled.join(ends.toDF("s", "l"), (F.col("src") == F.col("s")) & fits("from"), "left_semi").join(ends.toDF("t", "l"), (F.col("dst") == F.col("t")) & fits("to"), "left_semi")
+    return both.select(batch.columns)
+
+
 def edge_end_labels(edges: DataFrame) -> DataFrame:
     """Labels of an edge's ends by its type; BELONGS_TO by its level."""
     types = F.create_map(*[x for t, a, b in EDGE_LABELS for x in (F.lit(t), F.struct(F.lit(a).alias("from_label"), F.lit(b).alias("to_label")))])

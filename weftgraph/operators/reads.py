@@ -117,6 +117,14 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def paged(rows: DataFrame, order: list[Column | str], size: int) -> DataFrame:
+    """All rows with their ``page`` from 1 and ``place`` in it from 0, by a total
+    order: what fetching page after page gives.  Rows are numbered in ranges, so
+    no task sorts all of them."""
+    placed = numbered(rows, [], order, "_n")
+    return placed.select(*rows.columns, (F.floor(F.col("_n") / size) + 1).cast("long").alias("page"), (F.col("_n") % size).cast("long").alias("place"))
+
+
 def page_info(rows: DataFrame, size: int) -> DataFrame:
     return rows.agg(F.count("*").alias("total")).select("total", F.ceil(F.col("total") / size).cast("long").alias("pages"))
 

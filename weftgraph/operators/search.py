@@ -165,6 +165,13 @@ def linked_articles(paths: DataFrame, seeds: DataFrame, most: int = 8) -> DataFr
     return paths.join(seeds.select("id"), "id", "left_anti").groupBy("id").agg(F.min("ord").alias("ord")).orderBy("ord", "id").limit(most)
 
 
+def linked_reports(reports: DataFrame | None, most: int = 3) -> DataFrame | None:
+    """The first reports of a search (id, rank), once each; none if it failed."""
+    if reports is None:
+        return None
+    return reports.groupBy("id").agg(F.min("rank").alias("rank")).orderBy("rank", "id").limit(most)
+
+
 def observation_edges(paths: DataFrame, shown: DataFrame) -> DataFrame:
     """Distinct consecutive pairs of paths, both ends of which are shown."""
     pair = F.explode(F.arrays_zip(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))).alias("src"), F.slice("path", 2, F.size("path")).alias("dst"))).alias("e")

@@ -120,6 +120,23 @@ def node_upsert(spark: SparkSession, d: str) -> DataFrame:
     return graph.upsert_nodes(c.where("id % 3 > 0"), batch)
 
 
+_BATCH = "CASE WHEN ord % 11 = 0 THEN 'nowhere' ELSE dst END AS dst, CASE WHEN ord % 5 = 0 THEN 'ODD' WHEN ord % 7 = 0 THEN 'HAS_CLAUSE' ELSE type END AS type, ord"
+
+
+@query("edge_insert", f"""{S.GRAPH}, b AS (SELECT src, {_BATCH} FROM edges WHERE ord % 2 = 1), t(type, a, z) AS (VALUES {values(graph.EDGE_LABELS)})
+  SELECT b.src, b.dst, b.type, b.ord FROM b JOIN nodes x ON x.id = src JOIN nodes y ON y.id = dst LEFT JOIN t ON t.type = b.type WHERE (t.a IS NULL OR t.a = x.label) AND (t.z IS NULL OR t.z = y.label)""")
+def edge_insert(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of which some have an end that isn't there, labels that don't fit, or an unknown type."""
+    k = F.col("ord")
+    batch = S.edges(spark, d).where(k % 2 == 1).select("src", F.when(k % 11 == 0, "nowhere").otherwise(F.col("dst")).alias("dst"), F.when(k % 5 == 0, "ODD").when(k % 7 == 0, "HAS_CLAUSE").otherwise(F.col("type")).alias("type"), "ord")
+    return graph.insertable_edges(batch, S.nodes(spark, d))
+
+
+@query("all_pages", "SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 100 + 1)::BIGINT AS page, ((row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) % 100)::BIGINT AS place FROM orders")
+def all_pages(spark: SparkSession, d: str) -> DataFrame:
+    return reads.paged(S.table(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 100).drop("o_orderdate")
+
+
 @query("edge_merge", """WITH e AS (SELECT l_orderkey AS src, l_partkey % 50 AS dst, CASE WHEN l_linenumber % 5 > 0 THEN 'T' || (l_linenumber % 2) END AS type, (l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey)::BIGINT AS ord,
     CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey END AS a, l_returnflag AS b, CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END AS new FROM lineitem),
   k AS (SELECT * FROM e WHERE type IS NOT NULL AND src IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION SELECT n_nationkey FROM nation) AND dst IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION SELECT n_nationkey FROM nation))

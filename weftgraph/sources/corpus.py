@@ -66,6 +66,21 @@ def vector_length(rows: DataFrame, column: str) -> int | None:
     return first["n"] if first else None
 
 
+def table_catalog(spark: SparkSession, folder: str, suffix: str = ".parquet") -> DataFrame:
+    """(table, column, type, vector_length) of the tables in a folder: files or
+    folders whose name ends in ``suffix``.  A column of floating-point lists has
+    the length of its first vector, any other null."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = sorted(f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
+    rows = []
+    for name in (n for n in names if n.endswith(suffix)):
+        table = spark.read.parquet(f"{folder.rstrip('/')}/{name}")
+        for field in table.schema:
+            kind = field.dataType.simpleString()
+            rows.append((name.removesuffix(suffix), field.name, kind, vector_length(table, field.name) if kind in ("array<float>", "array<double>") else None))
+    return spark.createDataFrame(rows, "table string, column string, type string, vector_length int")
+
+
 def file_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """(name, size, sha256) of the files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
