@@ -7,6 +7,7 @@ that an order of filters does to a part follows from those counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import permutations
 from math import factorial
 
@@ -80,24 +81,25 @@ def joint_counts(failed: DataFrame, k: int) -> DataFrame:
     bit, how many documents fail all of them, whatever else they fail.  A
     document counts by the product of its flags; the empty product is 1."""
 
-    def counted(weight: Column) -> Column:
-        return F.array(*[F.sum(F.when(F.col("mask").bitwiseAND(F.lit(s)) == s, weight).otherwise(0)) for s in range(1 << k)])
+    def counted(also: str) -> Column:
+        return F.expr(f"array({', '.join(f'sum(CASE WHEN (mask & {s}) = {s}{also} THEN n ELSE 0L END)' for s in range(1 << k))})")
 
-    n = F.col("n")
-    zero = F.lit(0).cast("long")
-    return failed.groupBy("part").agg(counted(n).alias("joint"), counted(F.when(F.col("good"), n).otherwise(zero)).alias("joint_good"), counted(F.when(F.col("toxic"), n).otherwise(zero)).alias("joint_toxic"))
+    return failed.groupBy("part").agg(counted("").alias("joint"), counted(" AND good").alias("joint_good"), counted(" AND toxic").alias("joint_toxic"))
 
 
-def _signed(joint: str, sets: list[tuple[int, int]]) -> Column:
-    """A sum of joint counts: (set, factor)."""
-    terms = [F.col(joint)[s] * F.lit(factor) for s, factor in sets]
-    return sum(terms[1:], terms[0])
+def _signed(joint: str, sets: list[tuple[int, int]]) -> str:
+    """A sum of joint counts, as SQL: (set, factor)."""
+    return " + ".join(f"{joint}[{s}] * ({factor}L)" for s, factor in sets)
+
+
+def _listed(sums: Iterable[str]) -> Column:
+    return F.expr(f"array({', '.join(sums)})")
 
 
 def survivors(joint: str, k: int) -> Column:
     """How many pass all of each set of filters: the Möbius inversion, in which a
     subset of an odd size takes away."""
-    return F.array(*[_signed(joint, [(s, (-1) ** s.bit_count()) for s in range(1 << k) if s & p == s]) for p in range(1 << k)])
+    return _listed(_signed(joint, [(s, (-1) ** s.bit_count()) for s in range(1 << k) if s & p == s]) for p in range(1 << k))
 
 
 def audit(failed: DataFrame, letters: str = LETTERS) -> DataFrame:
@@ -116,12 +118,12 @@ def audit(failed: DataFrame, letters: str = LETTERS) -> DataFrame:
     having = [[s for s in range(1 << k) if s >> i & 1] for i in range(k)]
     sums = joint_counts(failed, k).select(
         "part", *[survivors(f"joint{x}", k).alias(f"kept{x}") for x in ("", "_good", "_toxic")],
-        F.array(*[F.col("joint")[1 << i] for i in range(k)]).alias("fails"),
-        F.array(*[_signed("joint", [(s, (-1) ** (s.bit_count() - 1)) for s in having[i]]) for i in range(k)]).alias("unique"),
-        F.array(*[_signed("joint", [(s, (-1) ** (s.bit_count() + 1) * (orders // s.bit_count())) for s in having[i]]) for i in range(k)]).alias("shapley"),
+        _listed(f"joint[{1 << i}]" for i in range(k)).alias("fails"),
+        _listed(_signed("joint", [(s, (-1) ** (s.bit_count() - 1)) for s in having[i]]) for i in range(k)).alias("unique"),
+        _listed(_signed("joint", [(s, (-1) ** (s.bit_count() + 1) * (orders // s.bit_count())) for s in having[i]]) for i in range(k)).alias("shapley"),
     )
     bit_of = F.create_map(*[F.lit(x) for i, letter in enumerate(letters) for x in (letter, 1 << i)])
-    ordered = sums.withColumn("filter_order", F.explode(F.array(*[F.lit("".join(p)) for p in permutations(letters)])))
+    ordered = sums.withColumn("filter_order", F.explode(F.split(F.lit(" ".join(map("".join, permutations(letters)))), " ")))
     bits = ordered.withColumn("bits", F.transform(F.split("filter_order", ""), lambda x: bit_of[x]))
     steps = bits.select("*", F.posexplode("bits").alias("place", "bit"))
     done = F.aggregate(F.slice("bits", F.lit(1), F.col("place")), F.lit(0), lambda x, y: x + y)
