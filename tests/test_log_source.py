@@ -9,7 +9,7 @@ import pytest
 
 from weftgraph.functions.privacy import canonical_json, row_hash
 from weftgraph.operators.sessions import GENESIS
-from weftgraph.sources.log_source import read_log_lines, verify_lines
+from weftgraph.sources.log_source import LineReader, read_log_lines, verify_lines
 
 
 def log(session, n, content=lambda i: f"text {i} é x"):
@@ -69,3 +69,29 @@ def test_what_verification_finds(spark, tmp_path):
     wanted |= {"torn": (3, 4), "empty": (0, 1), "bytes": (1, 2), "part": (3, None), "foreign": (0, 1)}
     got = {r["session_id"]: (r["good"], r["first_bad"]) for r in verify_lines(read_log_lines(spark, f"file://{tmp_path}", split_bytes=900)).collect()}
     assert got == wanted
+
+
+def test_many_sessions_a_file(spark, tmp_path):
+    """Lines of sessions that share files, in turn as well, verify as their own files do."""
+    names = [f"s{i}" for i in range(40)]
+    logs = {name: log(name, 2 + i % 7) for i, name in enumerate(names)}
+    logs["s3"][1], logs["s5"][3] = logs["s3"][1].replace(',"kind":', ', "kind":'), logs["s5"][3].replace('"s5"', '"s6"')
+    for f in range(2):
+        own = [n for i, n in enumerate(names) if i % 2 == f]
+        lines = [f"{n}\t{logs[n][j]}\n" for j in range(8) for n in own if j < len(logs[n])]
+        put(tmp_path, f"part-{f}.txt", "".join(lines) + ("no key\n" if f else ""))
+    wanted = {n: (len(x), None) for n, x in logs.items()} | {"s3": (1, 2), "s5": (3, 4), "": (0, 1)}
+    for split in (60, 4096):
+        got = {r["session_id"]: (r["good"], r["first_bad"]) for r in verify_lines(read_log_lines(spark, f"file://{tmp_path}", suffix=".txt", split_bytes=split, keyed=True)).collect()}
+        assert got == wanted
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_small_ranges_share_a_task(tmp_path, keyed):
+    for i in range(900):
+        put(tmp_path, f"f{i}.txt", f"k\t{i}\n")
+    reader = LineReader(f"file://{tmp_path}", ".txt", 2, keyed)
+    parts = reader.partitions()
+    assert len(parts) < 20
+    found = [x for p in parts for b in reader.read(p) for x in b.to_pylist()]
+    assert sorted(x["text"] for x in found) == sorted((str(i) if keyed else f"k\t{i}").encode() for i in range(900))
