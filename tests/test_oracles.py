@@ -53,3 +53,16 @@ def test_equals_sql(spark, small, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_runs(spark, small, name):
     assert registry.QUERIES[name](spark, small).columns
+
+
+@pytest.mark.parametrize("entered, nodes", [(94, 6), (95, None), (40, None)])
+def test_paths_of_over_five_steps_are_none(spark, small, tmp_path, entered, nodes):
+    """A chain of articles from 90 on that article 1 enters by its one reference."""
+    con = duckdb.connect()
+    keep = lambda t, sql: con.execute(f"copy ({sql}) to '{tmp_path}/{t}.parquet' (format parquet)").execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    for t in ("region", "nation", "supplier"):
+        keep(t, f"select * from '{small}/{t}.parquet'")
+    keep("customer", f"select * from '{small}/customer.parquet' where c_custkey in (1, 40) or c_custkey >= 90")
+    keep("orders", f"select o.* replace (k::BIGINT as o_orderkey, c::BIGINT as o_custkey) from (from '{small}/orders.parquet' limit 1) o, (values (1, 1), (2, {entered})) v(k, c)")
+    assert con.execute(registry.SQL["shortest_path"]).fetchall() == [(nodes,)]
+    assert [r["nodes"] for r in registry.QUERIES["shortest_path"](spark, str(tmp_path)).collect()] == [nodes]
