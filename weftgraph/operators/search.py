@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import lexicons as L
 from weftgraph.functions import text as T
 from weftgraph.functions import vectors as V
+from weftgraph.operators import nearest
 
 
 def literal_vector(values: list[float]) -> Column:
@@ -28,19 +31,37 @@ def vector_top_k_batch(rows: DataFrame, queries: DataFrame, k: int, id_col: str
     """(query_id, id, score, rank) of the ``k`` nearest rows of each query.
 
     ``queries`` (query_id, query) are a stated set: blocks of ``most_queries``
-    of them meet all rows, scan by scan, and each block is small enough to send
-    to every task.  Each task ranks its rows for each query first
-    (WindowGroupLimit), so ``k`` rows a query and task are shuffled.
+    of them, each small enough to send to every task, meet all rows as products
+    of matrices; rows that come up to the ``k`` best of a task so far are scored
+    as ``vectors.cosine`` does.  Each task ranks its rows for each query first
+    (WindowGroupLimit), so ``k`` rows a query and task are shuffled.  Vectors
+    without direction, of other lengths or not finite meet row by row.
     """
-    total = queries.count()
+    named = rows.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query"))
+    length = asked.agg(F.max(F.size("query"))).first()[0] or 0
+    row_ok, query_ok = nearest.usable(F.col("vector"), length), nearest.usable(F.col("query"), length)
+    total, odd_queries = asked.agg(F.count("*"), F.count_if(~query_ok)).first()
+    size, odd_rows = named.agg(F.count("*"), F.count_if(~row_ok)).first()
+    usual = asked.where(query_ok)
+    kind = asked.schema["query_id"].dataType.simpleString()
     blocks = max(1, -(-total // most_queries))
-    out = None
+    pairs = lambda some, part: some.join(F.broadcast(part), F.lit(True)).select("query_id", "id", V.cosine(F.col("vector"), F.col("query")).alias("score"))
+    # Equal vectors score alike, so of those that are odd the least ids will do.
+    odd = named.where(~row_ok).withColumn("_r", F.row_number().over(W.partitionBy("vector").orderBy("id"))).where(F.col("_r") <= k).drop("_r")
+    out = [asked.select("query_id").join(named.select("id"), F.lit(False)).withColumn("score", F.lit(None).cast("double"))]
     for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        scored = rows.join(F.broadcast(part), F.lit(True)).select("query_id", F.col(id_col).alias("id"), V.cosine(F.col(vector), F.col("query")).alias("score"))
-        ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
-        out = ranked if out is None else out.union(ranked)
-    return out
+        part = usual.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else usual
+        held = part.toArrow()  # ``most_queries`` or about as many
+        if held.num_rows:
+            tasks = -(-size * held.num_rows // nearest.TASK_PAIRS)
+            dealt = named.where(row_ok).repartition(tasks) if tasks > 1 else named.where(row_ok)
+            out.append(nearest.near(dealt, held.column("query_id").combine_chunks(), kind, nearest.matrix(held.column("query"), length), k))
+            if odd_rows:
+                out.append(pairs(odd, part))
+    if odd_queries:
+        out.append(pairs(named, asked.where(~query_ok)))
+    return nearest.ranked(reduce(DataFrame.union, out[1:] or out), k)
 
 
 def merged_hits(articles: DataFrame, clauses: DataFrame, limit: int) -> DataFrame:
