@@ -80,3 +80,25 @@ def test_totals(spark):
     got = sorted(map(tuple, D.broken_totals(cases, declared, 5).collect()), key=str)
     assert got == sorted([("duplicate_id", "seed", None)] * 2 + [("count", "global", None), ("count", "small_talk", None), ("total", None, None)], key=str)
     assert D.broken_totals(cases, spark.createDataFrame([("seed", 3), ("global", 1)], "type string, n long"), 4).where("rule <> 'duplicate_id'").count() == 0
+
+
+def test_gold_as_rows_and_dealt_by_number(spark, monkeypatch):
+    from weftgraph import session
+    from weftgraph.operators import evaluation
+
+    cases = spark.createDataFrame([(1, "a", [3, 4, 5]), (2, "a", [3, 5, 5]), (2, "b", [9, None])], "case_id long, type string, gold array<long>")
+    corpus = spark.createDataFrame([(3,), (4,), (5,), (5,)], "article long")
+    declared = spark.createDataFrame([("a", 2)], "type string, declared long")
+    wanted = sorted(map(tuple, evaluation.dataset_violations(cases, corpus, declared).collect()), key=str)
+    monkeypatch.setattr(session, "TASK_ROWS", 1)
+    rows = cases.selectExpr("case_id", "explode(gold) AS article")
+    found = evaluation.dataset_violations(cases.drop("gold"), corpus, declared, rows)
+    assert sorted(map(tuple, found.collect()), key=str) == wanted
+    assert session.dealt(rows, 8, "case_id").rdd.getNumPartitions() == 8
+
+
+def test_violations_gather_no_case(spark, small):
+    from weftgraph.plans import registry
+
+    plan = registry.QUERIES["dataset_violations"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan

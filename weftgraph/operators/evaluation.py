@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import lexicons as L
+from weftgraph.session import dealt
 
 
 def rate(k: Column, n: Column) -> Column:
@@ -254,15 +255,22 @@ def case_scores(cases: DataFrame, turns: DataFrame, max_steps: int) -> DataFrame
     )
 
 
-def dataset_violations(cases: DataFrame, corpus: DataFrame, declared: DataFrame) -> DataFrame:
+def dataset_violations(cases: DataFrame, corpus: DataFrame, declared: DataFrame, gold: DataFrame | None = None) -> DataFrame:
     """(rule, subject) of a case table: unknown gold articles, repeated ids,
     counts by type that differ from those declared, and gold chapters that aren't
-    contiguous."""
-    gold = cases.select("case_id", F.explode("gold").alias("article"))
-    unknown = gold.join(corpus.select("article"), "article", "left_anti").select(F.lit("unknown_article").alias("rule"), F.concat_ws(":", F.col("case_id").cast("string"), F.col("article").cast("string")).alias("subject"))
+    contiguous.
+
+    Gold articles are the array ``gold`` of a case, or rows (case_id, article) of
+    the table ``gold``, which needn't be gathered case by case.  They are dealt to
+    tasks by their number.
+    """
+    gold = cases.select("case_id", F.explode("gold").alias("article")) if gold is None else gold.select("case_id", "article")
+    rows = gold.count()
+    known = corpus.select("article").where("article is not null").distinct()
+    unknown = dealt(gold, rows, "article").join(known, "article", "left_anti").select(F.lit("unknown_article").alias("rule"), F.concat_ws(":", F.col("case_id").cast("string"), F.col("article").cast("string")).alias("subject"))
     repeated = cases.groupBy("case_id").count().where("count > 1").select(F.lit("repeated_id"), F.col("case_id").cast("string"))
     counts = cases.groupBy("type").agg(F.count("*").alias("n")).join(declared, "type", "full_outer").where("not (n <=> declared)").select(F.lit("count"), F.col("type").cast("string"))
-    gaps = gold.groupBy("case_id").agg(F.min("article").alias("lo"), F.max("article").alias("hi"), F.countDistinct("article").alias("n")).where("hi - lo + 1 <> n").select(F.lit("not_contiguous"), F.col("case_id").cast("string"))
+    gaps = dealt(gold, rows, "case_id").groupBy("case_id").agg(F.min("article").alias("lo"), F.max("article").alias("hi"), F.countDistinct("article").alias("n")).where("hi - lo + 1 <> n").select(F.lit("not_contiguous"), F.col("case_id").cast("string"))
     return unknown.union(repeated).union(counts).union(gaps)
 
 

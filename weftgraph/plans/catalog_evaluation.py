@@ -11,6 +11,7 @@ from weftgraph.operators import dataset_rules
 from weftgraph.operators import evaluation as E
 from weftgraph.plans import standins as S
 from weftgraph.plans.registry import query, values
+from weftgraph.session import dealt
 
 LABELLED = "x AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS k FROM labels JOIN documents USING (doc_id) GROUP BY lang)"
 
@@ -141,10 +142,14 @@ def embed_plan(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT 'not_contiguous', case_id::VARCHAR FROM g GROUP BY case_id HAVING max(article) - min(article) + 1 <> count(DISTINCT article)""")
 def dataset_violations(spark: SparkSession, d: str) -> DataFrame:
     o = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("type"))
-    gold = S.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.collect_list(F.col("l_partkey").cast("long")).alias("gold"))
+    gold = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").cast("long").alias("article"))
+    items = gold.count()
+    # Cases with items and items of cases; null parts are none, as in a collected list.
+    o = dealt(o, items, "case_id").join(dealt(gold.select("case_id"), items, "case_id"), "case_id", "left_semi")
+    gold = dealt(gold, items, "case_id").join(dealt(o, items, "case_id"), "case_id").select("case_id", "article").where("article is not null")
     corpus = S.table(spark, d, "part").where("p_partkey % 7 > 0").select(F.col("p_partkey").cast("long").alias("article"))
     declared = spark.createDataFrame([], "type string, declared long")
-    return E.dataset_violations(o.join(gold, "case_id"), corpus, declared)
+    return E.dataset_violations(o, corpus, declared, gold)
 
 
 NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
