@@ -75,3 +75,20 @@ def test_edges(spark, nodes, tmp_path):
         assert rows(table) == sorted([("n1", "n2", "R", 2.0), ("n4", "n5", "S", None)], key=str)
     merge_stored_edges(table, batch(("n4", "n5", "S", 7.0, 1), ("n1", "n2", "T", 1.0, 1)), nodes.read(), ["weight"])
     assert rows(table) == sorted([("n1", "n2", "R", 2.0), ("n1", "n2", "T", 1.0), ("n4", "n5", "S", 7.0)], key=str)
+
+
+def test_edges_of_a_hub_are_not_gathered(spark, monkeypatch):
+    """Few far ends are sent to the tasks, more are joined; both give one edge a pair and type."""
+    from weftgraph.operators import graph
+
+    schema = "src long, dst long, type string, a long, ord long"
+    stored = spark.createDataFrame([(i, 1, "T", i, 0) for i in range(20)], schema)
+    batch = spark.createDataFrame([(i, 1, "T", None if i % 2 else -i, i) for i in range(40)] + [(1, 99, "T", 1, 1), (1, 1, None, 1, 1), (None, 1, "T", 1, 1), (1, None, "T", 1, 1)], schema)
+    nodes = spark.createDataFrame([(i,) for i in range(30)] + [(3,), (None,)], "id long")
+    found = graph.merge_edges(stored, batch, nodes, ["a"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(dst" not in plan and "hashpartitioning(src" in plan
+    wanted = [(i, 1, "T", -i if i % 2 == 0 else i if i < 20 else None) for i in range(30)]
+    assert sorted(map(tuple, found.collect())) == wanted
+    monkeypatch.setattr(graph, "FEW_ENDS", 0)
+    assert sorted(map(tuple, graph.merge_edges(stored, batch, nodes, ["a"]).collect())) == wanted

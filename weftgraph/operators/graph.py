@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.operators.traversal import numbered
+from weftgraph.session import dealt
 
 # Edge types and the labels of their ends.
 EDGE_LABELS = (
@@ -129,15 +130,29 @@ def upsert_nodes(stored: DataFrame, batch: DataFrame, key: str = "id") -> DataFr
     return old.join(new, key, "full_outer").select(key, *[F.coalesce(F.col(f"new.{c}"), F.col(f"old.{c}")).alias(c) for c in others])
 
 
+#: Far ends of edges that are sent to every task at most.
+FEW_ENDS = 100_000
+
+
 def merge_edges(stored: DataFrame, batch: DataFrame, nodes: DataFrame, props: list[str]) -> DataFrame:
     """One edge for each pair and type: properties of the later ones win, where
-    they aren't null.  Edges without a type or with an unknown end are skipped."""
-    known = nodes.select("id").distinct()
-    rows = stored.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
-    rows = rows.where("type is not null").join(known.toDF("src"), "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi")
+    they aren't null.  Edges without a type or with an unknown end are skipped.
+
+    Edges are dealt to tasks by their number.  Distinct far ends are looked up
+    first: many edges may lead to a few nodes, and up to ``FEW_ENDS`` of them are
+    sent to every task, so that no task gets all edges of one.
+    """
+    known = nodes.select("id").where("id is not null").distinct()
+    rows = stored.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1))).where("type is not null and src is not null and dst is not null")
+    number = rows.count()
+    ends = rows.select("dst").distinct().join(known.toDF("dst"), "dst", "left_semi")
+    few = ends.limit(FEW_ENDS + 1).count() <= FEW_ENDS
+    kept = rows.join(F.broadcast(ends) if few else dealt(ends, number, "dst"), "dst", "left_semi")
     order = F.struct("_new", "ord")
     latest = [F.max_by(F.col(p), F.when(F.col(p).isNotNull(), order)).alias(p) for p in props]
-    return rows.groupBy("src", "dst", "type").agg(*latest)
+    # An inner join with distinct ids: a semi join would be moved in front of the dealing.
+    near = dealt(kept, number, "src").join(dealt(known.toDF("src"), number, "src"), "src")
+    return near.groupBy("src", "dst", "type").agg(*latest)
 
 
 def insertable_edges(batch: DataFrame, nodes: DataFrame) -> DataFrame:
