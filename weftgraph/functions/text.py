@@ -7,12 +7,11 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from weftgraph.functions import lexicons as L
+from weftgraph.functions.by_row import by_row
 
 ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 
@@ -229,10 +228,10 @@ def escape_tool_output(text: Column, tag: str = "tool_output") -> Column:
     return F.regexp_replace(text, rf"(?i)<\s*/\s*{tag}\s*>", f"<\\\\/{tag}>")
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
+@by_row
+def nfc(text: str) -> str:
     """Unicode NFC; Spark has no function for it."""
-    return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+    return unicodedata.normalize("NFC", text)
 
 
 def _phrases(*names: str) -> str:
@@ -286,13 +285,11 @@ class _Unmarked(dict):
         return self[point]
 
 
-@F.pandas_udf(StringType())
-def folded(text: pd.Series) -> pd.Series:
-    """Lower case without diacritics."""
-    unmarked = _Unmarked()
+_UNMARKED = _Unmarked()
 
-    def one(s: str) -> str:
-        s = s.lower()
-        return s if s.isascii() else unicodedata.normalize("NFD", s.replace("đ", "d")).translate(unmarked)
 
-    return text.map(one, na_action="ignore")
+@by_row
+def folded(text: str) -> str:
+    """Lower case without diacritics."""
+    s = text.lower()
+    return s if s.isascii() else unicodedata.normalize("NFD", s.replace("đ", "d")).translate(_UNMARKED)

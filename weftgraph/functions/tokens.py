@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from weftgraph.functions.by_row import by_row
 
 
 def count(text: str) -> int:
@@ -40,17 +37,9 @@ def observation(text: str, most: int) -> str:
     return text if count(text) <= most else cap(text, most - count(mark)) + mark
 
 
-def _udf(function: Callable[[str, int], str], most: int):
-    @F.pandas_udf(StringType())
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda s: function(s, most), na_action="ignore")
-
-    return run
-
-
 def cap_tokens(most: int):
-    return _udf(cap, most)
+    return by_row(lambda text: cap(text, most))
 
 
 def cap_observation(most: int):
-    return _udf(observation, most)
+    return by_row(lambda text: observation(text, most))
