@@ -188,6 +188,37 @@ def test_runs_over_many_buckets(spark, monkeypatch):
     assert got == brute_repeats(rows)
 
 
+def test_keys_are_dealt_in_turn(spark):
+    """No task gets two buckets or groups of documents while another gets none."""
+    keys = lambda rows: max(rows.rdd.mapPartitions(lambda own: [len({r["at"] for r in own})]).collect())
+    buckets = spark.range(96).select(F.col("id").alias("at"))
+    assert keys(suffix_dedup.dealt(buckets, 96)) == 1
+    groups = spark.range(96).select((F.floor(F.col("id") / 4) * (1 << 21) + F.col("id") % 4).alias("at"))
+    assert keys(suffix_dedup.dealt(groups, 96, 4)) == 1
+    assert keys(suffix_dedup.dealt(groups, 48, 4)) == 2
+
+
+def test_heads_are_spread_over_buckets(spark, small):
+    """Minimisers have small hashes, but no bucket gets many more heads than another."""
+    slim = spark.read.parquet(f"{small}/documents.parquet").select(F.col("doc_id").alias("uid"), F.col("doc_id").alias("id"), "text")
+    by = {r["at"]: r["n"] for r in suffix_dedup._heads(slim, 32).where("kind = cast('h' as binary)").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    assert len(by) == 32 and max(by.values()) < 1.5 * sum(by.values()) / 32
+
+
+def test_repeats_in_one_partition(spark, monkeypatch):
+    """Parts follow the bytes of the texts, batches are small meanwhile."""
+    assert suffix_dedup.parts_for(10 << 30, 40) == 1280 and suffix_dedup.parts_for(0, 1) == 8 and suffix_dedup.parts_for(100, 9) == 27
+    before, seen, table = spark.conf.get(suffix_dedup.BATCH_BYTES), [], suffix_dedup.bucketed
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "bucketed", lambda df, name, parts, *a, **b: (seen.append((parts, spark.conf.get(suffix_dedup.BATCH_BYTES))), table(df, name, parts, *a, **b))[1])
+    rng = np.random.default_rng(5)
+    passage = "".join(map(chr, rng.integers(97, 123, 70)))
+    rows = [(i, "".join(map(chr, rng.integers(97, 123, 400))) + passage * (i % 3 == 0)) for i in range(40)] + [(40, None)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == brute_repeats(rows)
+    assert seen == [(17, str(suffix_dedup.SLICE_BYTES))] and spark.conf.get(suffix_dedup.BATCH_BYTES) == before
+
+
 def test_repeats_edge_cases(spark, none):
     assert suffix_dedup.repeated_bytes(none).count() == 0
     text = "é" * 40 + "x" * 30
