@@ -235,6 +235,13 @@ def test_ranking_ties_go_by_id(spark):
     assert [(r["query_id"], r["id"], r["rank"]) for r in found] == [(7, 2, 1), (7, 1, 2)]
 
 
+def test_ranking_is_of_every_item(spark, small):
+    from weftgraph.plans import catalog_search
+
+    items = {r["item_id"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    assert {r["query_id"] for r in catalog_search.bm25_ranking(spark, small).collect()} == items
+
+
 def test_case_types(spark):
     step = "struct<kind:string,tool:string,tool_input:string,content:string,citations:array<struct<article:int,breadcrumb:array<string>>>>"
     call = lambda tool, arguments: ("action", tool, arguments, "", None)

@@ -131,26 +131,28 @@ FOLD = "lower(strip_accents(replace(replace({}, 'đ', 'd'), 'Đ', 'D')))"
 TOKENS = "[w for w in regexp_split_to_array({}, '[^\\p{{L}}\\p{{N}}]+') if length(w) > 1 AND NOT list_contains(" + str(list(L.FOLDED_STOPS)) + ", w)]"
 
 
-BM25 = f"""d AS (SELECT doc_id AS id, {TOKENS.format(FOLD.format("text"))} AS tokens FROM documents), n AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM d),
-  q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format(FOLD.format("text"))})) AS term FROM benchmark WHERE item_id % 10 = 0),
+def _bm25_sql(items: str) -> str:
+    return f"""d AS (SELECT doc_id AS id, {TOKENS.format(FOLD.format("text"))} AS tokens FROM documents), n AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM d),
+  q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format(FOLD.format("text"))})) AS term FROM {items}),
   tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(tokens) AS len, unnest(tokens) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
   scores AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), n GROUP BY 1, 2)"""
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
+def _bm25(spark: SparkSession, d: str, items: DataFrame) -> DataFrame:
     docs = S.table(spark, d, "documents").select("doc_id", search.bm25_tokens(T.folded("text")).alias("tokens"))
-    queries = S.table(spark, d, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), search.bm25_tokens(T.folded("text")).alias("tokens"))
+    queries = items.select(F.col("item_id").alias("query_id"), search.bm25_tokens(T.folded("text")).alias("tokens"))
     return search.bm25(docs, queries, "doc_id")
 
 
-@query("bm25", f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score FROM scores")
+@query("bm25", f"WITH {_bm25_sql('benchmark WHERE item_id % 10 = 0')} SELECT query_id, id, round(score, 6) AS score FROM scores")
 def bm25(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_bm25(spark, d), "score")
+    return _rounded(_bm25(spark, d, S.table(spark, d, "benchmark").where("item_id % 10 = 0")), "score")
 
 
-@query("bm25_ranking", f"WITH {BM25} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INTEGER AS rank FROM scores QUALIFY rank <= 10")
+@query("bm25_ranking", f"WITH {_bm25_sql('benchmark')} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INTEGER AS rank FROM scores QUALIFY rank <= 10")
 def bm25_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return search.ranked(_bm25(spark, d), 10).select("query_id", "id", "rank")
+    """The best documents of every benchmark item."""
+    return search.ranked(_bm25(spark, d, S.table(spark, d, "benchmark")), 10).select("query_id", "id", "rank")
 
 
 @query("concepts", f"""WITH t AS (SELECT id, row_number() OVER (ORDER BY length(text) DESC, id) AS rank, title, text FROM (SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, text FROM documents ORDER BY length(text) DESC, doc_id LIMIT 10)
